@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_bytes
+from tessera.llm import bpe_bytes, media, packing
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
+    "op2_media_columns": media.query,
     "op5_byte_bpe": bpe_bytes.query,
 }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_bytes, media, packing
+from tessera.llm import bpe_bytes, media, packing, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_media_columns": media.query,
+    "op4_simhash": simhash.query,
     "op5_byte_bpe": bpe_bytes.query,
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_bytes, media, packing, simhash
+from tessera.llm import bpe_bytes, media, packing, sharding, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_media_columns": media.query,
     "op4_simhash": simhash.query,
+    "op8_kd_sharding": sharding.query,
     "op5_byte_bpe": bpe_bytes.query,
 }
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_bytes, media, packing, sharding, simhash, topk
+from tessera.llm import bpe_bytes, line_dedup, media, packing, sharding, simhash, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_media_columns": media.query,
     "op4_simhash": simhash.query,
     "op6_top_k": topk.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_kd_sharding": sharding.query,
     "op5_byte_bpe": bpe_bytes.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_top_k": topk.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
 }

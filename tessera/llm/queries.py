@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_bytes, line_dedup, media, packing, sharding, simhash, topk
+from tessera.llm import bpe_bytes, language_id, line_dedup, media, packing, sharding, simhash, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_top_k": topk.query,
     "op7_line_dedup": line_dedup.query,
     "op8_kd_sharding": sharding.query,
+    "op9_language_id": language_id.query,
     "op5_byte_bpe": bpe_bytes.query,
 }
 

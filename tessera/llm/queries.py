@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_bytes, language_id, line_dedup, media, packing, sharding, simhash, topk
+from tessera.llm import bpe_bytes, language_id, line_dedup, media, packing, pii, sharding, simhash, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.query,
     "op8_kd_sharding": sharding.query,
     "op9_language_id": language_id.query,
+    "op10_pii": pii.query,
     "op5_byte_bpe": bpe_bytes.query,
 }
 

@@ -1,15 +1,61 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, PII, packing."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, PII, packing.
+
+Each stage takes and, but for the last, returns the columns of documents. The language stage drops documents whose
+language cannot be told; line dedup rewrites texts; near-dedup keeps one document of each group; the PII stage replaces
+personal data and disclosing terms; packing returns the pieces with their places.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import language_id, line_dedup, packing, pii, simhash
+from tessera.llm.common import stage
+
+#: A language below this score, or none at all, is rejected.
+LEAST_LANGUAGE_SCORE = 0.26
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identify(docs)
+    told = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return found.where(told).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitise(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("near-dedup", drop_near_duplicates),
+    ("PII", sanitise),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Kernel scores, tokenizers and fingerprints have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, function in STAGES:
+        docs = function(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stage(docs)
     return docs

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_bytes, language_id, line_dedup, media, packing, pii, sharding, simhash, topk
+from tessera.llm import bpe_bytes, html_wrappers, language_id, line_dedup, media, packing, pii, sharding, simhash, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_media_columns": media.query,
+    "op3_html_wrappers": html_wrappers.query,
     "op4_simhash": simhash.query,
     "op6_top_k": topk.query,
     "op7_line_dedup": line_dedup.query,

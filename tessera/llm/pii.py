@@ -125,10 +125,13 @@ def _words(text: Column) -> Column:
 
 
 def _with_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, term): the distinct terms of `terms` in each text."""
+    """(doc_id, text_hash, term): the distinct terms of `terms` in each text.
+
+    The outer form of explode keeps the planner from making the words once more for a test of their number.
+    """
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     text = F.coalesce("text", F.lit(""))
-    words = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(_words(text)).alias("term"))
+    words = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode_outer(_words(text)).alias("term"))
     return words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
 
 

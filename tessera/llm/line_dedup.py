@@ -45,8 +45,12 @@ def chunked(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _instances(chunks: DataFrame) -> DataFrame:
-    """A row for each chunk that may go: several lines or a long one, and not white space alone."""
-    one = chunks.select("_id", "_text_hash", F.posexplode("_chunks").alias("k", "c"))
+    """A row for each chunk that may go: several lines or a long one, and not white space alone.
+
+    The outer form keeps the planner from pushing a test of the array's size below the steps that make it, which would
+    make it several times over.
+    """
+    one = chunks.select("_id", "_text_hash", F.posexplode_outer("_chunks").alias("k", "c"))
     return one.where("(c.n > 1 OR c.long) AND trim(c.text) <> ''")
 
 

@@ -75,3 +75,21 @@ def bucket_count(rows: int, per_bucket: int = 50_000, least: int = 64) -> int:
 def code_points(column: Column) -> Column:
     """Null text counts as empty."""
     return F.coalesce(column, F.lit(""))
+
+
+#: Bits of the filter of possibly(): its table has at most FILTER_BITS / 64 rows, whatever the keys.
+FILTER_BITS = 1 << 22
+
+
+def possibly(df: DataFrame, column: Column, keys: DataFrame, key: Column, name: str = "_maybe") -> DataFrame:
+    """Add `name`: false where `column` surely is no `key` of `keys`, true where it may be one.
+
+    A bit map of hashes with a fixed number of bits is broadcast. It spares rows a shuffle before an exact join; with
+    more keys than bits it only spares fewer.
+    """
+    place = F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = keys.select(place.alias("_p")).select(F.shiftright("_p", 6).alias("_word"), F.expr("shiftleft(1L, cast(_p & 63 AS int))").alias("_bit"))
+    words = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    own = df.withColumn("_p", F.xxhash64(column).bitwiseAND(F.lit(FILTER_BITS - 1))).withColumn("_word", F.shiftright("_p", 6))
+    seen = own.join(F.broadcast(words), "_word", "left")
+    return seen.withColumn(name, F.coalesce(F.expr("shiftright(_bits, cast(_p & 63 AS int)) & 1L = 1L"), F.lit(False))).drop("_word", "_bits", "_p")

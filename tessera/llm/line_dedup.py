@@ -5,7 +5,8 @@ so boundaries depend on nearby lines alone and come back after an insertion. A l
 chunk by itself, so that a long passage is found between any neighbours. Chunks of several lines, and long lines, that
 occur more than once in the corpus are removed but for their first occurrence, after their bytes were compared.
 
-Texts are shuffled twice at most: once to compare the bytes of chunks whose hashes repeat, once to rewrite.
+Texts are shuffled to compare the bytes of chunks whose hashes repeat, and to rewrite; a bit map of fixed size keeps
+most documents that have no such chunk out of both.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table
+from tessera.llm.common import possibly, stage, table
 
 #: One line in RESIDUES ends a chunk, on average.
 RESIDUES = 3
@@ -67,9 +68,10 @@ def removals(documents: DataFrame) -> DataFrame:
     found = stage(_instances(chunked(named)).select("_id", "_text_hash", "k", F.xxhash64("c.text").alias("key")).distinct())
     repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     suspects = stage(found.join(repeated, "key"))
-    wanted = suspects.groupBy("_id", "_text_hash").agg(F.collect_set("k").alias("ks"))
+    wanted = stage(suspects.groupBy("_id", "_text_hash").agg(F.collect_set("k").alias("ks")))
     # Bytes: texts of the suspects, grouped by hash and by the text itself.
-    of_suspects = named.alias("d").join(
+    near = possibly(named, F.col("_id"), wanted, F.col("_id")).where("_maybe").drop("_maybe")
+    of_suspects = near.alias("d").join(
         wanted.alias("w"), F.expr("d._id <=> w._id AND d._text_hash = w._text_hash")
     ).select("d._id", "d._text_hash", "d.text", "w.ks")
     texts = _instances(chunked(of_suspects).withColumn("_chunks", F.expr("transform(_chunks, (c, i) -> if(array_contains(ks, i), c, null))")))
@@ -91,8 +93,12 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     all go becomes empty. Equal lines that are short and stand alone stay. Columns of these names are replaced.
     """
     gone = stage(removals(documents))
-    same = documents["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == gone["_text_hash"])
-    joined = documents.join(gone, same, "left").drop("_id", "_text_hash")
+    split = possibly(documents.drop("removed_chunks", "removed_lines"), F.col("doc_id"), gone, F.col("_id"))
+    none = F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_lines")
+    untouched = split.where("NOT _maybe").drop("_maybe").select("*", *none)
+    some = split.where("_maybe").drop("_maybe")
+    same = some["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(some["text"], F.lit(""))) == gone["_text_hash"])
+    joined = some.join(gone, same, "left").drop("_id", "_text_hash")
     touched = joined.withColumn("_in", F.expr("if(removed IS NULL, null, text)"))
     chunks = chunked(touched, "_in")
     rest = "transform(array_except(sequence(0, size(_chunks) - 1), removed), i -> _chunks[i].text)"
@@ -102,7 +108,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     out = out.withColumn("removed_lines", F.expr(f"if(removed IS NULL, 0, {lines})"))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.drop("_in", "_chunks", "removed")
+    return untouched.unionByName(out.drop("_in", "_chunks", "removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table, text_batches
+from tessera.llm.common import possibly, stage, table, text_batches
 from tessera.llm.components import components
 
 SEED = 42
@@ -220,13 +220,23 @@ def linked_codes(codes: DataFrame) -> DataFrame:
     return dealt.select("code", "mask", "key").mapInPandas(_links, "a long, b long")
 
 
-def _members(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, code and component (the smallest code that links reach) for each row of `documents`."""
+def _coded(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, code) for each row of `documents`; (code, component) for each code that is linked at all."""
     hashed = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     coded = stage(with_fingerprint(documents.select("doc_id", "text")).select("doc_id", hashed, "code"))
-    codes = stage(coded.select("code").distinct())
-    found = components(linked_codes(codes)).withColumnRenamed("node", "code")
-    return coded.join(stage(found), "code", "left").withColumn("component", F.coalesce("component", "code"))
+    links = linked_codes(stage(coded.select("code").distinct()))
+    return coded, stage(components(links).withColumnRenamed("node", "code"))
+
+
+def _least_of_component(coded: DataFrame, linked: DataFrame, least: Column, name: str) -> DataFrame:
+    """(code, `name`): the least value of `least` in the code's component.
+
+    Values are first reduced to one for each code, so neither copies nor a large component bring rows together.
+    """
+    own = stage(coded.groupBy("code").agg(F.min(least).alias("own")))
+    of_component = stage(own.join(linked, "code").groupBy("component").agg(F.min("own").alias("shared")))
+    shared = linked.join(of_component, "component").select("code", "shared")
+    return stage(own.join(shared, "code", "left").select("code", F.coalesce("shared", "own").alias(name)))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -236,27 +246,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     the others but is never its smallest id; a component of such rows alone has a null component_id. Repeated rows
     stay. Only doc_id and text are read, so other columns may have any names.
     """
-    members = _members(documents)
-    smallest = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    coded, linked = _coded(documents)
+    # Within a struct a null id would come first.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    by_code = _least_of_component(coded, linked, order, "least")
     fingerprint = F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint")
-    return members.join(smallest, "component").select("doc_id", fingerprint, "component_id")
+    return coded.join(by_code, "code").select("doc_id", fingerprint, F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of `documents`, all columns, without near-duplicates: of each component the smallest doc_id stays.
 
     Rows without doc_id come last; of rows with one doc_id and several texts one text stays, and of repeated rows
-    (equal doc_id and text) one row. The texts are not shuffled while the rows to drop fit a broadcast.
+    (equal doc_id and text) one row. Only rows that may have to go are shuffled with their text.
     """
-    members = stage(_members(documents).select("doc_id", "text_hash", "component"))
+    coded, linked = _coded(documents)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    chosen = members.groupBy("component").agg(F.min(order).alias("kept"))
+    by_code = _least_of_component(coded, linked, order, "kept")
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
-    dropped = stage(members.join(chosen, "component").where(~kept).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    text_hash = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
-    same = documents["doc_id"].eqNullSafe(dropped["_id"]) & (text_hash == dropped["_hash"])
-    left = documents.join(dropped, same, "left_anti")
-    repeated = members.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dropped = coded.join(by_code, "code").where(~kept).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    dropped = stage(dropped.distinct())
+    split = possibly(documents, F.col("doc_id"), dropped, F.col("_id"))
+    some = split.where("_maybe").drop("_maybe")
+    same = some["doc_id"].eqNullSafe(dropped["_id"]) & (F.xxhash64(F.coalesce(some["text"], F.lit(""))) == dropped["_hash"])
+    left = split.where("NOT _maybe").drop("_maybe").unionByName(some.join(dropped, same, "left_anti"))
+    repeated = coded.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 

@@ -1,6 +1,477 @@
-"""Queries over the driver's tables, by name, and SQL that gives the same rows."""
+"""Queries over the driver's tables, by name, and SQL that gives the same rows.
+
+The tables stand in for notes: a document is a note, its lines are paragraphs, pages and their links are the graph,
+conversations are threads.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.text import is_referential, reference_key, snippet, terms, text_hash
+from tessera.operators import graph, packets, retrieval, store
+from tessera.streaming import threads
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Query terms of the lexical queries.
+TERMS = ("the", "ther", "tion", "erth")
+
+
+def register(oracle: str):
+    def add(function):
+        QUERIES[function.__name__] = function
+        ORACLES[function.__name__] = oracle
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks: one paragraph each."""
+    d = _table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("chunk_id"),
+        F.coalesce("source", F.lit("")).alias("relative_path"),
+        F.lit("").alias("note_title"),
+        F.lit("").alias("section_label"),
+        F.coalesce("text", F.lit("")).alias("paragraph_text"),
+        text_hash(F.coalesce("text", F.lit(""))).alias("chunk_hash"),
+    )
+
+
+def _one_query(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(0).alias("query_id"), F.array(*[F.lit(t) for t in TERMS]).alias("terms"))
+
+
+_LEXICAL = f"""
+  SELECT doc_id, source AS path, sha256(coalesce(text, '')) AS h,
+         {' + '.join(f"contains(lower('  ' || coalesce(source, '') || ' ' || coalesce(text, '')), '{t}')::INT" for t in TERMS)} AS n,
+         concat_ws(', ', {', '.join(f"CASE WHEN contains(lower('  ' || coalesce(source, '') || ' ' || coalesce(text, '')), '{t}') THEN '{t}' END" for t in TERMS)}) AS found
+  FROM documents"""
+
+
+@register(f"""
+WITH hit AS ({_LEXICAL}), scored AS (SELECT *, n + 2.0::DOUBLE AS score FROM hit WHERE n > 0),
+once AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY h ORDER BY score DESC, doc_id) = 1)
+SELECT doc_id, score::DOUBLE AS score, 'lexical match: ' || found AS reason,
+       (row_number() OVER (ORDER BY score DESC, doc_id))::INT AS rank
+FROM once QUALIFY rank <= 18
+""")
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _documents(spark, sf_dir)
+    found = retrieval.lexical(chunks, _one_query(spark)).withColumn("demoted", F.lit(False))
+    named = found.join(chunks.select("chunk_id", "chunk_hash"), "chunk_id")
+    return retrieval.select_top(named).select(F.col("chunk_id").alias("doc_id"), "score", "reason", "rank")
+
+
+@register("""
+WITH q AS (
+  SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:6] AS terms FROM (
+    SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda t: len(t) >= 5) AS l FROM benchmark)
+), hit AS (
+  SELECT item_id, doc_id, len(list_filter(terms, lambda t: contains(lower('  ' || coalesce(source, '') || ' ' || coalesce(text, '')), t))) AS n
+  FROM q, documents
+)
+SELECT item_id, doc_id, (n + 2)::DOUBLE AS score,
+       (row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id))::INT AS rank
+FROM hit WHERE n > 0 QUALIFY rank <= 5
+""")
+def lexical_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9']+)"), F.lit(1))
+    long = F.slice(F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 5)), 1, 6)
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), long.alias("terms"))
+    found = retrieval.lexical(_documents(spark, sf_dir), asked)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    top = found.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    return top.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "score", "rank")
+
+
+_VECTORS = "vec AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@register(f"""
+WITH {_VECTORS}, s AS (
+  SELECT c.vec_id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS score FROM vec q, vec c WHERE q.vec_id = 0
+)
+SELECT vec_id, score, (row_number() OVER (ORDER BY score DESC, vec_id))::INT AS rank FROM s WHERE score > 1 QUALIFY rank <= 18
+""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.where("chunk_id = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    found = retrieval.vector(vectors, asked).withColumn("score", F.round("score", 6)).where("score > 1")
+    ranked = found.select(F.col("chunk_id").alias("vec_id"), "score").orderBy(F.desc("score"), "vec_id").limit(18)
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
+
+
+@register(f"""
+WITH {_VECTORS}, s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS score FROM vec q, vec c WHERE q.vec_id < 10
+)
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s WHERE score > 1 QUALIFY rank <= 5
+""")
+def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.where("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), "vector")
+    found = retrieval.vector(vectors, asked).withColumn("score", F.round("score", 6)).where("score > 1")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    top = found.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    return top.select("query_id", F.col("chunk_id").alias("vec_id"), "score", "rank")
+
+
+_STOP = "'a','an','and','are','as','at','be','but','by','do','for','from','how','i','if','in','into','is','it','my','of','on','or','our','the','to','with','you','your'"
+
+
+@register(f"""
+WITH t AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+'),
+  lambda w: len(w) >= 3 AND NOT list_contains([{_STOP}], w) AND NOT regexp_full_match(w, '[0-9]+')) AS l FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS terms FROM t
+""")
+def term_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.coalesce("text", F.lit(""))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(terms(said), " ").alias("terms"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    return _table(spark, sf_dir, "pages").select("page_id", "url", "html", title.alias("title"))
+
+
+_PAGE = "page AS (SELECT page_id, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages)"
+_PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9'']+'), lambda w: len(w) >= 3 AND NOT list_contains([" + _STOP + "], w) AND NOT regexp_full_match(w, '[0-9]+')))"
+
+
+@register(f"""
+WITH {_PAGE}, seed AS (SELECT turn.conv_id, turn.turn AS pos, turn.text AS seed FROM conversations turn WHERE turn.turn < 2),
+node AS (SELECT page_id, title, {_PLAIN.format('title')} AS k, {_TERMS.format('title')} AS w FROM page),
+s AS (SELECT *, {_PLAIN.format('seed')} AS k, {_TERMS.format('seed')} AS w FROM seed),
+exact AS (SELECT conv_id, pos, page_id FROM s JOIN node ON s.k = node.k WHERE s.k <> ''),
+sw AS (SELECT conv_id, pos, unnest(w) AS t FROM s WHERE k <> ''), nw AS (SELECT page_id, unnest(w) AS t FROM node),
+near AS (SELECT conv_id, pos, page_id FROM sw JOIN nw USING (t) GROUP BY ALL HAVING count(*) >= 2)
+SELECT conv_id, pos AS seed_pos, page_id, true AS exact FROM exact
+UNION ALL SELECT conv_id, pos, page_id, false FROM near n
+WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.conv_id = n.conv_id AND e.pos = n.pos)
+""")
+def seed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _pages(spark, sf_dir).select(F.col("page_id").alias("node_id"), F.col("title").alias("label"), F.lit("").alias("ref_id"))
+    said = _table(spark, sf_dir, "conversations").where("turn < 2")
+    asked = said.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seed_pos"), F.col("text").alias("seed"))
+    found = graph.match_seeds(nodes, asked)
+    return found.select(F.col("query_id").alias("conv_id"), "seed_pos", F.col("node_id").alias("page_id"), "exact")
+
+
+def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (page_id, target) of the links of each page."""
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return _pages(spark, sf_dir).select("page_id", F.explode(F.array_distinct(hrefs)).alias("target"))
+
+
+_LINK = "link AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target FROM pages)"
+
+
+@register(f"""
+WITH {_LINK}, {_PAGE}
+SELECT 'note::' || page_id AS node_id, 'note' AS node_type, title AS label FROM page
+UNION ALL SELECT DISTINCT 'tag::' || target, 'tag', target FROM link
+""")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir).select(graph.node_id("note", F.col("page_id").cast("string")).alias("node_id"), F.lit("note").alias("node_type"), F.col("title").alias("label"))
+    targets = _page_links(spark, sf_dir).select(graph.node_id("tag", F.col("target")).alias("node_id"), F.lit("tag").alias("node_type"), F.col("target").alias("label")).distinct()
+    return pages.unionByName(targets)
+
+
+@register(f"""
+WITH {_LINK}
+SELECT 'note::' || page_id AS source_node_id, 'tag::' || target AS target_node_id, 'note_has_tag' AS edge_type,
+       substr(sha256('note_has_tag|note::' || page_id || '|tag::' || target), 1, 16) AS edge_id FROM link
+""")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = graph.node_id("note", F.col("page_id").cast("string")), graph.node_id("tag", F.col("target"))
+    key = F.substring(F.sha2(F.concat_ws("|", F.lit("note_has_tag"), source, target), 256), 1, 16)
+    return _page_links(spark, sf_dir).select(source.alias("source_node_id"), target.alias("target_node_id"), F.lit("note_has_tag").alias("edge_type"), key.alias("edge_id"))
+
+
+def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _page_links(spark, sf_dir).select(F.concat(F.lit("p"), F.col("page_id")).alias("a"), F.concat(F.lit("t"), F.col("target")).alias("b"))
+    return links.select(F.col("a").alias("source_node_id"), F.col("b").alias("target_node_id")).union(links.select("b", "a"))
+
+
+_BFS = f"""
+WITH RECURSIVE {_LINK}, e AS (SELECT 'p' || page_id AS a, 't' || target AS b FROM link UNION ALL SELECT 't' || target, 'p' || page_id FROM link),
+walk AS (SELECT page_id AS query_id, 'p' || page_id AS n, 0 AS hop FROM pages WHERE page_id < 5
+         UNION SELECT w.query_id, e.b, w.hop + 1 FROM walk w JOIN e ON e.a = w.n WHERE w.hop < 2),
+seen AS (SELECT query_id, n, min(hop)::INT AS hop FROM walk GROUP BY ALL)"""
+
+
+@register(_BFS + " SELECT query_id, n AS node_id, hop FROM seen")
+def graph_bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = _pages(spark, sf_dir).where("page_id < 5").select(F.col("page_id").alias("query_id"), F.concat(F.lit("p"), F.col("page_id")).alias("node_id"))
+    return graph.hops(starts, _both_ways(spark, sf_dir), 2)
+
+
+@register(_BFS + """
+SELECT query_id, page_id AS chunk_id, hop FROM seen JOIN pages ON n = 'p' || page_id
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, page_id) <= 24
+""")
+def graph_chunks_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reached = graph_bfs_hops(spark, sf_dir).withColumnRenamed("node_id", "note_id")
+    key = F.col("page_id")
+    chunks = _table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), key).alias("note_id"), key.alias("note_seq"), F.lit(0).alias("chunk_seq"), key.alias("chunk_id"))
+    return graph.capped_chunks(reached, chunks).select("query_id", "chunk_id", "hop")
+
+
+@register("""
+WITH e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation
+           UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+           UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+one AS (SELECT 'r' || r_regionkey AS q, 'r' || r_regionkey AS n, 0 AS hop FROM region),
+two AS (SELECT q, b AS n, 1 AS hop FROM one JOIN e ON a = n), three AS (SELECT q, b AS n, 2 AS hop FROM two JOIN e ON a = n),
+four AS (SELECT q, b AS n, 3 AS hop FROM three JOIN e ON a = n)
+SELECT q AS region, hop::INT AS hop, count(*)::BIGINT AS nodes FROM (FROM one UNION ALL FROM two UNION ALL FROM three UNION ALL FROM four) GROUP BY ALL
+""")
+def hierarchy_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def edges(table: str, parent: str, a: str, child: str, b: str) -> DataFrame:
+        return _table(spark, sf_dir, table).select(F.concat(F.lit(a), F.col(parent)).alias("source_node_id"), F.concat(F.lit(b), F.col(child)).alias("target_node_id"))
+
+    every = edges("nation", "n_regionkey", "r", "n_nationkey", "n").union(edges("customer", "c_nationkey", "n", "c_custkey", "c")).union(edges("orders", "o_custkey", "c", "o_orderkey", "o"))
+    key = F.concat(F.lit("r"), F.col("r_regionkey"))
+    starts = _table(spark, sf_dir, "region").select(key.alias("query_id"), key.alias("node_id"))
+    return graph.hops(starts, every, 3).groupBy(F.col("query_id").alias("region"), "hop").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@register(f"""
+WITH {_PAGE}, key AS (SELECT lower(translate(trim(regexp_replace(title, '\\s+', ' ', 'g')), '_', ' ')) AS k, min(page_id) AS owner FROM page GROUP BY 1)
+SELECT page_id, owner FROM page JOIN key ON k = lower(translate(trim(regexp_replace(title, '\\s+', ' ', 'g')), '_', ' ')) WHERE k <> ''
+""")
+def link_resolve_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    notes = pages.select(F.col("page_id").alias("note_id"), F.col("page_id").alias("note_seq"), F.col("title").alias("note_title"), F.lit("").alias("relative_path"))
+    links = pages.select(F.col("page_id").alias("link_id"), F.col("title").alias("target_note"))
+    keyed = links.withColumn("key", reference_key(F.col("target_note"))).where("key <> ''")
+    owner = notes.withColumn("key", reference_key(F.col("note_title"))).groupBy("key").agg(F.min_by("note_id", "note_seq").alias("owner"))
+    return keyed.join(owner, "key").select(F.col("link_id").alias("page_id"), "owner")
+
+
+@register("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)
+SELECT doc_id || '::p' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY i))::VARCHAR, 4, '0') AS chunk_id, sha256(line) AS chunk_hash
+FROM l WHERE trim(line) <> ''
+""")
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "line")).where("trim(line) <> ''")
+    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
+    return lines.withColumn("n", ordinal).select(F.concat(F.col("doc_id"), F.format_string("::p%04d", "n")).alias("chunk_id"), text_hash(F.col("line")).alias("chunk_hash"))
+
+
+@register("""
+SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn))::INT AS occurrence,
+       (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS ordinal FROM conversations
+""")
+def section_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occurrence = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    ordinal = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", occurrence.alias("occurrence"), ordinal.alias("ordinal"))
+
+
+@register("""
+SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1)::BIGINT AS label FROM events
+""")
+def inline_label_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    label = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(order)
+    return _table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce(label, F.lit(-1)).cast("long").alias("label"))
+
+
+@register("SELECT min(doc_id) AS doc_id, sha256(text) AS chunk_hash, count(*)::BIGINT AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The first of each content by an aggregate: combined before the shuffle, so copies never meet.
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.groupBy(text_hash(F.col("text")).alias("chunk_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(incoming, existing): of each ten documents one is new, one was edited and one is gone."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", text_hash(F.coalesce("text", F.lit(""))).alias("chunk_hash"))
+    existing = d.where("doc_id % 10 <> 0").withColumn("chunk_hash", F.when(F.col("doc_id") % 10 == 1, F.lit("old")).otherwise(F.col("chunk_hash")))
+    return d.where("doc_id % 10 <> 2"), existing
+
+
+_EDITED = """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
+i AS (FROM d WHERE doc_id % 10 <> 2), e AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'old' ELSE h END AS h FROM d WHERE doc_id % 10 <> 0)"""
+
+
+@register(_EDITED + """
+SELECT i.doc_id, CASE WHEN e.doc_id IS NULL THEN 'inserted' WHEN e.h = i.h THEN 'unchanged' ELSE 'updated' END AS change_type
+FROM i LEFT JOIN e USING (doc_id)
+""")
+def change_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incoming, existing = _edited(spark, sf_dir)
+    return store.classify(incoming, existing, "doc_id", ["chunk_hash"]).select("doc_id", "change_type")
+
+
+@register(_EDITED + " SELECT e.doc_id FROM e WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = e.doc_id)")
+def delete_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incoming, existing = _edited(spark, sf_dir)
+    return store.absent(existing, incoming, "doc_id", F.lit(True)).select("doc_id")
+
+
+@register(_EDITED + """
+SELECT count_if(e.doc_id IS NULL)::BIGINT AS inserted, count_if(e.h <> i.h)::BIGINT AS updated, count_if(e.h = i.h)::BIGINT AS unchanged,
+       (SELECT count(*) FROM e WHERE doc_id NOT IN (SELECT doc_id FROM i))::BIGINT AS deleted FROM i LEFT JOIN e USING (doc_id)
+""")
+def change_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incoming, existing = _edited(spark, sf_dir)
+    return store.change_counts(store.classify(incoming, existing, "doc_id", ["chunk_hash"]), store.absent(existing, incoming, "doc_id", F.lit(True)))
+
+
+@register("""
+SELECT doc_id AS chunk_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id AND label % 2 = 0)
+""")
+def vector_refresh_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A stored vector is current where its label is even.
+    chunks = _documents(spark, sf_dir).select("chunk_id", F.lit(0).alias("content_hash"))
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 2).alias("content_hash"))
+    return chunks.join(vectors, ["chunk_id", "content_hash"], "left_anti").select("chunk_id")
+
+
+@register(f"""
+WITH hit AS ({_LEXICAL})
+SELECT doc_id, (contains(path, '1') AND contains(found, 'tion')) AS demoted,
+       (n + 2 - CASE WHEN contains(path, '1') AND contains(found, 'tion') THEN 10 ELSE 0 END)::DOUBLE AS score FROM hit WHERE n > 0
+""")
+def hygiene_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _documents(spark, sf_dir)
+    found = retrieval.lexical(chunks, _one_query(spark)).join(chunks.select("chunk_id", "relative_path"), "chunk_id")
+    boilerplate = F.contains(F.col("relative_path"), F.lit("1")) & F.contains(F.col("reason"), F.lit("tion"))
+    return retrieval.demote(found, boilerplate).select(F.col("chunk_id").alias("doc_id"), "demoted", "score")
+
+
+@register(r"""
+SELECT doc_id, CASE WHEN template AND held THEN true ELSE false END AS boilerplate FROM (
+  SELECT doc_id, contains('template ' || coalesce(source, ''), 'template') AS template,
+         (contains(t, '[[...]]') OR contains(t, 'bridge_') OR contains(t, '[]') OR contains(t, 'scope:')
+           OR contains(t, 'speculation_quarantine') OR contains(t, 'revision_triggers') OR contains(t, 'stop_rule') OR contains(t, 'applicability')
+           OR contains(t, 'preserves') OR contains(t, 'breaks') OR contains(t, 'conditions') OR contains(t, 'method')) AS held
+  FROM (SELECT doc_id, source, lower(trim(coalesce(text, ''))) AS t FROM documents))
+""")
+def boilerplate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("template "), F.coalesce("source", F.lit("")))
+    return d.select("doc_id", retrieval.is_boilerplate(F.lit(""), path, F.lit(""), F.col("text")).alias("boilerplate"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three surfaces over one id space: documents, embeddings and pages that share a number."""
+    chunks = _documents(spark, sf_dir)
+    lexical = retrieval.lexical(chunks, _one_query(spark))
+    vectors = _vectors(spark, sf_dir)
+    vector = retrieval.vector(vectors, vectors.where("chunk_id = 0").select(F.lit(0).alias("query_id"), "vector"))
+    vector = vector.withColumn("score", F.round("score", 6)).withColumn("reason", F.lit("vector similarity"))
+    pages = _table(spark, sf_dir, "pages").select(F.lit(0).alias("query_id"), F.col("page_id").alias("chunk_id"), F.lit("graph").alias("source"), F.lit(1.5).alias("score"), F.lit("graph seed match").alias("reason"))
+    return lexical.where("score < 6").unionByName(vector.where("score > 1")).unionByName(pages)
+
+
+_CANDIDATES = f"""
+WITH {_VECTORS}, hit AS ({_LEXICAL}),
+L AS (SELECT doc_id AS id, (n + 2)::DOUBLE AS s, 'lexical match: ' || found AS r FROM hit WHERE n > 0 AND n + 2 < 6),
+V AS (SELECT c.vec_id AS id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS s, 'vector similarity' AS r FROM vec q, vec c WHERE q.vec_id = 0 AND list_cosine_similarity(q.e, c.e) > 0
+      AND round(list_cosine_similarity(q.e, c.e) + 1, 6) > 1),
+G AS (SELECT page_id AS id, 1.5::DOUBLE AS s, 'graph seed match' AS r FROM pages)"""
+
+
+@register(_CANDIDATES + """,
+f AS (SELECT id, L.s AS ls, V.s AS vs, G.s AS gs, L.r AS lr, V.r AS vr, G.r AS gr FROM L FULL JOIN V USING (id) FULL JOIN G USING (id)),
+p AS (SELECT *, CASE WHEN ls IS NOT NULL THEN 'lexical' WHEN gs IS NOT NULL AND (vs IS NULL OR gs > vs) THEN 'graph' ELSE 'vector' END AS source FROM f)
+SELECT id, source, CASE source WHEN 'lexical' THEN ls WHEN 'graph' THEN gs ELSE vs END AS score,
+  CASE source WHEN 'lexical' THEN concat_ws(', ', lr, vr, gr) WHEN 'graph' THEN gr ELSE concat_ws(', ', vr, gr) END || '; sources: ' ||
+  concat_ws(', ', CASE WHEN ls IS NOT NULL THEN 'lexical' END, CASE WHEN vs IS NOT NULL THEN 'vector' END, CASE WHEN gs IS NOT NULL THEN 'graph' END) AS reason
+FROM p
+""")
+def fusion_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fuse(_candidates(spark, sf_dir)).select(F.col("chunk_id").alias("id"), "source", "score", "reason")
+
+
+@register(_CANDIDATES + """
+SELECT 'lexical' AS source, count(*)::BIGINT AS n FROM L UNION ALL SELECT 'vector', count(*) FROM V UNION ALL SELECT 'graph', count(*) FROM G
+""")
+def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("""
+WITH m AS (SELECT conv_id, turn, role, text FROM conversations WHERE role <> '' AND text <> ''
+           QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6)
+SELECT conv_id::VARCHAR AS thread_id, max(turn) AS latest_turn_id, sha256(string_agg(role || ':' || text, '|' ORDER BY turn)) AS tail FROM m GROUP BY conv_id
+""")
+def thread_state_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").alias("turn_id"), "role", F.col("text").alias("content"))
+    folded = threads.fold_turns(turns)
+    said = F.array_join(F.transform("recent_messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|")
+    return folded.select("thread_id", "latest_turn_id", F.sha2(said, 256).alias("tail"))
+
+
+@register("""
+WITH l AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
+SELECT conv_id, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS roles FROM l
+""")
+def active_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "role")
+    return threads.active_focus(rows, {"roles": "role"}).select(F.col("query_id").alias("conv_id"), F.array_join("roles", ",").alias("roles"))
+
+
+@register("""
+WITH d AS (SELECT conv_id, turn, sha256(conv_id || '|' || turn || '|' || role || '|' || coalesce(text, '')) AS delta_hash FROM conversations)
+SELECT conv_id::VARCHAR AS thread_id, turn AS turn_id, delta_hash, lag(delta_hash) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_hash FROM d
+""")
+def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").alias("turn_id"), "role", "text")
+    delta = F.sha2(F.concat_ws("|", "thread_id", F.col("turn_id").cast("string"), "role", F.coalesce("text", F.lit(""))), 256)
+    return threads.ledger(turns, delta).select("thread_id", "turn_id", "delta_hash", "parent_hash")
+
+
+@register(f"""
+WITH t AS (SELECT conv_id, turn, text, {_TERMS.format("coalesce(text, '')")} AS w FROM conversations),
+hit AS (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, unnest(w) AS x FROM t) JOIN (
+        SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z0-9'']+')) AS x FROM part) USING (x))
+SELECT conv_id, turn, CASE WHEN hit.turn IS NULL AND len(w) > 0 OR trim(coalesce(text, '')) = '' THEN 'blocked' ELSE 'approved' END AS decision
+FROM t LEFT JOIN hit USING (conv_id, turn)
+""")
+def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.coalesce("text", F.lit("")).alias("message"), F.lit("").alias("previous_message"), F.array().cast("array<string>").alias("focus_terms"))
+    asked = packets.compile_packets(said).withColumn("graph_seeds", F.array().cast("array<string>")).withColumn("compiler_status", F.lit("parsed"))
+    words = _table(spark, sf_dir, "part").select(F.explode_outer(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z0-9']+)"), F.lit(1))).alias("x")).distinct()
+    hits = asked.select("query_id", F.explode_outer("retrieval_terms").alias("x")).join(words, "x").groupBy("query_id").agg(F.count(F.lit(1)).alias("selected_count"))
+    decided = packets.gate(asked.join(hits, "query_id", "left").fillna(0, ["selected_count"]))
+    return decided.select("query_id.conv_id", "query_id.turn", "decision")
+
+
+@register("SELECT count(*)::BIGINT AS notes, coalesce(sum(len(string_split(text, chr(10)))), 0)::BIGINT AS chunks, count(DISTINCT source)::BIGINT AS roots FROM documents")
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    return d.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.sum(lines), F.lit(0)).cast("long").alias("chunks"), F.countDistinct("source").alias("roots"))
+
+
+@register("""
+SELECT conv_id, turn, CASE WHEN len(c) <= 60 THEN c ELSE rtrim(substr(c, 1, 59)) || '…' END AS snippet,
+  regexp_matches(' ' || lower(coalesce(text, '')) || ' ', ' (it|that|this|those|they|them) ') AS refers
+FROM (SELECT conv_id, turn, text, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS c FROM conversations)
+""".replace("\\\\", "\\"))
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.coalesce("text", F.lit(""))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", snippet(said, 60).alias("snippet"), is_referential(said).alias("refers"))

@@ -1,0 +1,55 @@
+"""End to end: a batch of packets against the stored tables gives ranked chunks and a decision for each query."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.config import Config
+from tessera.functions.text import plain
+from tessera.operators import graph, packets, retrieval
+
+
+def seeds(asked: DataFrame, sources: list[str]) -> DataFrame:
+    """(query_id, seed_pos, seed) in a fixed order of sources: graph_seeds, retrieval_terms, active_focus."""
+    present = [c for c in ("graph_seeds", "retrieval_terms", "active_focus") if c in sources and c in asked.columns]
+    every = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in present])
+    named = F.filter(F.transform(every, lambda s: F.trim(s)), lambda s: s != "")
+    return asked.select("query_id", F.posexplode_outer(F.array_distinct(named)).alias("seed_pos", "seed")).where("seed IS NOT NULL")
+
+
+def graph_candidates(asked: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config) -> DataFrame:
+    own = config.graph
+    allowed = nodes.where(F.col("node_type").isin(own.node_type_allowlist))
+    matched = graph.match_seeds(allowed, seeds(asked, own.seed_sources), own.token_overlap, own.min_token_overlap)
+    links = edges.where(F.col("edge_type").isin(own.edge_type_allowlist)).join(allowed.select(F.col("node_id").alias("target_node_id")), "target_node_id", "left_semi")
+    reached = graph.hops(matched.select("query_id", "node_id"), links, own.hop_limit)
+    notes = reached.join(allowed.select("node_id", "label", F.col("ref_id").alias("note_id")), "node_id")
+    named = graph.capped_chunks(notes.select("query_id", "note_id", "hop"), chunks, own.max_candidates)
+    reason = F.when(F.col("hop") == 0, F.lit("graph seed match")).otherwise(F.concat(F.lit("graph hop "), F.col("hop").cast("string")))
+    return named.select("query_id", "chunk_id", "source", "score", reason.alias("reason"))
+
+
+def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[DataFrame], DataFrame] | None, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selected chunks by query and rank, packets with decision) for packets of operators.packets."""
+    config = config or Config()
+    chunks = tables["chunks"]
+    found = retrieval.lexical(chunks, asked.select("query_id", F.col("retrieval_terms").alias("terms")))
+    if embed is not None and tables.get("chunk_vectors") is not None:
+        queries = embed(asked.where("trim(vector_query) <> ''").select("query_id", F.col("vector_query").alias("text")))
+        found = found.unionByName(retrieval.vector(tables["chunk_vectors"], queries.select("query_id", "vector")))
+    if config.graph.enabled:
+        found = found.unionByName(graph_candidates(asked, chunks, tables["graph_nodes"], tables["graph_edges"], config))
+    said = plain(F.concat_ws(" ", "message", "intent", "query", "vector_query", *packets.LISTS[:-1]))
+    hygiene = asked.select("query_id", retrieval.is_template_query(said).alias("_templates"))
+    text = chunks.select("chunk_id", "note_title", "relative_path", "section_label", "paragraph_text", "chunk_hash")
+    judged = found.join(text, "chunk_id").join(hygiene, "query_id")
+    boilerplate = retrieval.is_boilerplate(F.col("note_title"), F.col("relative_path"), F.col("section_label"), F.col("paragraph_text"))
+    demoted = retrieval.demote(judged, boilerplate & ~F.col("_templates"))
+    fused = retrieval.fuse(demoted.select("query_id", "chunk_id", "source", "score", "reason", "demoted")).join(text, "chunk_id")
+    selected = retrieval.select_top(fused, config.max_retrieval_chunks)
+    counts = selected.groupBy("query_id").agg(F.count(F.lit(1)).alias("selected_count"))
+    decided = packets.gate(asked.join(counts, "query_id", "left").fillna(0, ["selected_count"]))
+    return selected, decided

@@ -30,7 +30,7 @@ def _stripped(text: Column) -> Column:
 def journal_title(date: Column) -> Column:
     """A date as a title, null where it is none."""
     digits = F.regexp_replace(date, "-", "")
-    return F.date_format(F.when(date.rlike(DATE), F.try_to_date(digits, F.lit("yyyyMMdd"))), "MMMM dd, yyyy")
+    return F.date_format(F.when(date.rlike(DATE), F.try_to_date(digits, "yyyyMMdd")), "MMMM dd, yyyy")
 
 
 def frontmatter(files: DataFrame) -> DataFrame:

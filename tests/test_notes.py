@@ -1,0 +1,139 @@
+"""Note parsing, the graph and the store on small vaults."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import graph, notes, store
+from tessera.sources import vault
+
+JOURNAL = """---
+journal_entry_date: 2025-03-09
+layer: "two"
+tags:
+- '#Food'
+- food  stuff
+- food  stuff
+mood: fine
+- ignored
+---
+# March 09, 2025
+
+## Morning:
+First line
+goes on.
+
+Second [[Other|shown]] text [[Other#Part]] [[Missing]] [[#x]].
+
+## Morning
+Again.
+
+### Deep
+Plan: make tea
+Plan:
+
+After the label.
+# Top
+- one
+  more
+***
+- two
+
+http://example.org is a label
+"""
+OTHER = "Loose text before any heading\n---\nmore\n"
+
+
+@pytest.fixture()
+def roots(tmp_path):
+    for name, text in {"a/day_one.md": JOURNAL, "Other.md": OTHER, "_hidden.md": "x", "skip.txt": "no"}.items():
+        path = tmp_path / "vault" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text, encoding="utf-8")
+    return [("main", str(tmp_path / "vault"))]
+
+
+def test_roots(tmp_path):
+    assert vault.parse_root("a=b/c", "/x") == ("a", "/x/b/c")
+    for wrong in ("nothing", "=path"):
+        with pytest.raises(ValueError):
+            vault.parse_root(wrong)
+    with pytest.raises(FileNotFoundError):
+        vault.check_roots([("a", str(tmp_path / "none"))])
+    with pytest.raises(ValueError):
+        vault.check_roots([("a", str(tmp_path)), ("a", str(tmp_path))])
+
+
+def test_scan(spark, roots):
+    rows = vault.read_vault(spark, roots).orderBy("note_seq").collect()
+    assert [r.relative_path for r in rows] == ["Other.md", "_hidden.md", "a/day_one.md"]
+    visible = vault.read_files(spark, roots).orderBy("note_seq").collect()
+    assert [r.relative_path for r in visible] == ["Other.md", "a/day_one.md"]
+
+
+def test_notes(spark, roots):
+    found = {r.relative_path: r for r in notes.notes(vault.read_vault(spark, roots)).collect()}
+    day = found["a/day_one.md"]
+    assert day.note_title == "March 09, 2025" and day.is_journal
+    assert day.tags == ["Food", "food stuff"]
+    assert day.frontmatter["layer"]["values"] == ["two"] and day.frontmatter["mood"]["values"] == ["fine"]
+    assert [(x.target_note, x.target_heading, x.alias) for x in day.links] == [("Other", None, "shown"), ("Other", "Part", None), ("Missing", None, None)]
+    assert found["Other.md"].note_title == "Other" and found["Other.md"].tags == []
+
+
+def test_chunks(spark, roots):
+    parsed = notes.notes(vault.read_vault(spark, roots))
+    rows = notes.chunks(parsed).where("relative_path = 'a/day_one.md'").orderBy("chunk_seq").collect()
+    got = [(r.section_kind, list(r.section_path), r.section_occurrence, r.paragraph_ordinal, r.paragraph_text) for r in rows]
+    assert got == [
+        ("heading", ["Morning"], 1, 1, "First line goes on."),
+        ("heading", ["Morning"], 1, 2, "Second [[Other|shown]] text [[Other#Part]] [[Missing]] [[#x]]."),
+        ("heading", ["Morning"], 2, 1, "Again."),
+        ("inline_label", ["Morning", "Deep", "Plan"], 1, 1, "make tea Plan:"),
+        ("inline_label", ["Morning", "Deep", "Plan"], 1, 2, "After the label."),
+        ("heading", ["Top"], 1, 1, "- one more ***"),
+        ("heading", ["Top"], 1, 2, "- two"),
+        ("inline_label", ["Top", "http"], 1, 1, "//example.org is a label"),
+    ]
+    assert len({r.chunk_id for r in rows}) == len(rows) and rows[0].chunk_id.endswith("::p0001")
+    loose = notes.chunks(parsed).where("relative_path = 'Other.md'").orderBy("chunk_seq").collect()
+    assert [(r.section_kind, list(r.section_path), r.paragraph_text) for r in loose] == [
+        ("body", ["Other"], "Loose text before any heading"),
+        ("body", ["Other"], "more"),
+    ]
+
+
+def test_graph(spark, roots):
+    parsed = notes.notes(vault.read_vault(spark, roots))
+    nodes, edges = graph.build(parsed, notes.chunks(parsed))
+    kinds = {r.node_type: r["count"] for r in nodes.groupBy("node_type").count().collect()}
+    assert kinds == {"note": 3, "tag": 2, "chunk": 11}
+    links = edges.where("edge_type = 'note_links_note'").collect()
+    assert len(links) == 2 and {x.target_node_id for x in links} == {"note::main::Other.md"}
+    assert edges.where("edge_type = 'note_contains_chunk'").count() == 11
+
+
+def test_ingest_twice(spark, roots, tmp_path):
+    own = store.Store(spark, str(tmp_path / "store"))
+    first = store.ingest(own, vault.read_vault(spark, roots), ["main"])
+    assert (first["inserted"], first["updated"], first["unchanged"], first["deleted"]) == (11, 0, 0, 0)
+    (tmp_path / "vault" / "Other.md").write_text("Loose text, changed\n\nmore\n\nnew one\n", encoding="utf-8")
+    (tmp_path / "vault" / "_hidden.md").unlink()
+    second = store.ingest(own, vault.read_vault(spark, roots), ["main"])
+    assert (second["inserted"], second["updated"], second["unchanged"]) == (1, 1, 9)
+    assert (second["deleted"], second["deleted_notes"]) == (1, 1)
+    assert own.read("chunks").count() == 11 == own.read("chunk_vectors").count()
+    other = store.ingest(own, vault.read_vault(spark, [("two", roots[0][1])]), ["two"])
+    assert other["inserted"] == 11 and own.read("chunks").count() == 22
+    # The graph and the vectors are those of the last run.
+    assert own.read("graph_nodes").where("node_type = 'note'").count() == 2
+    assert own.read("chunk_vectors").count() == 11
+
+
+def test_vectors_follow_text_and_model(spark):
+    chunks = spark.createDataFrame([("a", "t", "p", "s", "x"), ("b", "t", "p", "s", "y")], "chunk_id string, note_title string, relative_path string, section_label string, paragraph_text string")
+    none = spark.createDataFrame([], "chunk_id string, content_hash string, model string, vector array<double>")
+    first = store.refresh_vectors(chunks, none, "m", store.probe_embedding)
+    assert store.stale(chunks, first, "m").count() == 0
+    assert store.stale(chunks, first, "other").count() == 2
+    titled = chunks.withColumn("note_title", F.when(F.col("chunk_id") == "a", "new").otherwise(F.col("note_title")))
+    assert [r.chunk_id for r in store.stale(titled, first, "m").collect()] == ["a"]

@@ -140,17 +140,20 @@ def disclosing_terms(documents: DataFrame, based: DataFrame) -> DataFrame:
 
     Copies do not add to the evidence: contexts are distinct by their words, texts by their hash.
     """
-    each = based.select(F.explode(F.concat(*[_of_kind(k) for k in KINDS])).alias("s"))
+    each = based.select("text_hash", F.explode(F.concat(*[_of_kind(k) for k in KINDS])).alias("s"))
     near = F.concat(
         F.slice(F.reverse(F.regexp_extract_all(F.lower("s.before"), F.lit(f"({WORD})"), F.lit(1))), 1, WINDOW_WORDS),
         F.slice(F.regexp_extract_all(F.lower("s.after"), F.lit(f"({WORD})"), F.lit(1)), 1, WINDOW_WORDS),
     )
-    contexts = each.select(F.concat_ws(":", "s.kind", F.lower("s.v")).alias("entity"), near.alias("near"))
+    contexts = each.select(F.concat_ws(":", "s.kind", F.lower("s.v")).alias("entity"), near.alias("near"), "text_hash")
     contexts = stage(contexts.withColumn("context", F.xxhash64("near")).dropDuplicates(["entity", "context"]))
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= LEAST_CONTEXTS)
-    pairs = contexts.join(entities, "entity").select("entity", "n_e", "context", F.explode(F.array_distinct("near")).alias("term"))
-    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= LEAST_CONTEXTS)
-    pairs = stage(pairs)
+    terms = contexts.select("entity", "text_hash", F.explode(F.array_distinct("near")).alias("term"))
+    pairs = terms.join(entities, "entity").groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    # A term occurs in no fewer texts than it has texts near any entity: what that rules out need not be counted.
+    around = terms.groupBy("term").agg(F.countDistinct("text_hash").alias("n_near"))
+    pairs = pairs.where(F.col("n_et") >= LEAST_CONTEXTS).join(around, "term").where(F.col("n_et") >= LEAST_POSTERIOR * F.col("n_near"))
+    pairs = stage(pairs.drop("n_near"))
     counted = _with_terms(documents, pairs.select("term").distinct()).select("term", "text_hash").distinct()
     counted = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     texts = documents.count()
@@ -174,7 +177,9 @@ def find(documents: DataFrame) -> DataFrame:
     Null text counts as empty. A term inside a base span is no span of its own. Repeated rows get equal spans.
     """
     based = with_base(documents)
-    entities = stage(based.select(*[f"_{k}" for k in KINDS]).where(" OR ".join(f"size(_{k}) > 0" for k in KINDS)))
+    # Staged before it is filtered: the planner would push the test below the steps that make the spans, once for each.
+    entities = stage(based.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *[f"_{k}" for k in KINDS]))
+    entities = entities.where(" OR ".join(f"size(_{k}) > 0" for k in KINDS))
     flagged = _flagged(documents, entities)
     text = F.coalesce("text", F.lit(""))
     same = based["doc_id"].eqNullSafe(flagged["_id"]) & (F.xxhash64(text) == flagged["_hash"])

@@ -177,8 +177,9 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
                     names[i], scores[i] = own.languages[b], min(1.0, float(s))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
+    # A filter on the result must not be pushed below the step that makes it, which would then run twice.
     return (
-        documents.withColumn("_p", scored(F.col("text")))
+        documents.withColumn("_p", scored.asNondeterministic()(F.col("text")))
         .withColumn("lang_pred", F.col("_p.lang_pred"))
         .withColumn("score", F.col("_p.score"))
         .drop("_p")

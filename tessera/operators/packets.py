@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import distinct_in_order, is_referential, squeeze, terms
+from tessera.functions.text import distinct_in_order, is_referential, snippet, squeeze, terms, text_hash
 
 #: A referring message with fewer terms takes terms from what came before; so many of them go into the query.
 FEW_TERMS, FOCUS_IN_QUERY = 4, 8
@@ -39,6 +39,40 @@ def compile_packets(messages: DataFrame) -> DataFrame:
     )
 
 
+def focus_terms(*values: Column) -> Column:
+    """Distinct terms of what a focus holds (texts or arrays of them): of each item its terms, then the item itself."""
+    items = F.concat(*[F.coalesce(v, F.array().cast("array<string>")) for v in values])
+    clean = F.filter(F.transform(items, lambda i: F.trim(i)), lambda i: i != "")
+    return distinct_in_order(F.flatten(F.transform(clean, lambda i: F.concat(terms(i), F.array(i)))))
+
+
+def complete_by_backend(packets: DataFrame, payload: str = "payload") -> DataFrame:
+    """What a compiler backend does with its own payload before it answers.
+
+    As complete(); then missing terms come from the query, a referring message gets all focus_terms, six of them also
+    in vector_query, and missing seeds are the query.
+    """
+    out = complete(packets, payload)
+    own = F.when(F.size("retrieval_terms") > 0, F.col("retrieval_terms")).otherwise(terms(F.col("query")))
+    focus = F.filter(_strings("focus_terms"), lambda t: t != "")
+    refers = is_referential(F.col("message")) & (F.size(focus) > 0)
+    more = F.concat_ws(" ", F.trim("vector_query"), F.array_join(F.slice(focus, 1, 6), " "))
+    out = out.withColumn("vector_query", F.when(refers & (F.trim("vector_query") != ""), more).otherwise(F.col("vector_query")))
+    out = out.withColumn("retrieval_terms", F.when(refers, distinct_in_order(F.concat(own, focus))).otherwise(own))
+    seeded = (F.size("graph_seeds") == 0) & (F.size("retrieval_terms") > 0)
+    return out.withColumn("graph_seeds", F.when(seeded, F.array("query")).otherwise(F.col("graph_seeds")))
+
+
+def diagnostic(packets: DataFrame, raw: str = "raw_response") -> DataFrame:
+    """packets with what is known of the compiler's raw answer: whether there is one, its hash, a preview."""
+    said = F.nullif(F.col(raw), F.lit(""))
+    return (
+        packets.withColumn("raw_response_available", said.isNotNull())
+        .withColumn("raw_response_hash", text_hash(said))
+        .withColumn("raw_response_preview", snippet(said, 1200))
+    )
+
+
 def complete(packets: DataFrame, payload: str = "payload") -> DataFrame:
     """Packets whose fields give way to the non-empty ones of the struct column `payload`; compiler_status says so.
 
@@ -58,8 +92,8 @@ def complete(packets: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def is_valid() -> Column:
-    """Texts and lists of the packet are all there, and the query is not empty."""
-    out = F.col("query").isNotNull() & (F.trim("query") != "")
+    """Texts and lists of the packet are all there."""
+    out = F.lit(True)
     for c in (*TEXTS, *LISTS):
         out = out & F.col(c).isNotNull()
     return out

@@ -398,7 +398,7 @@ G AS (SELECT page_id AS id, 1.5::DOUBLE AS s, 'graph seed match' AS r FROM pages
 f AS (SELECT id, L.s AS ls, V.s AS vs, G.s AS gs, L.r AS lr, V.r AS vr, G.r AS gr FROM L FULL JOIN V USING (id) FULL JOIN G USING (id)),
 p AS (SELECT *, CASE WHEN ls IS NOT NULL THEN 'lexical' WHEN gs IS NOT NULL AND (vs IS NULL OR gs > vs) THEN 'graph' ELSE 'vector' END AS source FROM f)
 SELECT id, source, CASE source WHEN 'lexical' THEN ls WHEN 'graph' THEN gs ELSE vs END AS score,
-  CASE source WHEN 'lexical' THEN concat_ws(', ', lr, vr, gr) WHEN 'graph' THEN gr ELSE concat_ws(', ', vr, gr) END || '; sources: ' ||
+  CASE source WHEN 'lexical' THEN concat_ws(', ', lr, vr, gr) WHEN 'graph' THEN gr ELSE concat_ws(', ', vr, gr) END || ', sources: ' ||
   concat_ws(', ', CASE WHEN ls IS NOT NULL THEN 'lexical' END, CASE WHEN vs IS NOT NULL THEN 'vector' END, CASE WHEN gs IS NOT NULL THEN 'graph' END) AS reason
 FROM p
 """)
@@ -448,7 +448,7 @@ def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT conv_id, turn, text, {_TERMS.format("coalesce(text, '')")} AS w FROM conversations),
 hit AS (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, unnest(w) AS x FROM t) JOIN (
         SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z0-9'']+')) AS x FROM part) USING (x))
-SELECT conv_id, turn, CASE WHEN hit.turn IS NULL AND len(w) > 0 OR trim(coalesce(text, '')) = '' THEN 'blocked' ELSE 'approved' END AS decision
+SELECT conv_id, turn, CASE WHEN hit.turn IS NULL AND len(w) > 0 THEN 'blocked' ELSE 'approved' END AS decision
 FROM t LEFT JOIN hit USING (conv_id, turn)
 """)
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,3 +475,16 @@ FROM (SELECT conv_id, turn, text, trim(regexp_replace(coalesce(text, ''), '\\s+'
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.coalesce("text", F.lit(""))
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", snippet(said, 60).alias("snippet"), is_referential(said).alias("refers"))
+
+
+@register(_BFS + """,
+step AS (SELECT DISTINCT s.query_id, e.b AS node_id, s.hop + 1 AS hop, s.n AS a FROM seen s JOIN e ON e.a = s.n WHERE s.hop < 2)
+SELECT query_id, node_id, sha256(string_agg('wikilink hop ' || hop || ': ' || a || ' -> ' || node_id, '; ' ORDER BY hop, 'wikilink hop ' || hop || ': ' || a || ' -> ' || node_id)) AS reason
+FROM step GROUP BY ALL
+""")
+def graph_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, reached = _both_ways(spark, sf_dir), graph_bfs_hops(spark, sf_dir)
+    nodes = edges.select(F.col("source_node_id").alias("node_id")).distinct().withColumn("label", F.col("node_id"))
+    none = reached.select("query_id", F.lit(0).alias("seed_pos"), F.lit("").alias("seed_source"), "node_id").where("false")
+    found = graph.reasons(reached, none, edges, nodes, 2)
+    return found.select("query_id", "node_id", F.sha2("reason", 256).alias("reason"))

@@ -13,23 +13,37 @@ from tessera.operators import graph, packets, retrieval
 
 
 def seeds(asked: DataFrame, sources: list[str]) -> DataFrame:
-    """(query_id, seed_pos, seed) in a fixed order of sources: graph_seeds, retrieval_terms, active_focus."""
+    """(query_id, seed_pos, seed_source, seed) in a fixed order of sources: graph_seeds, retrieval_terms, active_focus."""
     present = [c for c in ("graph_seeds", "retrieval_terms", "active_focus") if c in sources and c in asked.columns]
-    every = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in present])
-    named = F.filter(F.transform(every, lambda s: F.trim(s)), lambda s: s != "")
-    return asked.select("query_id", F.posexplode_outer(F.array_distinct(named)).alias("seed_pos", "seed")).where("seed IS NOT NULL")
+    if not present:
+        return asked.select("query_id", F.lit(0).alias("seed_pos"), F.lit("").alias("seed_source"), F.lit("").alias("seed")).limit(0)
+    every = F.concat(*[_named(c) for c in present])
+    each = asked.select("query_id", F.posexplode_outer(every).alias("seed_pos", "s"))
+    return each.where("s IS NOT NULL").select("query_id", "seed_pos", "s.seed_source", "s.seed")
 
 
-def graph_candidates(asked: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config) -> DataFrame:
+def _named(source: str):
+    clean = F.filter(F.transform(F.coalesce(F.col(source), F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
+    return F.transform(clean, lambda s: F.struct(F.lit(source).alias("seed_source"), s.alias("seed")))
+
+
+def graph_candidates(asked: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(candidates, traversal info) of the graph surface."""
     own = config.graph
-    allowed = nodes.where(F.col("node_type").isin(own.node_type_allowlist))
-    matched = graph.match_seeds(allowed, seeds(asked, own.seed_sources), own.token_overlap, own.min_token_overlap)
-    links = edges.where(F.col("edge_type").isin(own.edge_type_allowlist)).join(allowed.select(F.col("node_id").alias("target_node_id")), "target_node_id", "left_semi")
+    given = seeds(asked, own.seed_sources)
+    allowed = nodes.where(F.col("node_type").isin(own.node_type_allowlist) & (F.col("ref_id") != ""))
+    found = graph.match_seeds(allowed, given, own.token_overlap, own.min_token_overlap)
+    matched = found.join(given.select("query_id", "seed_pos", "seed_source"), ["query_id", "seed_pos"])
+    typed = edges.where(F.col("edge_type").isin(own.edge_type_allowlist))
+    links = typed.join(allowed.select(F.col("node_id").alias("target_node_id")), "target_node_id", "left_semi")
     reached = graph.hops(matched.select("query_id", "node_id"), links, own.hop_limit)
-    notes = reached.join(allowed.select("node_id", "label", F.col("ref_id").alias("note_id")), "node_id")
-    named = graph.capped_chunks(notes.select("query_id", "note_id", "hop"), chunks, own.max_candidates)
-    reason = F.when(F.col("hop") == 0, F.lit("graph seed match")).otherwise(F.concat(F.lit("graph hop "), F.col("hop").cast("string")))
-    return named.select("query_id", "chunk_id", "source", "score", reason.alias("reason"))
+    why = graph.reasons(reached, matched, links, allowed, own.hop_limit)
+    first = matched.groupBy("query_id", "node_id").agg(F.min("seed_pos").alias("seed_pos"))
+    notes = reached.join(first, ["query_id", "node_id"], "left").join(allowed.select("node_id", F.col("ref_id").alias("note_id")), "node_id")
+    named = graph.capped_chunks(notes.select("query_id", "note_id", "hop", "seed_pos"), chunks, own.max_candidates)
+    told = named.join(why.join(allowed.select("node_id", F.col("ref_id").alias("note_id")), "node_id").select("query_id", "note_id", "reason"), ["query_id", "note_id"])
+    info = graph.traversal_info(asked, matched, reached, typed, own.hop_limit)
+    return told.select("query_id", "chunk_id", "source", "score", "reason"), info
 
 
 def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[DataFrame], DataFrame] | None, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
@@ -41,10 +55,10 @@ def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[Da
         queries = embed(asked.where("trim(vector_query) <> ''").select("query_id", F.col("vector_query").alias("text")))
         found = found.unionByName(retrieval.vector(tables["chunk_vectors"], queries.select("query_id", "vector")))
     if config.graph.enabled:
-        found = found.unionByName(graph_candidates(asked, chunks, tables["graph_nodes"], tables["graph_edges"], config))
+        found = found.unionByName(graph_candidates(asked, chunks, tables["graph_nodes"], tables["graph_edges"], config)[0])
     said = plain(F.concat_ws(" ", "message", "intent", "query", "vector_query", *packets.LISTS[:-1]))
     hygiene = asked.select("query_id", retrieval.is_template_query(said).alias("_templates"))
-    text = chunks.select("chunk_id", "note_title", "relative_path", "section_label", "paragraph_text", "chunk_hash")
+    text = chunks.select("chunk_id", "note_id", "note_title", "relative_path", "section_label", "paragraph_text", "chunk_hash")
     judged = found.join(text, "chunk_id").join(hygiene, "query_id")
     boilerplate = retrieval.is_boilerplate(F.col("note_title"), F.col("relative_path"), F.col("section_label"), F.col("paragraph_text"))
     demoted = retrieval.demote(judged, boilerplate & ~F.col("_templates"))

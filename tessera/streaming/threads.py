@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.functions.text import json_hash
+from tessera.functions.text import json_hash, snippet
 
 MESSAGES = 6
 STATE = "thread_id string, latest_turn_id long, recent_messages array<struct<turn_id:long,role:string,content:string>>"
@@ -64,6 +64,53 @@ def stream_turns(turns: DataFrame, n: int = MESSAGES) -> DataFrame:
     return turns.groupBy("thread_id").transformWithStateInPandas(_Tail(n), STATE, "Update", "None")
 
 
+#: Columns of a turn that its summary and the thread's focus keep.
+FOCUS = ("query", "entities", "relations", "retrieval_terms", "vector_query", "graph_seeds", "selected_chunk_ids", "selected_note_titles", "selected_section_labels")
+
+
+def fold_states(turns: DataFrame, n: int = MESSAGES) -> DataFrame:
+    """The state of a thread after each of its turns, with the ledger's hashes.
+
+    turns: thread_id, turn_id, message, response (null if none), created_at (a text, given and not the clock), outcome,
+    blocking_reasons, compiler_status, decision, and the columns of FOCUS. Windows reach back n turns and no further.
+    The focus is that of the turn, blocked or not.
+    """
+    order = Window.partitionBy("thread_id").orderBy("turn_id")
+    back = order.rowsBetween(1 - n, 0)
+    user = F.struct(F.lit("user").alias("role"), F.col("message").alias("content"), "turn_id")
+    answer = F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content"), "turn_id")
+    said = F.filter(F.array(user, answer), lambda m: F.coalesce(m["content"], F.lit("")) != "")
+    summary = F.struct("turn_id", F.col("message").alias("raw_user_input"), snippet(F.coalesce("response", F.lit(""))).alias("assistant_response_snippet"), *FOCUS)
+    out = turns.withColumn("_said", said).withColumn("_summary", summary)
+    state = F.struct(
+        F.struct(*FOCUS).alias("active_focus"),
+        F.lit("").alias("conversation_summary"),
+        F.col("response").alias("latest_assistant_response"),
+        F.lit(None).cast("string").alias("latest_thread_state_hash"),
+        F.col("turn_id").alias("latest_turn_id"),
+        F.col("message").alias("latest_user_input"),
+        tail(F.flatten(F.collect_list("_said").over(back)), n).alias("recent_messages"),
+        F.collect_list("_summary").over(back).alias("recent_semantic_turns"),
+        "thread_id",
+        F.col("created_at").alias("updated_at"),
+    )
+    out = out.withColumn("state", state).drop("_said", "_summary").withColumn("state_hash", json_hash(F.col("state")))
+    out = out.withColumn("prior_state_hash", F.lag("state_hash").over(order))
+    delta = F.struct(
+        F.col("response").alias("assistant_response"),
+        "blocking_reasons",
+        F.col("decision").alias("coverage_decision"),
+        F.col("state_hash").alias("next_thread_state_hash"),
+        F.col("prior_state_hash").alias("prior_thread_state_hash"),
+        F.col("message").alias("raw_user_input"),
+        F.col("outcome").alias("runtime_outcome"),
+        F.col("compiler_status").alias("semantic_compiler_status"),
+        "thread_id",
+        "turn_id",
+    )
+    return ledger(out, json_hash(delta))
+
+
 def active_focus(selected: DataFrame, lists: dict[str, str]) -> DataFrame:
     """For each query distinct values in rank order; lists: name of the result -> column of `selected`."""
     ordered = selected.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *lists.values()))).alias("_all"))

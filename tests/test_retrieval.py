@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.operators import graph, packets, retrieval, store
-from tessera.plans.retrieve import retrieve
+from tessera.plans.retrieve import graph_candidates, retrieve
 
 
 def test_fusion_equals_a_sequential_fold(spark):
@@ -31,7 +31,7 @@ def test_fusion_equals_a_sequential_fold(spark):
             else:
                 kept[:3] = [source, score, [source[0]]]
         if kept:
-            expected[f"c{i:03d}"] = (kept[0], kept[1], ", ".join(kept[2]) + "; sources: " + ", ".join(kept[3]))
+            expected[f"c{i:03d}"] = (kept[0], kept[1], ", ".join(kept[2]) + ", sources: " + ", ".join(kept[3]))
     df = spark.createDataFrame(rows, "query_id string, chunk_id string, source string, score double, reason string, demoted boolean")
     got = {r.chunk_id: (r.source, r.score, r.reason) for r in retrieval.fuse(df).collect()}
     assert got == expected
@@ -123,4 +123,28 @@ def test_end_to_end(spark):
     selected, decided = retrieve(made, {"chunks": chunks, "graph_nodes": nodes, "graph_edges": edges}, None, Config())
     assert [(r.chunk_id, r.source, r.demoted) for r in selected.orderBy("rank").collect()] == [("c1", "lexical", False), ("c2", "lexical", False), ("c3", "lexical", True)]
     assert decided.first()["decision"] == "approved"
+    first = selected.orderBy("rank").first()
+    assert first["reason"] == "lexical match: leaf, tea, graph_seeds graph seed matched note: Tea; retrieval_terms graph seed matched note: Tea, sources: lexical, graph"
+    packet = retrieval.packet(selected, made).first()
+    assert packet.matched_chunk_count == 3 and [c.chunk_id for c in packet.selected_chunks] == ["c1", "c2", "c3"]
+    none = retrieval.packet(selected.where("false"), made).first()
+    assert (none.matched_chunk_count, none.retrieval_observation) == (0, "no_matches")
+    candidates, info = graph_candidates(made, chunks, nodes, edges, Config())
+    why = {r.chunk_id: r.reason for r in candidates.collect()}
+    assert why["c2"].endswith("wikilink hop 1: Tea -> Leaf") and "seed matched note: Tea" in why["c1"]
+    row = info.first()
+    assert (row.matched_seed_count, row.expanded_note_count, row.edge_types_used) == (3, 0, ["note_links_note"])
+    counts = retrieval.candidate_counts(candidates, made).first()
+    assert (counts.lexical, counts.graph) == (0, 2)
     assert store.probe_embedding(asked.select(F.lit("a note").alias("text"))).first()["vector"] == [6.0, 1.0, 0.0]
+
+
+def test_backend_completion_and_diagnostics(spark):
+    asked = spark.createDataFrame([("q1", "what about it", "", ["tea", "green"]), ("q2", "plain words here", "", ["tea"])], "query_id string, message string, previous_message string, focus_terms array<string>")
+    made = packets.compile_packets(asked).withColumn("payload", F.struct(F.lit("better query").alias("query"))).withColumn("raw_response", F.when(F.col("query_id") == "q1", "x" * 2000))
+    done = {r.query_id: r for r in packets.diagnostic(packets.complete_by_backend(made)).collect()}
+    assert done["q1"].retrieval_terms[-2:] == ["tea", "green"] and done["q1"].vector_query.endswith("tea green")
+    assert done["q2"].retrieval_terms == ["plain", "words", "here"]
+    assert done["q1"].raw_response_available and len(done["q1"].raw_response_preview) == 1200 and done["q2"].raw_response_hash is None
+    focus = spark.range(1).select(packets.focus_terms(F.array(F.lit("Green tea")), F.array(F.lit("tea"), F.lit(""))).alias("t")).first()["t"]
+    assert focus == ["green", "tea", "Green tea"]

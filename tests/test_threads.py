@@ -1,5 +1,8 @@
 """Conversation state in batch and as a stream, and the ledger."""
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from tessera.streaming import threads
@@ -34,3 +37,31 @@ def test_ledger(spark):
     assert records.where("parent_hash IS NULL").count() == 3
     forged = records.withColumn("delta_hash", F.when((F.col("thread_id") == "t0") & (F.col("turn_id") == 0), "x").otherwise(F.col("delta_hash")))
     assert threads.broken_links(forged).count() == 1
+
+
+def test_states_equal_a_fold_over_turns(spark):
+    rows = []
+    for i in range(1, 10):
+        answer = f"answer {i} é" if i % 3 else None
+        rows.append(("t", i, f"message {i}", answer, f"2025-01-0{i}", "completed" if answer else "blocked", [] if answer else ["why"], "parsed", "approved", f"q{i}", [], [], ["x"], f"v{i}", ["s"], [f"c{i}"], ["T"], ["S"]))
+    schema = "thread_id string, turn_id long, message string, response string, created_at string, outcome string, blocking_reasons array<string>, compiler_status string, decision string, query string, entities array<string>, relations array<string>, retrieval_terms array<string>, vector_query string, graph_seeds array<string>, selected_chunk_ids array<string>, selected_note_titles array<string>, selected_section_labels array<string>"
+    got = threads.fold_states(spark.createDataFrame(rows, schema)).orderBy("turn_id").collect()
+
+    def digest(value):
+        return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    messages, summaries, prior, parent = [], [], None, None
+    for row, r in zip(rows, got):
+        focus = dict(zip(threads.FOCUS, row[9:]))
+        messages += [{"role": "user", "content": row[2], "turn_id": row[1]}] + ([{"role": "assistant", "content": row[3], "turn_id": row[1]}] if row[3] else [])
+        summaries.append({"turn_id": row[1], "raw_user_input": row[2], "assistant_response_snippet": row[3] or "", **focus})
+        state = {
+            "active_focus": focus, "conversation_summary": "", "latest_assistant_response": row[3], "latest_thread_state_hash": None, "latest_turn_id": row[1],
+            "latest_user_input": row[2], "recent_messages": messages[-6:], "recent_semantic_turns": summaries[-6:], "thread_id": "t", "updated_at": row[4],
+        }
+        delta = {
+            "assistant_response": row[3], "blocking_reasons": row[6], "coverage_decision": row[8], "next_thread_state_hash": digest(state), "prior_thread_state_hash": prior,
+            "raw_user_input": row[2], "runtime_outcome": row[5], "semantic_compiler_status": row[7], "thread_id": "t", "turn_id": row[1],
+        }
+        assert (r.state_hash, r.prior_state_hash, r.delta_hash, r.parent_hash) == (digest(state), prior, digest(delta), parent)
+        prior, parent = digest(state), digest(delta)

@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -49,19 +50,21 @@ class WordTokens:
         self._tokenizer.encode_special_tokens = True
         self._cache: dict[bytes, bytes] = {}
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
+    def _learn(self, words: list[bytes]) -> None:
         encoded = self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        self._cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
+        split = [_folded(t).split() for t in texts]
         words = set().union(*split)
         if len(self._cache) + len(words) > CACHE_ENTRIES:
             self._cache.clear()
         found = self._cache
         missing = list(words.difference(found))
-        found.update(zip(missing, self._ids(missing)))
+        parts = [_parts(w) for w in missing]
+        self._learn(list(set().union(*parts).difference(found)))
+        found.update((w, b"".join([found[x] for x in p])) for w, p in zip(missing, parts) if len(p) > 1)
         out = [b"".join([found[w] for w in words]) for words in split]
         for w in missing:
             if len(w) > CACHED_LENGTH:
@@ -69,6 +72,27 @@ class WordTokens:
         return out
 
 
+def _folded(text: str) -> bytes:
+    """The text's bytes, with A-Z in lower case where that gives the tokenizer nothing else to compose.
+
+    It composes characters before it lower-cases them; a text that is composed already, both ways, comes out the same.
+    """
+    raw = text.encode()
+    low = raw.lower()
+    if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode()):
+        return low
+    return raw
+
+
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """The word, cut before punctuation that follows an ASCII letter or digit at its end: no token spans that place."""
+    core = word.rstrip(_PUNCTUATION)
+    if core and len(core) < len(word) and core[-1:].isalnum():
+        return core, word[len(core) :]
+    return (word,)
+
+
+_PUNCTUATION = b".,;:!?%*#$&)"
 _PER_WORKER: dict[str, WordTokens] = {}
 
 

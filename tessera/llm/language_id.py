@@ -21,8 +21,8 @@ from tessera.llm.common import table, text_batches
 MOST_N = 3
 #: Bounds of the fitted sample: texts for each language, and how much of each is read in fitting (not in predicting).
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARACTERS = 400, 4000
-#: Most languages that are learnt, those with most labelled documents first.
-MOST_LANGUAGES = 200
+#: Most languages that are learnt, those with most labelled documents first; and bounds over all of them together.
+MOST_LANGUAGES, MOST_SAMPLES, MOST_LANDMARKS = 200, 4000, 800
 LANDMARKS_PER_LANGUAGE = 40
 #: Characters with a number of their own; all others share number 0. Features: the commonest n-grams of the sample.
 ALPHABET, FEATURES = 127, 8192
@@ -107,9 +107,10 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         tables[n - 1][code] = feature
     model = Model(names, alphabet, tables, np.zeros((max(1, len(every)), 1), np.float32), np.ones(1), np.zeros((1, 1)))
     chosen: list[int] = []
+    most = max(1, min(LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS // len(names)))
     for name in names:
         own = [i for i, x in enumerate(languages) if x == name]
-        chosen += own[:: max(1, len(own) // LANDMARKS_PER_LANGUAGE)][:LANDMARKS_PER_LANGUAGE]
+        chosen += own[:: max(1, len(own) // most)][:most]
     model.landmarks = presence(model, [texts[i] for i in chosen]).T.copy()
     model.landmark_sizes = np.sqrt(np.maximum(model.landmarks.sum(axis=0), 1))
     # Nystroem: kernel ridge regression in the span of the landmarks, for targets of 1 and -1.
@@ -136,15 +137,16 @@ def learn(documents: DataFrame) -> Model | None:
     by_language = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not by_language:
         return None
+    most = max(1, min(SAMPLE_PER_LANGUAGE, MOST_SAMPLES // len(by_language)))
     # A fraction by hash keeps a little more than is wanted of each language; the smallest hashes of it are taken.
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     keep = F.lit(False)
     for r in by_language:
-        share = min(1.0, 4 * SAMPLE_PER_LANGUAGE / r["count"])
+        share = min(1.0, 4 * most / r["count"])
         keep = keep | ((F.col("lang") == r["lang"]) & (place < F.lit(int(share * (1 << 40)))))
     # Copies have one hash: distinct texts are sampled.
     cut = rows.where(keep).select("lang", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"), place.alias("place")).distinct()
-    best = F.slice(F.sort_array(F.collect_list(F.struct("place", "text"))), 1, SAMPLE_PER_LANGUAGE)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("place", "text"))), 1, most)
     sample = cut.groupBy("lang").agg(best.alias("rows")).select("lang", F.explode("rows").alias("r")).select("lang", "r.text")
     pairs = sorted((r["lang"], r["text"]) for r in sample.collect())
     return fit([t for _, t in pairs], [x for x, _ in pairs])

@@ -6,7 +6,8 @@ chunk by itself, so that a long passage is found between any neighbours. Chunks
 occur more than once in the corpus are removed but for their first occurrence, after their bytes were compared.
 
 Texts are shuffled to compare the bytes of chunks whose hashes repeat, and to rewrite; a bit map of fixed size keeps
-most documents that have no such chunk out of both.
+most documents that have no such chunk out of both. The joins are sort-merge joins at every size, so that what is
+shuffled grows with the input and not by leaps where a table no longer fits a broadcast.
 """
 
 from __future__ import annotations
@@ -67,18 +68,18 @@ def removals(documents: DataFrame) -> DataFrame:
     # Hashes alone: which chunks may repeat at all, and in which documents.
     found = stage(_instances(chunked(named)).select("_id", "_text_hash", "k", F.xxhash64("c.text").alias("key")).distinct())
     repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    suspects = stage(found.join(repeated, "key"))
+    suspects = stage(found.join(repeated.hint("merge"), "key"))
     wanted = stage(suspects.groupBy("_id", "_text_hash").agg(F.collect_set("k").alias("ks")))
     # Bytes: texts of the suspects, grouped by hash and by the text itself.
     near = possibly(named, F.col("_id"), wanted, F.col("_id")).where("_maybe").drop("_maybe")
     of_suspects = near.alias("d").join(
-        wanted.alias("w"), F.expr("d._id <=> w._id AND d._text_hash = w._text_hash")
+        wanted.hint("merge").alias("w"), F.expr("d._id <=> w._id AND d._text_hash = w._text_hash")
     ).select("d._id", "d._text_hash", "d.text", "w.ks")
     texts = _instances(chunked(of_suspects).withColumn("_chunks", F.expr("transform(_chunks, (c, i) -> if(array_contains(ks, i), c, null))")))
     texts = texts.select("_id", "_text_hash", "k", F.xxhash64("c.text").alias("key"), "c.text")
     variants = texts.groupBy("key", "text").agg(F.expr(f"min({place})").alias("first"))
     first = stage(variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants"), F.min("first").alias("first")))
-    equal = suspects.join(first.where("variants = 1"), "key").where(f"first <> {place}").select("_id", "_text_hash", "k")
+    equal = suspects.join(first.where("variants = 1").hint("merge"), "key").where(f"first <> {place}").select("_id", "_text_hash", "k")
     if not first.where("variants > 1").isEmpty():  # different texts of one hash: each text has its own first
         clashing = texts.join(first.where("variants > 1").select("key"), "key")
         own = clashing.join(variants, ["key", "text"]).where(f"first <> {place}")
@@ -98,7 +99,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     untouched = split.where("NOT _maybe").drop("_maybe").select("*", *none)
     some = split.where("_maybe").drop("_maybe")
     same = some["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(some["text"], F.lit(""))) == gone["_text_hash"])
-    joined = some.join(gone, same, "left").drop("_id", "_text_hash")
+    joined = some.join(gone.hint("merge"), same, "left").drop("_id", "_text_hash")
     touched = joined.withColumn("_in", F.expr("if(removed IS NULL, null, text)"))
     chunks = chunked(touched, "_in")
     rest = "transform(array_except(sequence(0, size(_chunks) - 1), removed), i -> _chunks[i].text)"

@@ -45,6 +45,28 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+def number_batches(spark: SparkSession) -> None:
+    """Arrow batches for rows of a few numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+#: The column that holds those that an operator does not read, so that their names can clash with none of its own.
+OTHERS = "_other_columns"
+
+
+def set_apart(df: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """The columns of `used` that df has, and a struct of all others."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in used]
+    kept = [F.col(c) for c in used if c in df.columns]
+    return df.select(*kept, F.struct(*others).alias(OTHERS)) if others else df.select(*kept)
+
+
+def put_back(df: DataFrame, columns: list[str], used: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    """The columns as they were before set_apart, but for those of `more`, which come last as they are now."""
+    old = [F.col(c) if c in used else F.col(f"{OTHERS}.`{c}`").alias(c) for c in columns if c not in more]
+    return df.select(*old, *[F.col(c) for c in more])
+
+
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int) -> DataFrame:
     """Add `name`: the place of a row within its group, from 0 without gaps.
 

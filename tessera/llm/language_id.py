@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_batches
+from tessera.llm.common import put_back, set_apart, table, text_batches
 
 MOST_N = 3
 #: Bounds of the fitted sample: texts for each language, and how much of each is read in fitting (not in predicting).
@@ -180,12 +180,9 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     # A filter on the result must not be pushed below the step that makes it, which would then run twice.
-    return (
-        documents.withColumn("_p", scored.asNondeterministic()(F.col("text")))
-        .withColumn("lang_pred", F.col("_p.lang_pred"))
-        .withColumn("score", F.col("_p.score"))
-        .drop("_p")
-    )
+    seen = set_apart(documents, ("text",)).withColumn("_p", scored.asNondeterministic()(F.col("text")))
+    seen = seen.withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score"))
+    return put_back(seen, documents.columns, ("text",), ("lang_pred", "score"))
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import possibly, stage, table
+from tessera.llm.common import possibly, put_back, set_apart, stage, table
 
 #: One line in RESIDUES ends a chunk, on average.
 RESIDUES = 3
@@ -93,8 +93,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     n_chars, where there is one, is brought up to date. Null and untouched texts stay as they are; a text whose chunks
     all go becomes empty. Equal lines that are short and stand alone stay. Columns of these names are replaced.
     """
+    used = ("doc_id", "text", "n_chars")
     gone = stage(removals(documents))
-    split = possibly(documents.drop("removed_chunks", "removed_lines"), F.col("doc_id"), gone, F.col("_id"))
+    split = possibly(set_apart(documents, used), F.col("doc_id"), gone, F.col("_id"))
     none = F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_lines")
     untouched = split.where("NOT _maybe").drop("_maybe").select("*", *none)
     some = split.where("_maybe").drop("_maybe")
@@ -109,7 +110,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     out = out.withColumn("removed_lines", F.expr(f"if(removed IS NULL, 0, {lines})"))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return untouched.unionByName(out.drop("_in", "_chunks", "removed"))
+    every = untouched.unionByName(out.drop("_in", "_chunks", "removed"))
+    return put_back(every, documents.columns, used, ("removed_chunks", "removed_lines"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table
+from tessera.llm.common import put_back, set_apart, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -196,7 +196,7 @@ def report(documents: DataFrame) -> DataFrame:
     base = _base_list()
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     listed = F.array_join(base, ",")
-    return find(documents).select(
+    return find(documents.select("doc_id", "text")).select(
         "doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), F.array_join(F.concat(base, _named("term")), ",").alias("spans")
     )
 
@@ -212,14 +212,15 @@ def sanitise(documents: DataFrame) -> DataFrame:
     they are; n_chars, where there is one, is brought up to date.
     """
     spans = F.array_sort(F.concat(*[_tagged(kind) for kind in (*KINDS, "term")]))
-    found = find(documents).withColumn("_s", spans)
+    used = ("doc_id", "text", "n_chars")
+    found = find(set_apart(documents, used)).withColumn("_s", spans)
     step = """if(s.start >= acc.at, struct(-s.minus AS at, concat(acc.out, array(substring(text, acc.at + 1, s.start - acc.at), s.tag)) AS out), acc)"""
     folded = f"aggregate(_s, struct(0 AS at, cast(array() AS array<string>) AS out), (acc, s) -> {step}, acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))"
     out = found.withColumn("_new", F.expr(f"if(size(_s) > 0, {folded}, text)"))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size("_s") > 0, F.length("_new")).otherwise(F.col("n_chars")).cast(kind))
-    return out.withColumn("text", F.col("_new")).select(*documents.columns)
+    return put_back(out.withColumn("text", F.col("_new")), documents.columns, used)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import possibly, stage, table, text_batches
+from tessera.llm.common import number_batches, possibly, put_back, set_apart, stage, table, text_batches
 from tessera.llm.components import components
 
 SEED = 42
@@ -212,6 +212,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def linked_codes(codes: DataFrame) -> DataFrame:
     """Links (a, b) between distinct codes that span the components of "at most MAX_BITS bits apart"."""
     spark = codes.sparkSession
+    number_batches(spark)
     nodes = upper_nodes(codes).withColumn("gray", gray_rank(F.col("code")))
     # The sign bit is turned so that signed order is the unsigned order of ranks.
     nodes = nodes.withColumn("gray", F.col("gray").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
@@ -266,10 +267,11 @@ def keep_one(documents: DataFrame) -> DataFrame:
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
     dropped = coded.join(by_code, "code").where(~kept).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     dropped = stage(dropped.distinct())
-    split = possibly(documents, F.col("doc_id"), dropped, F.col("_id"))
+    split = possibly(set_apart(documents, ("doc_id", "text")), F.col("doc_id"), dropped, F.col("_id"))
     some = split.where("_maybe").drop("_maybe")
     same = some["doc_id"].eqNullSafe(dropped["_id"]) & (F.xxhash64(F.coalesce(some["text"], F.lit(""))) == dropped["_hash"])
     left = split.where("NOT _maybe").drop("_maybe").unionByName(some.join(dropped, same, "left_anti"))
+    left = put_back(left, documents.columns, ("doc_id", "text"))
     repeated = coded.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 

@@ -478,3 +478,15 @@ def test_sanitised_text(spark, odd):
 
 def test_entities_of_html():
     assert html_wrappers.parse("<p>&amp;am &copy;")[1][0][1] == html.unescape("&amp;am &copy;")
+
+
+def test_columns_of_any_name_come_through(spark):
+    names = ["removed", "_id", "_maybe", "_p", "_chunks", "terms", "_m", "_hash", "a.b", "score", "kept", "_lines", "term", "removed_chunks", "code", "component"]
+    df = documents(spark, ["one text here\nand there", "one text here\nand there", "mail a@b.co now"])
+    for i, name in enumerate(names):
+        df = df.withColumn(name, F.lit(f"v{i}"))
+    for function, gone in ((line_dedup.dedup_lines, {"removed_chunks"}), (simhash.keep_one, set()), (pii.sanitise, set()), (language_id.identify, {"score"})):
+        out = function(df)
+        assert [c for c in out.columns if c in df.columns and c not in gone] == [c for c in df.columns if c not in gone]
+        row = out.first().asDict()
+        assert all(row[name] == f"v{i}" for i, name in enumerate(names) if name not in gone)

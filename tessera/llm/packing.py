@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, gapless_rank, stage, table, text_batches
+from tessera.llm.common import bucket_count, gapless_rank, number_batches, stage, table, text_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,7 +33,7 @@ END_ID = 1
 #: fewest sequences is taken.
 SCHEMES = ((3, 48), (3, 16), (4, 16))
 #: Entries of a worker's cache of tokenised words; beyond it the cache starts anew. It changes speed only.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 CACHED_LENGTH = 64
 
 
@@ -307,6 +307,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     a sequence start at 0 without gaps. Repeated rows are packed each on its own; no piece gives no sequence.
     """
     spark = pieces.sparkSession
+    number_batches(spark)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan_packing(histogram, capacity).arrays()
     shared = spark.sparkContext.broadcast(runs)

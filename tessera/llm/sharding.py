@@ -15,8 +15,8 @@ from tessera.llm.common import bucket_count, gapless_rank, stage, table
 SHARDS = 16
 #: Bins of a histogram pass, per node.
 BINS = 1024
-#: A cut may miss the median by this part of a node's weight; narrowing goes on until no bin holds more.
-TOLERANCE = 1e-4
+#: Rows of a bin that are read one by one instead of being narrowed further.
+EXACT_ROWS = 2048
 #: Each dimension is a whole number from 0 below 2**DIMENSION_BITS; a hash of the row breaks ties below it.
 DIMENSION_BITS, TIE_BITS = 30, 32
 
@@ -55,40 +55,47 @@ def _case(node: Column, choices: dict[int, Column], otherwise: Column) -> Column
     return out
 
 
-def _medians(rows: DataFrame, shares: dict[int, tuple[float, float]], weight: Column) -> dict[int, int]:
-    """For each node, a cut: rows whose _key is below it weigh near the wanted part of the node.
+def _between(total: float, want: float, parts: list[tuple[int, float]]) -> tuple[int, float]:
+    """The part in which the running weight, from `total`, reaches `want`, and the weight before it."""
+    for at, w in parts:
+        if total + w >= want:
+            return at, total
+        total += w
+    return parts[-1][0], total - parts[-1][1]
 
-    shares: by node the wanted weight below the cut and the allowed miss. Each pass is one aggregate whose result has at
-    most nodes * BINS rows.
+
+def _medians(rows: DataFrame, wanted: dict[int, float], weight: Column) -> dict[int, int]:
+    """For each node, a cut: the rows whose _key is below it weigh as near to what is wanted as whole keys allow.
+
+    Passes narrow the range of keys that holds the cut, BINS to one, in one aggregate for all nodes. A range with no more
+    than EXACT_ROWS rows is then read key by key. So a result has at most nodes * max(BINS, EXACT_ROWS) rows.
     """
-    low = dict.fromkeys(shares, 0)
-    below = dict.fromkeys(shares, 0.0)
-    bits = DIMENSION_BITS + TIE_BITS
-    step, cuts = bits, {}
-    while len(cuts) < len(shares):
-        step = max(0, step - (BINS.bit_length() - 1))
-        todo = {n: x for n, x in low.items() if n not in cuts}
-        start = _case(F.col("node"), {n: F.lit(x) for n, x in todo.items()}, F.lit(None).cast("long"))
-        at = F.shiftright(F.col("_key") - start, step)
-        bins = rows.select("node", at.alias("bin"), weight.alias("w")).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
-        counted: dict[int, list[tuple[int, float]]] = {n: [] for n in todo}
-        for r in bins.groupBy("node", "bin").agg(F.sum("w").alias("w")).collect():
-            counted[r["node"]].append((r["bin"], r["w"]))
-        for n in todo:
-            want, miss = shares[n]
-            total = below[n]
-            for at_bin, w in sorted(counted[n]):
-                if total + w >= want:
-                    near_low, near_high = want - total, total + w - want
-                    edge = low[n] + (at_bin << step)
-                    if min(near_low, near_high) <= miss or step == 0:
-                        cuts[n] = edge if near_low <= near_high else edge + (1 << step)
-                    else:
-                        low[n], below[n] = edge, total
-                    break
-                total += w
-            else:
-                cuts[n] = 1 << bits
+    low, below = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0.0)
+    width, few = dict.fromkeys(wanted, DIMENSION_BITS + TIE_BITS), set()
+    node, key = F.col("node"), F.col("_key")
+
+    def sums(nodes: list[int], shift: dict[int, int]) -> dict[int, list[tuple[int, float, int]]]:
+        start = _case(node, {n: F.lit(low[n]) for n in nodes}, F.lit(None).cast("long"))
+        by = _case(node, {n: F.shiftright(key - F.lit(low[n]), shift[n]) for n in nodes}, F.lit(None).cast("long"))
+        end = _case(node, {n: F.lit(low[n] + (1 << width[n])) for n in nodes}, F.lit(None).cast("long"))
+        inside = rows.where((key >= start) & (key < end)).select("node", by.alias("bin"), weight.alias("w"))
+        found: dict[int, list] = {n: [] for n in nodes}
+        for r in inside.groupBy("node", "bin").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect():
+            found[r["node"]].append((r["bin"], r["w"], r["n"]))
+        return {n: sorted(x) for n, x in found.items()}
+
+    while open_nodes := [n for n in wanted if n not in few]:
+        shift = {n: max(0, width[n] - (BINS.bit_length() - 1)) for n in open_nodes}
+        for n, bins in sums(open_nodes, shift).items():
+            at, below[n] = _between(below[n], wanted[n], [(b, w) for b, w, _ in bins])
+            low[n], width[n] = low[n] + (at << shift[n]), shift[n]
+            if shift[n] == 0 or next(c for b, _, c in bins if b == at) <= EXACT_ROWS:
+                few.add(n)
+    cuts = {}
+    for n, keys in sums(list(wanted), dict.fromkeys(wanted, 0)).items():
+        at, before = _between(below[n], wanted[n], [(k, w) for k, w, _ in keys])
+        after = before + next(w for k, w, _ in keys if k == at)
+        cuts[n] = low[n] + at + (1 if after - wanted[n] < wanted[n] - before else 0)
     return cuts
 
 
@@ -109,8 +116,7 @@ def kd_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         widest = {n: max(dimensions, key=lambda d: (seen[n][d], d)) for n in split}
         key = _case(node, {n: F.col(d) * F.lit(1 << TIE_BITS) + F.col("tie") for n, d in widest.items()}, F.lit(None).cast("long"))
         keyed = tree.where(node.isin(list(split))).select("node", "size", key.alias("_key"))
-        shares = {n: (seen[n]["w"] * (k // 2) / k, TOLERANCE * seen[n]["w"]) for n, k in split.items()}
-        cuts = _medians(keyed, shares, F.col("size"))
+        cuts = _medians(keyed, {n: seen[n]["w"] * (k // 2) / k for n, k in split.items()}, F.col("size"))
         upper = F.lit(False)
         for n, cut in cuts.items():
             upper = upper | ((node == n) & (key >= F.lit(cut)))

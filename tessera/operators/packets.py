@@ -119,3 +119,13 @@ def gate(packets: DataFrame) -> DataFrame:
         done = (F.col("decision") == "approved") & F.col("llm_available")
         out = out.withColumn("outcome", F.when(done, "completed").otherwise("blocked"))
     return out
+
+
+def synthesis_context(decided: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """decided (of gate, with outcome) with `context`: the packet, and what was retrieved only where it is completed.
+
+    retrieved: query_id and a struct column `retrieval`.
+    """
+    joined = decided.join(retrieved.select("query_id", "retrieval"), "query_id", "left")
+    given = F.when(F.col("outcome") == "completed", F.col("retrieval")).alias("retrieval")
+    return joined.withColumn("context", F.struct("message", *TEXTS, *LISTS, "decision", "blocking_reasons", given)).drop("retrieval")

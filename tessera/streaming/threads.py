@@ -111,6 +111,29 @@ def fold_states(turns: DataFrame, n: int = MESSAGES) -> DataFrame:
     return ledger(out, json_hash(delta))
 
 
+def ledger_records(states: DataFrame, artifacts: list[str]) -> DataFrame:
+    """The ledger's rows from fold_states: outcome, chain, and the hash of each artifact column as canonical JSON."""
+    hashes = [json_hash(F.col(c)).alias(f"{c}_hash") for c in artifacts]
+    return states.select(
+        "thread_id",
+        "turn_id",
+        F.col("outcome").alias("runtime_outcome"),
+        "blocking_reasons",
+        F.col("compiler_status").alias("semantic_compiler_status"),
+        F.col("parent_hash").alias("parent_perturbation_hash"),
+        F.col("delta_hash").alias("state_perturbation_hash"),
+        F.col("delta_hash").alias("state_delta_hash"),
+        F.col("state_hash").alias("thread_state_hash"),
+        *hashes,
+    )
+
+
+def conversations(states: DataFrame) -> DataFrame:
+    """(thread_id, messages): all messages of a thread in order, without a cap."""
+    latest = F.struct("turn_id", F.col("message").alias("user"), F.col("response").alias("assistant"))
+    return states.groupBy("thread_id").agg(F.array_sort(F.collect_list(latest)).alias("messages"))
+
+
 def active_focus(selected: DataFrame, lists: dict[str, str]) -> DataFrame:
     """For each query distinct values in rank order; lists: name of the result -> column of `selected`."""
     ordered = selected.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *lists.values()))).alias("_all"))

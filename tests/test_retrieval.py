@@ -107,6 +107,9 @@ def test_packets_and_gate(spark):
     done = {r.query_id: r for r in packets.gate(completed.withColumn("selected_count", F.lit(0)).withColumn("llm_available", F.lit(True))).collect()}
     assert done["q1"].query == "better" and done["q1"].retrieval_terms == ["x"]
     assert done["q1"].blocking_reasons == ["retrieval required but no chunks were selected"] and done["q1"].outcome == "blocked"
+    decided = packets.gate(completed.withColumn("selected_count", F.lit(2)).withColumn("llm_available", F.col("query_id") == "q1"))
+    kept = packets.synthesis_context(decided, asked.select("query_id", F.struct(F.lit(1).alias("n")).alias("retrieval"))).collect()
+    assert {r.query_id: r.context.retrieval is not None for r in kept} == {"q1": True, "q2": False, "q3": False}
     assert done["q3"].compiler_status == "fallback" and len(done["q3"].blocking_reasons) == 1
 
 

@@ -50,6 +50,10 @@ def test_states_equal_a_fold_over_turns(spark):
     def digest(value):
         return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
+    records = threads.ledger_records(threads.fold_states(spark.createDataFrame(rows, schema)), ["retrieval_terms"]).orderBy("turn_id").collect()
+    assert [r.state_perturbation_hash for r in records] == [r.delta_hash for r in got] and records[0].retrieval_terms_hash == digest(["x"])
+    whole = threads.conversations(spark.createDataFrame(rows, schema)).first()
+    assert [m.turn_id for m in whole.messages] == list(range(1, 10))
     messages, summaries, prior, parent = [], [], None, None
     for row, r in zip(rows, got):
         focus = dict(zip(threads.FOCUS, row[9:]))

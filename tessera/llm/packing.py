@@ -15,6 +15,7 @@ maps (length, rank within that length) to a place; Spark numbers the pieces with
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe_bytes import byte_characters
 from tessera.llm.common import bucket_count, gapless_rank, number_batches, stage, table, text_batches
 
 CAPACITY = 4096
@@ -49,10 +51,19 @@ class WordTokens:
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
         self._cache: dict[bytes, bytes] = {}
+        self._characters = dict(enumerate(byte_characters()))
 
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self._cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded))
+        """Plain words go to the tokenizer's merges directly: its other steps leave them as they are."""
+        texts = [w.decode() for w in words]
+        others = [(w, t) for w, t in zip(words, texts) if not _is_plain(t)]
+        encoded = self._tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)
+        self._cache.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(others, encoded))
+        merges, characters = self._tokenizer.model.tokenize, self._characters
+        for w, t in zip(words, texts):
+            if _is_plain(t):
+                ids = [token.id for token in merges(w.decode("latin-1").translate(characters))]
+                self._cache[w] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -84,6 +95,11 @@ def _folded(text: str) -> bytes:
     return raw
 
 
+def _is_plain(text: str) -> bool:
+    """Letters below U+0250 in lower case: one word to the tokenizer, composed already, with nothing left to fold."""
+    return text.isalpha() and max(text) < "\u0250" and text == text.lower()
+
+
 def _parts(word: bytes) -> tuple[bytes, ...]:
     """The word, cut before punctuation that follows an ASCII letter or digit at its end: no token spans that place."""
     core = word.rstrip(_PUNCTUATION)

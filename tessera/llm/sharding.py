@@ -103,6 +103,8 @@ def kd_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """All columns of `rows` (of metadata()), plus shard: 0 to shards - 1, with near equal sums of size.
 
     Any number of shards: a node for k shards is cut at the weight of its k // 2 first. An empty table gives no rows.
+    A row is never cut: where one row, or equal rows, outweigh a shard, or rows are fewer than shards, some shards stay
+    empty, and a node without rows is not cut further.
     """
     dimensions = sorted(c for c in rows.columns if c.startswith("d") and c[1:].isdigit())
     total = rows.agg(F.sum("size").alias("w")).first()["w"] or 0
@@ -113,6 +115,8 @@ def kd_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         spans = [(F.max(d) - F.min(d)).alias(d) for d in dimensions]
         seen = {r["node"]: r for r in tree.groupBy("node").agg(F.sum("size").alias("w"), *spans).collect()}
         split = {n: k for n, k in parts.items() if k > 1 and n in seen}
+        if not split:
+            break
         widest = {n: max(dimensions, key=lambda d: (seen[n][d], d)) for n in split}
         key = _case(node, {n: F.col(d) * F.lit(1 << TIE_BITS) + F.col("tie") for n, d in widest.items()}, F.lit(None).cast("long"))
         keyed = tree.where(node.isin(list(split))).select("node", "size", key.alias("_key"))

@@ -1,0 +1,34 @@
+"""Sharding of tables with fewer rows than shards, and of rows that outweigh a shard."""
+
+import collections
+
+import pytest
+
+from tessera.llm import sharding
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+CASES = {
+    "one row": ["only text"],
+    "five rows": [f"text {i}" for i in range(5)],
+    "repeated rows": ["the same text"] * 40,
+    "one text with half of all bytes": ["x" * 20000] + [f"{i:04d}" + "y" * 96 for i in range(200)],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_skewed_tables(spark, monkeypatch, case):
+    rounds, real = [], sharding.stage
+    monkeypatch.setattr(sharding, "stage", lambda df: rounds.append(1) or (real(df) if len(rounds) < 40 else pytest.fail("the loop does not end")))
+    texts = CASES[case]
+    rows = [(0 if case == "repeated rows" else i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    assert len(got) == len(texts) and all(0 <= r.shard < 16 for r in got)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    if case == "five rows":
+        assert len(slots) == 5
+    if case.startswith("one text"):
+        (big,) = (r.shard for r in got if r.doc_id == 0)
+        assert len(slots[big]) < 20 and len(slots) > 4

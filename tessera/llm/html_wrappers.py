@@ -46,6 +46,10 @@ NOISE_WORDS = frozenset(
     "recommended recommendations comment comments disqus reply replies respond pagination pager widget widgets "
     "complementary contentinfo search".split()
 )
+#: Words that _is_noise looks at: a label has all of those of its element.
+JUDGED_WORDS = NOISE_WORDS | {"header", "hidden"}
+#: Other words of a label, the first ones.
+LABEL_WORDS = 8
 #: An open element is ended by these.
 ENDED_BY = {
     "p": frozenset(
@@ -62,7 +66,7 @@ ENDED_BY = {
     "head": frozenset(["body"]),
 }
 MAIN = frozenset(["article", "main"])
-#: Elements deeper than this add no level of their own; their text stays.
+#: Elements deeper than this add no level of their own, but for those that decide what is main text; their text stays.
 MOST_DEPTH = 64
 #: Longest repeated group, in elements, that folding looks for.
 MOST_PERIOD = 3
@@ -103,7 +107,7 @@ class Node:
 
 
 def _label(tag: str, attributes: str) -> str:
-    """tag, or tag and the words of class, id and role without digits."""
+    """tag, or tag and words of class, id and role without digits: the first ones, and all that say what an element is."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag
     words = []
@@ -111,13 +115,23 @@ def _label(tag: str, attributes: str) -> str:
         if name.lower() == "hidden" and not value:
             words.append("hidden")
         words += re.findall(r"[a-z]+", value.lower())
-    return f"{tag} {' '.join(words[:8])}" if words else tag
+    later = dict.fromkeys(w for w in words[LABEL_WORDS:] if w in JUDGED_WORDS and w not in words[:LABEL_WORDS])
+    return " ".join([tag, *words[:LABEL_WORDS], *later])
+
+
+def _decides(label: str, around: list[str]) -> bool:
+    """Whether an element inside those of `around` is noise, or main text, where they alone say neither."""
+    if _is_noise(around):
+        return False
+    tag = label.split(" ")[0]
+    return _is_noise([*around, label]) or tag in MAIN and not any(x.split(" ")[0] in MAIN for x in around)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Slot, str, int]]]:
     """The tree of block elements, and the blocks in page order: slot, text, characters inside links."""
     root = Node("")
     stack: list[tuple[str, Node]] = [("", root)]
+    deep: dict[Node, list[str]] = {}  # labels around and of each element that has a level beyond MOST_DEPTH
     blocks: list[tuple[Slot, str, int]] = []
     pieces: list[str] = []
     linked, links = 0, 0
@@ -164,9 +178,15 @@ def parse(page: str) -> tuple[Node, list[tuple[Slot, str, int]]]:
                     while any(name == "head" for name, _ in stack):
                         stack.pop()
                 node = stack[-1][1]
-                if len(stack) < MOST_DEPTH:
-                    node = Node(_label(tag, attributes))
+                label = _label(tag, attributes)
+                around = None
+                if len(stack) >= MOST_DEPTH:
+                    around = deep.get(node) or [n.label for _, n in stack[1:MOST_DEPTH]]
+                if around is None or _decides(label, around):
+                    node = Node(label)
                     stack[-1][1].children.append(node)
+                    if around is not None:
+                        deep[node] = [*around, label]
                 stack.append((tag, node))
         elif closing:
             tag = closing.lower()

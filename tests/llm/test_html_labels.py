@@ -1,0 +1,40 @@
+"""Noise that long class lists or deep layouts would hide."""
+
+import pytest
+
+from tessera.llm import html_wrappers
+
+LONG = "flex flex-col gap-4 mt-8 px-4 bg-white rounded-lg shadow "
+
+
+def text_of(page):
+    written, blocks = html_wrappers.expression(page)
+    count = max((s for s, _, _ in blocks), default=-1) + 1
+    slots = {n: [sum(len(t) for s, t, _ in blocks if s == n), sum(k for s, _, k in blocks if s == n), None] for n in range(count)}
+    (keep,) = html_wrappers.decide([{"written": written, "pages": 1, "slots": slots}])
+    return [t for s, t, _ in blocks if keep[s]]
+
+
+@pytest.mark.parametrize("word", ["sidebar", "advert", "comments", "cookie"])
+def test_word_late_in_a_class_list(word):
+    assert text_of(f"<article><p>main text here</p><div class='{LONG}{word}'><p>noise</p></div><p>more</p></article>") == ["main text here", "more"]
+
+
+@pytest.mark.parametrize("noise", ["<nav>noise</nav>", "<footer><p>noise</p></footer>", "<aside>noise</aside>", "<div class=sidebar><div>noise</div></div>"])
+@pytest.mark.parametrize("depth", [3, 62, 63, 64, 65, 200, 3000])
+def test_noise_at_any_depth(noise, depth):
+    page = "<div>" * depth + f"<p>main text here</p>{noise}<p>more text</p>"
+    assert text_of(page) == ["main text here", "more text"]
+
+
+def test_article_below_the_deepest_level():
+    page = "<p>outside</p>" + "<div>" * 100 + "<article><header>title</header><p>inside</p><div class=share>noise</div></article>after"
+    assert text_of(page) == ["title", "inside"]
+
+
+def test_deep_noise_adds_few_levels():
+    root, blocks = html_wrappers.parse("<div>" * 80 + "<nav><article>" * 3000 + "x")
+    depth, node = 0, root
+    while node.children and not node.children[-1].slot:
+        depth, node = depth + 1, node.children[-1]
+    assert depth <= html_wrappers.MOST_DEPTH + 3 and blocks[0][1] == "x"

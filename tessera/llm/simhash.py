@@ -20,12 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import minhash
 from tessera.llm.common import number_batches, possibly, put_back, set_apart, stage, table, text_batches
 from tessera.llm.components import components
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 2
+#: keep_one has its own: words of a shingle, and the Jaccard similarity from which texts are near copies.
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Members of an upper node beyond which it is factored again, and the free bits at which that ends.
 NODE_LIMIT = 768
 FINEST = 12
@@ -255,13 +258,60 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return coded.join(by_code, "code").select("doc_id", fingerprint, F.col("least.doc_id").alias("component_id"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of `documents`, all columns, without near-duplicates: of each component the smallest doc_id stays.
+def _shingle_sets(documents: DataFrame, words: int) -> DataFrame:
+    """All columns, plus set: code (a hash of the set of shingles), n (its size) and keys (its MinHash bands)."""
+    text_batches(documents.sparkSession)
+
+    @F.pandas_udf("code long, n long, keys array<long>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        sets = [np.unique(shingle_hashes(t or "", words)) for t in texts]
+        codes = np.array([xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) for s in sets], np.uint64).astype(np.int64)
+        return pd.DataFrame({"code": codes, "n": [len(s) for s in sets], "keys": [minhash.band_keys(s) for s in sets]})
+
+    return documents.withColumn("set", made.asNondeterministic()(F.col("text")))
+
+
+def _near_copies(documents: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, code) for each row of `documents`; (code, component) for each code that is linked at all.
+
+    A code stands for a set of shingles of `words` words. Sets are linked where their similarity is at least `similarity`.
+    Texts are read a second time only for the sets of a candidate pair, one text for each set.
+    """
+    hashed = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    made = stage(_shingle_sets(documents.select("doc_id", "text"), words).select("doc_id", hashed, "set.*"))
+    coded = made.select("doc_id", "text_hash", "code")
+    sets = made.groupBy("code").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    pairs = stage(minhash.candidates(sets, similarity))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct()
+    row = F.xxhash64("doc_id", "text_hash")
+    first = coded.join(wanted, "code").groupBy("code").agg(F.min(F.struct(row.alias("row"), "text_hash")).alias("f"))
+    first = stage(first.select("code", F.col("f.row").alias("_row"), F.col("f.text_hash").alias("_hash")))
+    named = documents.select("doc_id", "text", hashed).select("text", "text_hash", row.alias("row"))
+    read = possibly(named, F.col("row"), first, F.col("_row")).where("_maybe")
+
+    @F.pandas_udf("array<long>")
+    def shingles(column: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t or "", words)).astype(np.int64) for t in column])
+
+    one = read.join(first, F.expr("row = _row AND text_hash = _hash")).groupBy("code").agg(F.first("text").alias("text"))
+    whole = stage(one.select("code", shingles("text").alias("shingles")))
+    links = stage(minhash.similar(pairs, whole, similarity))
+    return coded, stage(components(links).withColumnRenamed("node", "code"))
+
+
+def keep_one(documents: DataFrame, words: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """The rows of `documents`, all columns, without near copies: of each component the smallest doc_id stays.
+
+    Texts are linked where the Jaccard similarity of their sets of shingles is at least `similarity`; a component is
+    what links reach. Candidates come from MinHash bands (see minhash.py), and each is compared shingle by shingle.
+    Texts without a word are copies of each other. This is wider than the fingerprints of near_duplicates().
 
     Rows without doc_id come last; of rows with one doc_id and several texts one text stays, and of repeated rows
     (equal doc_id and text) one row. Only rows that may have to go are shuffled with their text.
     """
-    coded, linked = _coded(documents)
+    coded, linked = _near_copies(documents, words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     by_code = _least_of_component(coded, linked, order, "kept")
     kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_batches
+from tessera.llm.common import bounded_batches, table
 
 #: Unicode White_Space: what \s means in the pattern.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -138,7 +138,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, text:
     Null and empty texts get no ids; equal rows get equal ids; an empty table gives an empty result. An input column
     of the name `ids` is replaced.
     """
-    text_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -151,7 +151,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, text:
 
 def decode_documents(documents: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """All columns, plus `decoded` (binary). Null ids give null; an id outside the vocabulary is an error."""
-    text_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -164,7 +164,7 @@ def decode_documents(documents: DataFrame, ranks_path: str, pattern: str, ids: s
 
 def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, and decoded again, in one pass over the texts."""
-    text_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
 
     def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(ranks_path, pattern)

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch where rows hold whole texts, so that a batch of long ones still fits a worker.
-TEXT_BATCH_ROWS = 500
+#: Bytes of an Arrow batch, so that a batch of long texts fits a worker; one longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder; a cluster has none that all its machines
+    see, so there it is an error.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -37,17 +40,23 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that carry whole texts to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def release(*staged: DataFrame) -> None:
+    """Delete tables that stage() wrote and that nothing reads any more; other tables are left alone."""
+    for df in staged:
+        if path := getattr(df, "staged_at", None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def number_batches(spark: SparkSession) -> None:
-    """Arrow batches for rows of a few numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers by their bytes; always the same bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 #: The column that holds those that an operator does not read, so that their names can clash with none of its own.
@@ -94,9 +103,16 @@ def bucket_count(rows: int, per_bucket: int = 50_000, least: int = 64) -> int:
     return max(least, -(-rows // per_bucket))
 
 
-def code_points(column: Column) -> Column:
-    """Null text counts as empty."""
-    return F.coalesce(column, F.lit(""))
+def salted_lookup(df: DataFrame, small: DataFrame, key: str | list[str], row: Column, salts: int = 16) -> DataFrame:
+    """df with the columns of `small`, inner join on `key` (unique in `small`), where a key may hold a third of df.
+
+    `small` is repeated `salts` times and df's rows are dealt over them by a hash of `row`, so that a hot key is met in
+    so many tasks where the planner does not broadcast.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(row, F.lit(salts)), F.lit(salts)).cast("int"))
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
 #: Bits of the filter of possibly(): its table has at most FILTER_BITS / 64 rows, whatever the keys.

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table, text_batches
+from tessera.llm.common import bounded_batches, stage, table
 
 #: Elements that do not end a block; a line break is white space.
 INLINE = frozenset(
@@ -390,7 +390,7 @@ BLOCKS = "page_id long, url string, host string, written string, blocks array<st
 
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host, and the expression and blocks of each page, from the whole html (null: empty)."""
-    text_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import put_back, set_apart, table, text_batches
+from tessera.llm.common import bounded_batches, put_back, set_apart, table
 
 MOST_N = 3
 #: Bounds of the fitted sample: texts for each language, and how much of each is read in fitting (not in predicting).
@@ -160,7 +160,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     are replaced.
     """
     spark = documents.sparkSession
-    text_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_batches
+from tessera.llm.common import bounded_batches, table
 
 #: The magic numbers of the formats.
 SIGNATURES = {
@@ -161,7 +161,7 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str | None =
     type. embedded: array of (type, offset, length, sha256) of the other media found inside. Null or empty content has
     the declared type and nothing embedded. Columns of these names in df are replaced.
     """
-    text_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     schema = "media_type string, embedded array<struct<type:string,offset:long,length:long,sha256:string>>"
     known = {*RIFF_FORMS.values(), *SIGNATURES} - {"riff"}
 
@@ -226,7 +226,7 @@ def features(kind: str, samples: bytes, inside: list[tuple[str, int, int]]) -> s
 
 def store_text(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each whole text (null: empty) as UTF-8, padded, in a wave file of 8-bit samples."""
-    text_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
 
     @F.pandas_udf("binary")
     def stored(texts: pd.Series) -> pd.Series:

@@ -15,6 +15,7 @@ maps (length, rank within that length) to a place; Spark numbers the pieces with
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections import defaultdict
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe_bytes import byte_characters
-from tessera.llm.common import bucket_count, gapless_rank, number_batches, stage, table, text_batches
+from tessera.llm.common import bounded_batches, bucket_count, gapless_rank, stage, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -39,8 +40,32 @@ CACHE_ENTRIES = 500_000
 CACHED_LENGTH = 64
 
 
+#: The steps of a tokenizer that never merges over white space, which it drops, and that has lower case.
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _is_word_by_word(spec: dict) -> bool:
+    """Whether a tokenizer's file asks for just those steps, so that a text's ids are those of its words."""
+    normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    first = (splitter.get("pretokenizers") or [{}])[0]
+    others = [p.get("type") for p in (splitter.get("pretokenizers") or [])[1:]]
+    return (
+        normalizer.get("normalizers") == WORD_NORMALIZERS
+        and first.get("pattern") == {"Regex": WORD_PATTERN}
+        and (first.get("behavior"), first.get("invert"), others) == ("Removed", True, ["ByteLevel"])
+        and not splitter["pretokenizers"][1].get("add_prefix_space")
+        and not any(t.get("normalized") for t in spec.get("added_tokens") or [])
+        and spec.get("post_processor") is None
+    )
+
+
 class WordTokens:
-    """Ids of a text by a tokenizer that never merges over ASCII white space, which it drops: word by word, cached."""
+    """Ids of a text by a tokenizer file, without adding special tokens.
+
+    A text is done word by word, cached, where the file's steps allow that and no added token stands in the text; all
+    other texts go to the tokenizer whole.
+    """
 
     def __init__(self, tokenizer_path: str) -> None:
         import os
@@ -49,7 +74,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._tokenizer.encode_special_tokens = True
+        with open(tokenizer_path, encoding="utf-8") as lines:
+            spec = json.load(lines)
+        self._by_words = _is_word_by_word(spec)
+        self._added = [t["content"] for t in spec.get("added_tokens") or []]
         self._cache: dict[bytes, bytes] = {}
         self._characters = dict(enumerate(byte_characters()))
 
@@ -67,6 +95,16 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        whole = [i for i, t in enumerate(texts) if not self._by_words or any(a in t for a in self._added)]
+        if not whole:
+            return self._encode_by_words(texts)
+        apart = set(whole)
+        out = self._encode_by_words(["" if i in apart else t for i, t in enumerate(texts)]) if self._by_words else [b""] * len(texts)
+        for i in whole:
+            out[i] = np.array(self._tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _encode_by_words(self, texts: list[str]) -> list[bytes]:
         split = [_folded(t).split() for t in texts]
         words = set().union(*split)
         if len(self._cache) + len(words) > CACHE_ENTRIES:
@@ -123,7 +161,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces_of(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """The pieces of each document: its ids and END_ID, cut every `capacity` ids; `ids` keeps them as bytes."""
-    text_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, end = tokens_of(tokenizer_path), END_ID.to_bytes(4, "little")
@@ -323,7 +361,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     a sequence start at 0 without gaps. Repeated rows are packed each on its own; no piece gives no sequence.
     """
     spark = pieces.sparkSession
-    number_batches(spark)
+    bounded_batches(spark)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan_packing(histogram, capacity).arrays()
     shared = spark.sparkContext.broadcast(runs)
@@ -346,7 +384,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pack whole documents; see the module. Null text counts as empty: its document is END_ID alone."""
+    """The pieces of whole documents with their places: see pieces_of, pack_pieces and the module.
+
+    Null and empty texts are END_ID alone. Very long texts are cut every `capacity` ids. Repeated rows, and rows of one
+    doc_id with several texts, are packed each on its own; rows without doc_id too. An empty table gives no rows. Only
+    doc_id and text are read, whatever else there is. Pieces of equal length may take each other's places.
+    """
     return pack_pieces(stage(pieces_of(documents, tokenizer_path, capacity)), capacity)
 
 

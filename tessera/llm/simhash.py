@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash
-from tessera.llm.common import number_batches, possibly, put_back, set_apart, stage, table, text_batches
+from tessera.llm.common import bounded_batches, possibly, put_back, set_apart, stage, table
 from tessera.llm.components import components
 
 SEED = 42
@@ -70,7 +70,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def with_fingerprint(documents: DataFrame, name: str = "code") -> DataFrame:
     """All columns, plus the SimHash of the whole text (null: empty) as a signed long."""
-    text_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
 
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
@@ -215,7 +215,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def linked_codes(codes: DataFrame) -> DataFrame:
     """Links (a, b) between distinct codes that span the components of "at most MAX_BITS bits apart"."""
     spark = codes.sparkSession
-    number_batches(spark)
+    bounded_batches(spark)
     nodes = upper_nodes(codes).withColumn("gray", gray_rank(F.col("code")))
     # The sign bit is turned so that signed order is the unsigned order of ranks.
     nodes = nodes.withColumn("gray", F.col("gray").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
@@ -260,7 +260,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def _shingle_sets(documents: DataFrame, words: int) -> DataFrame:
     """All columns, plus set: code (a hash of the set of shingles), n (its size) and keys (its MinHash bands)."""
-    text_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession)
 
     @F.pandas_udf("code long, n long, keys array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:

@@ -78,8 +78,8 @@ def test_plans():
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
+    own = Tokenizer.from_file(WORDS)  # as it comes
+    odd = odd.unionByName(documents(spark, ["a <|endoftext|> b", "<|startoftext|>Tea<|ENDOFTEXT|>", "x<|endoftext|>" * 700], 700))
     rows = packing.pack_documents(odd, WORDS, 1024).collect()
     want = collections.Counter()
     for r in odd.collect():
@@ -100,6 +100,23 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """A file with other steps is not done word by word: here the normalizer keeps capitals."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(WORDS))
+    spec["normalizer"] = {"type": "NFC"}
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w"))
+    own = Tokenizer.from_file(path)
+    texts = ["The TEA is Hot, it's 25 C", "", "plain words here"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordTokens(path).encode(texts)]
+    assert got == [own.encode(t, add_special_tokens=False).ids for t in texts] != []
+    assert packing.WordTokens(WORDS)._by_words and not packing.WordTokens(path)._by_words
+
+
 def test_word_cache_restarts(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_ENTRIES", 3)
     own, fresh = packing.WordTokens(WORDS), packing.WordTokens(WORDS)
@@ -363,28 +380,6 @@ def test_line_dedup_compares_bytes(spark, monkeypatch):
     assert rows == {0: a, 1: b, 2: "x", 3: "y"}
 
 
-# 8: sharding
-
-
-def test_sharding(spark, odd, none):
-    rng = random.Random(8)
-    texts = ["copy of one text"] * 400 + ["w" * int(rng.lognormvariate(4, 1)) for _ in range(1500)]
-    df = documents(spark, texts, 1000).unionByName(odd.where("length(text) < 100 OR text IS NULL"))
-    rows = sharding.shard_documents(df).collect()
-    assert len(rows) == df.count()
-    size, slots = collections.Counter(), collections.defaultdict(list)
-    for r in rows:
-        size[r.shard] += r.size
-        slots[r.shard].append(r.slot)
-    mean = sum(size.values()) / 16
-    assert sorted(size) == list(range(16)) and max(abs(x - mean) for x in size.values()) < 0.1 * mean
-    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-    text_of = {1000 + i: t for i, t in enumerate(texts)}
-    assert all(r.text_crc32 == zlib.crc32(text_of[r.doc_id].encode()) and r.size == len(text_of[r.doc_id]) + 1 for r in rows if r.doc_id in text_of)
-    assert sharding.shard_documents(none).count() == 0
-    assert len({r.shard for r in sharding.shard_documents(df, 5).collect()}) == 5
-
-
 # 9: language
 
 

@@ -1,11 +1,14 @@
 """Exact top-k by inner product over whole-number vectors, with MaxScore.
 
-A query's terms are its dimensions. The most that a dimension can add to a score within a shard is its bound. Terms
-are ordered by bound; those whose bounds together cannot lift a row over the query's threshold are non-essential.
-Postings of the essential terms are traversed for every row of a block; the others are probed, a few at a time, only
-for rows that partial score and remaining bounds keep competitive. Shards give their best k, and these are merged.
+A query's terms are its dimensions. The most that a dimension can add to a score among some rows is its bound there.
 
-Queries and rows meet in blocks: a task gets one block of queries and one shard of rows, both of bounded size.
+Rows are dealt to shards by their strongest term. A query is first answered in the shard of its own strongest term;
+its k-th best score there is its threshold. It then goes to those other shards only whose bounds, summed over its terms,
+reach the threshold. Within a shard rows lie in posting blocks of like rows: a block whose bounds do not reach the
+threshold is passed over. In the others terms are ordered by what they can add over the least; a tail of terms that
+together could not lift a row to the threshold is non-essential. The essential terms are traversed for every row, the
+others probed step by step, in the end only for rows that partial score and remaining bounds keep competitive. Shards
+give their best k, and these are merged.
 """
 
 from __future__ import annotations
@@ -14,31 +17,37 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import stage, table
 
 SCALE = 1024
 K = 10
 QUERY_EVERY = 100
-#: Rows of a shard and queries of a block, on average: they are dealt by hash.
-SHARD_ROWS, BLOCK_QUERIES = 2048, 1024
-#: Queries that are scored together, and rows of a block within a shard.
-QUERY_ROWS, POSTING_ROWS = 64, 2048
+#: Rows of a shard, queries of a block, and shards whose bounds a task looks at, on average: they are dealt by hash.
+SHARD_ROWS, BLOCK_QUERIES, BLOCK_SHARDS = 2048, 1024, 2048
+#: Queries that are scored together, rows of a posting block, terms of a probing step.
+QUERY_ROWS, POSTING_ROWS, STEP = 64, 256, 8
+#: Rows are probed one by one once so small a share of a block is competitive; until then a step is a matrix product.
+SPARSE = 0.25
 #: Products below this are exact in double arithmetic.
 EXACT = 1 << 53
+LARGEST = 1.7976931348623157e308
+RESULT = ["query_id", "vec_id", "score"]
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (array of double, whole numbers): floor(SCALE * x) of each component x.
 
-    Rows that are null, have a null id, hold a null or non-finite component, or overflow when scaled, take no part.
+    Rows that are null, have a null id, or hold a null or non-finite component, take no part.
     """
     x = F.col("embedding")
-    scaled = F.transform(x, lambda v: F.floor(v.cast("double") * SCALE).cast("double"))
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(2.0**42)))
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select("vec_id", scaled.alias("vector"))
+    scaled = F.transform(x, lambda v: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), v.cast("double") * SCALE)))
+    # floor() gives a long; beyond 2 ** 52 a double is whole already.
+    whole = F.transform(scaled, lambda v: F.when(F.abs(v) < 2.0**52, F.floor(v).cast("double")).otherwise(v))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select("vec_id", whole.alias("vector"))
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
@@ -54,74 +63,153 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scores[order], ids[order]
 
 
-def max_score(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (with id `own`) its k best (scores, ids) among rows with another id, ties to the smaller id."""
-    width = rows.shape[1]
-    high, low = rows.max(axis=0), rows.min(axis=0)
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
-    for first in range(0, len(queries), QUERY_ROWS):
-        some = queries[first : first + QUERY_ROWS]
-        # A dimension's bound, for each query; terms in descending order of what they can add over the least.
-        most = np.maximum(some * high, some * low)
-        spread = (most - np.minimum(some * high, some * low)).sum(axis=0)
-        terms = np.argsort(-spread, kind="stable")
-        remaining = most[:, terms][:, ::-1].cumsum(axis=1)[:, ::-1]
-        remaining = np.concatenate([remaining, np.zeros((len(some), 1))], axis=1)
-        for at in range(0, len(rows), POSTING_ROWS):
-            block, names = rows[at : at + POSTING_ROWS], ids[at : at + POSTING_ROWS]
-            threshold = np.array([s[-1] if len(s) == k else -np.inf for s, _ in out[first : first + len(some)]])
-            # Essential terms: the shortest beginning after which the rest alone cannot reach any threshold.
-            reach = (remaining >= threshold[:, None]).any(axis=0)
-            essential = int(reach.sum()) if not reach.all() else width
-            essential = max(1, min(essential, width, max(8, width // 2)))
-            partial = some[:, terms[:essential]] @ block[:, terms[:essential]].T
-            alive = partial + remaining[:, essential, None] >= threshold[:, None]
-            q, r = np.nonzero(alive)
-            score, done = partial[q, r], essential
-            while done < width and len(q):
-                if 4 * len(q) > partial.size:  # nearly all are competitive: finish by matrix product
-                    score = score + (some[:, terms[done:]] @ block[:, terms[done:]].T)[q, r]
-                    break
-                upto = min(width, done + 8)
-                score = score + np.einsum("ij,ij->i", some[q][:, terms[done:upto]], block[r][:, terms[done:upto]])
-                keep = score + remaining[q, upto] >= threshold[q]
-                q, r, score, done = q[keep], r[keep], score[keep], upto
-            cuts = np.searchsorted(q, np.arange(len(some) + 1))
-            for i in range(len(some)):
-                s, n = score[cuts[i] : cuts[i + 1]], names[r[cuts[i] : cuts[i + 1]]]
-                other = n != own[first + i]
-                s, n = s[other], n[other]
-                if len(s) > 4 * k:  # only what reaches the k-th largest counts
-                    enough = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    s, n = s[enough], n[enough]
-                old = out[first + i]
-                if len(s):
-                    out[first + i] = best(np.concatenate([old[0], s]), np.concatenate([old[1], n]), k)
-    return out
+def bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The most that each query can score among rows between low and high: (queries, bounds)."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
+class Search:
+    """The k best of some rows for each of some queries; `skipped` of `products` single products were not needed."""
+
+    def __init__(self, queries: np.ndarray, own: np.ndarray, thresholds: np.ndarray, k: int) -> None:
+        self.queries, self.own, self.least, self.k = queries, own, thresholds.astype(float), k
+        self.found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in own]
+        self.products = self.skipped = 0
+
+    def among(self, rows: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        strength = np.abs(rows)
+        first = strength.argmax(axis=1)
+        strength[np.arange(len(rows)), first] = -1
+        order = np.lexsort((ids, rows[np.arange(len(rows)), first], strength.argmax(axis=1), first))
+        rows, ids = rows[order], ids[order]
+        blocks = [slice(at, at + POSTING_ROWS) for at in range(0, len(rows), POSTING_ROWS)]
+        high = np.array([rows[b].max(axis=0) for b in blocks])
+        low = np.array([rows[b].min(axis=0) for b in blocks])
+        reach = bounds(self.queries, high, low)
+        self.products += len(self.queries) * rows.size
+        for n in np.argsort(-reach.max(axis=0), kind="stable"):
+            alive = np.flatnonzero(reach[:, n] >= self.least)
+            block = rows[blocks[n]]
+            self.skipped += (len(self.queries) - len(alive)) * block.size
+            for at in range(0, len(alive), QUERY_ROWS):
+                self._block(alive[at : at + QUERY_ROWS], block, ids[blocks[n]], high[n], low[n])
+        return self.found
+
+    def _block(self, which: np.ndarray, block: np.ndarray, ids: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
+        some, threshold, width = self.queries[which], self.least[which], block.shape[1]
+        most, fewest = np.maximum(some * high, some * low), np.minimum(some * high, some * low)
+        terms = np.argsort(-(most - fewest).sum(axis=0), kind="stable")
+        some, block = some[:, terms], block[:, terms]
 
+        def rest(x: np.ndarray) -> np.ndarray:
+            """What the terms from each place on add up to."""
+            return np.concatenate([x[:, terms][:, ::-1].cumsum(axis=1)[:, ::-1], np.zeros((len(x), 1))], axis=1)
 
-def _exact_scores(query: np.ndarray, rows: np.ndarray) -> list[int]:
-    return [sum(int(a) * int(b) for a, b in zip(query, row)) for row in rows]
+        remaining, spread = rest(most), rest(most - fewest)
+        # Essential terms: those before the tail that cannot lift a row from the least score to the threshold.
+        done = int((spread >= (threshold - fewest.sum(axis=1))[:, None]).sum(axis=1).max())
+        done = min(width, max(1, done))
+        partial = some[:, :done] @ block[:, :done].T
+        competitive = partial + remaining[:, done, None] >= threshold[:, None]
+        while done < width and competitive.mean() > SPARSE:
+            upto = min(width, done + STEP)
+            partial += some[:, done:upto] @ block[:, done:upto].T
+            done = upto
+            competitive = partial + remaining[:, done, None] >= threshold[:, None]
+        q, r = np.nonzero(competitive)
+        score = partial[q, r]
+        self.skipped += (partial.size - len(q)) * (width - done)
+        while done < width and len(q):
+            upto = min(width, done + STEP)
+            score = score + np.einsum("ij,ij->i", some[q, done:upto], block[r, done:upto])
+            keep = score + remaining[q, upto] >= threshold[q]
+            self.skipped += int((~keep).sum()) * (width - upto)
+            q, r, score, done = q[keep], r[keep], score[keep], upto
+        cuts = np.searchsorted(q, np.arange(len(which) + 1))
+        for i, place in enumerate(which):
+            s, n = score[cuts[i] : cuts[i + 1]], ids[r[cuts[i] : cuts[i + 1]]]
+            other = n != self.own[place]
+            s, n = s[other], n[other]
+            if not len(s):
+                continue
+            old = self.found[place]
+            self.found[place] = new = best(np.concatenate([old[0], s]), np.concatenate([old[1], n]), self.k)
+            if len(new[0]) == self.k:
+                self.least[place] = max(self.least[place], new[0][-1])
 
 
-def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    columns = ["query_id", "vec_id", "score"]
-    if not len(left) or not len(right):
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
-    # Rows of one id are one row: the first by its components.
-    left, right = (x.assign(_v=x["vector"].map(tuple)).sort_values(["vec_id", "_v"]).drop_duplicates("vec_id") for x in (left, right))
-    width = max(left["vector"].map(len).max(), right["vector"].map(len).max(), 1)
-    queries, rows = _matrix(list(left["vector"]), width), _matrix(list(right["vector"]), width)
-    own, ids = left["vec_id"].to_numpy(np.int64), right["vec_id"].to_numpy(np.int64)
-    if float(np.abs(queries).max() * np.abs(rows).max()) * width < EXACT:
-        found = max_score(queries, own, rows, ids, k)
+def _largest(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+
+
+def _searched(asked: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of `rows` for each of `asked` that reach its threshold."""
+    if not len(asked) or not len(rows):
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in RESULT})
+    width = max(asked["vector"].map(len).max(), rows["vector"].map(len).max(), 1)
+    queries, stored = _matrix(list(asked["vector"]), width), _matrix(list(rows["vector"]), width)
+    own, ids = asked["vec_id"].to_numpy(np.int64), rows["vec_id"].to_numpy(np.int64)
+    if _largest(queries, stored) < EXACT:
+        found = Search(queries, own, asked["threshold"].to_numpy(float), k).among(stored, ids)
         parts = [pd.DataFrame({"query_id": q, "vec_id": n, "score": s.astype(np.int64)}) for q, (s, n) in zip(own, found)]
-        return pd.concat(parts, ignore_index=True)[columns]
+        return pd.concat(parts, ignore_index=True)[RESULT]
     out = []
     for q, vector in zip(own, queries):  # too large for doubles: whole numbers of any size, clamped to long at the end
-        ranked = sorted((-s, n) for s, n in zip(_exact_scores(vector, rows), ids) if n != q)[:k]
+        scores = [sum(int(a) * int(b) for a, b in zip(vector, row)) for row in stored]
+        ranked = sorted((-s, n) for s, n in zip(scores, ids) if n != q)[:k]
         out += [(q, n, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, n in ranked]
-    return pd.DataFrame(out, columns=columns).astype(np.int64)
+    return pd.DataFrame(out, columns=RESULT).astype(np.int64)
+
+
+def _at_home(asked: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Results of _searched, and a row with the shard's bounds."""
+    found = _searched(asked.assign(threshold=-np.inf), rows, k)
+    found["shard"] = found["high"] = found["low"] = None
+    if len(rows):
+        stored = _matrix(list(rows["vector"]), max(rows["vector"].map(len).max(), 1))
+        edge = {"query_id": None, "vec_id": None, "score": None, "shard": rows["shard"].iloc[0], "high": stored.max(axis=0), "low": stored.min(axis=0)}
+        found = pd.concat([found.astype(object), pd.DataFrame([edge])], ignore_index=True)
+    return found
+
+
+def _competitive(asked: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
+    """(query_id, shard): where a query's threshold is within the bounds, but for its own shard."""
+    if not len(asked) or not len(shards):
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "shard": np.zeros(0, np.int64)})
+    width = max(*(x.map(len).max() for x in (asked["vector"], shards["high"])), 1)
+    queries, high, low = (_matrix(list(x), width) for x in (asked["vector"], shards["high"], shards["low"]))
+    if max(_largest(queries, high), _largest(queries, low)) < EXACT:
+        open_ = bounds(queries, high, low) >= asked["threshold"].to_numpy(float)[:, None]
+    else:
+        open_ = np.ones((len(queries), len(high)), bool)
+    open_ &= asked["shard"].to_numpy()[:, None] != shards["shard"].to_numpy()[None, :]
+    q, s = np.nonzero(open_)
+    return pd.DataFrame({"query_id": asked["vec_id"].to_numpy()[q], "shard": shards["shard"].to_numpy()[s]})
+
+
+def _term() -> Column:
+    """The number of the strongest term, with its sign."""
+    size = F.transform("vector", lambda v: F.abs(v))
+    place = F.array_position(size, F.array_max(size))
+    return F.coalesce(2 * place + F.when(F.get("vector", (place - 1).cast("int")) < 0, 1).otherwise(0), F.lit(0))
+
+
+def _one_of_each(vectors: DataFrame) -> DataFrame:
+    """vec_id and vector: of several rows of an id the first by components."""
+    vectors = vectors.select("vec_id", "vector")
+    several = stage(vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"))
+    if several.isEmpty():
+        return vectors
+    chosen = vectors.join(several, "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return vectors.join(several, "vec_id", "left_anti").unionByName(chosen)
+
+
+def _dealt(name: str, parts: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(parts)).cast("int")
+
+
+def _every(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -129,21 +217,52 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both have vec_id and vector (whole_vectors). Fewer than k rows give all of them; ties go to the smaller vec_id; an
     id stands for one row, and of several rows of an id the first by components counts. Vectors of unequal length are
-    compared as if filled with zeros. Empty tables give no rows.
+    compared as if filled with zeros. Scores beyond a long are clamped to it. Empty tables give no rows; other columns
+    are not read, whatever their names.
     """
-    shards = max(1, math.ceil(vectors.count() / SHARD_ROWS))
-    blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every_shard.alias("shard"))
-    stored = vectors.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), every_block.alias("block"))
-    found = (
-        asked.groupBy("block", "shard")
-        .cogroup(stored.groupBy("block", "shard"))
-        .applyInPandas(lambda left, right: _searched(left, right, k), "query_id long, vec_id long, score long")
+    found_in = _one_of_each(vectors).withColumn("term", _term())
+    # At most two terms for each dimension, so this table is small whatever the rows.
+    parts = stage(found_in.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("parts")))
+    shard = (F.shiftleft(F.col("term").cast("long"), 32) + F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).alias("shard")
+    rows = stage(found_in.join(F.broadcast(parts), "term").select("vec_id", "vector", shard))
+    asked = _one_of_each(queries).withColumn("term", _term()).join(F.broadcast(parts), "term", "left")
+    asked = stage(asked.select("vec_id", "vector", shard))
+
+    most = asked.groupBy("shard").count().agg(F.max("count").alias("n")).first()["n"] or 1
+    blocks = max(1, math.ceil(most / BLOCK_QUERIES))
+    schema = "query_id long, vec_id long, score long"
+    home = (
+        asked.withColumn("block", _dealt("vec_id", blocks, 1))
+        .groupBy("shard", "block")
+        .cogroup(rows.withColumn("block", _every(blocks)).groupBy("shard", "block"))
+        .applyInPandas(lambda left, right: _at_home(left, right, k), schema + ", shard long, high array<double>, low array<double>")
+    )
+    home = stage(home)
+    near = home.where("query_id IS NOT NULL").select(*RESULT)
+    shards = home.where("query_id IS NULL").dropDuplicates(["shard"]).select("shard", "high", "low")
+    full = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").cast("double").alias("threshold"), F.count(F.lit(1)).alias("n"))
+    full = full.where((F.col("n") == k) & (F.abs("threshold") < EXACT)).select("vec_id", "threshold")
+    asked = stage(asked.join(full, "vec_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("-inf")))))
+
+    blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    groups = max(1, math.ceil(shards.count() / BLOCK_SHARDS))
+    pairs = (
+        asked.withColumn("block", _dealt("vec_id", blocks, 2))
+        .withColumn("group", _every(groups))
+        .groupBy("block", "group")
+        .cogroup(shards.withColumn("group", _dealt("shard", groups, 3)).withColumn("block", _every(blocks)).groupBy("block", "group"))
+        .applyInPandas(_competitive, "query_id long, shard long")
+    )
+    pairs = stage(pairs)
+    sent = pairs.withColumnRenamed("query_id", "vec_id").join(asked.drop("shard"), "vec_id").withColumn("block", _dealt("vec_id", blocks, 2))
+    wanted = pairs.select("shard", _dealt("query_id", blocks, 2).alias("block")).distinct()
+    far = (
+        sent.groupBy("shard", "block")
+        .cogroup(rows.join(wanted, "shard").groupBy("shard", "block"))
+        .applyInPandas(lambda left, right: _searched(left, right, k), schema)
     )
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    ranked = near.unionByName(far).withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

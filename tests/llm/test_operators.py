@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_bytes, html_wrappers, language_id, line_dedup, media, packing, pii, sharding, simhash, topk
+from tessera.llm import bpe_bytes, html_wrappers, language_id, line_dedup, media, packing, pii, simhash
 from tessera.llm.components import components
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -317,35 +317,6 @@ def test_byte_bpe(spark, odd, none):
     assert bpe_bytes.digests(none, RANKS, tokenizers.PATTERN).count() == 0
 
 
-# 6: top-k
-
-
-@pytest.mark.parametrize("shape", ["plain", "ties", "large"])
-def test_top_k(spark, monkeypatch, shape):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
-    rng = random.Random(6)
-    size = {"plain": 1.0, "ties": 0.002, "large": 1e9}[shape]
-    rows = [(i, [rng.uniform(-size, size) for _ in range(16)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None] * 8), (302, [float("nan")] * 16), (303, [float("inf")] * 16), (None, [1.0] * 16), (304, []), rows[0]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    vectors = topk.whole_vectors(df)
-    got = collections.defaultdict(list)
-    for r in topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 5).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    import math
-
-    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    for q in (0, 100, 200):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
-        clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
-        assert {s for _, _, s in got[q]} == {clamp(-s) for s, _ in scored}
-        if shape != "large":  # scores beyond long are clamped, and so tie
-            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
-    assert set(got) == {0, 100, 200}
-    assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
-
-
 # 7: line dedup
 
 

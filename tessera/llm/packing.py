@@ -38,6 +38,8 @@ SCHEMES = ((3, 48), (3, 16), (4, 16))
 #: Entries of a worker's cache of tokenised words; beyond it the cache starts anew. It changes speed only.
 CACHE_ENTRIES = 500_000
 CACHED_LENGTH = 64
+#: Characters of the texts that are done word by word at a time.
+TOGETHER = 1 << 20
 
 
 #: The steps of a tokenizer that never merges over white space, which it drops, and that has lower case.
@@ -95,16 +97,25 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = [i for i, t in enumerate(texts) if not self._by_words or any(a in t for a in self._added)]
-        if not whole:
-            return self._encode_by_words(texts)
-        apart = set(whole)
-        out = self._encode_by_words(["" if i in apart else t for i, t in enumerate(texts)]) if self._by_words else [b""] * len(texts)
-        for i in whole:
-            out[i] = np.array(self._tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        out: list[bytes] = []
+        some: list[str] = []
+        held = 0
+        for text in texts:
+            if not self._by_words or any(a in text for a in self._added):
+                out += self._encode_by_words(some)
+                out.append(np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                some, held = [], 0
+                continue
+            some.append(text)
+            held += len(text)
+            if held > TOGETHER:
+                out += self._encode_by_words(some)
+                some, held = [], 0
+        return out + self._encode_by_words(some)
 
     def _encode_by_words(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         split = [_folded(t).split() for t in texts]
         words = set().union(*split)
         if len(self._cache) + len(words) > CACHE_ENTRIES:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, table
+from tessera.llm.common import bounded_batches, put_back, set_apart, table
 
 #: The magic numbers of the formats.
 SIGNATURES = {
@@ -143,55 +143,63 @@ def _automaton():
 
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of the confirmed media in `data`, by offset; what lies inside another is left out."""
-    found, free = [], 0
+    """(type, offset, length) of all confirmed media in `data`, by offset, those inside others too."""
+    found = []
     for last, (name, width) in _automaton().iter(data.decode("latin-1")):
         at = last - width + 1
-        if at >= free and (confirmed := VALIDATORS[name](data, at)):
+        if confirmed := VALIDATORS[name](data, at):
             found.append((confirmed[0], at, confirmed[1]))
-            free = at + confirmed[1]
-    return found
+    return sorted(found, key=lambda x: (x[1], -x[2]))
+
+
+#: Types that a declaration may name and that bytes then have to confirm.
+KNOWN_TYPES = {*RIFF_FORMS.values(), *SIGNATURES} - {"riff"}
+
+
+def corrected_type(places: list[tuple[str, int, int]], size: int, told: str | None) -> str | None:
+    """The type confirmed for the whole value, else the declared one, but none where bytes contradict a known one."""
+    whole = [kind for kind, at, n in places if (at, n) == (0, size)]
+    return whole[0] if whole else None if told in KNOWN_TYPES and size else told
 
 
 def sniff_media(df: DataFrame, content: str = "content", declared: str | None = None) -> DataFrame:
-    """All columns of df, plus media_type, corrected and embedded.
+    """All columns of df, plus media_type, embedded and corrected.
 
     media_type is the type confirmed at offset 0 for the whole value, or else the declared one, but null where the
     declared one names a known format that the bytes contradict. corrected: media_type differs from the declared
-    type. embedded: array of (type, offset, length, sha256) of the other media found inside. Null or empty content has
-    the declared type and nothing embedded. Columns of these names in df are replaced.
+    type. embedded: array of (type, offset, length, sha256) of the other media found inside, also of those inside
+    others, by offset. Null or empty content has the declared type and nothing embedded. Repeated rows get equal values,
+    values of any length are read whole, an empty table gives no rows. Columns of these names in df are replaced.
     """
     bounded_batches(df.sparkSession)
-    schema = "media_type string, embedded array<struct<type:string,offset:long,length:long,sha256:string>>"
-    known = {*RIFF_FORMS.values(), *SIGNATURES} - {"riff"}
+    used, more = (content, *([declared] if declared else [])), ("media_type", "embedded", "corrected")
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf("media_type string, embedded array<struct<type:string,offset:long,length:long,sha256:string>>")
     def looked(contents: pd.Series, types: pd.Series) -> pd.DataFrame:
         rows = []
         for data, told in zip(contents, types):
             data = bytes(data or b"")
             places = sniff(data)
-            whole = [p for p in places if p[1:] == (0, len(data))]
-            kind = whole[0][0] if whole else None if told in known and data else told
-            inner = [(t, at, n, hashlib.sha256(data[at : at + n]).hexdigest()) for t, at, n in places if (t, at, n) not in whole]
+            kind = corrected_type(places, len(data), told)
+            inner = [(t, at, n, hashlib.sha256(data[at : at + n]).hexdigest()) for t, at, n in places if (at, n) != (0, len(data))]
             rows.append((kind, [dict(zip(("type", "offset", "length", "sha256"), x)) for x in inner]))
         return pd.DataFrame(rows, columns=["media_type", "embedded"])
 
     told = F.col(declared) if declared else F.lit(None).cast("string")
-    seen = df.withColumn("_seen", looked(F.col(content), told))
-    return (
-        seen.withColumn("media_type", F.col("_seen.media_type"))
-        .withColumn("embedded", F.col("_seen.embedded"))
-        .withColumn("corrected", ~F.col("_seen.media_type").eqNullSafe(told))
-        .drop("_seen")
-    )
+    seen = set_apart(df, used).withColumn("_seen", looked(F.col(content), told))
+    seen = seen.withColumns({"media_type": F.col("_seen.media_type"), "embedded": F.col("_seen.embedded"), "corrected": ~F.col("_seen.media_type").eqNullSafe(told)})
+    return put_back(seen, df.columns, used, more)
 
 
 def carve_media(df: DataFrame, content: str = "content") -> DataFrame:
-    """A row for each embedded medium of `df` after sniff_media: df's columns, plus carved_type and carved (binary)."""
-    one = df.withColumn("_one", F.explode("embedded"))
+    """A row for each embedded medium of `df` after sniff_media: df's columns, plus carved_type and carved (binary).
+
+    Rows without embedded media give none. Columns of these names in df are replaced.
+    """
+    used, more = (content, "embedded"), ("carved_type", "carved")
+    one = set_apart(df, used).withColumn("_one", F.explode("embedded"))
     piece = F.substring(F.col(content), (F.col("_one.offset") + 1).cast("int"), F.col("_one.length").cast("int"))
-    return one.withColumn("carved_type", F.col("_one.type")).withColumn("carved", piece).drop("_one")
+    return put_back(one.withColumns({"carved_type": F.col("_one.type"), "carved": piece}), df.columns, used, more)
 
 
 def pad(raw: bytes) -> bytes:
@@ -224,8 +232,16 @@ def features(kind: str, samples: bytes, inside: list[tuple[str, int, int]]) -> s
     return f"{kind};n={len(wave)};mean={wave.mean():.4f};rms={level:.4f};peak={np.abs(wave).max()};cross={crossings};embedded={embedded}"
 
 
+#: What the store declares its values to be: nothing but bytes, which sniffing corrects.
+DECLARED = "bin"
+
+
 def store_text(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each whole text (null: empty) as UTF-8, padded, in a wave file of 8-bit samples."""
+    """doc_id, n_bytes, media and declared: each whole text (null: empty) as UTF-8, padded, in a file of 8-bit samples.
+
+    Repeated rows and equal texts give equal media, texts of any length are stored whole, an empty table gives no rows.
+    Only doc_id and text are read, whatever else there is.
+    """
     bounded_batches(documents.sparkSession)
 
     @F.pandas_udf("binary")
@@ -233,38 +249,39 @@ def store_text(documents: DataFrame) -> DataFrame:
         return pd.Series([to_wav(pad((t or "").encode())) for t in texts], dtype=object)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), stored(text).alias("media"))
+    size = F.octet_length(text).cast("long").alias("n_bytes")
+    return documents.select("doc_id", size, stored(text).alias("media"), F.lit(DECLARED).alias("declared"))
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Read media back: doc_id, n_bytes and the digests and features of what the stored bytes hold.
+    """Read the media of store_text back: digests and features of what the stored bytes hold, media_type and corrected.
 
-    The type comes from sniffing, not from a declaration. Equal media give equal values; an empty table gives none.
+    The type comes from sniffing, which corrects the declared one; payloads and the media embedded in them are found
+    through it. Equal media give equal values; an empty table gives none.
     """
+    bounded_batches(stored.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for media in batch["media"]:
+            for media, told in zip(batch["media"], batch["declared"]):
                 media = bytes(media)
-                kind, at, length = sniff(media)[0]
-                payload = from_wav(media[at : at + length])
-                rows.append(
-                    (
-                        len(payload),
-                        hashlib.sha256(payload).hexdigest(),
-                        zlib.crc32(payload[-16:]),
-                        len(media),
-                        hashlib.sha256(media).hexdigest(),
-                        features(kind, payload, sniff(payload)),
-                    )
-                )
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                places = sniff(media)
+                kind = corrected_type(places, len(media), told)
+                if kind != "wav":
+                    raise ValueError("a stored value is not the wave file that was written")
+                start, length = riff_chunks(media)[b"data"]
+                payload = media[start : start + length]
+                inside = [(t, at - start, n) for t, at, n in places if start <= at and at + n <= start + length]
+                digest = hashlib.sha256(payload).hexdigest()
+                whole = hashlib.sha256(media).hexdigest()
+                rows.append((length, digest, zlib.crc32(payload[-16:]), len(media), whole, features(kind, payload, inside), kind, kind != told))
+            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected"])
             out.insert(0, "n_bytes", batch["n_bytes"].values)
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
             yield out
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean"
     return stored.mapInPandas(read, schema)
 
 

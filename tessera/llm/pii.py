@@ -27,14 +27,12 @@ PATTERNS = {
 #: What a text must hold for a match to be possible.
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Words on either side of an entity that are its context, and the characters in which they are looked for.
+#: Words on either side of an entity that are its context, as far as they lie wholly within so many characters.
 WINDOW_WORDS, WINDOW_CHARACTERS = 6, 160
 #: A term is judged on so many distinct contexts at least.
 LEAST_CONTEXTS = 3
 #: Disclosure thresholds: p(entity | term), and bits gained about the entity.
 LEAST_POSTERIOR, LEAST_BITS = 0.5, 4.0
-#: Terms up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_TERMS = 10_000
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -86,7 +84,7 @@ def _located(df: DataFrame, text: str, patterns: dict[str, str], needed: dict[st
     for n in patterns:
         m, g = f"_m_{n}", f"_g_{n}"
         pairs = f"zip_with(zip_with({m}, slice({g}, 1, size({m})), (v, b) -> struct(v, b)), slice({g}, 2, size({m})), (x, a) -> struct(x.v AS v, x.b AS b, a AS a))"
-        one = f"struct(x.v AS v, s + length(x.b) AS start, s + length(x.b) + length(x.v) AS end, right(x.b, {WINDOW_CHARACTERS}) AS before, left(x.a, {WINDOW_CHARACTERS}) AS after)"
+        one = f"struct(x.v AS v, s + length(x.b) AS start, s + length(x.b) + length(x.v) AS end, right(x.b, {WINDOW_CHARACTERS + 1}) AS before, left(x.a, {WINDOW_CHARACTERS + 1}) AS after)"
         found[f"_{n}"] = F.expr(f"zip_with({pairs}, _s_{n}, (x, s) -> {one})")
     return df.withColumns(matched).withColumns(parted).withColumns(widths).withColumns(starts).withColumns(found).drop(*matched, *parted, *widths, *starts)
 
@@ -127,12 +125,12 @@ def _words(text: Column) -> Column:
 def _with_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, text_hash, term): the distinct terms of `terms` in each text.
 
-    The outer form of explode keeps the planner from making the words once more for a test of their number.
+    `terms` is staged, so the planner knows its bytes and broadcasts it only where they are few. The outer form of
+    explode keeps the planner from making the words once more for a test of their number.
     """
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     text = F.coalesce("text", F.lit(""))
     words = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode_outer(_words(text)).alias("term"))
-    return words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return words.join(terms, "term", "left_semi")
 
 
 def disclosing_terms(documents: DataFrame, based: DataFrame) -> DataFrame:
@@ -141,9 +139,13 @@ def disclosing_terms(documents: DataFrame, based: DataFrame) -> DataFrame:
     Copies do not add to the evidence: contexts are distinct by their words, texts by their hash.
     """
     each = based.select("text_hash", F.explode(F.concat(*[_of_kind(k) for k in KINDS])).alias("s"))
+    # One character more than the window was kept: a word that reaches it may go on, and is no word of the context.
+    inside = F.lit(WINDOW_CHARACTERS)
+    before = F.when(F.length("s.before") > inside, F.regexp_replace("s.before", f"^{WORD}", "")).otherwise(F.col("s.before"))
+    after = F.when(F.length("s.after") > inside, F.regexp_replace("s.after", f"{WORD}$", "")).otherwise(F.col("s.after"))
     near = F.concat(
-        F.slice(F.reverse(F.regexp_extract_all(F.lower("s.before"), F.lit(f"({WORD})"), F.lit(1))), 1, WINDOW_WORDS),
-        F.slice(F.regexp_extract_all(F.lower("s.after"), F.lit(f"({WORD})"), F.lit(1)), 1, WINDOW_WORDS),
+        F.slice(F.reverse(F.regexp_extract_all(F.lower(before), F.lit(f"({WORD})"), F.lit(1))), 1, WINDOW_WORDS),
+        F.slice(F.regexp_extract_all(F.lower(after), F.lit(f"({WORD})"), F.lit(1)), 1, WINDOW_WORDS),
     )
     contexts = each.select(F.concat_ws(":", "s.kind", F.lower("s.v")).alias("entity"), near.alias("near"), "text_hash")
     contexts = stage(contexts.withColumn("context", F.xxhash64("near")).dropDuplicates(["entity", "context"]))
@@ -154,7 +156,7 @@ def disclosing_terms(documents: DataFrame, based: DataFrame) -> DataFrame:
     around = terms.groupBy("term").agg(F.countDistinct("text_hash").alias("n_near"))
     pairs = pairs.where(F.col("n_et") >= LEAST_CONTEXTS).join(around, "term").where(F.col("n_et") >= LEAST_POSTERIOR * F.col("n_near"))
     pairs = stage(pairs.drop("n_near"))
-    counted = _with_terms(documents, pairs.select("term").distinct()).select("term", "text_hash").distinct()
+    counted = _with_terms(documents, stage(pairs.select("term").distinct())).select("term", "text_hash").distinct()
     counted = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     texts = documents.count()
     judged = pairs.join(counted, "term").select(
@@ -192,7 +194,11 @@ def find(documents: DataFrame) -> DataFrame:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of `documents`."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of `documents`.
+
+    Null and empty texts have no spans; texts of any length are read whole; repeated rows get equal values; an empty
+    table gives no rows. Only doc_id and text are read, whatever else there is. Terms that reach a threshold exactly count.
+    """
     base = _base_list()
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     listed = F.array_join(base, ",")

@@ -156,6 +156,36 @@ def test_sniffing(spark):
     assert carved == {"png": png(), "wav": media.to_wav(b"\1\2\3\4"), "jpeg": JPEG}
 
 
+def test_media_inside_media(spark):
+    inner = b"....." + png() + b"xx" + GIF
+    whole = media.to_wav(inner)
+    rows = [(1, whole, "wav", "a"), (2, media.to_wav(whole), "gif", "b"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "_seen int, content binary, _one string, carved string")
+    seen = media.sniff_media(df, "content", "_one")
+    got = {r["_seen"]: r for r in seen.collect()}
+    assert seen.columns == [*df.columns, "media_type", "embedded", "corrected"]
+    assert (got[1].media_type, got[1].corrected, got[2].media_type, got[2].corrected) == ("wav", False, "wav", True)
+    assert [e.type for e in got[1].embedded] == ["png", "gif"] and [e.type for e in got[2].embedded] == ["wav", "png", "gif"]
+    carved = media.carve_media(seen.select("_seen", "content", "embedded", "carved"))
+    assert carved.columns == ["_seen", "content", "embedded", "carved_type", "carved"]
+    pieces = {(r["_seen"], r.carved_type): bytes(r.carved) for r in carved.collect()}
+    assert pieces == {(i, t): d for i in (1, 2) for t, d in (("png", png()), ("gif", GIF))} | {(2, "wav"): whole}
+    assert media.carve_media(seen.limit(0)).count() == 0
+
+
+def test_sniffing_against_brute_force():
+    """Every offset at which a validator confirms a medium, whatever stands around it."""
+    rng = random.Random(3)
+    parts = [png(), GIF, JPEG, BMP[:58], media.to_wav(b"ab" * 9), b"BM", b"RIFF", b"\xff\xd8\xff", b"GIF89a", bytes(rng.randbytes(40)), media.to_wav(png())]
+    for _ in range(60):
+        data = b"".join(rng.choices(parts, k=rng.randint(0, 8)))
+        if rng.random() < 0.5 and data:
+            at = rng.randrange(len(data))
+            data = data[:at] + rng.randbytes(2) + data[at + 2 :]
+        want = [(v[0], at, v[1]) for at in range(len(data)) for name, magic in media.SIGNATURES.items() if data.startswith(magic, at) and (v := media.VALIDATORS[name](data, at))]
+        assert media.sniff(data) == sorted(want, key=lambda x: (x[1], -x[2]))
+
+
 def test_stored_text(spark, odd, none):
     texts = {r.doc_id: r.text or "" for r in odd.collect() if r.doc_id is not None and r.doc_id != 4}
     stored = media.store_text(odd)
@@ -164,7 +194,9 @@ def test_stored_text(spark, odd, none):
             assert (w.getnchannels(), w.getsampwidth()) == (1, 1)
             if r.doc_id in texts:
                 assert w.readframes(w.getnframes()) == media.pad(texts[r.doc_id].encode())
+    assert stored.columns == ["doc_id", "n_bytes", "media", "declared"] == media.store_text(odd.withColumn("media", F.lit(1))).columns
     rows = media.read_media(stored).collect()
+    assert all(r.media_type == "wav" and r.corrected for r in rows)
     assert len(rows) == odd.count() and media.read_media(media.store_text(none)).count() == 0
     for r in rows:
         if r.doc_id in texts:
@@ -375,6 +407,52 @@ def test_language(spark, none):
     assert unlabelled.where("lang_pred <> 'und'").count() == 0
 
 
+@pytest.mark.parametrize("languages", [1, 2, 4, 30])
+def test_foreign_texts_are_rejected_whatever_is_learnt(languages):
+    rng = random.Random(languages)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñßабвгдежзиклмнопрстуфхцчшщыья漢字語日本人大学生先年月"
+
+    def text(seed, n):
+        own = random.Random(seed)
+        syllables = ["".join(own.choices(letters, k=own.randint(2, 3))) for _ in range(40)]
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(n))
+
+    rows = [(text(k, rng.randint(20, 90)), f"l{k}") for k in range(languages) for _ in range(40)]
+    model = language_id.fit([t for t, _ in rows], [x for _, x in rows])
+
+    def judged(texts):
+        best, score, familiar = language_id.judge(model, texts)
+        assert (score >= 0).all() and (score <= 1).all()
+        return [model.languages[b] for b in best], familiar < language_id.LEAST_FAMILIAR
+
+    own = [(text(k, 40), f"l{k}") for k in range(languages) for _ in range(5)]
+    names, gone = judged([t for t, _ in own])
+    assert names == [x for _, x in own] and not gone.any()
+    _, gone = judged([text(1000 + k, 40) for k in range(40)] + ["ωψχ φυτσρ " * 30])
+    assert gone.all()
+
+
+def test_kernel_against_brute_force(monkeypatch):
+    """Presence kernel over whole texts of any script and length, with long texts in pieces."""
+    monkeypatch.setattr(language_id, "PIECE", 50)
+    rng = random.Random(12)
+    letters = "abcÉ ß日本語学漢字Жω😀\x00"
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 200))) for _ in range(60)] + ["", "x" * 3000]
+
+    def sets(t):
+        t = t.lower()
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if "\x00" not in t[i : i + n]}
+
+    model = language_id.fit(texts[:40], [f"l{i % 3}" for i in range(40)])
+    chosen = [i for name in model.languages for i in range(40) if f"l{i % 3}" == name]
+    known = set().union(*(sets(texts[i]) for i in chosen))
+    values = language_id.kernel(model, texts)
+    for i, t in enumerate(texts):
+        own = sets(t) & known
+        want = [len(own & sets(texts[j])) / (max(1, len(own)) * len(sets(texts[j]))) ** 0.5 for j in chosen]
+        assert np.allclose(values[i], want, atol=1e-5)
+
+
 # 10: personal data
 
 BASE = {
@@ -424,13 +502,60 @@ def disclosing(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def test_disclosing_terms(spark, monkeypatch):
-    for few in (10_000, 0):
-        monkeypatch.setattr(pii, "BROADCAST_TERMS", few)
-        rows = {r.doc_id: r.spans for r in pii.report(disclosing(spark)).collect()}
-        assert rows[500] == "term:3:11" and rows[501] == ""
-        assert all("email:" in rows[i] and rows[i].count("term:") == 1 for i in range(6))
-        assert all(rows[10 + i] == "" for i in range(200))
+def test_disclosing_terms(spark):
+    rows = {r.doc_id: r.spans for r in pii.report(disclosing(spark)).collect()}
+    assert rows[500] == "term:3:11" and rows[501] == ""
+    assert all("email:" in rows[i] and rows[i].count("term:") == 1 for i in range(6))
+    assert all(rows[10 + i] == "" for i in range(200))
+
+
+def brute_terms(texts):
+    """Disclosing terms by plain counting over all texts."""
+    word, contexts = re.compile(r"[^\W_]+"), {}
+    for text in dict.fromkeys(texts):
+        for kind in BASE:
+            matches = list(re.finditer(BASE[kind], text))
+            for n, m in enumerate(matches):
+                if not any(f"{kind}:{m.start()}:{m.end()}" == s for s in brute_spans(text)[1].split(",")):
+                    continue
+                left = text[matches[n - 1].end() if n else 0 : m.start()]
+                right = text[m.end() : matches[n + 1].start() if n + 1 < len(matches) else len(text)]
+                size = pii.WINDOW_CHARACTERS
+                left = [w.group() for w in word.finditer(left) if w.start() > len(left) - size - 1 or len(left) <= size]
+                right = [w.group() for w in word.finditer(right) if w.end() <= size or len(right) <= size]
+                near = [w.lower() for w in [*left[::-1][:6], *right[:6]]]
+                contexts.setdefault((f"{kind}:{m.group().lower()}", tuple(near)), set(near))
+    entities = collections.Counter(e for e, _ in contexts)
+    pairs = collections.Counter((e, w) for (e, _), near in contexts.items() for w in near)
+    held = collections.Counter(w for t in dict.fromkeys(texts) for w in {x.lower() for x in word.findall(t)})
+    out = set()
+    for (entity, term), n in pairs.items():
+        if n < 3 or entities[entity] < 3:
+            continue
+        posterior = min(1.0, n / held[term])
+        if posterior >= 0.5 and np.log2(posterior / (entities[entity] / len(texts))) >= 4:
+            out.add(term)
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(21)
+    texts = []
+    for i in range(400):
+        entity = rng.choice(["ann@ex.org", "bob@ex.org", "10.0.0.7", "+1 988 555 2485"])
+        secret = {"ann@ex.org": "marlow", "bob@ex.org": "quillby", "10.0.0.7": "basement", "+1 988 555 2485": "carousel"}[entity]
+        fill = lambda n: " ".join(rng.choice(["x" * 170, *[f"w{k}" for k in range(60)]]) if rng.random() < 0.05 else f"w{rng.randint(0, 60)}" for _ in range(n))
+        here = rng.random() < 0.2
+        parts = [fill(rng.randint(1, 9)), secret if rng.random() < (0.8 if here else 0.02) else "", entity if here else "", fill(rng.randint(1, 9))]
+        texts.append(" ".join(p for p in parts if p) if rng.random() < 0.9 else rng.choice(texts or ["a"]))
+    want = brute_terms(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term:")] for r in pii.report(df).collect()}
+    found = {texts[i][int(s.split(":")[1]) : int(s.split(":")[2])].lower() for i, x in spans.items() for s in x}
+    assert found == want and len(want) >= 3
+    for i, text in enumerate(texts):  # each place of a term, outside of base spans, is a span
+        places = [m for m in re.finditer(r"[^\W_]+", text) if m.group().lower() in want]
+        assert len(spans[i]) == len(places)
 
 
 def test_sanitised_text(spark, odd):

@@ -115,19 +115,21 @@ def salted_lookup(df: DataFrame, small: DataFrame, key: str | list[str], row: Co
     return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
-#: Bits of the filter of possibly(): its table has at most FILTER_BITS / 64 rows, whatever the keys.
-FILTER_BITS = 1 << 22
+#: Bits for each key of the filter of possibly(), and the fewest and most bits it has; the most are 8 MB.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 26
 
 
 def possibly(df: DataFrame, column: Column, keys: DataFrame, key: Column, name: str = "_maybe") -> DataFrame:
     """Add `name`: false where `column` surely is no `key` of `keys`, true where it may be one.
 
-    A bit map of hashes with a fixed number of bits is broadcast. It spares rows a shuffle before an exact join; with
-    more keys than bits it only spares fewer.
+    A bit map of hashes, of a size that follows the number of keys up to MOST_BITS, is broadcast. It spares rows a
+    shuffle before an exact join; with very many keys it only spares fewer. `keys` should be staged.
     """
-    place = F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1))
+    wanted = max(LEAST_BITS, min(MOST_BITS, FILTER_BITS * keys.count()))
+    mask = F.lit((1 << (wanted - 1).bit_length()) - 1)
+    place = F.xxhash64(key).bitwiseAND(mask)
     bits = keys.select(place.alias("_p")).select(F.shiftright("_p", 6).alias("_word"), F.expr("shiftleft(1L, cast(_p & 63 AS int))").alias("_bit"))
     words = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    own = df.withColumn("_p", F.xxhash64(column).bitwiseAND(F.lit(FILTER_BITS - 1))).withColumn("_word", F.shiftright("_p", 6))
+    own = df.withColumn("_p", F.xxhash64(column).bitwiseAND(mask)).withColumn("_word", F.shiftright("_p", 6))
     seen = own.join(F.broadcast(words), "_word", "left")
     return seen.withColumn(name, F.coalesce(F.expr("shiftright(_bits, cast(_p & 63 AS int)) & 1L = 1L"), F.lit(False))).drop("_word", "_bits", "_p")

@@ -349,40 +349,6 @@ def test_byte_bpe(spark, odd, none):
     assert bpe_bytes.digests(none, RANKS, tokenizers.PATTERN).count() == 0
 
 
-# 7: line dedup
-
-
-def test_line_dedup(spark, odd, none):
-    passage = " ".join(f"passage{i}" for i in range(60))
-    many = "\n".join(f"shared line number {i} of a block" for i in range(40))
-    texts = [f"own one\n{passage}\nown two", f"{passage}\nown three", f"own four\n{many}\nown five", f"x\ny\n{many}\nown six", "short\nown seven", "own eight\nshort"]
-    df = documents(spark, texts)
-    rows = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
-    assert rows[0].text == texts[0] and rows[2].text == texts[2] and rows[4].text == texts[4] and rows[5].text == texts[5]
-    assert rows[1].text == "own three" and rows[1].removed_chunks == 1 and rows[1].n_chars == 9
-    left = rows[3].text.split("\n")
-    assert len(left) < 20 and set(left) <= set(texts[3].split("\n")) and rows[3].removed_lines == 43 - len(left)
-    assert left[:2] == ["x", "y"] and left[-1] == "own six"
-    both = line_dedup.dedup_lines(odd.withColumn("removed_lines", F.lit("clash")))
-    assert both.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0
-    assert both.where("text IS NULL").count() == odd.where("text IS NULL").count()
-
-
-def test_line_dedup_on_a_very_long_text(spark):
-    text = "\n".join(f"line {i % 5000}" for i in range(60000))
-    rows = line_dedup.dedup_lines(documents(spark, [text, "b", text])).collect()
-    assert sum(r.removed_lines for r in rows) > 60000
-
-
-def test_line_dedup_compares_bytes(spark, monkeypatch):
-    """With a hash that always clashes only equal texts go."""
-    real = F.xxhash64
-    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long") if isinstance(c[0], str) and c[0] == "c.text" else real(*c))
-    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
-    rows = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, [a, b, f"x\n{a}", f"{b}\ny"])).collect()}
-    assert rows == {0: a, 1: b, 2: "x", 3: "y"}
-
-
 # 9: language
 
 

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import release, salted_lookup, stage
+
+
+#: Parts into which the neighbours of a node are dealt.
+SALTS = 8
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """One step over links (a, b): each node's neighbours are linked to the smallest of them and itself.
 
     The large step links the larger neighbours, the small step the smaller ones and the node itself. The smallest
-    neighbour comes from an aggregate that is combined before the shuffle, so a hub's neighbours never meet in a task.
+    neighbour comes from an aggregate that is combined before the shuffle, and is met by the neighbours dealt over
+    several tasks, so a hub's neighbours never meet in one.
     """
     larger, smaller = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     if small:
         around = links.select(larger, smaller)
         lowest = around.groupBy("a").agg(F.min("b").alias("m"))
-        joined = around.join(lowest, "a")
+        joined = salted_lookup(around, lowest, "a", F.col("b"), SALTS)
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
     else:
         around = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        joined = around.join(lowest, "a").where("b > a")
+        joined = salted_lookup(around, lowest, "a", F.col("b"), SALTS).where("b > a")
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
@@ -40,7 +45,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         if before[0] == 0:
             break
-        current = stage(_star(_star(current, small=False), small=True))
+        last, current = current, stage(_star(_star(current, small=False), small=True))
+        release(last)
         after = current.agg(mark.alias("m")).first()["m"]
         if after == before:
             break

@@ -60,7 +60,7 @@ def test_stage_drops_near_copies(spark):
 def test_recall_of_bands():
     texts = corpus(400, 2, 14)
     sets = [simhash.shingle_hashes(t, 5) for t in texts]
-    keys = [set(minhash.band_keys(s).tolist()) for s in sets]
+    keys = [set(minhash.signature(s)[0].tolist()) for s in sets]
     _, pairs = brute_kept_pairs(texts)
     found = sum(bool(keys[i] & keys[j]) for i, j in pairs)
     assert len(pairs) > 300 and found >= 0.998 * len(pairs)
@@ -75,10 +75,21 @@ def brute_kept_pairs(texts):
     return sets, [(i, j) for i, j in close if jaccard(sets[i], sets[j]) >= 0.8]
 
 
-def test_large_group_of_near_copies(spark):
-    """More sets to a key than PAIRS_LIMIT: pairs stay few, and the group is still one component."""
+@pytest.mark.parametrize(("few", "block", "rounds"), [(12, 1024, (3, 100, None)), (3, 20, (1, None))])
+def test_large_groups_of_near_copies(spark, monkeypatch, few, block, rounds):
+    """Keys of many sets: copies that only their source links, groups that one text links, and unlike neighbours."""
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
     rng = random.Random(8)
-    words = [f"w{i}" for i in range(300)]
-    texts = [" ".join(edited(rng, words, rng.randint(0, 3))) for _ in range(150)] + ["quite another text"]
-    want, _ = brute_kept(texts)
-    assert kept(spark, texts, simhash.keep_one) == want and len(want) == 2
+    source = [f"w{i}" for i in range(400)]
+    texts = [" ".join(source), *(" ".join(edited(rng, source, rng.randint(5, 9))) for _ in range(120))]
+    other = [*source[:330], *(f"v{i}" for i in range(70))]  # too unlike the source, but it shares keys with it
+    texts += [" ".join(other), *(" ".join(edited(rng, other, rng.randint(0, 6))) for _ in range(60)), "quite another text"]
+    chain = [f"c{i}" for i in range(200)]
+    for _ in range(30):  # each like the one before, the ends unlike each other
+        texts.append(" ".join(chain))
+        chain = edited(rng, chain, 2)
+    rng.shuffle(texts)
+    want, pairs = brute_kept(texts)
+    assert kept(spark, texts, simhash.keep_one) == want and 4 <= len(want) < 60 and len(pairs) > 1000

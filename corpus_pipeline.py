@@ -2,7 +2,8 @@
 
 Each stage takes and, but for the last, returns the columns of documents. The language stage drops documents whose
 language cannot be told; line dedup rewrites texts; near-dedup keeps one document of each group; the PII stage replaces
-personal data and disclosing terms; packing returns the pieces with their places.
+personal data and disclosing terms; packing returns the pieces with their places. Columns of other names come through
+all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,29 +15,39 @@ from pyspark.sql import functions as F
 from tessera.llm import language_id, line_dedup, packing, pii, simhash
 from tessera.llm.common import stage
 
-#: A language below this score, or none at all, is rejected.
-LEAST_LANGUAGE_SCORE = 0.26
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs)
-    told = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(told).select(*docs.columns)
+    """Rows whose text has a language that can be learnt from `docs`; see language_id.is_rejected.
+
+    Null and empty texts and texts without a letter go. So do longer texts that are familiar with no learnt language.
+    Without any labelled row all go. Repeated rows stay or go together; very long texts are read whole.
+    """
+    return language_id.identify(docs).where(~language_id.is_rejected()).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without lines that repeat earlier passages; see line_dedup.dedup_lines.
+
+    Nulls stay; a text whose lines all repeat becomes empty. Repeated rows are rewritten alike.
+    """
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that with the smallest doc_id; see simhash.keep_one.
+
+    Shingles have five words, and similarity is 0.8 or more. Null and empty texts are copies of each other, rows without
+    doc_id come last, and of repeated rows one stays.
+    """
     return simhash.keep_one(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data and disclosing terms replaced by tags; see pii.sanitise. Nulls stay."""
     return pii.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their places in sequences; see packing.pack_documents. Null text is an end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -53,6 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of what the stages keep of documents. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
         docs = function(spark, docs, sf_dir)

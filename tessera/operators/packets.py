@@ -14,6 +14,12 @@ from tessera.functions.text import distinct_in_order, is_referential, snippet, s
 #: A referring message with fewer terms takes terms from what came before; so many of them go into the query.
 FEW_TERMS, FOCUS_IN_QUERY = 4, 8
 LISTS = ("entities", "relations", "resolved_referents", "retrieval_terms", "graph_seeds", "limitations")
+#: What a packet that no compiler made says of itself.
+FALLBACK_INTENT = "deterministic lexical fallback"
+FALLBACK_LIMITATION = "semantic compiler backend unavailable; deterministic lexical fallback used"
+#: What the terms of a focus, and of an earlier turn, are taken from, in this order.
+FOCUS_PARTS = ("retrieval_terms", "graph_seeds", "selected_note_titles", "selected_section_labels", "query", "vector_query")
+TURN_PARTS = ("query", "retrieval_terms", "vector_query", "graph_seeds", "selected_note_titles", "selected_section_labels", "entities", "relations")
 TEXTS = ("intent", "query", "vector_query")
 
 
@@ -32,10 +38,11 @@ def compile_packets(messages: DataFrame) -> DataFrame:
     seeds = F.array("query", F.trim(F.coalesce(F.col("previous_message"), F.lit(""))))
     none = F.array().cast("array<string>")
     return (
-        out.withColumn("intent", F.lit("deterministic lexical fallback"))
+        out.withColumn("intent", F.lit(FALLBACK_INTENT))
         .withColumn("vector_query", F.col("query"))
         .withColumn("graph_seeds", F.when(F.size("retrieval_terms") > 0, distinct_in_order(F.filter(seeds, lambda s: s != ""))).otherwise(none))
-        .withColumns({c: none for c in ("entities", "relations", "resolved_referents", "limitations")})
+        .withColumns({c: none for c in ("entities", "relations", "resolved_referents")})
+        .withColumn("limitations", F.array(F.lit(FALLBACK_LIMITATION)))
     )
 
 
@@ -46,6 +53,40 @@ def focus_terms(*values: Column) -> Column:
     return distinct_in_order(F.flatten(F.transform(clean, lambda i: F.concat(terms(i), F.array(i)))))
 
 
+def _parts(of: Column, names: tuple[str, ...]) -> Column:
+    lists = {"entities", "relations", "retrieval_terms", "graph_seeds", "selected_note_titles", "selected_section_labels"}
+    return focus_terms(*[of[n] if n in lists else F.array(F.coalesce(of[n], F.lit(""))) for n in names])
+
+
+def focus_of_state(focus: Column, recent: Column) -> Column:
+    """What a referring message may take up: the terms of the active focus, then those of the last two turns."""
+    last = F.slice(recent, F.greatest(F.lit(1), F.size(recent) - 1), 2)
+    turns = F.flatten(F.transform(last, lambda t: _parts(t, TURN_PARTS)))
+    none = F.array().cast("array<string>")
+    return distinct_in_order(F.concat(F.coalesce(_parts(focus, FOCUS_PARTS), none), F.coalesce(turns, none)))
+
+
+def seeds_of_focus(focus: Column) -> Column:
+    """The seeds that an active focus gives the graph surface, in order."""
+    texts = [F.array(F.coalesce(focus[n], F.lit(""))) for n in ("query", "vector_query")]
+    lists = [F.coalesce(focus[n], F.array().cast("array<string>")) for n in ("retrieval_terms", "graph_seeds", "selected_note_titles", "selected_section_labels")]
+    return F.filter(F.transform(F.concat(*texts, *lists), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def request(states: DataFrame) -> Column:
+    """The request to a compiler as JSON: the message, the state before it, and what to do."""
+    told = F.lit("Compile a minimal semantic target for traversal. Do not answer the user.")
+    parts = F.struct(
+        F.col("message").alias("raw_user_input"),
+        F.col("state").alias("prior_thread_state"),
+        F.col("state.recent_messages").alias("recent_messages"),
+        F.col("state.recent_semantic_turns").alias("recent_semantic_turns"),
+        F.col("state.active_focus").alias("active_focus"),
+        told.alias("instruction"),
+    )
+    return F.to_json(parts, {"ignoreNullFields": "false"})
+
+
 def complete_by_backend(packets: DataFrame, payload: str = "payload") -> DataFrame:
     """What a compiler backend does with its own payload before it answers.
 
@@ -73,22 +114,30 @@ def diagnostic(packets: DataFrame, raw: str = "raw_response") -> DataFrame:
     )
 
 
-def complete(packets: DataFrame, payload: str = "payload") -> DataFrame:
+def complete(packets: DataFrame, payload: str = "payload", status: str | None = None) -> DataFrame:
     """Packets whose fields give way to the non-empty ones of the struct column `payload`; compiler_status says so.
 
-    A null payload leaves the packet as it is, with status `fallback`. vector_query without a value is the query.
+    vector_query without a value is the query, the new one where there is one. Where no terms are left they are those
+    of the query, and where there are terms but no seeds the query is the seed. A null payload, or one whose answer has
+    another `status` (a column) than parsed, leaves the packet as it is, with status `fallback`.
     """
     given = packets.schema[payload].dataType.fieldNames()
-    changes = {c: F.coalesce(F.nullif(F.trim(F.col(f"{payload}.{c}")), F.lit("")), F.col(c)) for c in TEXTS if c in given}
+    parsed = F.col(payload).isNotNull() if status is None else F.col(payload).isNotNull() & (F.col(status) == "parsed")
+
+    def said(name: str) -> Column:
+        return F.nullif(F.trim(F.col(f"{payload}.{name}")), F.lit("")) if name in given else F.lit(None).cast("string")
+
+    changes = {c: F.when(parsed, F.coalesce(said(c), F.col(c))).otherwise(F.col(c)) for c in ("intent", "query")}
+    changes["vector_query"] = F.when(parsed, F.coalesce(said("vector_query"), changes["query"])).otherwise(F.col("vector_query"))
     for c in LISTS:
         if c in given:
             clean = F.filter(F.transform(f"{payload}.{c}", squeeze), lambda x: x != "")
-            changes[c] = F.when(F.size(clean) > 0, distinct_in_order(clean)).otherwise(F.col(c))
-    if "vector_query" in given:
-        said = F.nullif(F.trim(F.col(f"{payload}.vector_query")), F.lit(""))
-        changes["vector_query"] = F.coalesce(said, changes.get("query", F.col("query")))
-    status = F.when(F.col(payload).isNull(), "fallback").otherwise("parsed")
-    return packets.withColumns({**changes, "compiler_status": status})
+            changes[c] = F.when(parsed & (F.size(clean) > 0), distinct_in_order(clean)).otherwise(F.col(c))
+    out = packets.withColumns({**changes, "compiler_status": F.when(parsed, "parsed").otherwise("fallback")})
+    missing = (F.col("compiler_status") == "parsed") & (F.size("retrieval_terms") == 0)
+    out = out.withColumn("retrieval_terms", F.when(missing, terms(F.col("query"))).otherwise(F.col("retrieval_terms")))
+    seedless = (F.col("compiler_status") == "parsed") & (F.size("graph_seeds") == 0) & (F.size("retrieval_terms") > 0)
+    return out.withColumn("graph_seeds", F.when(seedless, F.array("query")).otherwise(F.col("graph_seeds")))
 
 
 def is_valid() -> Column:

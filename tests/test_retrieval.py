@@ -1,5 +1,6 @@
 """Surfaces, fusion and selection against plain Python."""
 
+import collections
 import random
 
 from pyspark.sql import functions as F
@@ -51,12 +52,40 @@ def test_lexical_takes_terms_as_they_are(spark):
     assert got == [("q1", 4.0, "lexical match: leaf, tea")]
 
 
-def test_lexical_in_blocks_equals_broadcast(spark, monkeypatch):
-    chunks = spark.createDataFrame([(i, "", "", "", f"word{i} common") for i in range(20)], "chunk_id long, note_title string, section_label string, relative_path string, paragraph_text string")
-    queries = spark.createDataFrame([(i, [f"word{i}", "common"]) for i in range(9)], "query_id long, terms array<string>")
-    whole = retrieval.lexical(chunks, queries).collect()
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
-    assert sorted(retrieval.lexical(chunks, queries).collect()) == sorted(whole)
+def test_lexical_index_equals_one_pass(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["tea", "steam", "a", "it's", "green-tea", "über", "日本", "x1", "leaf,", "ation"]
+    chunks = [(i, rng.choice(["Title", "", None]), None, f"p/{i}.md", rng.choice([" ", "\n", "  "]).join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(60)]
+    pool = ["tea", "ea", "t", "tio", "green-tea", "leaf, tea", "a  a", "tea steam", "Tea", "ü", "日本 x1", "本", "md", "p/1", "zz", "x1\na", " ", "", "it's a"]
+    asked = [(q, [rng.choice(pool) for _ in range(rng.randint(0, 6))]) for q in range(25)]
+    df = spark.createDataFrame(chunks, "chunk_id long, note_title string, section_label string, relative_path string, paragraph_text string")
+    queries = spark.createDataFrame(asked, "query_id long, terms array<string>")
+    want = set()
+    for i, title, label, path, text in chunks:
+        hay = " ".join(x or "" for x in (title, label, path, text)).lower()
+        for q, terms in asked:
+            if found := [t for t in terms if t in hay]:
+                want.add((q, i, len(found) + 2.0, "lexical match: " + ", ".join(found), f"p/{i}.md"))
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", most)
+        got = retrieval.lexical(df, queries, carry=("relative_path",)).drop("source").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_similarities_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SHARD_VECTORS", 7)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 3)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, rng.random()]) for _ in range(rng.choice([3, 3, 2]))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    asked = df.where("chunk_id % 5 = 0").withColumnRenamed("chunk_id", "query_id")
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = {(q, c): sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b) for q, a in rows if q % 5 == 0 for c, b in rows if len(a) == len(b) and norm(a) and norm(b)}
+    want = {k: v for k, v in want.items() if v > 1e-12}
+    got = {(r.query_id, r.chunk_id): r.similarity for r in retrieval.similarities(df, asked).collect() if r.similarity > 1e-12}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    few = collections.Counter(r.query_id for r in retrieval.similarities(df, asked, 2).collect())
+    assert all(n >= min(2, sum(k[0] == q for k in want)) for q, n in few.items())
 
 
 def test_vector_guards(spark):
@@ -105,7 +134,7 @@ def test_packets_and_gate(spark):
     assert made["q3"].retrieval_terms == [] and made["q3"].graph_seeds == []
     completed = packets.complete(packets.compile_packets(asked).withColumn("payload", F.when(F.col("query_id") != "q3", F.struct(F.lit(" better ").alias("query"), F.array(F.lit("x"), F.lit("x")).alias("retrieval_terms")))))
     done = {r.query_id: r for r in packets.gate(completed.withColumn("selected_count", F.lit(0)).withColumn("llm_available", F.lit(True))).collect()}
-    assert done["q1"].query == "better" and done["q1"].retrieval_terms == ["x"]
+    assert done["q1"].query == done["q1"].vector_query == "better" and done["q1"].retrieval_terms == ["x"]
     assert done["q1"].blocking_reasons == ["retrieval required but no chunks were selected"] and done["q1"].outcome == "blocked"
     decided = packets.gate(completed.withColumn("selected_count", F.lit(2)).withColumn("llm_available", F.col("query_id") == "q1"))
     kept = packets.synthesis_context(decided, asked.select("query_id", F.struct(F.lit(1).alias("n")).alias("retrieval"))).collect()
@@ -113,6 +142,33 @@ def test_packets_and_gate(spark):
     assert done["q3"].compiler_status == "fallback" and len(done["q3"].blocking_reasons) == 1
 
 
+def test_completion_against_a_plain_version(spark):
+    """Payloads that lack each field, have it empty, or have it."""
+    rng, rows = random.Random(6), []
+    for i in range(80):
+        text = lambda *other: rng.choice([None, "", "  ", *other])
+        many = lambda *other: rng.choice([None, [], ["", " "], *other])
+        payload = (text(" green tea leaves "), text("find"), text("vector words"), many(["a b", " a  b ", "c"]), many(["Some Term"]), many(["seed one"]), many(["why"]))
+        rows.append((f"q{i}", rng.choice(["it is", "Compare black tea and water", ""]), "earlier words", ["focus"], None if i % 10 == 0 else payload))
+    schema = "query_id string, message string, previous_message string, focus_terms array<string>, payload struct<query:string,intent:string,vector_query:string,entities:array<string>,retrieval_terms:array<string>,graph_seeds:array<string>,limitations:array<string>>"
+    made = packets.compile_packets(spark.createDataFrame(rows, schema))
+    before = {r.query_id: r for r in made.collect()}
+    terms = lambda t: list(dict.fromkeys(w for w in t.lower().split() if len(w) >= 3 and w not in ("and", "the")))
+    clean = lambda v: list(dict.fromkeys(x for x in (" ".join(i.split()) for i in v or []) if x))
+    for r in packets.complete(made).collect():
+        old, p = before[r.query_id], r.payload
+        if p is None:
+            assert r.compiler_status == "fallback" and (r.query, r.retrieval_terms, r.limitations) == (old.query, old.retrieval_terms, old.limitations)
+            continue
+        query = (p.query or "").strip() or old.query
+        assert (r.compiler_status, r.query, r.intent) == ("parsed", query, (p.intent or "").strip() or old.intent)
+        assert r.vector_query == ((p.vector_query or "").strip() or query)
+        want = clean(p.retrieval_terms) or old.retrieval_terms or terms(query)
+        assert r.retrieval_terms == want and r.entities == clean(p.entities)
+        assert r.graph_seeds == (clean(p.graph_seeds) or old.graph_seeds or ([query] if want else []))
+        assert r.limitations == (clean(p.limitations) or old.limitations)
+
+
 def test_end_to_end(spark):
     chunks = spark.createDataFrame(
         [("c1", "n1", 0, 0, "Tea", "notes/tea.md", "Tea", "green leaf", "h1"), ("c2", "n2", 1, 0, "Leaf", "leaf.md", "Leaf", "something else", "h2"), ("c3", "n3", 2, 0, "T", "template/x.md", "T", "leaf method", "h3")],

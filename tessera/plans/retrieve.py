@@ -1,4 +1,4 @@
-"""End to end: a batch of packets against the stored tables gives ranked chunks and a decision for each query."""
+"""End to end: a batch of packets against the stored tables gives ranked chunks, a manifest and a decision for each query."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions.text import plain
 from tessera.operators import graph, packets, retrieval
+from tessera.staging import stage
+
+INFO = "struct<enabled:boolean,hop_limit:int,seed_sources:array<string>,matched_seed_count:bigint,expanded_note_count:bigint,edge_types_used:array<string>>"
+TEXT = ("chunk_id", "note_id", "root_label", "relative_path", "note_title", "section_label", "paragraph_text", "chunk_hash")
 
 
 def seeds(asked: DataFrame, sources: list[str]) -> DataFrame:
@@ -27,43 +31,95 @@ def _named(source: str):
     return F.transform(clean, lambda s: F.struct(F.lit(source).alias("seed_source"), s.alias("seed")))
 
 
-def graph_candidates(asked: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(candidates, traversal info) of the graph surface."""
+def _strings(values: list[str]):
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _info(own, enabled: bool, seeds_found, notes_found, types) -> F.Column:
+    parts = F.struct(F.lit(enabled), F.lit(own.hop_limit), _strings(own.seed_sources), seeds_found.cast("long"), notes_found.cast("long"), types)
+    return parts.cast(INFO)
+
+
+def graph_candidates(asked: DataFrame, chunks: DataFrame, nodes: DataFrame | None, edges: DataFrame | None, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(candidates, (query_id, info, note)) of the graph surface; info has six fields, see INFO.
+
+    Without the graph's tables, and for a query without seeds, there are no candidates and the note says so.
+    """
     own = config.graph
-    given = seeds(asked, own.seed_sources)
+    none = chunks.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "chunk_id", F.lit("graph").alias("source"), F.lit(0.0).alias("score"), F.lit("").alias("reason")).limit(0)
+    empty = _strings([])
+    if not own.enabled or nodes is None or edges is None:
+        said = "graph traversal disabled" if not own.enabled else "graph search unavailable"
+        info = asked.select("query_id", _info(own, own.enabled, F.lit(0), F.lit(0), empty).alias("info"), F.array(F.lit(said)).alias("notes"))
+        return none, info
+    given = stage(seeds(asked, own.seed_sources))
     allowed = nodes.where(F.col("node_type").isin(own.node_type_allowlist) & (F.col("ref_id") != ""))
     found = graph.match_seeds(allowed, given, own.token_overlap, own.min_token_overlap)
-    matched = found.join(given.select("query_id", "seed_pos", "seed_source"), ["query_id", "seed_pos"])
+    matched = stage(found.join(given.select("query_id", "seed_pos", "seed_source"), ["query_id", "seed_pos"]))
     typed = edges.where(F.col("edge_type").isin(own.edge_type_allowlist))
     links = typed.join(allowed.select(F.col("node_id").alias("target_node_id")), "target_node_id", "left_semi")
-    reached = graph.hops(matched.select("query_id", "node_id"), links, own.hop_limit)
+    reached = stage(graph.visits(matched, links, allowed, own.hop_limit))
     why = graph.reasons(reached, matched, links, allowed, own.hop_limit)
-    first = matched.groupBy("query_id", "node_id").agg(F.min("seed_pos").alias("seed_pos"))
-    notes = reached.join(first, ["query_id", "node_id"], "left").join(allowed.select("node_id", F.col("ref_id").alias("note_id")), "node_id")
-    named = graph.capped_chunks(notes.select("query_id", "note_id", "hop", "seed_pos"), chunks, own.max_candidates)
-    told = named.join(why.join(allowed.select("node_id", F.col("ref_id").alias("note_id")), "node_id").select("query_id", "note_id", "reason"), ["query_id", "note_id"])
-    info = graph.traversal_info(asked, matched, reached, typed, own.hop_limit)
-    return told.select("query_id", "chunk_id", "source", "score", "reason"), info
+    place = allowed.select("node_id", F.col("ref_id").alias("note_id"))
+    named = graph.capped_chunks(reached.join(place, "node_id"), chunks, own.max_candidates)
+    candidates = stage(named.join(why.join(place, "node_id").select("query_id", "note_id", "reason"), ["query_id", "note_id"]).select("query_id", "chunk_id", "source", "score", "reason"))
+    walked = graph.traversal_info(asked, matched, reached, typed, own.hop_limit)
+    asked_for = given.select("query_id").distinct().withColumn("_seeded", F.lit(True))
+    counts = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    told = walked.join(asked_for, "query_id", "left").join(counts, "query_id", "left")
+    result = F.when(F.col("_n") > 0, F.format_string("graph search matched %d chunk(s)", "_n")).otherwise("graph search produced no matches")
+    how = F.format_string("graph traversal enabled=True, hop_limit=%d, matched_seed_count=%d, expanded_note_count=%d", F.lit(own.hop_limit), "matched_seed_count", "expanded_note_count")
+    notes = F.when(F.col("_seeded"), F.array(result, how)).otherwise(F.array(F.lit("graph search skipped: no graph seeds")))
+    info = told.select("query_id", _info(own, True, F.col("matched_seed_count"), F.col("expanded_note_count"), F.col("edge_types_used")).alias("info"), notes.alias("notes"))
+    return candidates, info
+
+
+def _surface_note(name: str, count: str, asked, skipped: str) -> F.Column:
+    """What the manifest says of the lexical or the vector surface; none where nothing was asked of the lexical one."""
+    found = F.when(F.col(count) > 0, F.format_string(f"{name} search matched %d chunk(s)", count)).otherwise(f"{name} search produced no matches")
+    return F.when(asked, found).otherwise(F.lit(skipped or None).cast("string"))
 
 
 def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[DataFrame], DataFrame] | None, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """(selected chunks by query and rank, packets with decision) for packets of operators.packets."""
+    """(selected chunks by query and rank, packets with manifest, selected_count and decision) for packets.
+
+    tables: chunks, and where there are any chunk_vectors, graph_nodes and graph_edges. Each surface is staged, so no
+    plan holds more than one of them.
+    """
     config = config or Config()
     chunks = tables["chunks"]
-    found = retrieval.lexical(chunks, asked.select("query_id", F.col("retrieval_terms").alias("terms")))
-    if embed is not None and tables.get("chunk_vectors") is not None:
+    asked = stage(asked)
+    found = stage(retrieval.lexical(chunks, asked.select("query_id", F.col("retrieval_terms").alias("terms"))))
+    vectors = tables.get("chunk_vectors")
+    searched = embed is not None and vectors is not None
+    if searched:
         queries = embed(asked.where("trim(vector_query) <> ''").select("query_id", F.col("vector_query").alias("text")))
-        found = found.unionByName(retrieval.vector(tables["chunk_vectors"], queries.select("query_id", "vector")))
-    if config.graph.enabled:
-        found = found.unionByName(graph_candidates(asked, chunks, tables["graph_nodes"], tables["graph_edges"], config)[0])
+        known = vectors.select("chunk_id", "vector").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+        found = found.unionByName(stage(retrieval.vector(known, queries.select("query_id", "vector"))))
+    graphed, walked = graph_candidates(asked, chunks, tables.get("graph_nodes"), tables.get("graph_edges"), config)
+    found = found.unionByName(graphed)
     said = plain(F.concat_ws(" ", "message", "intent", "query", "vector_query", *packets.LISTS[:-1]))
     hygiene = asked.select("query_id", retrieval.is_template_query(said).alias("_templates"))
-    text = chunks.select("chunk_id", "note_id", "note_title", "relative_path", "section_label", "paragraph_text", "chunk_hash")
+    text = chunks.select(*[c for c in TEXT if c in chunks.columns])
     judged = found.join(text, "chunk_id").join(hygiene, "query_id")
     boilerplate = retrieval.is_boilerplate(F.col("note_title"), F.col("relative_path"), F.col("section_label"), F.col("paragraph_text"))
     demoted = retrieval.demote(judged, boilerplate & ~F.col("_templates"))
     fused = retrieval.fuse(demoted.select("query_id", "chunk_id", "source", "score", "reason", "demoted")).join(text, "chunk_id")
-    selected = retrieval.select_top(fused, config.max_retrieval_chunks)
-    counts = selected.groupBy("query_id").agg(F.count(F.lit(1)).alias("selected_count"))
-    decided = packets.gate(asked.join(counts, "query_id", "left").fillna(0, ["selected_count"]))
-    return selected, decided
+    selected = stage(retrieval.select_top(fused, config.max_retrieval_chunks))
+    ids = selected.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("_ids"))
+    counts = retrieval.candidate_counts(found, asked)
+    told = asked.join(ids, "query_id", "left").join(counts, "query_id").join(walked, "query_id")
+    chosen = F.coalesce(F.transform("_ids", lambda x: x["chunk_id"].cast("string")), F.array().cast("array<string>"))
+    lexical_note = _surface_note("lexical", "lexical", F.size("retrieval_terms") > 0, "")
+    vector_note = _surface_note("vector", "vector", F.trim("vector_query") != "", "vector search skipped: empty query") if searched else F.lit("vector search unavailable")
+    manifest = F.struct(
+        F.col("retrieval_terms").alias("query_terms"),
+        "vector_query",
+        "graph_seeds",
+        F.struct("lexical", "vector", "graph").alias("candidate_counts"),
+        chosen.alias("selected_chunk_ids"),
+        F.col("info").alias("graph_traversal"),
+        F.concat(F.array_compact(F.array(lexical_note, vector_note)), "notes").alias("selection_notes"),
+    )
+    with_manifest = told.withColumn("manifest", manifest).withColumn("selected_count", F.size(chosen)).drop("_ids", "lexical", "vector", "graph", "info", "notes")
+    return selected, packets.gate(stage(with_manifest))

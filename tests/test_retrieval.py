@@ -115,6 +115,50 @@ def test_hops_equal_breadth_first_search(spark):
         assert {tuple(r) for r in graph.hops(starts, df, limit).collect()} == want
 
 
+def test_search_equals_a_queue(spark):
+    """Order of visits, reasons, edge types and the first chunks, against a first-in first-out search."""
+    rng = random.Random(12)
+    names = [f"n{i}" for i in range(30)]
+    labels = {n: f"Label {i % 25}" for i, n in enumerate(names)}
+    edges = [(rng.choice(names), rng.choice(names), rng.choice(["links", "also"]), k) for k in range(90)]
+    seeds = [("q", p, "graph_seeds", rng.choice(names)) for p in range(4)] + [("r", 0, "retrieval_terms", "n3"), ("r", 1, "active_focus", "n3")]
+    nodes = spark.createDataFrame([(n, "note", labels[n], n, i) for i, n in enumerate(names)], "node_id string, node_type string, label string, ref_id string, node_seq long")
+    df = spark.createDataFrame(edges, "source_node_id string, target_node_id string, edge_type string, edge_order long")
+    matched = spark.createDataFrame(seeds, "query_id string, seed_pos int, seed_source string, node_id string")
+    chunks = spark.createDataFrame([(n, i, c, f"{n}-{c}") for i, n in enumerate(names) for c in range(3)], "note_id string, note_seq long, chunk_seq int, chunk_id string")
+    for limit in (0, 1, 2):
+        order, why, types = {"q": [], "r": []}, collections.defaultdict(list), {"q": [], "r": []}
+        for q in order:
+            queue = []
+            for _, _, source, n in [s for s in seeds if s[0] == q]:
+                why[q, n].append(f"{source} graph seed matched note: {labels[n]}")
+                if n not in [x for x, _ in order[q]]:
+                    order[q].append((n, 0))
+                    queue.append((n, 0))
+            while queue:
+                n, hop = queue.pop(0)
+                for a, b, kind, _ in edges:
+                    if a != n or hop >= limit:
+                        continue
+                    if kind not in types[q]:
+                        types[q].append(kind)
+                    why[q, b].append(f"wikilink hop {hop + 1}: {labels[a]} -> {labels[b]}")
+                    if b not in [x for x, _ in order[q]]:
+                        order[q].append((b, hop + 1))
+                        queue.append((b, hop + 1))
+        reached = graph.visits(matched, df, nodes, limit)
+        got = {q: [(r.node_id, r.hop) for r in sorted(reached.where(F.col("query_id") == q).collect(), key=lambda r: r.visit)] for q in order}
+        assert got == order
+        told = {(r.query_id, r.node_id): r.reason for r in graph.reasons(reached, matched, df, nodes, limit).collect()}
+        assert told == {k: "; ".join(dict.fromkeys(v)) for k, v in why.items()}
+        info = {r.query_id: r for r in graph.traversal_info(matched.select("query_id").distinct(), matched, reached, df, limit).collect()}
+        assert {q: info[q].edge_types_used for q in order} == types
+        assert all(info[q].expanded_note_count == sum(h > 0 for _, h in order[q]) for q in order)
+        capped = graph.capped_chunks(reached.withColumnRenamed("node_id", "note_id"), chunks, 7).collect()
+        want = {(q, f"{n}-{c}") for q in order for n, c in [(n, c) for n, _ in order[q] for c in range(3)][:7]}
+        assert {(r.query_id, r.chunk_id) for r in capped} == want
+
+
 def test_exact_seeds_hide_overlap(spark):
     nodes = spark.createDataFrame([("n1", "Green Tea", "r1"), ("n2", "green tea party", "r2")], "node_id string, label string, ref_id string")
     seeds = spark.createDataFrame([("q", 0, "green-tea"), ("q", 1, "party green things")], "query_id string, seed_pos int, seed string")
@@ -192,7 +236,12 @@ def test_end_to_end(spark):
     why = {r.chunk_id: r.reason for r in candidates.collect()}
     assert why["c2"].endswith("wikilink hop 1: Tea -> Leaf") and "seed matched note: Tea" in why["c1"]
     row = info.first()
-    assert (row.matched_seed_count, row.expanded_note_count, row.edge_types_used) == (3, 0, ["note_links_note"])
+    assert row.info.asDict() == {"enabled": True, "hop_limit": 1, "seed_sources": ["graph_seeds", "active_focus", "retrieval_terms"], "matched_seed_count": 3, "expanded_note_count": 0, "edge_types_used": ["note_links_note"]}
+    manifest = decided.first()["manifest"]
+    assert manifest.candidate_counts.asDict() == {"lexical": 3, "vector": 0, "graph": 2} and manifest.selected_chunk_ids == ["c1", "c2", "c3"]
+    assert manifest.selection_notes[:3] == ["lexical search matched 3 chunk(s)", "vector search unavailable", "graph search matched 2 chunk(s)"]
+    nothing, told = graph_candidates(made, chunks, None, None, Config())
+    assert nothing.count() == 0 and told.first()["notes"] == ["graph search unavailable"]
     counts = retrieval.candidate_counts(candidates, made).first()
     assert (counts.lexical, counts.graph) == (0, 2)
     assert store.probe_embedding(asked.select(F.lit("a note").alias("text"))).first()["vector"] == [6.0, 1.0, 0.0]

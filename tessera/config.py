@@ -10,8 +10,8 @@ from typing import Any, get_type_hints
 ENVIRONMENT = "TESSERA_CONFIG"
 DEFAULT_FILE = "tessera.yaml"
 #: What a key or value must not look like.
-SECRET_KEYS = re.compile(r"api[_-]?key|secret|password|credential|access[_-]?token", re.I)
-SECRET_VALUES = re.compile(r"^(sk-|ghp_|xox[abp]-|AKIA)")
+SECRET_KEYS = re.compile(r"api[_-]?key|secret|password|credentials?|bearer|(^|[_-])token$", re.I)
+SECRET_VALUES = re.compile(r"^(sk-|ghp_|xox[abp]-|AKIA|Bearer )")
 IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -31,13 +31,65 @@ class Graph:
     min_token_overlap: int = 2
 
 
+@dataclass(frozen=True)
+class Embeddings:
+    """provider: probe, sentence_transformers, http or unavailable."""
+
+    provider: str = "probe"
+    model: str = "probe"
+    base_url: str | None = None
+    batch_size: int = 32
+    normalize_embeddings: bool = True
+    device: str | None = None
+    request_timeout_seconds: int = 60
+
+
+@dataclass(frozen=True)
+class Compiler:
+    """provider: http or none."""
+
+    provider: str = "none"
+    model: str | None = None
+    base_url: str = ""
+    request_timeout_seconds: int = 60
+
+
+@dataclass(frozen=True)
+class Answers:
+    """provider: http or none; the key of a service comes from the environment only."""
+
+    provider: str = "none"
+    model: str = ""
+    base_url: str = ""
+    max_output_tokens: int = 6000
+    request_timeout_seconds: int = 60
+
+
+@dataclass(frozen=True)
+class Storage:
+    """Folders under the store: of threads, and of what ingestion writes."""
+
+    threads: str = "threads"
+    ingestion: str = "ingestion"
+
+
 @dataclass(frozen=True)
 class Config:
     store: str = ".tessera"
     max_retrieval_chunks: int = 18
     roots: list[str] = field(default_factory=list)
     vector_table: str = "chunk_vectors"
+    graph_nodes_table: str = "graph_nodes"
+    graph_edges_table: str = "graph_edges"
     graph: Graph = field(default_factory=Graph)
+    embeddings: Embeddings = field(default_factory=Embeddings)
+    compiler: Compiler = field(default_factory=Compiler)
+    answers: Answers = field(default_factory=Answers)
+    storage: Storage = field(default_factory=Storage)
+
+    def place(self, folder: str, root: str | None = None) -> str:
+        """A storage folder: as it is where it is absolute or a URI, else under the store (or `root`)."""
+        return folder if folder.startswith("/") or "://" in folder else f"{(root or self.store).rstrip('/')}/{folder}"
 
 
 def _no_secrets(value: Any, path: str = "") -> None:
@@ -67,6 +119,8 @@ def _build(kind: type, given: Any, path: str) -> Any:
             made[name] = _build(hint, value, f"{path}{name}.")
             continue
         wanted = list if hint == list[str] else hint
+        if hint == str | None:
+            wanted = str if value is not None else type(None)
         if type(value) is not wanted or wanted is list and not all(type(x) is str for x in value):
             raise ConfigError(f"{path}{name}: {hint} is needed")
         made[name] = value
@@ -84,6 +138,7 @@ def load(path: str | None = None) -> Config:
         given = yaml.safe_load(source)
     _no_secrets(given)
     made = _build(Config, given, "")
-    if not IDENTIFIER.match(made.vector_table):
-        raise ConfigError("vector_table: an identifier is needed")
+    for name in ("vector_table", "graph_nodes_table", "graph_edges_table"):
+        if not IDENTIFIER.match(getattr(made, name)):
+            raise ConfigError(f"{name}: an identifier is needed")
     return made

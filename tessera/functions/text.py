@@ -24,6 +24,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without Unicode white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def plain(text: Column) -> Column:
     """Lower-case letters a-z and digits, all else one space."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tessera.config import Config
 from tessera.operators.store import probe_embedding
 
 Embedder = Callable[[DataFrame], DataFrame]
@@ -147,6 +148,68 @@ class NoWriter:
         raise RuntimeError("no service for answers is configured")
 
 
+@dataclass(frozen=True)
+class HttpWriter:
+    """A chat service at /api/generate; an empty answer says so."""
+
+    model: str
+    base_url: str
+    max_output_tokens: int = 6000
+    timeout: float = 60
+    available = True
+    mode = "live"
+
+    def generate(self, context: dict) -> str:
+        prompt = "\n".join([*context.get("output_requirements", []), json.dumps(context)])
+        body = {"model": self.model, "prompt": prompt, "stream": False, "options": {"num_predict": self.max_output_tokens}}
+        return _post(f"{self.base_url}/api/generate", body, self.timeout)["response"].strip() or "The model returned an empty response."
+
+
+class ProbeCompiler:
+    """The message itself as the packet's query: for smoke tests."""
+
+    def compile_turn(self, request: dict) -> Compiled:
+        query = request["raw_user_input"]
+        return Compiled({"query": query, "intent": "probe"}, json.dumps({"query": query}), "parsed", {"backend_mode": "probe"})
+
+
+@dataclass(frozen=True)
+class ProbeWriter:
+    """An answer that repeats the message: for smoke tests."""
+
+    prefix: str = "Probe answer"
+    available = True
+    mode = "probe"
+
+    def generate(self, context: dict) -> str:
+        return f"{self.prefix}: {context['raw_user_input']}"
+
+
+def backends_of(config: Config) -> tuple[Embedder, Compiler, Writer]:
+    """The embedder, compiler and writer that the settings name."""
+    own = config.embeddings
+    given: dict[str, Any] = {}
+    if own.provider == "sentence_transformers":
+        given = {"model": own.model, "batch_size": own.batch_size, "normalize": own.normalize_embeddings, "device": own.device}
+    elif own.provider == "http":
+        given = {"model": own.model, "base_url": own.base_url or "", "timeout": own.request_timeout_seconds}
+    compilers: dict[str, Callable[[], Compiler]] = {
+        "none": NoCompiler,
+        "probe": ProbeCompiler,
+        "http": lambda: HttpCompiler(config.compiler.model or "", config.compiler.base_url, config.compiler.request_timeout_seconds),
+    }
+    answers = config.answers
+    writers: dict[str, Callable[[], Writer]] = {
+        "none": NoWriter,
+        "probe": ProbeWriter,
+        "http": lambda: HttpWriter(answers.model, answers.base_url, answers.max_output_tokens, answers.request_timeout_seconds),
+    }
+    for kind, known, name in (("compiler", compilers, config.compiler.provider), ("answers", writers, answers.provider)):
+        if name not in known:
+            raise ValueError(f"{kind}: unknown provider {name!r}; known: {', '.join(sorted(known))}")
+    return embedder(own.provider, **given), compilers[config.compiler.provider](), writers[answers.provider]()
+
+
 def load_env(path: str) -> dict[str, str]:
     """KEY=VALUE lines of a file, if it is there; # comments and blank lines are passed over, quotes around a value go."""
     found: dict[str, str] = {}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import distinct_in_order, is_referential, snippet, squeeze, terms, text_hash
+from tessera.functions.text import distinct_in_order, is_referential, snippet, strip, terms, text_hash
 
 #: A referring message with fewer terms takes terms from what came before; so many of them go into the query.
 FEW_TERMS, FOCUS_IN_QUERY = 4, 8
@@ -125,13 +125,13 @@ def complete(packets: DataFrame, payload: str = "payload", status: str | None =
     parsed = F.col(payload).isNotNull() if status is None else F.col(payload).isNotNull() & (F.col(status) == "parsed")
 
     def said(name: str) -> Column:
-        return F.nullif(F.trim(F.col(f"{payload}.{name}")), F.lit("")) if name in given else F.lit(None).cast("string")
+        return F.nullif(strip(F.col(f"{payload}.{name}")), F.lit("")) if name in given else F.lit(None).cast("string")
 
     changes = {c: F.when(parsed, F.coalesce(said(c), F.col(c))).otherwise(F.col(c)) for c in ("intent", "query")}
     changes["vector_query"] = F.when(parsed, F.coalesce(said("vector_query"), changes["query"])).otherwise(F.col("vector_query"))
     for c in LISTS:
         if c in given:
-            clean = F.filter(F.transform(f"{payload}.{c}", squeeze), lambda x: x != "")
+            clean = F.filter(F.transform(f"{payload}.{c}", strip), lambda x: x != "")
             changes[c] = F.when(parsed & (F.size(clean) > 0), distinct_in_order(clean)).otherwise(F.col(c))
     out = packets.withColumns({**changes, "compiler_status": F.when(parsed, "parsed").otherwise("fallback")})
     missing = (F.col("compiler_status") == "parsed") & (F.size("retrieval_terms") == 0)

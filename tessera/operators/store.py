@@ -17,6 +17,7 @@ from tessera.operators import graph
 from tessera.operators.notes import chunks as chunks_of
 from tessera.operators.notes import embedding_text
 from tessera.operators.notes import notes as notes_of
+from tessera.staging import release, stage
 
 
 def classify(incoming: DataFrame, existing: DataFrame, key: str, compare: list[str]) -> DataFrame:
@@ -72,6 +73,16 @@ def probe_embedding(rows: DataFrame, words: tuple[str, ...] = ("note", "link"))
     return rows.withColumn("vector", F.array(F.length(text).cast("double"), *counts))
 
 
+#: The columns of the stored tables; notes and chunks have those of operators.notes.
+SCHEMAS = {
+    "chunk_vectors": "chunk_id string, content_hash string, model string, vector array<double>",
+    "graph_nodes": "node_id string, node_type string, label string, ref_id string, node_seq long",
+    "graph_edges": "edge_id string, source_node_id string, target_node_id string, edge_type string, edge_order struct<note_seq:long,kind:int,pos:int>",
+    "manifest": "note_id string, note_title string, note_hash string, chunk_ids array<string>",
+    "runs": "run string, generated_at string, model string, labels array<string>, notes long, chunks long, inserted long, updated long, unchanged long, deleted long, deleted_notes long",
+}
+
+
 class Store:
     """Snapshots of the tables under one folder, by any file system that Spark writes to."""
 
@@ -84,46 +95,75 @@ class Store:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at, jvm
 
     def current(self) -> dict | None:
-        fs, at, _ = self._fs(f"{self.path}/current.json")
-        if not fs.exists(at):
-            return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/current.json", wholetext=True).collect()))
+        return self.read_json("current.json")
 
     def read(self, name: str) -> DataFrame | None:
         """A table of the current run; None before the first."""
         current = self.current()
-        return self.spark.read.parquet(f"{self.path}/{current['run']}/{name}") if current else None
+        if current is None:
+            return None
+        fs, at, _ = self._fs(f"{self.path}/{current['run']}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{current['run']}/{name}") if fs.exists(at) else None
+
+    @staticmethod
+    def new_run() -> str:
+        return f"run-{uuid.uuid4().hex[:12]}"
 
     def commit(self, tables: dict[str, DataFrame], summary: dict) -> dict:
         """Write all tables, then the manifest, and move the pointer last."""
-        run = summary.setdefault("run", f"run-{uuid.uuid4().hex[:12]}")
+        run = summary.setdefault("run", self.new_run())
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{run}/{name}")
-        for target in (f"{self.path}/{run}/manifest.json", f"{self.path}/current.json"):
-            fs, at, jvm = self._fs(target)
-            temporary = jvm.org.apache.hadoop.fs.Path(target + ".new")
-            out = fs.create(temporary, True)
-            out.write(bytearray((json.dumps(summary, indent=2) + "\n").encode()))
-            out.close()
-            fs.delete(at, False)
-            fs.rename(temporary, at)
+        self.write_json(f"{run}/manifest.json", summary)
+        self.write_json("current.json", summary)
         return summary
 
+    def write_json(self, name: str, value: dict) -> None:
+        """Write a JSON document; one of that name is replaced in one step, so a reader finds the old or the new."""
+        fs, at, jvm = self._fs(f"{self.path}/{name}")
+        temporary = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}.{uuid.uuid4().hex}.new")
+        out = fs.create(temporary, True)
+        out.write(bytearray((json.dumps(value, indent=2) + "\n").encode()))
+        out.close()
+        gateway = self.spark.sparkContext._gateway
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(temporary), fs.makeQualified(at), how)
+
+    def read_json(self, name: str) -> dict | None:
+        """A JSON document of the store; None where there is none."""
+        fs, at, _ = self._fs(f"{self.path}/{name}")
+        if not fs.exists(at):
+            return None
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/{name}", wholetext=True).collect()))
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows to a log that only grows, such as a ledger or the history of runs."""
+        rows.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def log(self, name: str) -> DataFrame | None:
+        """All rows of such a log; None before the first."""
+        fs, at, _ = self._fs(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}") if fs.exists(at) else None
+
 
 def ingest(store: Store, files: DataFrame, labels: list[str], model: str = "probe", embed: Callable[[DataFrame], DataFrame] = probe_embedding, at: str = "") -> dict:
     """Bring the store up to date with the note files of the roots `labels`; returns the manifest.
 
-    Notes and chunks of other roots stay; the graph and the vectors are those of this run.
+    Notes and chunks of other roots stay; the graph and the vectors are those of this run. Files are parsed once: notes
+    and chunks are staged before they are counted, compared and written. Each run is added to the history `runs`.
     """
-    parsed = notes_of(files).drop("body")
-    pieces = chunks_of(notes_of(files))
+    whole = stage(notes_of(files))
+    parsed, pieces = whole.drop("body"), stage(chunks_of(whole))
     scope = F.col("root_label").isin(labels)
     old_notes, old_chunks, old_vectors = (store.read(n) for n in ("notes", "chunks", "chunk_vectors"))
-    empty = store.spark.createDataFrame([], "chunk_id string, content_hash string, model string, vector array<double>")
+    empty = store.spark.createDataFrame([], SCHEMAS["chunk_vectors"])
     old_notes = parsed.limit(0) if old_notes is None else old_notes
     old_chunks = pieces.limit(0) if old_chunks is None else old_chunks
     old_vectors = empty if old_vectors is None else old_vectors
-    classified = classify(pieces, old_chunks, "chunk_id", ["chunk_hash", "paragraph_text"])
+    classified = stage(classify(pieces, old_chunks, "chunk_id", ["chunk_hash", "paragraph_text"]).select("chunk_id", "change_type"))
     counts = change_counts(classified, absent(old_chunks, pieces, "chunk_id", scope)).first().asDict()
     gone = absent(old_notes, parsed, "note_id", scope).count()
     nodes, edges = graph.build(parsed, pieces)
@@ -137,5 +177,9 @@ def ingest(store: Store, files: DataFrame, labels: list[str], model: str = "prob
         "graph_edges": edges,
         "manifest": manifest,
     }
-    summary = {"labels": labels, "generated_at": at, "notes": parsed.count(), "chunks": pieces.count(), **counts, "deleted_notes": gone}
-    return store.commit(tables, summary)
+    summary = {"labels": labels, "generated_at": at, "model": model, "notes": parsed.count(), "chunks": pieces.count(), **counts, "deleted_notes": gone}
+    done = store.commit(tables, summary)
+    row = {k: done[k] for k in ("run", "generated_at", "model", "labels", "notes", "chunks", "inserted", "updated", "unchanged", "deleted", "deleted_notes")}
+    store.append("runs", store.spark.createDataFrame([tuple(row.values())], SCHEMAS["runs"]))
+    release(whole, pieces, classified)
+    return done

@@ -198,7 +198,7 @@ def test_completion_against_a_plain_version(spark):
     made = packets.compile_packets(spark.createDataFrame(rows, schema))
     before = {r.query_id: r for r in made.collect()}
     terms = lambda t: list(dict.fromkeys(w for w in t.lower().split() if len(w) >= 3 and w not in ("and", "the")))
-    clean = lambda v: list(dict.fromkeys(x for x in (" ".join(i.split()) for i in v or []) if x))
+    clean = lambda v: list(dict.fromkeys(x for x in (i.strip() for i in v or []) if x))
     for r in packets.complete(made).collect():
         old, p = before[r.query_id], r.payload
         if p is None:

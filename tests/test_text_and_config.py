@@ -39,6 +39,10 @@ def test_config(tmp_path, monkeypatch):
     whole = {
         "store": "s", "max_retrieval_chunks": 3, "roots": ["a=b"], "vector_table": "v",
         "graph": {"enabled": True, "hop_limit": 2, "max_candidates": 5, "seed_sources": [], "edge_type_allowlist": [], "node_type_allowlist": [], "token_overlap": False, "min_token_overlap": 2},
+        "graph_nodes_table": "graph_nodes", "graph_edges_table": "graph_edges", "storage": {"threads": "threads", "ingestion": "ingestion"},
+        "embeddings": {"provider": "http", "model": "m", "base_url": None, "batch_size": 8, "normalize_embeddings": True, "device": None, "request_timeout_seconds": 5},
+        "compiler": {"provider": "none", "model": None, "base_url": "", "request_timeout_seconds": 5},
+        "answers": {"provider": "none", "model": "", "base_url": "", "max_output_tokens": 10, "request_timeout_seconds": 5},
     }
     path = tmp_path / "c.yaml"
 
@@ -46,8 +50,10 @@ def test_config(tmp_path, monkeypatch):
         path.write_text(yaml.safe_dump(changed))
         return config.load(str(path))
 
-    assert load(whole).graph.hop_limit == 2
-    for wrong in ({"more": 1}, {"max_retrieval_chunks": True}, {"roots": [1]}, {"store": "sk-abc"}, {"vector_table": "a b"}, {"graph": {**whole["graph"], "api_key": "x"}}):
+    made = load(whole)
+    assert made.graph.hop_limit == 2 and made.answers.max_output_tokens == 10 and made.compiler.model is None
+    assert (made.place("threads"), made.place("/x"), made.place("hdfs://a/b")) == ("s/threads", "/x", "hdfs://a/b")
+    for wrong in ({"more": 1}, {"max_retrieval_chunks": True}, {"roots": [1]}, {"store": "sk-abc"}, {"vector_table": "a b"}, {"graph_nodes_table": "1x"}, {"embeddings": {**whole["embeddings"], "device": 3}}, {"storage": {**whole["storage"], "refresh_token": "x"}}, {"store": "Bearer abc"}, {"compiler": {**whole["compiler"], "bearer_token": "x"}}, {"graph": {**whole["graph"], "api_key": "x"}}):
         with pytest.raises(config.ConfigError):
             load({**whole, **wrong})
     with pytest.raises(config.ConfigError):

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import is_referential, reference_key, snippet, terms, text_hash
-from tessera.operators import graph, packets, retrieval, store
+from tessera.config import Config
+from tessera.functions.text import is_referential, snippet, terms, text_hash
+from tessera.operators import backends, graph, notes, packets, retrieval, store
+from tessera.plans import turns
 from tessera.streaming import threads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,14 +70,13 @@ FROM once QUALIFY rank <= 18
 """)
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _documents(spark, sf_dir)
-    found = retrieval.lexical(chunks, _one_query(spark)).withColumn("demoted", F.lit(False))
-    named = found.join(chunks.select("chunk_id", "chunk_hash"), "chunk_id")
-    return retrieval.select_top(named).select(F.col("chunk_id").alias("doc_id"), "score", "reason", "rank")
+    found = retrieval.lexical(chunks, _one_query(spark), carry=("chunk_hash",)).withColumn("demoted", F.lit(False))
+    return retrieval.select_top(found).select(F.col("chunk_id").alias("doc_id"), "score", "reason", "rank")
 
 
 @register("""
 WITH q AS (
-  SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:6] AS terms FROM (
+  SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS terms FROM (
     SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda t: len(t) >= 5) AS l FROM benchmark)
 ), hit AS (
   SELECT item_id, doc_id, len(list_filter(terms, lambda t: contains(lower('  ' || coalesce(source, '') || ' ' || coalesce(text, '')), t))) AS n
@@ -87,7 +88,7 @@ FROM hit WHERE n > 0 QUALIFY rank <= 5
 """)
 def lexical_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9']+)"), F.lit(1))
-    long = F.slice(F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 5)), 1, 6)
+    long = F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 5))
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), long.alias("terms"))
     found = retrieval.lexical(_documents(spark, sf_dir), asked)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -104,31 +105,33 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""
 WITH {_VECTORS}, s AS (
-  SELECT c.vec_id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS score FROM vec q, vec c WHERE q.vec_id = 0
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS score FROM vec q, vec c WHERE q.vec_id % 50 = 0
 )
-SELECT vec_id, score, (row_number() OVER (ORDER BY score DESC, vec_id))::INT AS rank FROM s WHERE score > 1 QUALIFY rank <= 18
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s WHERE score > 1 QUALIFY rank <= 18
 """)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_top(spark, sf_dir, retrieval.TOP_K)
+
+
+def _vector_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best of each row whose id is divisible by 50."""
     vectors = _vectors(spark, sf_dir)
-    asked = vectors.where("chunk_id = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    # Scores are rounded before they are ranked, so those that tie then have to come in.
     found = retrieval.vector(vectors, asked).withColumn("score", F.round("score", 6)).where("score > 1")
-    ranked = found.select(F.col("chunk_id").alias("vec_id"), "score").orderBy(F.desc("score"), "vec_id").limit(18)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("query_id", F.col("chunk_id").alias("vec_id"), "score", "rank")
 
 
 @register(f"""
 WITH {_VECTORS}, s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS score FROM vec q, vec c WHERE q.vec_id < 10
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS score FROM vec q, vec c WHERE q.vec_id % 50 = 0
 )
 SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s WHERE score > 1 QUALIFY rank <= 5
 """)
 def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _vectors(spark, sf_dir)
-    asked = vectors.where("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), "vector")
-    found = retrieval.vector(vectors, asked).withColumn("score", F.round("score", 6)).where("score > 1")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = found.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
-    return top.select("query_id", F.col("chunk_id").alias("vec_id"), "score", "rank")
+    return _vector_top(spark, sf_dir, 5)
 
 
 _STOP = "'a','an','and','are','as','at','be','but','by','do','for','from','how','i','if','in','into','is','it','my','of','on','or','our','the','to','with','you','your'"
@@ -155,7 +158,7 @@ _TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9'']+'
 
 
 @register(f"""
-WITH {_PAGE}, seed AS (SELECT turn.conv_id, turn.turn AS pos, turn.text AS seed FROM conversations turn WHERE turn.turn < 2),
+WITH {_PAGE}, seed AS (SELECT turn.conv_id, turn.turn AS pos, turn.text AS seed FROM conversations turn),
 node AS (SELECT page_id, title, {_PLAIN.format('title')} AS k, {_TERMS.format('title')} AS w FROM page),
 s AS (SELECT *, {_PLAIN.format('seed')} AS k, {_TERMS.format('seed')} AS w FROM seed),
 exact AS (SELECT conv_id, pos, page_id FROM s JOIN node ON s.k = node.k WHERE s.k <> ''),
@@ -167,7 +170,7 @@ WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.conv_id = n.conv_id AND e.pos =
 """)
 def seed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _pages(spark, sf_dir).select(F.col("page_id").alias("node_id"), F.col("title").alias("label"), F.lit("").alias("ref_id"))
-    said = _table(spark, sf_dir, "conversations").where("turn < 2")
+    said = _table(spark, sf_dir, "conversations")
     asked = said.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seed_pos"), F.col("text").alias("seed"))
     found = graph.match_seeds(nodes, asked)
     return found.select(F.col("query_id").alias("conv_id"), "seed_pos", F.col("node_id").alias("page_id"), "exact")
@@ -182,26 +185,42 @@ def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINK = "link AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target FROM pages)"
 
 
+def _page_notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages as notes, tagged with what they link to, and one chunk of each: its title."""
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    none = F.array().cast("array<struct<raw:string,target_note:string>>")
+    page = F.col("page_id").cast("string")
+    own = _pages(spark, sf_dir)
+    notes = own.select(page.alias("note_id"), F.col("page_id").alias("note_seq"), F.col("title").alias("note_title"), F.lit("").alias("relative_path"), F.array_distinct(hrefs).alias("tags"), none.alias("links"))
+    return notes, own.select(F.concat(page, F.lit("::p")).alias("chunk_id"), page.alias("note_id"), F.col("page_id").alias("note_seq"), F.lit(0).alias("chunk_seq"), F.lit("title").alias("section_label"))
+
+
+_KEY = "lower(translate(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '_', ' '))"
+
+
 @register(f"""
 WITH {_LINK}, {_PAGE}
-SELECT 'note::' || page_id AS node_id, 'note' AS node_type, title AS label FROM page
-UNION ALL SELECT DISTINCT 'tag::' || target, 'tag', target FROM link
+SELECT 'note::' || page_id AS node_id, 'note' AS node_type, title AS label, page_id::VARCHAR AS ref_id FROM page
+UNION ALL SELECT 'chunk::' || page_id || '::p', 'chunk', 'title', page_id || '::p' FROM page
+UNION ALL SELECT 'tag::' || {_KEY.format('target')}, 'tag', min(target), {_KEY.format('target')} FROM link GROUP BY {_KEY.format('target')}
 """)
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir).select(graph.node_id("note", F.col("page_id").cast("string")).alias("node_id"), F.lit("note").alias("node_type"), F.col("title").alias("label"))
-    targets = _page_links(spark, sf_dir).select(graph.node_id("tag", F.col("target")).alias("node_id"), F.lit("tag").alias("node_type"), F.col("target").alias("label")).distinct()
-    return pages.unionByName(targets)
+    return graph.build(*_page_notes(spark, sf_dir))[0].select("node_id", "node_type", "label", "ref_id")
 
 
 @register(f"""
-WITH {_LINK}
-SELECT 'note::' || page_id AS source_node_id, 'tag::' || target AS target_node_id, 'note_has_tag' AS edge_type,
-       substr(sha256('note_has_tag|note::' || page_id || '|tag::' || target), 1, 16) AS edge_id FROM link
+WITH {_LINK}, e AS (
+  SELECT DISTINCT 'note::' || page_id AS s, 'tag::' || {_KEY.format('target')} AS t, 'note_has_tag' AS k FROM link
+  UNION ALL SELECT 'note::' || page_id, 'chunk::' || page_id || '::p', 'note_contains_chunk' FROM pages
+  UNION ALL SELECT 'chunk::' || page_id || '::p', 'note::' || page_id, 'chunk_derived_from_note' FROM pages)
+SELECT s AS source_node_id, t AS target_node_id, k AS edge_type, CASE WHEN regexp_full_match(t, '[ !#-\\[\\]-~]*') THEN
+  'edge-' || substr(sha256('{{"edge_type":"' || k || '","salt":null,"source":"' || s || '","target":"' || t || '"}}'), 1, 16) END AS edge_id FROM e
 """)
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target = graph.node_id("note", F.col("page_id").cast("string")), graph.node_id("tag", F.col("target"))
-    key = F.substring(F.sha2(F.concat_ws("|", F.lit("note_has_tag"), source, target), 256), 1, 16)
-    return _page_links(spark, sf_dir).select(source.alias("source_node_id"), target.alias("target_node_id"), F.lit("note_has_tag").alias("edge_type"), key.alias("edge_id"))
+    edges = graph.build(*_page_notes(spark, sf_dir))[1]
+    # Ids of targets that JSON has to escape are left out: SQL does not escape.
+    named = F.when(F.col("target_node_id").rlike(r"^[ !#-\[\]-~]*$"), F.col("edge_id"))
+    return edges.select("source_node_id", "target_node_id", "edge_type", named.alias("edge_id"))
 
 
 def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,14 +230,14 @@ def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BFS = f"""
 WITH RECURSIVE {_LINK}, e AS (SELECT 'p' || page_id AS a, 't' || target AS b FROM link UNION ALL SELECT 't' || target, 'p' || page_id FROM link),
-walk AS (SELECT page_id AS query_id, 'p' || page_id AS n, 0 AS hop FROM pages WHERE page_id < 5
+walk AS (SELECT page_id AS query_id, 'p' || page_id AS n, 0 AS hop FROM pages
          UNION SELECT w.query_id, e.b, w.hop + 1 FROM walk w JOIN e ON e.a = w.n WHERE w.hop < 2),
 seen AS (SELECT query_id, n, min(hop)::INT AS hop FROM walk GROUP BY ALL)"""
 
 
 @register(_BFS + " SELECT query_id, n AS node_id, hop FROM seen")
 def graph_bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = _pages(spark, sf_dir).where("page_id < 5").select(F.col("page_id").alias("query_id"), F.concat(F.lit("p"), F.col("page_id")).alias("node_id"))
+    starts = _pages(spark, sf_dir).select(F.col("page_id").alias("query_id"), F.concat(F.lit("p"), F.col("page_id")).alias("node_id"))
     return graph.hops(starts, _both_ways(spark, sf_dir), 2)
 
 
@@ -253,47 +272,64 @@ def hierarchy_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-WITH {_PAGE}, key AS (SELECT lower(translate(trim(regexp_replace(title, '\\s+', ' ', 'g')), '_', ' ')) AS k, min(page_id) AS owner FROM page GROUP BY 1)
-SELECT page_id, owner FROM page JOIN key ON k = lower(translate(trim(regexp_replace(title, '\\s+', ' ', 'g')), '_', ' ')) WHERE k <> ''
+WITH {_PAGE}, key AS (SELECT {_KEY.format('title')} AS k, min(page_id) AS owner FROM page GROUP BY 1)
+SELECT page_id, owner FROM page JOIN key ON k = {_KEY.format('title')} WHERE k <> ''
 """)
 def link_resolve_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    notes = pages.select(F.col("page_id").alias("note_id"), F.col("page_id").alias("note_seq"), F.col("title").alias("note_title"), F.lit("").alias("relative_path"))
-    links = pages.select(F.col("page_id").alias("link_id"), F.col("title").alias("target_note"))
-    keyed = links.withColumn("key", reference_key(F.col("target_note"))).where("key <> ''")
-    owner = notes.withColumn("key", reference_key(F.col("note_title"))).groupBy("key").agg(F.min_by("note_id", "note_seq").alias("owner"))
-    return keyed.join(owner, "key").select(F.col("link_id").alias("page_id"), "owner")
+    notes = _pages(spark, sf_dir).select(F.col("page_id").alias("note_id"), F.col("page_id").alias("note_seq"), F.col("title").alias("note_title"), F.lit("").alias("relative_path"))
+    links = notes.select("note_id", F.col("note_title").alias("target_note"))
+    return graph.resolve(links, notes).select(F.col("note_id").alias("page_id"), F.col("target_id").alias("owner"))
 
 
-@register("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)
-SELECT doc_id || '::p' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY i))::VARCHAR, 4, '0') AS chunk_id, sha256(line) AS chunk_hash
-FROM l WHERE trim(line) <> ''
+def _files(rows: DataFrame, root: str) -> DataFrame:
+    """Note files from rows (name, seq, lines: array of blocks)."""
+    text = F.array_join("lines", "\n\n")
+    return rows.select(F.lit(root).alias("root_label"), F.lit("/").alias("root_path"), F.concat(F.col("name"), F.lit(".md")).alias("relative_path"), F.col("seq").alias("note_seq"), text.alias("raw_text"))
+
+
+#: Put before a paragraph, so that no text looks like a heading, a list or a label.
+_MARK = "» "
+_SECTION = "'section-' || substr(sha256('{{\"kind\":\"' || {0} || '\",\"note_id\":\"' || {1} || '\",\"occurrence\":' || {2} || ',\"path\":[\"' || {3} || '\"]}}'), 1, 16)"
+_CHUNK_ID = "{1} || '::' || " + _SECTION + " || '::p' || lpad(({4})::VARCHAR, 4, '0')"
+
+
+@register(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, '{_MARK}' || trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE trim(line) <> '')
+SELECT {_CHUNK_ID.format("'body'", "('d::' || doc_id || '.md')", "1", "doc_id", "n")} AS chunk_id, doc_id::VARCHAR AS section_label, sha256(t) AS chunk_hash FROM p
 """)
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "line")).where("trim(line) <> ''")
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
-    return lines.withColumn("n", ordinal).select(F.concat(F.col("doc_id"), F.format_string("::p%04d", "n")).alias("chunk_id"), text_hash(F.col("line")).alias("chunk_hash"))
+    lines = F.filter(F.split("text", "\n", -1), lambda l: F.trim(l) != "")
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").alias("seq"), F.transform(lines, lambda l: F.concat(F.lit(_MARK), l)).alias("lines"))
+    return notes.chunks(notes.notes(_files(d, "d"))).select("chunk_id", "section_label", "chunk_hash")
 
 
-@register("""
-SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn))::INT AS occurrence,
-       (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS ordinal FROM conversations
+@register(f"""
+WITH o AS (SELECT conv_id, turn, role, '{_MARK}' || trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t,
+  row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS occurrence FROM conversations)
+SELECT {_CHUNK_ID.format("'heading'", "('c::' || conv_id || '.md')", "occurrence", "role", "1")} AS chunk_id,
+  role AS section_label, occurrence::INT AS section_occurrence, 1 AS paragraph_ordinal, sha256(rtrim(t)) AS chunk_hash FROM o
 """)
 def section_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occurrence = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    ordinal = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", occurrence.alias("occurrence"), ordinal.alias("ordinal"))
+    said = F.concat(F.lit("# "), F.col("role"), F.lit(f"\n\n{_MARK}"), F.coalesce("text", F.lit("")))
+    each = F.array_sort(F.collect_list(F.struct("turn", said.alias("s"))))
+    threads_of = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(each.alias("all"))
+    files = _files(threads_of.select(F.col("conv_id").cast("string").alias("name"), F.col("conv_id").alias("seq"), F.transform("all", lambda x: x["s"]).alias("lines")), "c")
+    return notes.chunks(notes.notes(files)).select("chunk_id", "section_label", "section_occurrence", "paragraph_ordinal", "chunk_hash")
 
 
 @register("""
-SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS)
-  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1)::BIGINT AS label FROM events
+SELECT event_id, 'u::' || user_id || '.md' AS note_id, coalesce('Click ' || last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), user_id::VARCHAR) AS section_label FROM events
 """)
 def inline_label_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    label = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(order)
-    return _table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce(label, F.lit(-1)).cast("long").alias("label"))
+    event = F.col("event_id").cast("string")
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("Click "), event, F.lit(": "), event)).otherwise(F.concat(F.lit(_MARK), event))
+    each = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("s"))))
+    users = _table(spark, sf_dir, "events").groupBy("user_id").agg(each.alias("all"))
+    files = _files(users.select(F.col("user_id").cast("string").alias("name"), F.col("user_id").alias("seq"), F.transform("all", lambda x: x["s"]).alias("lines")), "u")
+    found = notes.chunks(notes.notes(files))
+    return found.select(F.regexp_replace("paragraph_text", _MARK, "").cast("long").alias("event_id"), "note_id", "section_label")
 
 
 @register("SELECT min(doc_id) AS doc_id, sha256(text) AS chunk_hash, count(*)::BIGINT AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
@@ -343,21 +379,25 @@ def change_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id AS chunk_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id AND label % 2 = 0)
 """)
 def vector_refresh_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A stored vector is current where its label is even.
-    chunks = _documents(spark, sf_dir).select("chunk_id", F.lit(0).alias("content_hash"))
-    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("label") % 2).alias("content_hash"))
-    return chunks.join(vectors, ["chunk_id", "content_hash"], "left_anti").select("chunk_id")
+    # A stored vector is of the text as it is now where its label is even.
+    chunks = _documents(spark, sf_dir)
+    now = chunks.select("chunk_id", text_hash(notes.embedding_text()).alias("_now"))
+    held = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label").join(now, "chunk_id")
+    vectors = held.select("chunk_id", F.when(F.col("label") % 2 == 0, F.col("_now")).otherwise("old").alias("content_hash"), F.lit("m").alias("model"))
+    return store.stale(chunks, vectors, "m").select("chunk_id")
 
 
 @register(f"""
-WITH hit AS ({_LEXICAL})
-SELECT doc_id, (contains(path, '1') AND contains(found, 'tion')) AS demoted,
-       (n + 2 - CASE WHEN contains(path, '1') AND contains(found, 'tion') THEN 10 ELSE 0 END)::DOUBLE AS score FROM hit WHERE n > 0
+WITH hit AS ({_LEXICAL}), t AS (
+  SELECT doc_id, doc_id % 3 = 0 OR list_bool_or(list_transform([{', '.join("'" + w + "'" for w in retrieval.PLACEHOLDERS)}], lambda w: contains(lower(trim(coalesce(text, ''))), w))) AS held FROM documents)
+SELECT doc_id, held AS demoted, (n + 2 - CASE WHEN held THEN 10 ELSE 0 END)::DOUBLE AS score FROM hit JOIN t USING (doc_id) WHERE n > 0
 """)
 def hygiene_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _documents(spark, sf_dir)
-    found = retrieval.lexical(chunks, _one_query(spark)).join(chunks.select("chunk_id", "relative_path"), "chunk_id")
-    boilerplate = F.contains(F.col("relative_path"), F.lit("1")) & F.contains(F.col("reason"), F.lit("tion"))
+    # All are in a folder of templates; each third is a template's own section.
+    chunks = _documents(spark, sf_dir).withColumn("place", F.concat(F.lit("Template/"), "relative_path"))
+    found = retrieval.lexical(chunks, _one_query(spark), carry=("place", "paragraph_text"))
+    label = F.when(F.col("chunk_id") % 3 == 0, "The template").otherwise("")
+    boilerplate = retrieval.is_boilerplate(F.lit(""), F.col("place"), label, F.col("paragraph_text"))
     return retrieval.demote(found, boilerplate).select(F.col("chunk_id").alias("doc_id"), "demoted", "score")
 
 
@@ -375,42 +415,48 @@ def boilerplate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", retrieval.is_boilerplate(F.lit(""), path, F.lit(""), F.col("text")).alias("boilerplate"))
 
 
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each row of embeddings whose id is divisible by 50: its vector, and the same terms for all."""
+    asked = _vectors(spark, sf_dir).where("chunk_id % 50 = 0")
+    return asked.select(F.col("chunk_id").alias("query_id"), "vector", F.array(*[F.lit(t) for t in TERMS]).alias("terms"))
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three surfaces over one id space: documents, embeddings and pages that share a number."""
-    chunks = _documents(spark, sf_dir)
-    lexical = retrieval.lexical(chunks, _one_query(spark))
-    vectors = _vectors(spark, sf_dir)
-    vector = retrieval.vector(vectors, vectors.where("chunk_id = 0").select(F.lit(0).alias("query_id"), "vector"))
-    vector = vector.withColumn("score", F.round("score", 6)).withColumn("reason", F.lit("vector similarity"))
-    pages = _table(spark, sf_dir, "pages").select(F.lit(0).alias("query_id"), F.col("page_id").alias("chunk_id"), F.lit("graph").alias("source"), F.lit(1.5).alias("score"), F.lit("graph seed match").alias("reason"))
-    return lexical.where("score < 6").unionByName(vector.where("score > 1")).unionByName(pages)
+    asked = _queries(spark, sf_dir)
+    lexical = retrieval.lexical(_documents(spark, sf_dir), asked)
+    vector = retrieval.vector(_vectors(spark, sf_dir), asked).withColumn("score", F.round("score", 6)).withColumn("reason", F.lit("vector similarity"))
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.lit("graph").alias("source"), F.lit(1.5).alias("score"), F.lit("graph seed match").alias("reason"))
+    graphed = asked.select("query_id").crossJoin(pages).select("query_id", "chunk_id", "source", "score", "reason")
+    return lexical.unionByName(vector.where("score > 1")).unionByName(graphed)
 
 
 _CANDIDATES = f"""
-WITH {_VECTORS}, hit AS ({_LEXICAL}),
-L AS (SELECT doc_id AS id, (n + 2)::DOUBLE AS s, 'lexical match: ' || found AS r FROM hit WHERE n > 0 AND n + 2 < 6),
-V AS (SELECT c.vec_id AS id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS s, 'vector similarity' AS r FROM vec q, vec c WHERE q.vec_id = 0 AND list_cosine_similarity(q.e, c.e) > 0
-      AND round(list_cosine_similarity(q.e, c.e) + 1, 6) > 1),
-G AS (SELECT page_id AS id, 1.5::DOUBLE AS s, 'graph seed match' AS r FROM pages)"""
+WITH {_VECTORS}, hit AS ({_LEXICAL}), q AS (SELECT vec_id AS query_id, e FROM vec WHERE vec_id % 50 = 0),
+L AS (SELECT query_id, doc_id AS id, (n + 2)::DOUBLE AS s, 'lexical match: ' || found AS r FROM hit, q WHERE n > 0),
+V AS (SELECT query_id, c.vec_id AS id, round(list_cosine_similarity(q.e, c.e) + 1, 6) AS s, 'vector similarity' AS r FROM q, vec c
+      WHERE list_cosine_similarity(q.e, c.e) > 0 AND round(list_cosine_similarity(q.e, c.e) + 1, 6) > 1),
+G AS (SELECT query_id, page_id AS id, 1.5::DOUBLE AS s, 'graph seed match' AS r FROM pages, q)"""
 
 
 @register(_CANDIDATES + """,
-f AS (SELECT id, L.s AS ls, V.s AS vs, G.s AS gs, L.r AS lr, V.r AS vr, G.r AS gr FROM L FULL JOIN V USING (id) FULL JOIN G USING (id)),
+f AS (SELECT query_id, id, L.s AS ls, V.s AS vs, G.s AS gs, L.r AS lr, V.r AS vr, G.r AS gr FROM L FULL JOIN V USING (query_id, id) FULL JOIN G USING (query_id, id)),
 p AS (SELECT *, CASE WHEN ls IS NOT NULL THEN 'lexical' WHEN gs IS NOT NULL AND (vs IS NULL OR gs > vs) THEN 'graph' ELSE 'vector' END AS source FROM f)
-SELECT id, source, CASE source WHEN 'lexical' THEN ls WHEN 'graph' THEN gs ELSE vs END AS score,
+SELECT query_id, id, source, CASE source WHEN 'lexical' THEN ls WHEN 'graph' THEN gs ELSE vs END AS score,
   CASE source WHEN 'lexical' THEN concat_ws(', ', lr, vr, gr) WHEN 'graph' THEN gr ELSE concat_ws(', ', vr, gr) END || ', sources: ' ||
   concat_ws(', ', CASE WHEN ls IS NOT NULL THEN 'lexical' END, CASE WHEN vs IS NOT NULL THEN 'vector' END, CASE WHEN gs IS NOT NULL THEN 'graph' END) AS reason
 FROM p
 """)
 def fusion_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuse(_candidates(spark, sf_dir)).select(F.col("chunk_id").alias("id"), "source", "score", "reason")
+    return retrieval.fuse(_candidates(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("id"), "source", "score", "reason")
 
 
 @register(_CANDIDATES + """
-SELECT 'lexical' AS source, count(*)::BIGINT AS n FROM L UNION ALL SELECT 'vector', count(*) FROM V UNION ALL SELECT 'graph', count(*) FROM G
+SELECT query_id, (SELECT count(*) FROM L WHERE L.query_id = q.query_id)::BIGINT AS lexical, (SELECT count(*) FROM V WHERE V.query_id = q.query_id)::BIGINT AS vector,
+       (SELECT count(*) FROM G WHERE G.query_id = q.query_id)::BIGINT AS graph FROM q
 """)
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return retrieval.candidate_counts(_candidates(spark, sf_dir), _queries(spark, sf_dir))
 
 
 @register("""
@@ -447,17 +493,18 @@ def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""
 WITH t AS (SELECT conv_id, turn, text, {_TERMS.format("coalesce(text, '')")} AS w FROM conversations),
 hit AS (SELECT DISTINCT conv_id, turn FROM (SELECT conv_id, turn, unnest(w) AS x FROM t) JOIN (
-        SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z0-9'']+')) AS x FROM part) USING (x))
-SELECT conv_id, turn, CASE WHEN hit.turn IS NULL AND len(w) > 0 THEN 'blocked' ELSE 'approved' END AS decision
-FROM t LEFT JOIN hit USING (conv_id, turn)
+        SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z0-9'']+')) AS x FROM part) USING (x)),
+g AS (SELECT conv_id, turn, turn % 5 <> 4 AND NOT (hit.turn IS NULL AND len(w) > 0) AS good FROM t LEFT JOIN hit USING (conv_id, turn))
+SELECT conv_id, turn, CASE WHEN good THEN 'approved' ELSE 'blocked' END AS decision, CASE WHEN good AND conv_id % 2 = 0 THEN 'completed' ELSE 'blocked' END AS outcome FROM g
 """)
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.coalesce("text", F.lit("")).alias("message"), F.lit("").alias("previous_message"), F.array().cast("array<string>").alias("focus_terms"))
-    asked = packets.compile_packets(said).withColumn("graph_seeds", F.array().cast("array<string>")).withColumn("compiler_status", F.lit("parsed"))
+    status = F.when(F.col("query_id.turn") % 5 == 4, "fallback").otherwise("parsed")
+    asked = packets.compile_packets(said).withColumn("graph_seeds", F.array().cast("array<string>")).withColumn("compiler_status", status)
     words = _table(spark, sf_dir, "part").select(F.explode_outer(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z0-9']+)"), F.lit(1))).alias("x")).distinct()
     hits = asked.select("query_id", F.explode_outer("retrieval_terms").alias("x")).join(words, "x").groupBy("query_id").agg(F.count(F.lit(1)).alias("selected_count"))
-    decided = packets.gate(asked.join(hits, "query_id", "left").fillna(0, ["selected_count"]))
-    return decided.select("query_id.conv_id", "query_id.turn", "decision")
+    decided = packets.gate(asked.join(hits, "query_id", "left").fillna(0, ["selected_count"]).withColumn("llm_available", F.col("query_id.conv_id") % 2 == 0))
+    return decided.select("query_id.conv_id", "query_id.turn", "decision", "outcome")
 
 
 @register("SELECT count(*)::BIGINT AS notes, coalesce(sum(len(string_split(text, chr(10)))), 0)::BIGINT AS chunks, count(DISTINCT source)::BIGINT AS roots FROM documents")
@@ -488,3 +535,92 @@ def graph_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = reached.select("query_id", F.lit(0).alias("seed_pos"), F.lit("").alias("seed_source"), "node_id").where("false")
     found = graph.reasons(reached, none, edges, nodes, 2)
     return found.select("query_id", "node_id", F.sha2("reason", 256).alias("reason"))
+
+
+@register(f"""
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS m, {_TERMS.format("coalesce(text, '')")} AS w FROM conversations),
+p AS (SELECT *, trim(m) AS q0, CASE WHEN turn % 4 = 1 THEN 'Green tea ' || conv_id ELSE trim(m) END AS q FROM t),
+d AS (SELECT *, CASE WHEN turn % 4 = 2 THEN ['given'] WHEN len(w) > 0 THEN list_filter(w, lambda x, i: true)
+  WHEN turn % 4 = 0 THEN [] ELSE {_TERMS.format('q')} END AS terms FROM p)
+SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'fallback' ELSE 'parsed' END AS compiler_status, q AS query,
+  CASE WHEN turn % 4 = 3 THEN 'other words' ELSE q END AS vector_query, list_sort(terms) AS terms,
+  CASE WHEN len(w) > 0 THEN q0 WHEN turn % 4 <> 0 AND len(terms) > 0 THEN q ELSE '' END AS seeds FROM d
+""")
+def packet_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that have only one field: none at all, the query, the terms, or the vector query."""
+    none = F.array().cast("array<string>")
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("message"), F.lit("").alias("previous_message"), none.alias("focus_terms"))
+    which = F.col("turn") % 4
+    parts = F.struct(
+        F.when(which == 1, F.concat(F.lit(" Green tea "), "conv_id")).alias("query"),
+        F.when(which == 3, F.lit("other words ")).alias("vector_query"),
+        F.when(which == 2, F.array(F.lit(" given "), F.lit("given"))).alias("retrieval_terms"),
+    )
+    done = packets.complete(packets.compile_packets(said).withColumn("payload", F.when(which != 0, parts)))
+    return done.select("conv_id", "turn", "compiler_status", "query", "vector_query", F.sort_array("retrieval_terms").alias("terms"), F.array_join("graph_seeds", "|").alias("seeds"))
+
+
+_WALK = """
+WITH h AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS a FROM pages),
+e AS (SELECT page_id, unnest(a) AS t, unnest(range(len(a))) AS i FROM h),
+s AS (SELECT page_id AS query_id, page_id AS p, 0 AS seed FROM pages UNION ALL SELECT page_id, page_id - 1, 1 FROM pages WHERE page_id - 1 IN (SELECT page_id FROM pages)),
+w AS (SELECT query_id, seed, t, i FROM s JOIN e ON e.page_id = s.p)"""
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries, matched, edges, nodes): each page asks for itself and the page before it; links are edges in their order."""
+    pages = _table(spark, sf_dir, "pages")
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    page = F.concat(F.lit("p"), F.col("page_id"))
+    edges = pages.select(page.alias("source_node_id"), F.posexplode(hrefs).alias("edge_order", "t"))
+    edges = edges.select("source_node_id", F.concat(F.lit("t"), "t").alias("target_node_id"), F.when(F.col("edge_order") % 2 == 1, "odd").otherwise("even").alias("edge_type"), "edge_order")
+    places = pages.select(page.alias("node_id"), F.col("page_id").alias("node_seq"))
+    nodes = places.unionByName(edges.select(F.col("target_node_id").alias("node_id"), F.lit(None).cast("long").alias("node_seq")).distinct()).withColumn("label", F.col("node_id"))
+    seeds = pages.select(F.col("page_id").alias("query_id"), F.posexplode(F.array("page_id", F.col("page_id") - 1)).alias("seed_pos", "p"))
+    matched = seeds.withColumn("node_id", F.concat(F.lit("p"), "p")).join(places.select("node_id"), "node_id", "left_semi")
+    return pages.select(F.col("page_id").alias("query_id")), matched.select("query_id", "seed_pos", F.lit("graph_seeds").alias("seed_source"), "node_id"), edges, nodes
+
+
+@register(_WALK + """,
+f AS (SELECT query_id, t, min(seed * 1000000 + i) AS place FROM w GROUP BY ALL),
+v AS (SELECT query_id, 'p' || p AS node_id, 0 AS hop, seed AS place, 0 AS part FROM s UNION ALL SELECT query_id, 't' || t, 1, place, 1 FROM f)
+SELECT query_id, node_id, hop, row_number() OVER (PARTITION BY query_id ORDER BY part, place) AS visit FROM v
+""")
+def graph_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, matched, edges, nodes = _walk(spark, sf_dir)
+    return graph.visits(matched, edges, nodes, 1).select("query_id", "node_id", "hop", "visit")
+
+
+@register(_WALK + """,
+u AS (SELECT query_id, CASE WHEN i % 2 = 1 THEN 'odd' ELSE 'even' END AS k, min(seed * 1000000 + i) AS place FROM w GROUP BY ALL),
+o AS (SELECT query_id, string_agg(k, ',' ORDER BY place) AS used FROM u GROUP BY query_id),
+n AS (SELECT query_id, count(DISTINCT t) AS n FROM w GROUP BY query_id), m AS (SELECT query_id, count(*) AS m FROM s GROUP BY query_id)
+SELECT query_id, m AS matched_seed_count, coalesce(n, 0)::BIGINT AS expanded_note_count, coalesce(used, '') AS edge_types_used
+FROM m LEFT JOIN n USING (query_id) LEFT JOIN o USING (query_id)
+""")
+def traversal_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, matched, edges, nodes = _walk(spark, sf_dir)
+    found = graph.traversal_info(queries, matched, graph.visits(matched, edges, nodes, 1), edges, 1)
+    return found.select("query_id", "matched_seed_count", "expanded_note_count", F.array_join("edge_types_used", ",").alias("edge_types_used"))
+
+
+@register(f"""
+WITH m AS (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS m FROM conversations WHERE role = 'user' GROUP BY conv_id),
+t AS (SELECT *, {_TERMS.format('m')} AS w FROM m),
+h AS (SELECT DISTINCT conv_id FROM (SELECT conv_id, unnest(w) AS x FROM t) w, benchmark b WHERE contains(lower(' Benchmark item  ' || b.text), x)),
+g AS (SELECT t.*, h.conv_id IS NOT NULL OR len(w) = 0 AS good FROM t LEFT JOIN h USING (conv_id))
+SELECT conv_id::VARCHAR AS thread_id, 1::BIGINT AS turn_id, CASE WHEN good THEN 'completed' ELSE 'blocked' END AS outcome,
+  CASE WHEN good THEN 'Probe answer: ' || m END AS response, CASE WHEN good THEN '' ELSE 'retrieval required but no chunks were selected' END AS reasons FROM g
+""")
+def turn_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One turn of each thread, all that its user said, against the benchmark items as notes."""
+    each = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    said = _table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(each.alias("all"))
+    asked = said.select(F.col("conv_id").cast("string").alias("thread_id"), F.array_join(F.transform("all", lambda x: x["text"]), " ").alias("message"))
+    item = F.col("item_id").cast("string")
+    chunks = _table(spark, sf_dir, "benchmark").select(
+        item.alias("chunk_id"), item.alias("note_id"), F.col("item_id").alias("note_seq"), F.lit(0).alias("chunk_seq"), F.lit("Benchmark").alias("note_title"),
+        F.lit("item").alias("section_label"), F.lit("").alias("relative_path"), F.col("text").alias("paragraph_text"), text_hash(F.col("text")).alias("chunk_hash"),
+    )
+    made = turns.run_batch(None, {"chunks": chunks}, asked, "at", Config(), backends.ProbeCompiler(), None, backends.ProbeWriter())
+    return made.select("thread_id", F.col("turn_id").cast("long").alias("turn_id"), "outcome", "response", F.array_join("reasons", "; ").alias("reasons"))

@@ -135,14 +135,19 @@ def conversations(states: DataFrame) -> DataFrame:
 
 
 def active_focus(selected: DataFrame, lists: dict[str, str]) -> DataFrame:
-    """For each query distinct values in rank order; lists: name of the result -> column of `selected`."""
-    ordered = selected.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *lists.values()))).alias("_all"))
-    made = {name: F.array_distinct(F.filter(F.transform("_all", _field(c)), lambda x: x.isNotNull())) for name, c in lists.items()}
-    return ordered.select("query_id", *[v.alias(k) for k, v in made.items()])
+    """For each query distinct values in rank order; lists: name of the result -> column of `selected`.
 
+    Values are made distinct, each with its first rank, before a query's are collected.
+    """
+    values = F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).cast("string").alias("value")) for name, c in lists.items()])
+    each = selected.select("query_id", "rank", F.explode(values).alias("v"))
+    first = each.groupBy("query_id", "v.name", "v.value").agg(F.min("rank").alias("rank"))
+
+    def own(name: str) -> Column:
+        kept = F.collect_list(F.when((F.col("name") == name) & F.col("value").isNotNull(), F.struct("rank", "value")))
+        return F.transform(F.array_sort(kept), lambda x: x["value"]).alias(name)
 
-def _field(name: str):
-    return lambda x: x[name]
+    return first.groupBy("query_id").agg(*[own(name) for name in lists])
 
 
 def ledger(turns: DataFrame, delta: Column | None = None) -> DataFrame:

@@ -1,15 +1,10 @@
-"""Pairs of sets of shingles with a Jaccard similarity of at least a bound: MinHash bands, then an exact comparison.
+"""Sets of shingles with a Jaccard similarity of at least a bound: MinHash bands, then an exact comparison.
 
 A set has BANDS keys, each a hash of BAND_ROWS minima of the set under different permutations. Two sets of similarity s
-share a key with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.9996 at 0.8. Sets that share a key are candidates, and
-candidates are compared shingle by shingle, so no pair below the bound is ever linked.
-
-Copies are not expanded into all pairs. Each set is first compared with the candidate that is most like it; in a key of
-many sets that is one of two roots, those most like what the key's sets have in common, such as the text that the others
-were copied from. Then only pairs of different components are left, and all of those are settled: first a few for each
-two components, the most similar ones, then more, then all. Estimates come from a sketch of one byte for each of
-SKETCH minima; pairs of which fewer than LEAST_EQUAL bytes agree are no candidates, which loses a pair of similarity
-0.8 with a probability of about one in a million.
+share a key with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.9996 at 0.8. The sets of a key are compared with each
+other shingle by shingle in one task, which gives links that span what is similar among them, and never pairs. A key
+with more sets than BLOCK, or more shingles than SHINGLES, is compared in parts, each two parts together. Keys that the
+same sets share count once.
 """
 
 from __future__ import annotations
@@ -21,17 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, salted_lookup, stage
-from tessera.llm.components import components
+from tessera.llm.common import bounded_batches, salted_lookup, stage
 
 BANDS, BAND_ROWS = 20, 5
-SKETCH, LEAST_EQUAL = 64, 35
-#: All pairs of a key with up to FEW sets are made by Spark's own expressions; larger keys go to tasks in blocks.
-FEW, BLOCK = 12, 1024
-#: Pairs of two components that are compared in each round, the most similar ones; the last round takes all.
-ROUNDS = (3, 100, None)
-#: Shingles that are permuted at once.
-PART = 2048
+#: Sets, and their shingles together, of a part of a key.
+BLOCK, SHINGLES = 1024, 1 << 21
+#: Shingles that are permuted at once, and columns of a product.
+PART, WIDTH = 2048, 1 << 13
 #: Odd multipliers and masks of the permutations.
 _RANDOM = np.random.default_rng(7)
 MULTIPLIERS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,10 +30,10 @@ MASKS = _RANDOM.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The keys and the sketch of a set of shingle hashes; no keys for an empty set."""
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes; none for an empty set."""
     if not len(shingles):
-        return np.zeros(0, np.int64), bytes(SKETCH)
+        return np.zeros(0, np.int64)
     least = np.full(len(MASKS), (1 << 64) - 1, np.uint64)
     for at in range(0, len(shingles), PART):
         part = shingles[at : at + PART][None, :] ^ MASKS[:, None]
@@ -52,151 +43,85 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
     for row in least.reshape(BANDS, BAND_ROWS).T:
         keys = (keys ^ row) * _MIX
         keys ^= keys >> np.uint64(29)
-    return keys.astype(np.int64), ((least[:SKETCH] * _MIX) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return keys.astype(np.int64)
 
 
-def _sketches(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, column)), np.uint8).reshape(-1, SKETCH)
+def members_of(sets: DataFrame) -> DataFrame:
+    """(key, code, parts): the sets (code, n, keys) of each key that several share, without keys of the same sets."""
+    spread = sets.select("code", "n", F.explode("keys").alias("key"))
+    one = F.xxhash64("code")
+    counted = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"), F.min(one).alias("x"), F.max(one).alias("y"), F.bit_xor(one).alias("z"))
+    distinct = counted.where("many > 1").groupBy("many", "total", "x", "y", "z").agg(F.min("key").alias("key"))
+    parts = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("total") / SHINGLES)).cast("int")
+    kept = stage(distinct.select("key", parts.alias("parts")))
+    return stage(salted_lookup(spread.drop("n"), kept, "key", F.col("code"), 8))
+
+
+def local_links(codes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the components of "similar enough" among sets of distinct shingles."""
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        c = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        good = c >= similarity * (sizes.sum() - c) - 1e-9
+        return (codes[1:], codes[:1]) if good else (codes[:0], codes[:0])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    several = np.bincount(column)[column] > 1
+    row, column = row[several], column[several]
+    used, column = np.unique(column, return_inverse=True)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for left in range(0, len(used), WIDTH):
+        a, b = np.searchsorted(column, (left, left + WIDTH))
+        present = np.zeros((len(sets), min(WIDTH, len(used) - left)), np.float32)
+        present[row[a:b], column[a:b] - left] = 1
+        common += present @ present.T
+    good = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    np.fill_diagonal(good, True)
+    roots = np.arange(len(sets))
+    while True:
+        lower = np.where(good, roots[None, :], len(sets)).min(axis=1)
+        lower = lower[lower]
+        if (lower == roots).all():
+            break
+        roots = lower
+    moved = roots != np.arange(len(sets))
+    return codes[moved], codes[roots[moved]]
 
 
-def _fits(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes can be so similar."""
-    return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+def similar_links(groups: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that span the components of "similarity of at least `similarity`" within each key of `groups`.
 
+    groups: key, code and parts; whole: code and shingles, distinct and sorted. Every two sets of a key are compared.
+    """
+    spark = groups.sparkSession
+    bounded_batches(spark)
+    part = F.pmod(F.xxhash64("code"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_o")
+    spread = groups.select("key", "code", part.alias("_p"), other).select("key", "code", F.least("_p", "_o").alias("i"), F.greatest("_p", "_o").alias("j"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spread.join(whole.hint("merge"), "code").repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j", "code")
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def of_groups(rows: pd.DataFrame) -> pd.DataFrame:
+            names, codes, sets = rows[["key", "i", "j"]].to_numpy(), rows["code"].to_numpy(np.int64), list(rows["shingles"])
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            found = [local_links(codes[x:y], sets[x:y], similarity) for x, y in zip(edges, edges[1:]) if y - x > 1]
+            none = [np.zeros(0, np.int64)]
+            return pd.DataFrame({"a": np.concatenate([f[0] for f in found] or none), "b": np.concatenate([f[1] for f in found] or none)})
 
-def members_of(sets: DataFrame) -> DataFrame:
-    """(key, code, many): the sets (code, keys) of each key that several sets share, and how many they are."""
-    spread = sets.select("code", F.explode("keys").alias("key"))
-    shared = stage(spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
-    return stage(salted_lookup(spread, shared, "key", F.col("code"), 8))
-
-
-def few_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, alike), a < b: all pairs of the smaller keys; alike is the number of keys that they share."""
-    own = F.collect_list(F.struct("code", "n")).alias("own")
-    few = members.where(F.col("many") <= FEW).join(sets.select("code", "n"), "code").groupBy("key").agg(own)
-    every = few.select(F.explode("own").alias("x"), "own").select("x", F.explode("own").alias("y")).where("x.code < y.code")
-    near = every.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
-    return near.groupBy(F.col("x.code").alias("a"), F.col("y.code").alias("b")).agg(F.count(F.lit(1)).cast("int").alias("alike"))
-
-
-def _closest(rows: pd.DataFrame) -> pd.DataFrame:
-    """The two sets most like what the sets of a key, or of a part of it, have in common at each place of the sketch."""
-    sketch = _sketches(rows["sketch"])
-    counts = np.zeros((SKETCH, 256), np.int64)
-    for place in range(SKETCH):
-        counts[place] = np.bincount(sketch[:, place], minlength=256)
-    rows = rows.assign(close=(sketch == counts.argmax(axis=1)).sum(axis=1))
-    return rows.sort_values(["close", "code"], ascending=[False, True]).head(2)[["key", "code", "n", "sketch", "close"]]
-
-
-def star_pairs(large: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, alike) for each set of the larger keys (key, code, many, n, sketch) and that root which is most like it."""
-    part = F.pmod(F.xxhash64("code"), F.ceil(F.col("many") / BLOCK)).alias("part")
-    parts = large.select("key", part, "code", "n", "sketch").groupBy("key", "part")
-    closest = parts.applyInPandas(_closest, "key long, code long, n long, sketch binary, close int")
-    root = F.struct((-F.col("close")).alias("far"), F.col("code").alias("code"), F.col("n").alias("n"), F.col("sketch").alias("sketch"))
-    roots = stage(closest.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(root)), 1, 2).alias("roots")))
-    each = salted_lookup(large.select("key", "code", "n", "sketch"), roots, "key", F.col("code"), 8)
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
                 continue
-            own, found = _sketches(batch["sketch"]), []
-            for turn in range(2):
-                other = [r[min(turn, len(r) - 1)] for r in batch["roots"]]
-                alike = (own == _sketches(pd.Series([r["sketch"] for r in other]))).sum(axis=1)
-                code = np.array([r["code"] for r in other], np.int64)
-                good = (alike >= LEAST_EQUAL) & _fits(batch["n"].to_numpy(), np.array([r["n"] for r in other]), similarity)
-                found.append((np.where(good & (code != batch["code"].to_numpy()), alike, -1), code))
-            first = found[0][0] >= found[1][0]
-            alike = np.where(first, found[0][0], found[1][0])
-            code = np.where(first, found[0][1], found[1][1])
-            out = pd.DataFrame({"a": np.minimum(code, batch["code"]), "b": np.maximum(code, batch["code"]), "alike": alike.astype(np.int32)})
-            yield out[alike > 0]
-
-    pairs = each.select("code", "n", "sketch", "roots").mapInPandas(nearest, "a long, b long, alike int")
-    return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
-
-
-def cross_pairs(large: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, alike): all pairs of different components in the larger keys (with component) that may be similar.
-
-    Blocks of a key meet two by two; keys of one component do not come in.
-    """
-    mixed = stage(large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
-    own = salted_lookup(large, mixed, "key", F.col("code"), 8).withColumn("parts", F.ceil(F.col("many") / BLOCK).cast("int"))
-    own = own.withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "code", "n", "sketch", "component")
-
-    def crossed(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = rows[rows["part"] == i], rows[rows["part"] == j]
-        right_sketch, out = _sketches(right["sketch"]), []
-        for at in range(0, len(left), 64):
-            some = left.iloc[at : at + 64]
-            alike = (_sketches(some["sketch"])[:, None, :] == right_sketch[None, :, :]).sum(axis=2)
-            good = (alike >= LEAST_EQUAL) & _fits(some["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :], similarity)
-            good &= some["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-            x, y = np.nonzero(good)
-            a, b = some["code"].to_numpy()[x], right["code"].to_numpy()[y]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "alike": alike[x, y].astype(np.int32)}))
-        return pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame({"a": [], "b": [], "alike": []})
-
-    pairs = spread.groupBy("key", "i", "j").applyInPandas(crossed, "a long, b long, alike int")
-    return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
-
-
-def similar(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets of `whole` (code, shingles: distinct) have at least this similarity."""
-    left = whole.select(F.col("code").alias("a"), F.col("shingles").alias("_x"))
-    right = whole.select(F.col("code").alias("b"), F.col("shingles").alias("_y"))
-    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("c"), (F.size("_x") + F.size("_y")).alias("n"))
-    return common.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-9).select("a", "b")
-
-
-def with_components(df: DataFrame, links: DataFrame, *codes: str) -> DataFrame:
-    """df with, for each code column, its component over `links`: itself where it has no link."""
-    found = stage(components(links))
-    for code in codes:
-        own = found.select(F.col("node").alias(code), F.col("component").alias(f"_{code}"))
-        df = df.join(own, code, "left").withColumn(f"_{code}", F.coalesce(f"_{code}", code))
-    return df
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """For each set the pair with another that is most like it."""
-    both = pairs.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("code"))
-    best = F.max_by(F.struct("a", "b"), F.struct("alike", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("p")
-    return both.groupBy("code").agg(best).select("p.a", "p.b").distinct()
-
-
-def similar_links(sets: DataFrame, whole: DataFrame, members: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that span the components of "similarity of at least `similarity`" among `sets`.
-
-    `sets` has code, n and sketch, `whole` code and shingles, `known` other pairs (a, b) that may be similar.
-    """
-    few = stage(few_pairs(members, sets, similarity))
-    large = members.where(F.col("many") > FEW).join(sets.select("code", "n", "sketch"), "code")
-    large = stage(large.select("key", "code", "many", "n", "sketch"))
-    first = stage(known.select("a", "b").union(_best(few)).union(_best(star_pairs(large, similarity))).distinct())
-    links = stage(similar(first, whole, similarity))
-    crossing = cross_pairs(with_components(large, links, "code").withColumnRenamed("_code", "component"), similarity)
-    left = stage(few.unionByName(crossing).groupBy("a", "b").agg(F.max("alike").alias("alike")).join(first, ["a", "b"], "left_anti"))
-    for most in ROUNDS:
-        apart = with_components(left, links, "a", "b").where("_a <> _b")
-        low, high = F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y")
-        apart = stage(apart.select("a", "b", "alike", low, high))
-        if apart.isEmpty():
-            break
-        chosen = apart
-        if most is not None:
-            chosen = stage(apart.selectExpr("*", "row_number() OVER (PARTITION BY x, y ORDER BY alike DESC, a, b) AS place").where(F.col("place") <= most))
-        more = stage(similar(chosen, whole, similarity))
-        links = stage(links.union(more))
-        left = stage(apart.join(chosen, ["a", "b"], "left_anti").select("a", "b", "alike"))
-        release(apart)
-    return links
+            last = (rows[["key", "i", "j"]] == rows[["key", "i", "j"]].iloc[-1]).all(axis=1)
+            held = rows[last]
+            if not last.all():
+                yield of_groups(rows[~last])
+        if held is not None and len(held):
+            yield of_groups(held)
+
+    return rows.mapInPandas(linked, "a long, b long").distinct()

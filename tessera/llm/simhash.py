@@ -259,10 +259,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(documents: DataFrame, words: int) -> DataFrame:
-    """All columns, plus set: code (a hash of the set of shingles), n (its size), finger (its SimHash), keys and sketch."""
+    """All columns, plus set: code (a hash of the set of shingles), n (its size), finger (its SimHash) and keys."""
     bounded_batches(documents.sparkSession)
 
-    @F.pandas_udf("code long, n long, finger long, keys array<long>, sketch binary")
+    @F.pandas_udf("code long, n long, finger long, keys array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -270,35 +270,35 @@ def _shingle_sets(documents: DataFrame, words: int) -> DataFrame:
         for text in texts:
             own = np.unique(shingle_hashes(text or "", words))
             code = xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED)
-            rows.append((*np.array([code, len(own), majority(own)], np.uint64).astype(np.int64), *minhash.signature(own)))
-        return pd.DataFrame(rows, columns=["code", "n", "finger", "keys", "sketch"])
+            rows.append((*np.array([code, len(own), majority(own)], np.uint64).astype(np.int64), minhash.band_keys(own)))
+        return pd.DataFrame(rows, columns=["code", "n", "finger", "keys"])
 
     return documents.withColumn("set", made.asNondeterministic()(F.col("text")))
 
 
-def _finger_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of codes that span what the Gray-order index links, at most MAX_BITS bits between fingerprints."""
+def _finger_groups(sets: DataFrame) -> DataFrame:
+    """(key, code, parts): two codes each, that span what the Gray-order index links: at most MAX_BITS bits apart."""
     first = stage(sets.groupBy("finger").agg(F.min("code").alias("first")))
     same = sets.select("code", "finger").join(first, "finger").select(F.col("first").alias("a"), F.col("code").alias("b"))
     linked = linked_codes(first.select(F.col("finger").alias("code")))
     a, b = (first.select(F.col("finger").alias(x), F.col("first").alias(f"_{x}")) for x in "ab")
-    other = linked.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    return same.union(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = same.union(linked.join(a, "a").join(b, "b").select("_a", "_b")).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("code"), F.lit(1).alias("parts"))
 
 
 def _near_copies(documents: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, code) for each row of `documents`; (code, component) for each code that is linked at all.
 
     A code stands for a set of shingles of `words` words. Sets are linked where their similarity is at least `similarity`.
-    Texts are read a second time only for the sets of a candidate pair, one text for each set.
+    Texts are read a second time only for sets that have a candidate, one text for each set.
     """
     hashed = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     made = stage(_shingle_sets(documents.select("doc_id", "text"), words).select("doc_id", hashed, "set.*"))
     coded = made.select("doc_id", "text_hash", "code")
-    sets = stage(made.groupBy("code").agg(*[F.first(c).alias(c) for c in ("n", "finger", "keys", "sketch")]))
-    members = minhash.members_of(sets)
-    fingers = stage(_finger_pairs(sets))
-    wanted = stage(members.select("code").union(fingers.select(F.explode(F.array("a", "b")).alias("code"))).distinct())
+    sets = stage(made.groupBy("code").agg(*[F.first(c).alias(c) for c in ("n", "finger", "keys")]))
+    groups = stage(minhash.members_of(sets).select("key", "code", "parts").union(_finger_groups(sets)))
+    wanted = groups.select("code").distinct()
     row = F.xxhash64("doc_id", "text_hash")
     first = coded.join(wanted, "code").groupBy("code").agg(F.min(F.struct(row.alias("row"), "text_hash")).alias("f"))
     first = stage(first.select("code", F.col("f.row").alias("_row"), F.col("f.text_hash").alias("_hash")))
@@ -311,7 +311,7 @@ def _near_copies(documents: DataFrame, words: int, similarity: float) -> tuple[D
 
     one = read.join(first, F.expr("row = _row AND text_hash = _hash")).groupBy("code").agg(F.first("text").alias("text"))
     whole = stage(one.select("code", shingles("text").alias("shingles")))
-    links = minhash.similar_links(sets, whole, members, fingers, similarity)
+    links = stage(minhash.similar_links(groups, whole, similarity))
     return coded, stage(components(links).withColumnRenamed("node", "code"))
 
 
@@ -321,7 +321,7 @@ def keep_one(documents: DataFrame, words: int = COPY_WORDS, similarity: float =
     Texts are linked where the Jaccard similarity of their sets of shingles is at least `similarity`; a component is
     what links reach. Candidates come from the Gray-order index over fingerprints of these shingles and, as texts of
     similarity 0.8 are some ten bits apart and so beyond any index of fingerprints, from MinHash bands as well (see
-    minhash.py). Each is compared shingle by shingle. Texts without a word are copies of each other.
+    minhash.py). All candidates are compared shingle by shingle. Texts without a word are copies of each other.
 
     Rows without doc_id come last; of rows with one doc_id and several texts one text stays, and of repeated rows
     (equal doc_id and text) one row. Only rows that may have to go are shuffled with their text.

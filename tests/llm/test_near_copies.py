@@ -60,7 +60,7 @@ def test_stage_drops_near_copies(spark):
 def test_recall_of_bands():
     texts = corpus(400, 2, 14)
     sets = [simhash.shingle_hashes(t, 5) for t in texts]
-    keys = [set(minhash.signature(s)[0].tolist()) for s in sets]
+    keys = [set(minhash.band_keys(s).tolist()) for s in sets]
     _, pairs = brute_kept_pairs(texts)
     found = sum(bool(keys[i] & keys[j]) for i, j in pairs)
     assert len(pairs) > 300 and found >= 0.998 * len(pairs)
@@ -75,12 +75,11 @@ def brute_kept_pairs(texts):
     return sets, [(i, j) for i, j in close if jaccard(sets[i], sets[j]) >= 0.8]
 
 
-@pytest.mark.parametrize(("few", "block", "rounds"), [(12, 1024, (3, 100, None)), (3, 20, (1, None))])
-def test_large_groups_of_near_copies(spark, monkeypatch, few, block, rounds):
+@pytest.mark.parametrize(("block", "shingles"), [(1024, 1 << 21), (20, 4000)])
+def test_large_groups_of_near_copies(spark, monkeypatch, block, shingles):
     """Keys of many sets: copies that only their source links, groups that one text links, and unlike neighbours."""
-    monkeypatch.setattr(minhash, "FEW", few)
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "SHINGLES", shingles)
     rng = random.Random(8)
     source = [f"w{i}" for i in range(400)]
     texts = [" ".join(source), *(" ".join(edited(rng, source, rng.randint(5, 9))) for _ in range(120))]

@@ -15,6 +15,7 @@ from tessera.config import Config
 from tessera.functions.text import is_referential, snippet, terms, text_hash
 from tessera.operators import backends, graph, notes, packets, retrieval, store
 from tessera.plans import turns
+from tessera.staging import stage
 from tessera.streaming import threads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,7 +302,7 @@ SELECT {_CHUNK_ID.format("'body'", "('d::' || doc_id || '.md')", "1", "doc_id",
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n", -1), lambda l: F.trim(l) != "")
     d = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").alias("seq"), F.transform(lines, lambda l: F.concat(F.lit(_MARK), l)).alias("lines"))
-    return notes.chunks(notes.notes(_files(d, "d"))).select("chunk_id", "section_label", "chunk_hash")
+    return notes.chunks(stage(notes.notes(_files(d, "d")))).select("chunk_id", "section_label", "chunk_hash")
 
 
 @register(f"""
@@ -315,7 +316,7 @@ def section_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.array_sort(F.collect_list(F.struct("turn", said.alias("s"))))
     threads_of = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(each.alias("all"))
     files = _files(threads_of.select(F.col("conv_id").cast("string").alias("name"), F.col("conv_id").alias("seq"), F.transform("all", lambda x: x["s"]).alias("lines")), "c")
-    return notes.chunks(notes.notes(files)).select("chunk_id", "section_label", "section_occurrence", "paragraph_ordinal", "chunk_hash")
+    return notes.chunks(stage(notes.notes(files))).select("chunk_id", "section_label", "section_occurrence", "paragraph_ordinal", "chunk_hash")
 
 
 @register("""
@@ -328,7 +329,7 @@ def inline_label_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("s"))))
     users = _table(spark, sf_dir, "events").groupBy("user_id").agg(each.alias("all"))
     files = _files(users.select(F.col("user_id").cast("string").alias("name"), F.col("user_id").alias("seq"), F.transform("all", lambda x: x["s"]).alias("lines")), "u")
-    found = notes.chunks(notes.notes(files))
+    found = notes.chunks(stage(notes.notes(files)))
     return found.select(F.regexp_replace("paragraph_text", _MARK, "").cast("long").alias("event_id"), "note_id", "section_label")
 
 

@@ -66,8 +66,9 @@ def test_lexical_index_equals_one_pass(spark, monkeypatch):
         for q, terms in asked:
             if found := [t for t in terms if t in hay]:
                 want.add((q, i, len(found) + 2.0, "lexical match: " + ", ".join(found), f"p/{i}.md"))
-    for most in (1 << 20, 0):
+    for most, few in ((1 << 20, 1 << 20), (1 << 20, 0), (0, 0)):
         monkeypatch.setattr(retrieval, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(retrieval, "FEW_QUERIES", few)
         got = retrieval.lexical(df, queries, carry=("relative_path",)).drop("source").collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 

@@ -1,10 +1,13 @@
 """Conversation state as a fold over turns: in batch with windows, live with a stateful stream; and the ledger.
 
-Both folds keep the last MESSAGES messages of a thread; they give the same rows for the same turns.
+Batch and stream give the same rows for the same turns: fold_turns and stream_turns keep the last messages of a thread,
+fold_states and stream_states its whole state with focus, turns and hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,6 +114,78 @@ def fold_states(turns: DataFrame, n: int = MESSAGES) -> DataFrame:
     return ledger(out, json_hash(delta))
 
 
+#: Columns that a stream of turns brings, and what it gives for each of them.
+TURN_SCHEMA = (
+    "thread_id string, turn_id long, message string, response string, created_at string, outcome string, blocking_reasons array<string>, compiler_status string, decision string, "
+    "query string, entities array<string>, relations array<string>, retrieval_terms array<string>, vector_query string, graph_seeds array<string>, "
+    "selected_chunk_ids array<string>, selected_note_titles array<string>, selected_section_labels array<string>"
+)
+STREAMED = "thread_id string, turn_id long, state string, state_hash string, prior_state_hash string, delta_hash string, parent_hash string"
+
+
+def _digest(value: dict) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def _listed(value):
+    return None if value is None else [None if x is None else str(x) for x in value]
+
+
+def next_state(prior: dict | None, turn: dict, n: int = MESSAGES) -> tuple[dict, dict]:
+    """What is kept of a thread after a turn, and the row of STREAMED that the turn gives. See fold_states."""
+    prior = prior or {"messages": [], "turns": [], "state_hash": None, "delta_hash": None}
+    turn_id, focus = int(turn["turn_id"]), {c: turn[c] for c in FOCUS}
+    said = [("user", turn["message"]), ("assistant", turn["response"])]
+    messages = [*prior["messages"], *({"role": r, "content": c, "turn_id": turn_id} for r, c in said if c)][-n:]
+    clean = " ".join((turn["response"] or "").split())
+    short = clean if len(clean) <= 120 else clean[:119].rstrip() + "…"
+    turns = [*prior["turns"], {"turn_id": turn_id, "raw_user_input": turn["message"], "assistant_response_snippet": short, **focus}][-n:]
+    state = {
+        "active_focus": focus, "conversation_summary": "", "latest_assistant_response": turn["response"], "latest_thread_state_hash": None, "latest_turn_id": turn_id,
+        "latest_user_input": turn["message"], "recent_messages": messages, "recent_semantic_turns": turns, "thread_id": turn["thread_id"], "updated_at": turn["created_at"],
+    }
+    state_hash = _digest(state)
+    delta_hash = _digest({
+        "assistant_response": turn["response"], "blocking_reasons": turn["blocking_reasons"], "coverage_decision": turn["decision"], "next_thread_state_hash": state_hash,
+        "prior_thread_state_hash": prior["state_hash"], "raw_user_input": turn["message"], "runtime_outcome": turn["outcome"], "semantic_compiler_status": turn["compiler_status"],
+        "thread_id": turn["thread_id"], "turn_id": turn_id,
+    })
+    row = {"thread_id": turn["thread_id"], "turn_id": turn_id, "state": json.dumps(state), "state_hash": state_hash, "prior_state_hash": prior["state_hash"], "delta_hash": delta_hash, "parent_hash": prior["delta_hash"]}
+    return {"messages": messages, "turns": turns, "state_hash": state_hash, "delta_hash": delta_hash}, row
+
+
+class _States(StatefulProcessor):
+    """The whole state of each thread, turn by turn."""
+
+    def __init__(self, n: int) -> None:
+        self._n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._kept = handle.getValueState("kept", "value string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self._kept.get()
+        kept, found = json.loads(old[0]) if old is not None else None, []
+        given = [t for batch in rows for t in batch.to_dict("records")]
+        for turn in sorted(given, key=lambda t: t["turn_id"]):
+            own = {c: _listed(v) if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and not isinstance(v, str) and getattr(v, "ndim", 0) else v for c, v in turn.items()}
+            kept, row = next_state(kept, own, self._n)
+            found.append(row)
+        self._kept.update((json.dumps(kept),))
+        yield pd.DataFrame(found)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_states(turns: DataFrame, n: int = MESSAGES) -> DataFrame:
+    """fold_states over a stream of turns (TURN_SCHEMA): each batch gives a row for each of its turns.
+
+    Turns of a thread have to come in order from batch to batch; within one they are put in order.
+    """
+    return turns.groupBy("thread_id").transformWithStateInPandas(_States(n), STREAMED, "Append", "None")
+
+
 def ledger_records(states: DataFrame, artifacts: list[str]) -> DataFrame:
     """The ledger's rows from fold_states: outcome, chain, and the hash of each artifact column as canonical JSON."""
     hashes = [json_hash(F.col(c)).alias(f"{c}_hash") for c in artifacts]

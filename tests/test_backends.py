@@ -54,3 +54,20 @@ def test_env_file(tmp_path):
     path = tmp_path / ".env"
     path.write_text("# no\nA=1\n B = 'x y' \nbroken\n\n=z\n")
     assert backends.load_env(str(path)) == {"A": "1", "B": "x y"} and backends.load_env(str(tmp_path / "none")) == {}
+
+
+def test_records(spark, tmp_path):
+    from tessera.sources import records
+
+    schema = "a int, b string"
+    assert records.read_document(spark, str(tmp_path / "no.json"), schema) is None and records.read_ledger(spark, str(tmp_path / "no"), schema).count() == 0
+    (tmp_path / "one.json").write_text('{\n "a": 1,\n "b": null\n}\n')
+    assert records.read_document(spark, str(tmp_path / "one.json"), schema).first() == (1, None)
+    (tmp_path / "log.jsonl").write_text('{"a": 1, "b": "x"}\n\n  \n{"a": 2}\n')
+    assert sorted(tuple(r) for r in records.read_ledger(spark, str(tmp_path / "log.jsonl"), schema).collect()) == [(1, "x"), (2, None)]
+    for i in range(2):
+        records.append_ledger(spark.createDataFrame([(i, None)], schema), str(tmp_path / "ledger"))
+    assert records.read_ledger(spark, str(tmp_path / "ledger"), schema).count() == 2
+    rows = [(1, "[1, 2.5]"), (2, "[1, null]"), (3, "oops"), (4, '["1"]'), (5, None), (6, "{}"), (7, "[]")]
+    got = {r.i: r.vector for r in records.vectors(spark.createDataFrame(rows, "i int, vector_json string")).collect()}
+    assert got == {1: [1.0, 2.5], 7: []}

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -69,3 +70,28 @@ def test_states_equal_a_fold_over_turns(spark):
         }
         assert (r.state_hash, r.prior_state_hash, r.delta_hash, r.parent_hash) == (digest(state), prior, digest(delta), parent)
         prior, parent = digest(state), digest(delta)
+
+
+def test_streamed_states_equal_batch(spark, tmp_path):
+    rows = []
+    for i in range(1, 25):
+        answer = f"answer {i} é " * 20 if i % 4 else None
+        rows.append((f"t{i % 3}", i, f"message {i}", answer, f"2025-01-{i:02d}", "completed" if answer else "blocked", [] if answer else ["why"], "parsed", "approved", None if i % 5 == 0 else f"q{i}", [], ["r"], ["x", "y"], f"v{i}", ["s"], [f"c{i}"], None, ["S"]))
+    turns = spark.createDataFrame(rows, threads.TURN_SCHEMA)
+    for part in range(3):  # three files, one batch each
+        turns.where((F.col("turn_id") > 8 * part) & (F.col("turn_id") <= 8 * part + 8)).coalesce(1).write.mode("append").parquet(str(tmp_path / "turns"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(threads.TURN_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "turns"))
+    got = []
+    query = (
+        threads.stream_states(stream)
+        .writeStream.outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .foreachBatch(lambda df, i: got.extend(df.collect()))
+        .trigger(availableNow=True)
+        .start()
+    )
+    assert query.awaitTermination(240)
+    names = ["thread_id", "turn_id", "state_hash", "prior_state_hash", "delta_hash", "parent_hash"]
+    want = {(r.thread_id, r.turn_id): tuple(r[n] for n in names) for r in threads.fold_states(turns).collect()}
+    assert {(r.thread_id, r.turn_id): tuple(r[n] for n in names) for r in got} == want

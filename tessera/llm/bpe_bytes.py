@@ -163,7 +163,11 @@ def decode_documents(documents: DataFrame, ranks_path: str, pattern: str, ids: s
 
 
 def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, and decoded again, in one pass over the texts."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, and decoded again, in one pass over the texts.
+
+    Null and empty texts have no ids. Very long texts are encoded whole. Equal texts give equal values, repeated rows stay,
+    and an empty table gives no rows. Only doc_id and text are read, whatever else there is.
+    """
     bounded_batches(documents.sparkSession)
 
     def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, gapless_rank, salted_lookup, stage, table
+from tessera.llm.common import bucket_count, gapless_rank, release, salted_lookup, stage, table
 
 SHARDS = 16
 #: Bins of a histogram pass, per node.
@@ -153,7 +153,8 @@ def kd_tree(units: DataFrame, room: list[float]) -> DataFrame:
         upper = F.lit(False)
         for n, cut in cuts.items():
             upper = upper | ((node == n) & (key >= F.lit(cut)))
-        tree = stage(tree.withColumn("node", node * 2 + F.when(upper, 1).otherwise(0)))
+        last, tree = tree, stage(tree.withColumn("node", node * 2 + F.when(upper, 1).otherwise(0)))
+        release(last)
         next_parts, next_first = {}, {}
         for n, k in parts.items():
             lower = k // 2 if n in split else k

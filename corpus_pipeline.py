@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, packing, pii, simhash
-from tessera.llm.common import stage
+from tessera.llm.common import release, stage
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language that can be learnt from `docs`; see language_id.is_rejected.
@@ -66,8 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of what the stages keep of documents. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES:
-        docs = function(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stage(docs)
-    return docs
+    for _, function in STAGES[:-1]:
+        last, docs = docs, stage(function(spark, docs, sf_dir))
+        release(last)
+    return STAGES[-1][1](spark, docs, sf_dir)

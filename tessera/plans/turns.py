@@ -41,7 +41,7 @@ PAYLOAD = "struct<intent:string,query:string,vector_query:string,entities:array<
 ANSWER = "payload string, response_status string, raw_response string, metadata string, diagnostics string"
 PACKET = ("raw_user_input", *packets.TEXTS, *packets.LISTS)
 #: What of a turn is stored as an artifact, by the name of its column.
-ARTIFACTS = ("semantic_compiler_packet", "semantic_compiler_diagnostic", "semantic_traversal_manifest", "retrieval_packet", "coverage_report", "synthesis_context_packet", "state_delta")
+ARTIFACTS = ("semantic_compiler_packet", "semantic_compiler_diagnostic", "traversal_manifest", "retrieval_packet", "coverage_report", "synthesis_context_packet", "state_delta")
 REQUIREMENTS = (
     "Answer directly. Use only the coverage-approved retrieval packet when coverage is approved.",
     "Do not describe retrieved notes as independently approved, verified, or authoritative.",
@@ -174,7 +174,7 @@ def run_batch(states: DataFrame | None, tables: dict[str, DataFrame], inputs: Da
         text_hash(said).alias("raw_response_hash"),
         snippet(said, 1200).alias("raw_response_preview"),
     )
-    rows = rows.withColumn("semantic_compiler_diagnostic", diagnostic).withColumn("semantic_traversal_manifest", F.col("manifest"))
+    rows = rows.withColumn("semantic_compiler_diagnostic", diagnostic).withColumn("traversal_manifest", F.col("manifest"))
     report = F.struct(
         "decision",
         "blocking_reasons",
@@ -182,7 +182,7 @@ def run_batch(states: DataFrame | None, tables: dict[str, DataFrame], inputs: Da
         F.col("response_status").alias("semantic_compiler_response_status"),
         json_hash(F.col("semantic_compiler_diagnostic")).alias("semantic_compiler_diagnostic_hash"),
         F.when(packets.is_valid(), json_hash(F.col("semantic_compiler_packet"))).alias("semantic_compiler_packet_hash"),
-        json_hash(F.col("semantic_traversal_manifest")).alias("semantic_traversal_manifest_hash"),
+        json_hash(F.col("traversal_manifest")).alias("traversal_manifest_hash"),
         json_hash(F.col("retrieval_packet")).alias("retrieval_packet_hash"),
         F.col("selected_count").alias("selected_chunk_count"),
     )
@@ -198,7 +198,7 @@ def run_batch(states: DataFrame | None, tables: dict[str, DataFrame], inputs: Da
         F.col("state").alias("prior_thread_state"),
         tail(F.col("conversation.messages"), MESSAGES).alias("visible_transcript_tail"),
         "semantic_compiler_packet",
-        "semantic_traversal_manifest",
+        "traversal_manifest",
         F.when(F.col("outcome") == "completed", F.col("retrieval_packet")).alias("approved_retrieval_packet"),
         "coverage_report",
         F.col("outcome").alias("runtime_outcome"),

@@ -103,7 +103,7 @@ def test_turns_without_a_store(spark, tmp_path):
     assert threads.states() is None and threads.ledger() is None
     asked = spark.createDataFrame([("x", "leaf please"), ("y", None)], "thread_id string, message string")
     rows = {r.thread_id: r for r in turns.run_turns(threads, {}, asked, "now", compiler=services()[0]).collect()}
-    assert rows["x"].semantic_traversal_manifest.selection_notes == ["ingestion database unavailable"]
+    assert rows["x"].traversal_manifest.selection_notes == ["ingestion database unavailable"]
     assert rows["x"].blocking_reasons == ["retrieval required but no chunks were selected"]
     with pytest.raises(ValueError):
         turns.run_turns(threads, {}, asked.limit(0), "now")

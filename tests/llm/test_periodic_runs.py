@@ -1,0 +1,127 @@
+"""Periodic runs against a brute-force search, the transform against plain sums, and the query against both."""
+
+import hashlib
+import random
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tessera.llm import periodic_runs as R
+
+
+def brute(words):
+    n, found = len(words), {}
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(24, 3 * q):
+                found.setdefault((i, j + q), q)
+            i = j
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def kept(words, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def thue_morse(n):
+    return [str(bin(i).count("1") % 2) for i in range(n)]
+
+
+def fibonacci(n):
+    a, b = "a", "ab"
+    while len(b) < n:
+        a, b = b, b + a
+    return list(b[:n])
+
+
+@pytest.fixture(scope="module")
+def sequences():
+    rng, out = random.Random(11), []
+    for _ in range(250):
+        n, words = rng.choice([0, 1, 23, 24, 25, 47, 48, 49, 130, 400]), rng.choice([1, 2, 3, 40])
+        s = [str(rng.randrange(words)) for _ in range(n)]
+        if n > 30 and rng.random() < 0.7:
+            a = rng.randrange(n)
+            p = rng.randrange(1, (n - a) // 3 + 2)
+            s = s[:a] + [s[a + (i - a) % p] for i in range(a, n)]
+        out.append(s)
+    return out + [["a"] * 900 + ["z"] + ["a"] * 900, (["a"] * 50 + ["z"]) * 20, fibonacci(1500), thue_morse(1 << 11), list("abcdefgh" * 3), list("abcdefgh" * 3)[:-1]]
+
+
+def test_against_brute_force(sequences):
+    assert R.runs(sequences) == [brute(s) for s in sequences]
+    assert any(q >= 64 for s in R.runs(sequences) for _, _, q in s)
+
+
+def test_sequences_do_not_meet():
+    assert R.runs([["a"] * 20, ["a"] * 20, ["a"] * 24]) == [[], [], [(0, 24, 1)]]
+
+
+def test_hashes_that_mislead_change_nothing(sequences, monkeypatch):
+    monkeypatch.setattr(R, "BASE", np.uint64(1))  # sums alone: anagrams are alike
+    some = sequences[:60] + [list("ab" * 12 + "ba" * 12 + "ab" * 20)]
+    assert R.runs(some) == [brute(s) for s in some]
+
+
+def test_transform_is_exact():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, R.MODULUS, (3, 64)).astype(np.uint64)
+    assert (R.inverse(R.transform(rows)) == rows).all()
+    ids = rng.integers(0, 3, 200)
+    for block, nearest in ((8, 0), (8, 8), (16, 16)):
+        found = {(int(s), int(d)) for some in R.occurrences(ids, block, nearest) for s, d in zip(*some)}
+        wanted = {
+            (s, d)
+            for s in range(0, 200, block)
+            for d in range(max(1, nearest), nearest + block)
+            if s + d + block <= 200 and (ids[s : s + block] == ids[s + d : s + d + block]).all()
+        }
+        assert wanted <= found
+
+
+def test_query_against_brute_force(spark, sequences, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(s) for s in sequences[:120]] + [None, "", " \t ", "x y " * 30, "one\vtwo\fthree " * 12, "w" * 5000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, "a " * 30), (1 << 40, "b c " * 100)]
+    rows += [(i, " ".join(str(rng.randrange(50)) for _ in range(300))) for i in range(1000, 1100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted, repeats = [], 0
+    for doc_id, text in rows:
+        words = [w for w in R._words(text or "")]
+        n, h = len(words), zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+            repeats += 1
+        found = brute(words)
+        best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        facts = (best[0], best[1], best[2], 1000 * best[1] // best[2]) if best else (None,) * 4
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+        digests = (hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept(words, found).encode()).hexdigest())
+        wanted.append((doc_id, len(found), *facts, *digests))
+    got = R.query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+    assert repeats > 10
+
+
+def test_odd_rows_and_columns(spark):
+    schema = "runs string, collapsed int, text string, `a.b` int"
+    assert R.periodic_runs(spark.createDataFrame([], schema)).count() == 0
+    rows = R.periodic_runs(spark.createDataFrame([("x", 1, "k " * 24, 5), ("x", 1, None, None)], schema))
+    assert rows.columns == ["text", "a.b", "runs", "collapsed"]
+    first, second = sorted(rows.collect(), key=lambda r: r["text"] is None)
+    assert [tuple(r) for r in first["runs"]] == [(0, 24, 1)] and first["collapsed"] == "k" and first["a.b"] == 5
+    assert second["runs"] == [] and second["collapsed"] == ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_bytes, html_wrappers, language_id, line_dedup, media, packing, periodic_runs, pii, sharding, simhash, topk
+from tessera.llm import alignment, bpe_bytes, html_wrappers, language_id, line_dedup, media, packing, periodic_runs, pii, sharding, simhash, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_pii": pii.query,
     "op5_byte_bpe": bpe_bytes.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_alignment": alignment.query,
 }
 
 ORACLES: dict[str, str] = {

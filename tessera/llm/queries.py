@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import alignment, bpe_bytes, html_wrappers, language_id, line_dedup, media, packing, periodic_runs, pii, sharding, simhash, topk
+from tessera.llm import alignment, bpe_bytes, html_wrappers, language_id, line_dedup, media, packing, periodic_runs, pii, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op5_byte_bpe": bpe_bytes.query,
     "op11_periodic_runs": periodic_runs.query,
     "op12_alignment": alignment.query,
+    "op13_toxicity": toxicity.query,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,9 +1,10 @@
 """Alignment of two tokenizers over the same bytes, by an associative monoid of fragments.
 
-A text stands for its bytes after a space. Both tokenizers, A (byte-level BPE) and B (sentencepiece BPE), end a token before
-any single blank between two characters that are no white space: A's pattern matches nothing across it, and no piece of B
-holds a blank but at its start. Such blanks are cuts; what lies between two cuts is tokenised by itself, once for each distinct
-word that a worker meets, and its groups are closed.
+A text stands for its bytes after a space. Between some neighbours both tokenizers end a token wherever they stand: before a
+single blank or line feed between two characters that are no white space, and between a letter and a mark such as a comma.
+A's pattern matches nothing across these, and of B's pieces none holds them side by side, which is looked up in its
+vocabulary. Such places are cuts; what lies between two cuts is tokenised by itself, once for each distinct part that a
+worker meets, and its groups are closed.
 
 A byte range of a text is a Fragment: an open head before its first cut, closed groups, an open tail after its last cut. Two
 neighbours compose: the tail of the one and the head of the other are joined, cut anew and closed. Composition is
@@ -29,10 +30,10 @@ from tessera.llm.common import bounded_batches, release, stage, table
 
 #: Code points of a byte range; longer texts are dealt out in ranges. Fragments that one step of the tree composes.
 RANGE, FAN = 1 << 16, 16
-#: Entries of a worker's cache of words, and the longest word in it; they change speed only.
+#: Entries of each of the two generations of a worker's cache of parts, and the longest part in it; they change speed only.
 CACHE_ENTRIES, CACHED_LENGTH = 200_000, 64
-#: White space by Unicode or by Python: neither side of a cut may be any of it.
-_cut = re.compile(r"(?<=\S) (?=\S)").split
+#: Letters after which, and marks before which, a text may be cut, if no piece of B joins them.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ",.;:!?*$&#%|)"
 NONE: tuple[str, ...] = ()
 
 
@@ -86,43 +87,61 @@ class Aligner:
             self.a_bytes[i] = bytes(value[c] for c in token)
         pieces = [(self._b.id_to_piece(i), self._b.is_byte(i)) for i in range(len(self._b))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if raw else p.replace("▁", " ").encode() for p, raw in pieces]
-        self._cache: dict[str, tuple] = {}
+        plain = [p.replace("▁", " ") for p, raw in pieces if not raw]
+        self._newest: dict[str, tuple] = {}
+        self._older: dict[str, tuple] = {}
+        cuts = []
+        if not any(re.search("[^ ] ", p) for p in plain):
+            feed = "" if any("\n" in p for p in plain) else "\n"
+            cuts.append(rf"(?<=\S)(?=[ {feed}]\S)")
+            # A part that begins with neither is tokenised after a line feed, which B joins with nothing.
+            apart = "".join(m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in plain))
+            if feed and apart:
+                cuts.append(f"(?<=[{LETTERS}])(?=[{re.escape(apart)}])")
+        self.cut = re.compile("|".join(cuts) or r"(?!)").split
+        self._a_text, self._b_text = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
 
     def _groups(self, part: str, a: list[int], b: list[int]) -> tuple:
-        """(tokens of A, of B, groups, text, pairs, valid) of a space and the part."""
-        raw = b" " + part.encode()
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        """(tokens of A, of B, groups, text, pairs, valid) of a part."""
+        raw, a_bytes, b_bytes = part.encode(), self.a_bytes, self.b_bytes
         if b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
             return 0, 0, 0, "", NONE, False
-        texts, pairs, a_end, b_end, j, first_a, first_b = [], [], 0, 0, 0, 0, 0
-        for i, token in enumerate(a, 1):
-            a_end += len(a_bytes[token])
-            while b_end < a_end:
-                b_end += len(b_bytes[b[j]])
+        a_text, b_text = self._a_text, self._b_text
+        texts, pairs, own_a, own_b, ahead, j = [], [], [], [], 0, 0
+        for token in a:
+            own_a.append(a_text[token])
+            ahead += len(a_bytes[token])
+            while ahead > 0:
+                other = b[j]
+                own_b.append(b_text[other])
+                ahead -= len(b_bytes[other])
                 j += 1
-            if a_end == b_end:
-                texts.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                pairs.append(token << 32 | b[j - 1])
-                first_a, first_b = i, j
+            if not ahead:
+                texts.append(f"{','.join(own_a)}|{','.join(own_b)}")
+                pairs.append(token << 32 | other)
+                own_a, own_b = [], []
         return len(a), len(b), len(texts), ";".join(texts), tuple(pairs), True
 
+    def _tokens_of_b(self, parts: list[str]) -> list[list[int]]:
+        """B puts a space before what it is given: that of a part, or one before a line feed; both are taken away again."""
+        some = [p[1:] if p[0] == " " else p if p[0] == "\n" else "\n" + p for p in parts]
+        return [ids if p[0] == " " else ids[1 if p[0] == "\n" else 2 :] for p, ids in zip(parts, self._b.encode(some, out_type=int, num_threads=1))]
+
     def _found(self, parts: list[str]) -> list[tuple]:
-        cache = self._cache
-        missing = [p for p in dict.fromkeys(parts) if p not in cache]
-        new = {}
+        newest, older = self._newest, self._older
+        met = {p: newest.get(p) or older.get(p) for p in dict.fromkeys(parts)}
+        missing = [p for p, g in met.items() if g is None]
         for at in range(0, len(missing), 4096):
             some = missing[at : at + 4096]
-            a = self._a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            b = self._b.encode(some, out_type=int, num_threads=1)
-            new.update((p, self._groups(p, x.ids, y)) for p, x, y in zip(some, a, b))
-        found = [cache[p] if p in cache else new[p] for p in parts]
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-        cache.update((p, g) for p, g in itertools.islice(new.items(), CACHE_ENTRIES) if len(p) <= CACHED_LENGTH)
-        return found
+            a = self._a.encode_batch_fast(some, add_special_tokens=False)
+            met.update((p, self._groups(p, x.ids, y)) for p, x, y in zip(some, a, self._tokens_of_b(some)))
+        newest.update((p, g) for p, g in itertools.islice(met.items(), CACHE_ENTRIES) if len(p) <= CACHED_LENGTH)
+        if len(newest) >= CACHE_ENTRIES:
+            self._newest, self._older = {}, newest
+        return [met[p] for p in parts]
 
     def close(self, parts: list[str]) -> Closed:
-        """The groups of whole words, each with the blank before it."""
+        """The groups of whole parts."""
         if not parts:
             return Closed()
         n_a, n_b, n_groups, texts, pairs, valid = zip(*self._found(parts))
@@ -131,12 +150,12 @@ class Aligner:
         return Closed(sum(n_a), sum(n_b), count, ";".join(filter(None, texts)), linked, all(valid))
 
     def fragment(self, text: str) -> Fragment:
-        """A part of a text, closed between its cuts. The empty part is neutral in composition."""
-        first, *others = _cut(text)
+        """A range of a text, closed between its cuts. The empty range is neutral in composition."""
+        first, *others = self.cut(text)
         return Fragment(first, self.close(others[:-1]), others[-1]) if others else Fragment(first)
 
     def compose(self, left: Fragment, right: Fragment) -> Fragment:
-        seam = _cut((left.head if left.tail is None else left.tail) + right.head)
+        seam = self.cut((left.head if left.tail is None else left.tail) + right.head)
         head, closed, tail = left.head, left.closed, right.tail
         if left.tail is None:
             head, *seam = seam
@@ -144,8 +163,12 @@ class Aligner:
             tail = seam.pop() if seam else None
         return Fragment(head, closed.then(self.close(seam), right.closed), tail)
 
+    def whole(self, text: str | None) -> Closed:
+        """The groups of a text."""
+        return self.finish(self.fragment(" " + text if text else ""))
+
     def finish(self, fragment: Fragment) -> Closed:
-        """The groups of a fragment that is a whole text. An empty text has none."""
+        """The groups of a fragment that is a whole text after a space. An empty text has none."""
         if not fragment.head and fragment.tail is None:
             return Closed()
         tail = [] if fragment.tail is None else [fragment.tail]
@@ -220,7 +243,7 @@ def _long(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
-                text = text.as_py()
+                text = " " + text.as_py()
                 for k, at in enumerate(range(0, len(text), RANGE)):
                     yield pa.RecordBatch.from_pylist([{"doc_id": doc_id.as_py(), "row": row.as_py(), "k": k, "text": text[at : at + RANGE]}], ranges)
 
@@ -261,7 +284,7 @@ def align(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         own, task = aligner(a_path, b_path), TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
-            found = [own.finish(own.fragment(t or "")) for t in batch["text"].to_pylist()]
+            found = [own.whole(t) for t in batch["text"].to_pylist()]
             yield _aligned(batch["doc_id"], found, [task << 32 | number] * len(found))
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -55,7 +55,7 @@ def written(groups):
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(3)
-    bits = ["the", " ", "  ", "\n", "\t", " \n ", "don't", "x's", "<|endoftext|>", "<s>", "</s>", "<0x41>", "naïve", "日本語", "😀", "1234567", " ", "　", "\x00", "\x1c", "á", "…", "===", "réeuxment", "ﬁ", "word", "Word,", "-"]
+    bits = ["the", " ", "  ", "\n", "\t", " \n ", "don't", "x's", "<|endoftext|>", "<s>", "</s>", "<0x41>", "naïve", "日本語", "😀", "1234567", " ", "　", "\x00", "\x1c", "á", "…", "===", "réeuxment", "ﬁ", "word", "Word,", "-", "x.", "é, ", "².", "a|b", "end.\n", "ß!", "w)"]
     out = [None, "", " ", "  ", "\n", " a", "a ", "▁", "a ▁ b", "a b", "a" * 300, "ab " * 50, "a\u0085b c", "a \x1c b", "<|endoftext|> <s> </s>"]
     for _ in range(250):
         out.append("".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 40))))
@@ -65,7 +65,7 @@ def texts():
 def test_words_by_themselves_are_tokenised_as_in_the_whole_text(texts, brute):
     own = alignment.Aligner(A, B)
     for text in texts:
-        got = own.finish(own.fragment(text or ""))
+        got = own.whole(text)
         assert got.groups == written(brute(text)), text
         assert (got.n_a, got.n_b, got.n_groups) == (sum(len(a) for a, _ in brute(text)), sum(len(b) for _, b in brute(text)), len(brute(text)))
         assert got.pairs.tolist() == [a[-1] << 32 | b[-1] for a, b in brute(text)]
@@ -90,11 +90,11 @@ def test_composition_is_associative_and_independent_of_the_ranges(texts):
 
 def test_a_full_cache_starts_anew(texts, monkeypatch):
     own = alignment.Aligner(A, B)
-    wanted = [own.finish(own.fragment(t or "")).groups for t in texts]
+    wanted = [own.whole(t).groups for t in texts]
     monkeypatch.setattr(alignment, "CACHE_ENTRIES", 3)
     small = alignment.Aligner(A, B)
-    assert [small.finish(small.fragment(t or "")).groups for t in texts] == wanted
-    assert len(small._cache) <= 3
+    assert [small.whole(t).groups for t in texts] == wanted
+    assert len(small._newest) <= 6 and len(small._older) <= 6
 
 
 def test_query_against_whole_texts(spark, texts, brute, tmp_path, monkeypatch):

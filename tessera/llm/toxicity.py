@@ -42,6 +42,8 @@ SHINGLE = 5
 #: From this score on a text is predicted toxic.
 THRESHOLD = 0.7
 STEPS, TOLERANCE = 60, 1e-7
+#: Texts whose features a worker holds at once.
+TOGETHER = 32
 #: Kinds of identity terms; a term is swapped for each other term of its kind. The first of each kind is neutral.
 IDENTITY_TERMS: dict[str, list[str]] = {
     "gender": ["person", "woman", "man", "girl", "boy", "female", "male"],
@@ -183,28 +185,49 @@ def learn(documents: DataFrame, labels: DataFrame, kinds: dict[str, list[str]] =
 
     Rows without text or label are not learnt from; a document with both labels, or of equal doc_ids, counts with each.
     """
-    known = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    rows = documents.where(~held_out() & (F.col("text") != "")).select("doc_id", "text").join(known, "doc_id")
-    return learn_rows(rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), kinds)
-
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    share, sizes = _share(known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct(), F.xxhash64("doc_id"))
+    if share is None:
+        return None
+    # A share has a few times ROWS_PER_LABEL rows of numbers at most, so it is broadcast, and no text is shuffled.
+    return _learn(documents.where(F.col("text") != "").select("doc_id", "text").join(F.broadcast(share), "doc_id"), sizes, kinds)
 
-def learn_rows(labelled: DataFrame, kinds: dict[str, list[str]]) -> Model | None:
-    """A model from rows of text and toxic (0 or 1)."""
-    bounded_batches(labelled.sparkSession)
 
-    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [[{"feature": f, "value": v} for f, v in sorted(values_of(t).items())] for t in batch["text"]]
-            swapped = [[{"taken": a, "added": b, "n": n} for a, b, n in swaps(t, kinds)] for t in batch["text"]]
-            yield pd.DataFrame({"copy": [copy_key(words_of(t)) for t in batch["text"]], "place": batch["place"], "toxic": batch["toxic"], "features": found, "swaps": swapped})
+def _share(labelled: DataFrame, hashed: Column) -> tuple[DataFrame | None, list[int]]:
+    """Rows of each label by a share of their hashes, with `place`, and the numbers of all rows; none of one label alone.
 
+    The share holds twice the rows that are wanted of each label, since copies go.
+    """
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return None
-    # A share by hash keeps twice what is wanted of each label, since copies go; the smallest hashes of it are taken.
+        return None, []
     upto = [int(min(1.0, 2 * ROWS_PER_LABEL / sizes[label]) * (1 << 40)) for label in (0, 1)]
-    share = labelled.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 40))).where(F.col("place") < F.when(F.col("toxic") == 1, upto[1]).otherwise(upto[0]))
-    schema = "copy long, place long, toxic int, features array<struct<feature:string,value:double>>, swaps array<struct<taken:string,added:string,n:long>>"
+    placed = labelled.withColumn("place", F.pmod(hashed, F.lit(1 << 40)))
+    return placed.where(F.col("place") < F.when(F.col("toxic") == 1, upto[1]).otherwise(upto[0])), [sizes[0], sizes[1]]
+
+
+def learn_rows(labelled: DataFrame, kinds: dict[str, list[str]]) -> Model | None:
+    """A model from rows of text and toxic (0 or 1)."""
+    share, sizes = _share(labelled, F.xxhash64("text"))
+    return None if share is None else _learn(share, sizes, kinds)
+
+
+def _learn(share: DataFrame, sizes: list[int], kinds: dict[str, list[str]]) -> Model | None:
+    spark = share.sparkSession
+    bounded_batches(spark)
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), TOGETHER):
+                batch = whole.iloc[at : at + TOGETHER]
+                found = [values_of(t) for t in batch["text"]]
+                swapped = [[{"taken": a, "added": b, "n": n} for a, b, n in swaps(t, kinds)] for t in batch["text"]]
+                yield pd.DataFrame({
+                    "copy": [copy_key(words_of(t)) for t in batch["text"]], "place": batch["place"].to_numpy(), "toxic": batch["toxic"].to_numpy(),
+                    "features": [list(v) for v in found], "values": [np.fromiter(v.values(), float, len(v)) for v in found], "swaps": swapped,
+                })
+
+    schema = "copy long, place long, toxic int, features array<string>, values array<double>, swaps array<struct<taken:string,added:string,n:long>>"
     made = stage(share.select("text", "toxic", "place").mapInPandas(featured, schema))
     first = made.groupBy("copy").agg(F.min(F.struct("place", "toxic")).alias("f")).select("copy", "f.place", "f.toxic")
     # At most ROWS_PER_LABEL rows of a label.
@@ -213,10 +236,9 @@ def learn_rows(labelled: DataFrame, kinds: dict[str, list[str]]) -> Model | None
     totals = [len(chosen[0]), len(chosen[1])]
     if not all(totals):
         return None
-    spark = labelled.sparkSession
     numbered = spark.createDataFrame([(*f, i) for i, f in enumerate(facts)], "copy long, place long, toxic int, row int")
-    sample = stage(made.join(F.broadcast(numbered), ["copy", "place", "toxic"]).dropDuplicates(["row"]).select("row", "toxic", "features", "swaps"))
-    each = sample.select("row", "toxic", F.explode("features").alias("f")).select("row", "toxic", "f.feature", "f.value")
+    sample = stage(made.join(F.broadcast(numbered), ["copy", "place", "toxic"]).dropDuplicates(["row"]).select("row", "toxic", "features", "values", "swaps"))
+    each = sample.select("row", "toxic", F.explode(F.arrays_zip("features", "values")).alias("f")).select("row", "toxic", F.col("f.features").alias("feature"), F.col("f.values").alias("value"))
     n = sum(totals)
     means = [F.sum(F.when(F.col("toxic") == label, F.col("value")).otherwise(0.0)) / totals[label] for label in (0, 1)]
     # The standard error that the difference of means would have if labels were dealt at random.

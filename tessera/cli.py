@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
 def stored(own: store.Store, config: Config) -> dict[str, DataFrame | None]:
     """The tables that retrieval reads, by the names it gives them; None for those that are not there."""
     names = {"chunks": "chunks", "chunk_vectors": config.vector_table, "graph_nodes": config.graph_nodes_table, "graph_edges": config.graph_edges_table}
+    names |= {name: name for name in ("postings", "members", "lexicon")}
     return {key: own.read(name) for key, name in names.items()}
 
 

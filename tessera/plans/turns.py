@@ -19,7 +19,7 @@ from tessera.config import Config
 from tessera.functions.text import json_hash, snippet, strip, text_hash
 from tessera.operators import packets, retrieval
 from tessera.operators.backends import Compiler, Embedder, NoCompiler, NoWriter, Writer
-from tessera.operators.store import Store
+from tessera.operators.store import Part, Store
 from tessera.plans.retrieve import INFO, retrieve
 from tessera.staging import stage
 from tessera.streaming.threads import FOCUS, MESSAGES, tail
@@ -294,26 +294,29 @@ class Threads:
         """thread_id, state, conversation; None before the first turn."""
         return self.store.read("threads")
 
-    def _of_all_runs(self, name: str) -> DataFrame | None:
-        current = self.store.current()
-        if current is None:
-            return None
-        return self.store.spark.read.parquet(*[f"{self.store.path}/{run}/{name}" for run in current["runs"]])
-
     def ledger(self) -> DataFrame | None:
-        return self._of_all_runs("ledger")
+        return self.store.read("ledger")
 
     def artifacts(self) -> DataFrame | None:
-        return self._of_all_runs("artifacts")
+        return self.store.read("artifacts")
 
     def add(self, turns: DataFrame) -> None:
-        """Store what a batch made: new states for its threads, and what its turns add to ledger and artifacts."""
-        current, old = self.store.current(), self.states()
+        """Store what a batch made: its threads' new states, and what its turns add to ledger and artifacts.
+
+        Only buckets with a thread of the batch are read and written; ledger and artifacts are logs in buckets of threads.
+        """
         fresh = turns.select("thread_id", F.col("next_state").alias("state"), F.col("next_conversation").alias("conversation"))
+        touched = sorted(r["b"] for r in fresh.select(self.store.bucket_of("thread_id").alias("b")).distinct().collect())
+        old = self.store.read("threads", touched)
         every = fresh if old is None else fresh.unionByName(old.join(fresh.select("thread_id"), "thread_id", "left_anti"))
-        summary: dict = {"run": Store.new_run()}
-        summary["runs"] = [*(current["runs"] if current else []), summary["run"]]
-        self.store.commit({"threads": every, "ledger": turns.select("ledger_record.*"), "artifacts": artifacts(turns)}, summary)
+        self.store.commit(
+            {
+                "threads": Part(every, "thread_id", only=touched),
+                "ledger": Part(turns.select("ledger_record.*"), "thread_id", log=True),
+                "artifacts": Part(artifacts(turns), "thread_id", log=True),
+            },
+            {},
+        )
 
 
 def run_turns(threads: Threads, tables: dict[str, DataFrame], inputs: DataFrame, at: str, config: Config | None = None, compiler: Compiler | None = None, embed: Embedder | None = None, writer: Writer | None = None) -> DataFrame:

@@ -137,7 +137,7 @@ def test_probes_and_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "parsed compiler output is required" in capsys.readouterr().out
     assert cli.main([*at, "turn", "green leaf", "--thread", "t"]) == 1
     assert cli.main([*at, "ingest", "--source-root", f"x={tmp_path / 'v'}"]) == 0
-    runs = cli.store.Store(spark, str(tmp_path / "store" / "ingestion")).log("runs").orderBy("inserted").collect()
+    runs = cli.store.Store(spark, str(tmp_path / "store" / "ingestion")).read("runs").orderBy("inserted").collect()
     assert [(r.inserted, r.unchanged) for r in runs] == [(0, 3), (3, 0)]
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions.text import is_referential, snippet, terms, text_hash
-from tessera.operators import backends, graph, notes, packets, retrieval, store
+from tessera.operators import backends, graph, notes, packets, retrieval, store, term_index, vector_index
 from tessera.plans import turns
-from tessera.staging import stage
+from tessera.staging import release, stage
 from tessera.streaming import threads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +78,7 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
 WITH q AS (
   SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS terms FROM (
-    SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda t: len(t) >= 5) AS l FROM benchmark)
+    SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS l FROM benchmark)
 ), hit AS (
   SELECT item_id, doc_id, len(list_filter(terms, lambda t: contains(lower('  ' || coalesce(source, '') || ' ' || coalesce(text, '')), t))) AS n
   FROM q, documents
@@ -88,12 +88,13 @@ SELECT item_id, doc_id, (n + 2)::DOUBLE AS score,
 FROM hit WHERE n > 0 QUALIFY rank <= 5
 """)
 def lexical_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9']+)"), F.lit(1))
-    long = F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 5))
-    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), long.alias("terms"))
-    found = retrieval.lexical(_documents(spark, sf_dir), asked)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = found.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    """All terms of each benchmark item, through the index; the five best by number of terms, equal texts each for itself."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9']+)"), F.lit(1)))
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
+    index = term_index.build(_documents(spark, sf_dir).withColumn("chunk_hash", F.lit("")))
+    top, counts = term_index.search(index, asked, 5)
+    index.release()
+    release(counts)
     return top.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
@@ -118,11 +119,11 @@ def _vector_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The k best of each row whose id is divisible by 50."""
     vectors = _vectors(spark, sf_dir)
     asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
-    # Scores are rounded before they are ranked, so those that tie then have to come in.
-    found = retrieval.vector(vectors, asked).withColumn("score", F.round("score", 6)).where("score > 1")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.select("query_id", F.col("chunk_id").alias("vec_id"), "score", "rank")
+    index = vector_index.build(vectors)
+    hits, _ = vector_index.search(index, asked, k, decimals=6)
+    index.release()
+    score = F.round(F.col("similarity") + 1, 6).alias("score")
+    return hits.select("query_id", F.col("chunk_id").alias("vec_id"), score, "rank").where("score > 1")
 
 
 @register(f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions.text import plain
-from tessera.operators import graph, packets, retrieval
+from tessera.operators import graph, packets, retrieval, term_index, vector_index
 from tessera.staging import stage
 
 INFO = "struct<enabled:boolean,hop_limit:int,seed_sources:array<string>,matched_seed_count:bigint,expanded_note_count:bigint,edge_types_used:array<string>>"
@@ -80,26 +80,52 @@ def _surface_note(name: str, count: str, asked, skipped: str) -> F.Column:
     return F.when(asked, found).otherwise(F.lit(skipped or None).cast("string"))
 
 
+def nearest(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, hygiene: DataFrame, others: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates, (query_id, vector)) of the vector surface: chunks that can be selected, and the number of positive cosines.
+
+    What cannot be selected by its vector alone still counts where another surface found the chunk.
+    """
+    flag = retrieval.is_boilerplate(F.col("note_title"), F.col("relative_path"), F.col("section_label"), F.col("paragraph_text"))
+    known = vectors.select("chunk_id", "vector").join(chunks.select("chunk_id", F.col("chunk_hash").alias("content"), flag.alias("boilerplate")), "chunk_id")
+    index = vector_index.build(known)
+    asked = queries.join(hygiene.withColumnRenamed("_templates", "templates"), "query_id")
+    best, counts = vector_index.search(index, asked, k, counts=True)
+    index.release()
+    pairs = others.select("query_id", "chunk_id").distinct().join(queries.withColumnRenamed("vector", "_asked"), "query_id").join(vectors.select("chunk_id", "vector"), "chunk_id")
+    cosine = retrieval.cosine(F.col("vector").cast("array<double>"), F.col("_asked").cast("array<double>")).alias("similarity")
+    also = pairs.join(best, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", cosine).where("similarity > 0")
+    return stage(retrieval.vector_candidates(best.select("query_id", "chunk_id", "similarity").unionByName(also))), counts
+
+
 def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[DataFrame], DataFrame] | None, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """(selected chunks by query and rank, packets with manifest, selected_count and decision) for packets.
 
-    tables: chunks, and where there are any chunk_vectors, graph_nodes and graph_edges. Each surface is staged, so no
-    plan holds more than one of them.
+    Of the vector surface come the chunks that can be selected by it and those that another surface found too.
+    tables: chunks, and where there are any chunk_vectors, graph_nodes, graph_edges, and the parts of the term index. With
+    the index the lexical surface gives only the chunks that can be selected, and their number from the postings. Each
+    surface is staged, so no plan holds more than one of them.
     """
     config = config or Config()
     chunks = tables["chunks"]
     asked = stage(asked)
-    found = stage(retrieval.lexical(chunks, asked.select("query_id", F.col("retrieval_terms").alias("terms"))))
-    vectors = tables.get("chunk_vectors")
+    said = plain(F.concat_ws(" ", "message", "intent", "query", "vector_query", *packets.LISTS[:-1]))
+    hygiene = stage(asked.select("query_id", retrieval.is_template_query(said).alias("_templates")))
+    terms = asked.select("query_id", F.col("retrieval_terms").alias("terms"))
+    if all(tables.get(n) is not None for n in ("postings", "members", "lexicon")):
+        index = term_index.TermIndex(tables["postings"], tables["members"], tables["lexicon"])
+        flagged = terms.join(hygiene.withColumnRenamed("_templates", "templates"), "query_id")
+        top, lexical_counts = term_index.search(index, flagged, max(1, config.max_retrieval_chunks), chunks)
+        found = top.select("query_id", "chunk_id", "source", "score", "reason")
+    else:
+        found, lexical_counts = stage(retrieval.lexical(chunks, terms)), None
+    graphed, walked = graph_candidates(asked, chunks, tables.get("graph_nodes"), tables.get("graph_edges"), config)
+    vectors, vector_counts = tables.get("chunk_vectors"), None
     searched = embed is not None and vectors is not None
     if searched:
-        queries = embed(asked.where("trim(vector_query) <> ''").select("query_id", F.col("vector_query").alias("text")))
-        known = vectors.select("chunk_id", "vector").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        found = found.unionByName(stage(retrieval.vector(known, queries.select("query_id", "vector"))))
-    graphed, walked = graph_candidates(asked, chunks, tables.get("graph_nodes"), tables.get("graph_edges"), config)
+        queries = stage(embed(asked.where("trim(vector_query) <> ''").select("query_id", F.col("vector_query").alias("text"))).select("query_id", "vector"))
+        near, vector_counts = nearest(chunks, vectors, queries, hygiene, found.unionByName(graphed), max(1, config.max_retrieval_chunks))
+        found = found.unionByName(near)
     found = found.unionByName(graphed)
-    said = plain(F.concat_ws(" ", "message", "intent", "query", "vector_query", *packets.LISTS[:-1]))
-    hygiene = asked.select("query_id", retrieval.is_template_query(said).alias("_templates"))
     text = chunks.select(*[c for c in TEXT if c in chunks.columns])
     judged = found.join(text, "chunk_id").join(hygiene, "query_id")
     boilerplate = retrieval.is_boilerplate(F.col("note_title"), F.col("relative_path"), F.col("section_label"), F.col("paragraph_text"))
@@ -108,6 +134,9 @@ def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[Da
     selected = stage(retrieval.select_top(fused, config.max_retrieval_chunks))
     ids = selected.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("_ids"))
     counts = retrieval.candidate_counts(found, asked)
+    for name, exact in (("lexical", lexical_counts), ("vector", vector_counts)):
+        if exact is not None:
+            counts = counts.drop(name).join(exact, "query_id", "left").fillna(0, [name])
     told = asked.join(ids, "query_id", "left").join(counts, "query_id").join(walked, "query_id")
     chosen = F.coalesce(F.transform("_ids", lambda x: x["chunk_id"].cast("string")), F.array().cast("array<string>"))
     lexical_note = _surface_note("lexical", "lexical", F.size("retrieval_terms") > 0, "")

@@ -1,9 +1,12 @@
 """Personal data: pattern spans, and terms that give protected entities away, in DataFrame functions only.
 
-Base spans are e-mail and IP addresses, card and phone numbers. Over the corpus it is then counted in how many distinct
-contexts a term stands near an entity (a base span's value), and in how many texts the term occurs at all. A term
-discloses an entity as far as it makes the entity likely: p(entity | term), and log2 of that over p(entity), the bits
-that it gives away. Terms over both thresholds are spans as well, wherever they occur, and are generalised.
+Base spans are e-mail and IP addresses, card and phone numbers. What they reveal is protected at several levels: the value
+itself, its owner (the name in an address), the domain of an address, and the kind, so that a term which stands beside ever
+new card numbers counts as one that stands beside the same number. Over the corpus it is counted in how many distinct
+contexts a term stands near each of these entities, and in how many texts the term occurs at all. A term discloses an entity
+as far as it makes it likely: p(entity | term), and log2 of that over p(entity), the bits that it gives away. Terms over both
+thresholds are spans as well, wherever they occur. One that discloses a value or an owner is removed; one that discloses no
+more than a kind or a domain is generalised to the kind.
 
 The patterns are written so that Java's matcher neither recurses nor scans a run twice: possessive where nothing could
 be given back, and starting only where a run starts. They match the same spans as the plain forms in BASE.
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import put_back, set_apart, stage, table
+from tessera.llm.common import put_back, salted_lookup, set_apart, stage, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -118,19 +121,27 @@ def _of_kind(kind: str) -> Column:
     return _each(kind, lambda s: s.withField("kind", F.lit(kind)))
 
 
+def _entities(kind: Column, value: Column) -> Column:
+    """What a span of lower-case `value` reveals: its value and its kind, and of an address its domain and its owner."""
+    owner = F.trim(F.regexp_replace(F.substring_index(value, "@", 1), "[^a-z]+", " "))
+    more = F.array(F.concat(F.lit("at:"), F.substring_index(value, "@", -1)), F.when(owner != "", F.concat(F.lit("of:"), owner)))
+    plain = F.array(F.concat_ws(":", kind, value), kind)
+    return F.array_compact(F.when(kind == "email", F.concat(plain, more)).otherwise(plain))
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1)))
 
 
 def _with_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, term): the distinct terms of `terms` in each text.
+    """(doc_id, text_hash, term): the distinct terms of `terms` in each text, with what else `terms` has.
 
     `terms` is staged, so the planner knows its bytes and broadcasts it only where they are few. The outer form of
     explode keeps the planner from making the words once more for a test of their number.
     """
     text = F.coalesce("text", F.lit(""))
     words = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode_outer(_words(text)).alias("term"))
-    return words.join(terms, "term", "left_semi")
+    return words.join(terms, "term")
 
 
 def disclosing_terms(documents: DataFrame, based: DataFrame) -> DataFrame:
@@ -147,14 +158,16 @@ def disclosing_terms(documents: DataFrame, based: DataFrame) -> DataFrame:
         F.slice(F.reverse(F.regexp_extract_all(F.lower(before), F.lit(f"({WORD})"), F.lit(1))), 1, WINDOW_WORDS),
         F.slice(F.regexp_extract_all(F.lower(after), F.lit(f"({WORD})"), F.lit(1)), 1, WINDOW_WORDS),
     )
-    contexts = each.select(F.concat_ws(":", "s.kind", F.lower("s.v")).alias("entity"), near.alias("near"), "text_hash")
+    contexts = each.select(F.explode(_entities(F.col("s.kind"), F.lower("s.v"))).alias("entity"), near.alias("near"), "text_hash")
     contexts = stage(contexts.withColumn("context", F.xxhash64("near")).dropDuplicates(["entity", "context"]))
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= LEAST_CONTEXTS)
     terms = contexts.select("entity", "text_hash", F.explode(F.array_distinct("near")).alias("term"))
-    pairs = terms.join(entities, "entity").groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    # Counted before it is joined: all cards or all phones are one entity.
+    pairs = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= LEAST_CONTEXTS)
+    pairs = salted_lookup(pairs, stage(entities), "entity", F.col("term"))
     # A term occurs in no fewer texts than it has texts near any entity: what that rules out need not be counted.
     around = terms.groupBy("term").agg(F.countDistinct("text_hash").alias("n_near"))
-    pairs = pairs.where(F.col("n_et") >= LEAST_CONTEXTS).join(around, "term").where(F.col("n_et") >= LEAST_POSTERIOR * F.col("n_near"))
+    pairs = pairs.join(around, "term").where(F.col("n_et") >= LEAST_POSTERIOR * F.col("n_near"))
     pairs = stage(pairs.drop("n_near"))
     counted = _with_terms(documents, stage(pairs.select("term").distinct())).select("term", "text_hash").distinct()
     counted = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
@@ -167,10 +180,16 @@ def disclosing_terms(documents: DataFrame, based: DataFrame) -> DataFrame:
 
 
 def _flagged(documents: DataFrame, based: DataFrame) -> DataFrame:
-    """(_id, _hash, terms): the disclosing terms of each text that has any."""
-    terms = stage(disclosing_terms(documents, based).select("term").distinct())
+    """(_id, _hash, terms): the disclosing terms of each text that has any, with the tags that they are replaced by."""
+    # The most telling entity of a term: a value or an owner before a domain or a kind, then the likeliest.
+    own = F.col("entity").contains(":") & ~F.col("entity").startswith("at:")
+    most = F.max(F.struct(own.alias("own"), "posterior", "entity"))
+    kind = F.when(F.col("m.entity").startswith("at:"), "email").otherwise(F.col("m.entity"))
+    tag = F.when(F.col("m.own"), TAGS["term"]).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit(" TERM]")))
+    terms = stage(disclosing_terms(documents, based).groupBy("term").agg(most.alias("m")).select("term", tag.alias("tag")))
     held = _with_terms(documents, terms)
-    return stage(held.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    each = F.sort_array(F.collect_set(F.struct("term", "tag"))).alias("terms")
+    return stage(held.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(each))
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -186,11 +205,12 @@ def find(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     same = based["doc_id"].eqNullSafe(flagged["_id"]) & (F.xxhash64(text) == flagged["_hash"])
     joined = based.join(flagged, same, "left").drop("_id", "_hash")
-    pattern = "concat('(?iu)(?<![\\\\p{L}\\\\p{N}])(?:', array_join(terms, '|'), ')(?![\\\\p{L}\\\\p{N}])')"
+    pattern = "concat('(?iu)(?<![\\\\p{L}\\\\p{N}])(?:', array_join(terms.term, '|'), ')(?![\\\\p{L}\\\\p{N}])')"
     joined = joined.withColumn("_p", F.expr(f"if(terms IS NULL, null, {pattern})"))
     joined = _located(joined, "text", {"term": "_p"}, {"term": "_p IS NOT NULL"})
     apart = " AND ".join(f"NOT exists(_{k}, b -> b.start < s.end AND s.start < b.end)" for k in KINDS)
-    return joined.withColumn("_term", F.expr(f"filter(_term, s -> {apart})")).drop("terms", "_p")
+    tagged = f"named_struct('v', s.v, 'start', s.start, 'end', s.end, 'tag', coalesce(element_at(map_from_entries(terms), lower(s.v)), '{TAGS['term']}'))"
+    return joined.withColumn("_term", F.expr(f"transform(filter(_term, s -> {apart}), s -> {tagged})")).drop("terms", "_p")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -208,13 +228,15 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def _tagged(kind: str) -> Column:
-    return _each(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), F.lit(TAGS[kind]).alias("tag")))
+    tag = lambda s: s["tag"] if kind == "term" else F.lit(TAGS[kind])
+    return _each(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), tag(s).alias("tag")))
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
     """All rows and columns of `documents`, with each span of the text replaced by its tag.
 
-    Of overlapping spans the one that starts first is replaced, and of those the longest. Texts without spans stay as
+    Null and empty texts stay, as they have no spans; texts of any length are read whole; repeated rows are rewritten alike,
+    an empty table gives none, and columns of any name come through. Of overlapping spans the one that starts first is replaced, and of those the longest. Texts without spans stay as
     they are; n_chars, where there is one, is brought up to date.
     """
     spans = F.array_sort(F.concat(*[_tagged(kind) for kind in (*KINDS, "term")]))

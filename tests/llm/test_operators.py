@@ -490,7 +490,13 @@ def brute_terms(texts):
                 left = [w.group() for w in word.finditer(left) if w.start() > len(left) - size - 1 or len(left) <= size]
                 right = [w.group() for w in word.finditer(right) if w.end() <= size or len(right) <= size]
                 near = [w.lower() for w in [*left[::-1][:6], *right[:6]]]
-                contexts.setdefault((f"{kind}:{m.group().lower()}", tuple(near)), set(near))
+                value = m.group().lower()
+                entities = [f"{kind}:{value}", kind]
+                if kind == "email":
+                    owner = re.sub("[^a-z]+", " ", value.split("@")[0]).strip()
+                    entities += ["at:" + value.split("@")[-1], *(["of:" + owner] if owner else [])]
+                for entity in entities:
+                    contexts.setdefault((entity, tuple(near)), set(near))
     entities = collections.Counter(e for e, _ in contexts)
     pairs = collections.Counter((e, w) for (e, _), near in contexts.items() for w in near)
     held = collections.Counter(w for t in dict.fromkeys(texts) for w in {x.lower() for x in word.findall(t)})
@@ -524,6 +530,32 @@ def test_terms_against_brute_force(spark):
         assert len(spans[i]) == len(places)
 
 
+def test_terms_that_disclose_a_kind_are_generalised(spark):
+    """Values that never repeat: cards, phones, addresses of one domain and of one owner, each with a word of its own."""
+    rng = random.Random(31)
+    fill = lambda: " ".join(f"w{rng.randint(0, 900)}" for _ in range(6))
+    made = {
+        "swiftpay": lambda i: f"+1 ({i + 100}) 555-{i + 1000}",
+        "guildhall": lambda i: f"{rng.choice('abcdef')}{i}@guild.example.org",
+        "marlowe": lambda i: f"kit.marlowe{i}@h{i}.example.org",
+    }
+    rows, place = [], {}
+    for word, value in made.items():
+        for i in range(12):
+            place[len(rows)] = word
+            rows.append(f"{fill()} {word} {value(i)} {fill()}")
+    rows += [fill() for _ in range(900)] + ["of Swiftpay, guildhall and MARLOWE"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    caught = sum(f"term:{rows[i].index(w)}:{rows[i].index(w) + len(w)}" in spans[i].split(",") for i, w in place.items())
+    assert caught == len(place) == 36
+    assert sum("term:" in spans[i] for i in range(36, 936)) == 0
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[936] == "of [PHONE TERM], [EMAIL TERM] and [TERM]"
+    levels = {(r.term, r.entity) for r in pii.disclosing_terms(df, pii.with_base(df).withColumn("text_hash", F.xxhash64("text"))).collect()}
+    assert ("swiftpay", "phone") in levels and ("guildhall", "at:guild.example.org") in levels and ("marlowe", "of:kit marlowe") in levels
+
+
 def test_sanitised_text(spark, odd):
     clean = {r.doc_id: r.text for r in pii.sanitise(disclosing(spark)).collect()}
     assert clean[500] == "of [TERM] again" and "[TERM] mail [EMAIL] w" in clean[0] and "joe@" not in clean[0]

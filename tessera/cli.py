@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config, load
 from tessera.operators import packets, store
-from tessera.operators.backends import NoWriter, ProbeCompiler, ProbeWriter, backends_of
+from tessera.operators.backends import CallLog, LoggedCompiler, LoggedWriter, NoWriter, ProbeCompiler, ProbeWriter, backends_of
 from tessera.plans.retrieve import retrieve
 from tessera.plans.turns import Threads, run_turns
 from tessera.sources import vault
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     turn.add_argument("message")
     turn.add_argument("--thread", help="the thread to go on with; a new one without")
     turn.add_argument("--llm-mode", choices=("auto", "live", "none"), default="auto", help="live: an error without a service for answers")
+    turn.add_argument("--model", help="the model for answers, before that of the settings")
     probe = commands.add_parser("probe", help="a smoke test in a folder of its own")
     probe.add_argument("probe", choices=PROBES)
     return out
@@ -79,7 +80,7 @@ def main(arguments: list[str] | None = None) -> int:
     if given.command == "probe":
         print(run_probe(spark, given.probe, tempfile.mkdtemp(prefix="tessera-probe-")))
         return 0
-    embed, compiler, writer = backends_of(config)
+    embed, compiler, writer = backends_of(config, model=getattr(given, "model", None))
     now = datetime.now(UTC).isoformat(timespec="seconds")
     if given.command == "ingest":
         roots = [vault.parse_root(r) for r in given.source_root or config.roots]
@@ -90,7 +91,9 @@ def main(arguments: list[str] | None = None) -> int:
         if given.llm_mode == "none":
             writer = NoWriter()
         elif given.llm_mode == "live" and not writer.available:
-            raise SystemExit("no service for answers is configured")
+            raise SystemExit(getattr(writer, "reason", "no service for answers is configured"))
+        calls = config.place("calls", root)
+        compiler, writer = LoggedCompiler(compiler, CallLog(calls, config.compiler.model or "")), LoggedWriter(writer, CallLog(calls, given.model or config.answers.model))
         asked = spark.createDataFrame([(given.thread, given.message)], "thread_id string, message string")
         done = run_turns(Threads(spark, config.place(config.storage.threads, root)), tables, asked, now, config, compiler, embed, writer).first()
         print({"thread_id": done.thread_id, "turn_id": done.turn_id, "outcome": done.runtime_outcome, "blocking_reasons": done.blocking_reasons})

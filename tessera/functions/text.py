@@ -1,13 +1,13 @@
-"""Text expressions: Column in, Column out, all inside Catalyst but for canonical JSON."""
+"""Text expressions: Column in, Column out, all inside Catalyst but for canonical JSON of numbers with fractions."""
 
 from __future__ import annotations
 
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Words that are no query terms.
 STOP_WORDS = (
@@ -87,15 +87,66 @@ def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _escaped(text: Column) -> Column:
+    """The inside of a JSON string: ASCII only, other characters as UTF-16 code units."""
+    out = text
+    for plain_form, form in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        out = F.replace(out, F.lit(plain_form), F.lit(form))
+
+    def unit(value: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(value.cast("long"))), 4, "0"))
+
+    def written(part: Column) -> Column:
+        code = F.ascii(part)
+        high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(code.between(32, 126), part).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+    parts = F.regexp_extract_all(out, F.lit("(?s)[ -~]+|[^ -~]"), F.lit(0))
+    return F.when(out.rlike(r"^[ -~]*\z"), out).otherwise(F.array_join(F.transform(parts, written), ""))
+
+
+def _has_fractions(kind: DataType) -> bool:
+    return any(name in kind.simpleString() for name in ("double", "float", "decimal"))
+
+
+def _json(value: Column, kind: DataType) -> Column:
+    """JSON of a value of a known type, `null` for null: fields and keys sorted, no spaces."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(F.lit(json.dumps(f.name) + ":"), _json(value.getField(f.name), f.dataType)) for f in fields]
+        out = F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    elif isinstance(kind, ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, MapType):
+        keys = F.array_sort(F.map_keys(value))
+        entry = lambda k: F.concat(F.lit('"'), _escaped(k), F.lit('":'), _json(F.element_at(value, k), kind.valueType))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(keys, entry), ","), F.lit("}"))
+    elif isinstance(kind, StringType):
+        out = F.concat(F.lit('"'), _escaped(value), F.lit('"'))
+    else:
+        out = value.cast("string")
+    return F.coalesce(out, F.lit("null"))
+
+
 @F.pandas_udf(StringType())
 def _canonical(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else json.dumps(json.loads(v), sort_keys=True, separators=(",", ":")))
 
 
-def canonical_json(value: Column) -> Column:
-    """JSON with sorted keys, no spaces and ASCII escapes; nulls are kept."""
-    return _canonical(F.to_json(value, {"ignoreNullFields": "false"}))
+def canonical_json(value: Column, kind: DataType | None = None) -> Column:
+    """JSON with sorted keys, no spaces and ASCII escapes; nulls are kept, but a value that is null itself gives null.
+
+    With its type it is made by expressions. Without, or where the type has fractions, whose shortest form no
+    expression gives, it is made in Python.
+    """
+    if kind is None or _has_fractions(kind):
+        return _canonical(F.to_json(value, {"ignoreNullFields": "false"}))
+    return F.when(value.isNotNull(), _json(value, kind))
+
+
+def json_hash(value: Column, kind: DataType | None = None) -> Column:
+    return F.sha2(canonical_json(value, kind), 256)
 
 
-def json_hash(value: Column) -> Column:
-    return F.sha2(canonical_json(value), 256)
+def type_of(rows: DataFrame, column: str) -> DataType:
+    return rows.schema[column].dataType

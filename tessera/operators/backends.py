@@ -1,16 +1,18 @@
 """What turns text into vectors, messages into packets and packets into answers: protocols, and who implements them.
 
 Embedding runs inside a query, batch by batch in Python workers with the model loaded once in each. Compilers and
-answers are calls to other services; they stay outside of plans, and without a service they say so.
+answers are calls to other services, once for each request where there is a log of calls; without a service they say so.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
@@ -26,17 +28,33 @@ Embedder = Callable[[DataFrame], DataFrame]
 Encode = Callable[[list[str]], list[list[float]]]
 
 
-def embed_with(load: Callable[[], Encode], dimensions: int | None = None) -> Embedder:
-    """An embedder (rows with `text` get `vector`) over a loader that workers call once.
+#: Models of this worker process, by what they were loaded as; they live as long as the worker.
+_MODELS: dict[tuple, Encode] = {}
+
+
+def model_of(key: tuple | None, load: Callable[[], Encode]) -> Encode:
+    """The worker's model of that key, loaded by the first task that asks for it; without a key it is loaded for each task."""
+    if key is None:
+        return load()
+    if key not in _MODELS:
+        _MODELS[key] = load()
+    return _MODELS[key]
+
+
+def embed_with(load: Callable[[], Encode], dimensions: int | None = None, key: tuple | None = None) -> Embedder:
+    """An embedder (rows with `text` get `vector`) over a loader that a worker calls once for each key.
 
     Null text has a null vector; a number of vectors other than that of texts, or of values other than `dimensions`,
-    is an error.
+    is an error. Arrays of any kind and other sequences of numbers are taken.
     """
 
     def embed(rows: DataFrame) -> DataFrame:
         @F.pandas_udf(ArrayType(DoubleType()))
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encode = load()
+            # By its module: what is pickled with the function would be a copy of the registry.
+            from tessera.operators import backends
+
+            encode = backends.model_of(key, load)
             for texts in batches:
                 given = texts[texts.notna()]
                 vectors = [[float(x) for x in v] for v in encode(list(given))] if len(given) else []
@@ -49,20 +67,57 @@ def embed_with(load: Callable[[], Encode], dimensions: int | None = None) -> Emb
     return embed
 
 
+@dataclass(frozen=True)
+class TwoEncoders:
+    """An embedder for documents that has another for queries."""
+
+    documents: Embedder
+    queries: Embedder
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return self.documents(rows)
+
+
+def for_queries(embed: Embedder) -> Embedder:
+    """The embedder for queries, where there is one of their own."""
+    return getattr(embed, "queries", embed)
+
+
+def _encode(model: Any, methods: tuple[str, ...], texts: list[str], **wanted: Any) -> list:
+    """Vectors by the first of `methods` that the model has; arguments that it does not know are left out."""
+    method = next(getattr(model, name) for name in methods if hasattr(model, name))
+    try:
+        return method(texts, **wanted)
+    except TypeError:
+        return method(texts)
+
+
 def sentence_transformers(model: str, batch_size: int = 32, normalize: bool = True, device: str | None = None) -> Embedder:
-    """Vectors of a sentence-transformers model; the package is needed on the workers."""
+    """Vectors of a sentence-transformers model; the package is needed on the workers.
 
-    def load() -> Encode:
-        from sentence_transformers import SentenceTransformer
+    Queries and documents are encoded by methods of their own where the model has them, by one loaded model.
+    """
 
-        own = SentenceTransformer(model, device=device)
-        return lambda texts: own.encode(texts, batch_size=batch_size, normalize_embeddings=normalize).tolist()
+    def loader(*methods: str) -> Callable[[], Encode]:
+        def load() -> Encode:
+            from tessera.operators import backends
 
-    return embed_with(load)
+            def whole() -> Any:
+                from sentence_transformers import SentenceTransformer
+
+                return SentenceTransformer(model, device=device)
+
+            own = backends.model_of(("sentence_transformers", model, device), whole)
+            return lambda texts: _encode(own, methods, texts, batch_size=batch_size, normalize_embeddings=normalize)
 
+        return load
 
-def _post(url: str, body: dict, timeout: float) -> dict:
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    return TwoEncoders(embed_with(loader("encode_document", "encode")), embed_with(loader("encode_query", "encode")))
+
+
+def _post(url: str, body: dict, timeout: float, key: str | None = None) -> dict:
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+    request = urllib.request.Request(url, json.dumps(body).encode(), headers)
     with urllib.request.urlopen(request, timeout=timeout) as answer:
         return json.loads(answer.read())
 
@@ -119,6 +174,8 @@ class HttpCompiler:
     model: str
     base_url: str
     timeout: float = 60
+    #: Its answers are completed as packets.complete_by_backend does, with the focus of the thread.
+    merges_focus = True
 
     def compile_turn(self, request: dict) -> Compiled:
         prompt = "Answer with one JSON object: the query packet for this request.\n" + json.dumps(request)
@@ -134,18 +191,23 @@ class HttpCompiler:
 
 
 class Writer(Protocol):
-    """Answers from a synthesis context; never called inside a query, and only for approved turns."""
+    """Answers from a synthesis context, called in Python workers, and only for approved turns.
+
+    An answer is a text, or a text and what is known of the call. An exception blocks the turn that it was for, no other.
+    """
 
     available: bool
 
-    def generate(self, context: dict) -> str: ...
+    def generate(self, context: dict) -> str | tuple[str, dict]: ...
 
 
+@dataclass(frozen=True)
 class NoWriter:
+    reason: str = "no service for answers is configured"
     available = False
 
     def generate(self, context: dict) -> str:
-        raise RuntimeError("no service for answers is configured")
+        raise RuntimeError(self.reason)
 
 
 @dataclass(frozen=True)
@@ -156,13 +218,16 @@ class HttpWriter:
     base_url: str
     max_output_tokens: int = 6000
     timeout: float = 60
+    key: str | None = field(default=None, repr=False)
     available = True
     mode = "live"
 
-    def generate(self, context: dict) -> str:
+    def generate(self, context: dict) -> tuple[str, dict]:
         prompt = "\n".join([*context.get("output_requirements", []), json.dumps(context)])
         body = {"model": self.model, "prompt": prompt, "stream": False, "options": {"num_predict": self.max_output_tokens}}
-        return _post(f"{self.base_url}/api/generate", body, self.timeout)["response"].strip() or "The model returned an empty response."
+        answer = _post(f"{self.base_url}/api/generate", body, self.timeout, self.key)
+        told = {"mode": self.mode, "provider": "http", "model": answer.get("model", self.model)} | {c: answer[c] for c in ("id", "usage") if c in answer}
+        return answer["response"].strip() or "The model returned an empty response.", told
 
 
 class ProbeCompiler:
@@ -185,8 +250,118 @@ class ProbeWriter:
         return f"{self.prefix}: {context['raw_user_input']}"
 
 
-def backends_of(config: Config) -> tuple[Embedder, Compiler, Writer]:
-    """The embedder, compiler and writer that the settings name."""
+class CallLog:
+    """Answers of services by the hash of their request, in a folder that all workers reach.
+
+    An answer is stored before it is used, so a task that is tried again, or runs twice, finds it and does not call again.
+    Failures are not stored. The folder is a path or a URI of a file system that pyarrow knows (file, s3, gs, hdfs).
+    """
+
+    def __init__(self, folder: str, name: str = "") -> None:
+        self.folder, self.name = folder, name
+
+    def once(self, request: str, call: Callable[[], str]) -> str:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        key = hashlib.sha256(f"{self.name}\n{request}".encode()).hexdigest()
+        path = f"{base}/{key[:2]}/{key}"
+
+        def stored() -> str | None:
+            if system.get_file_info(path).type == fs.FileType.NotFound:
+                return None
+            with system.open_input_stream(path) as found:
+                return found.read().decode()
+
+        known = stored()
+        if known is not None:
+            return known
+        answer = call()
+        system.create_dir(f"{base}/{key[:2]}")
+        own = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(own) as out:
+            out.write(answer.encode())
+        # Whoever stored first is heard by all.
+        earlier = stored()
+        if earlier is not None:
+            system.delete_file(own)
+            return earlier
+        system.move(own, path)
+        return answer
+
+
+class _Failed(Exception):
+    def __init__(self, answer: Compiled) -> None:
+        self.answer = answer
+
+
+@dataclass(frozen=True)
+class LoggedCompiler:
+    """A compiler that is asked once for each request."""
+
+    compiler: Compiler
+    log: CallLog
+
+    @property
+    def merges_focus(self) -> bool:
+        return getattr(self.compiler, "merges_focus", False)
+
+    def compile_turn(self, request: dict) -> Compiled:
+        def call() -> str:
+            got = self.compiler.compile_turn(request)
+            if got.status == "unavailable":
+                raise _Failed(got)
+            return json.dumps(asdict(got))
+
+        try:
+            return Compiled(**json.loads(self.log.once(json.dumps(request, sort_keys=True), call)))
+        except _Failed as failed:
+            return failed.answer
+
+
+@dataclass(frozen=True)
+class LoggedWriter:
+    """A writer that is asked once for each context."""
+
+    writer: Writer
+    log: CallLog
+
+    @property
+    def available(self) -> bool:
+        return self.writer.available
+
+    @property
+    def mode(self) -> str:
+        return getattr(self.writer, "mode", "live")
+
+    @property
+    def reason(self) -> str:
+        return getattr(self.writer, "reason", "no service for answers is configured")
+
+    def generate(self, context: dict) -> tuple[str, dict]:
+        def call() -> str:
+            answer = self.writer.generate(context)
+            return json.dumps(answer if isinstance(answer, tuple) else (answer, {}))
+
+        text, told = json.loads(self.log.once(json.dumps(context, sort_keys=True), call))
+        return text, told
+
+
+#: The variable of the environment, or of .env.local, that holds the key of the service for answers.
+ANSWERS_KEY = "TESSERA_ANSWERS_KEY"
+
+
+def keyed_writer(config: Config, folder: str = ".", model: str | None = None) -> Writer:
+    """A writer with a key from the environment, before that of .env.local in `folder`; without a key one that says so."""
+    key = os.environ.get(ANSWERS_KEY) or load_env(f"{folder}/.env.local").get(ANSWERS_KEY)
+    if not key:
+        return NoWriter(f"{ANSWERS_KEY} is not set")
+    own = config.answers
+    return HttpWriter(model or own.model, own.base_url, own.max_output_tokens, own.request_timeout_seconds, key)
+
+
+def backends_of(config: Config, folder: str = ".", model: str | None = None) -> tuple[Embedder, Compiler, Writer]:
+    """The embedder, compiler and writer that the settings name; `model` goes before the settings' model for answers."""
     own = config.embeddings
     given: dict[str, Any] = {}
     if own.provider == "sentence_transformers":
@@ -202,7 +377,8 @@ def backends_of(config: Config) -> tuple[Embedder, Compiler, Writer]:
     writers: dict[str, Callable[[], Writer]] = {
         "none": NoWriter,
         "probe": ProbeWriter,
-        "http": lambda: HttpWriter(answers.model, answers.base_url, answers.max_output_tokens, answers.request_timeout_seconds),
+        "keyed": lambda: keyed_writer(config, folder, model),
+        "http": lambda: HttpWriter(model or answers.model, answers.base_url, answers.max_output_tokens, answers.request_timeout_seconds),
     }
     for kind, known, name in (("compiler", compilers, config.compiler.provider), ("answers", writers, answers.provider)):
         if name not in known:

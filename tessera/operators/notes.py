@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import json_hash, section_label, squeeze, text_hash, unquoted, without_md
+from tessera.functions.text import json_hash, section_label, squeeze, text_hash, type_of, unquoted, without_md
 
 #: What splits lines: all that Unicode calls a line end.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -189,6 +189,7 @@ def chunks(parsed: DataFrame) -> DataFrame:
     same = Window.partitionBy("note_id", "section_kind", "section_path").orderBy("pos")
     starts = starts.withColumn("section_occurrence", F.row_number().over(same))
     identity = F.struct(F.col("section_kind").alias("kind"), "note_id", F.col("section_occurrence").alias("occurrence"), F.col("section_path").alias("path"))
+    starts = starts.withColumn("_identity", identity)
     starts = starts.select(
         "note_id",
         F.col("pos").alias("_start"),
@@ -197,7 +198,7 @@ def chunks(parsed: DataFrame) -> DataFrame:
         "section_occurrence",
         F.element_at("section_path", -1).alias("section_label"),
         F.col("_level").alias("heading_level"),
-        F.concat(F.lit("section-"), F.substring(json_hash(identity), 1, 16)).alias("section_id"),
+        F.concat(F.lit("section-"), F.substring(json_hash(F.col("_identity"), type_of(starts, "_identity")), 1, 16)).alias("section_id"),
     )
     rows = rows.withColumn("_start", F.last(F.when(F.col("section_kind").isNotNull(), F.col("pos")), ignorenulls=True).over(order))
     remainder = squeeze(F.coalesce(F.regexp_extract("text", INLINE_LABEL, 2), F.lit("")))

@@ -87,16 +87,17 @@ def request(states: DataFrame) -> Column:
     return F.to_json(parts, {"ignoreNullFields": "false"})
 
 
-def complete_by_backend(packets: DataFrame, payload: str = "payload") -> DataFrame:
+def complete_by_backend(packets: DataFrame, payload: str = "payload", status: str | None = None) -> DataFrame:
     """What a compiler backend does with its own payload before it answers.
 
     As complete(); then missing terms come from the query, a referring message gets all focus_terms, six of them also
-    in vector_query, and missing seeds are the query.
+    in vector_query, and missing seeds are the query. A packet without a parsed payload stays as complete() leaves it.
     """
-    out = complete(packets, payload)
+    out = complete(packets, payload, status)
+    parsed = F.col("compiler_status") != "fallback"
     own = F.when(F.size("retrieval_terms") > 0, F.col("retrieval_terms")).otherwise(terms(F.col("query")))
     focus = F.filter(_strings("focus_terms"), lambda t: t != "")
-    refers = is_referential(F.col("message")) & (F.size(focus) > 0)
+    refers = parsed & is_referential(F.col("message")) & (F.size(focus) > 0)
     more = F.concat_ws(" ", F.trim("vector_query"), F.array_join(F.slice(focus, 1, 6), " "))
     out = out.withColumn("vector_query", F.when(refers & (F.trim("vector_query") != ""), more).otherwise(F.col("vector_query")))
     out = out.withColumn("retrieval_terms", F.when(refers, distinct_in_order(F.concat(own, focus))).otherwise(own))

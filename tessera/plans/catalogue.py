@@ -296,13 +296,13 @@ _CHUNK_ID = "{1} || '::' || " + _SECTION + " || '::p' || lpad(({4})::VARCHAR, 4,
 
 
 @register(f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
 p AS (SELECT doc_id, '{_MARK}' || trim(regexp_replace(line, '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE trim(line) <> '')
 SELECT {_CHUNK_ID.format("'body'", "('d::' || doc_id || '.md')", "1", "doc_id", "n")} AS chunk_id, doc_id::VARCHAR AS section_label, sha256(t) AS chunk_hash FROM p
 """)
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n", -1), lambda l: F.trim(l) != "")
-    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").alias("seq"), F.transform(lines, lambda l: F.concat(F.lit(_MARK), l)).alias("lines"))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda l: F.trim(l) != "")
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").alias("seq"), F.transform(lines, lambda l: F.concat(F.lit(_MARK), l)).alias("lines"))
     return notes.chunks(stage(notes.notes(_files(d, "d")))).select("chunk_id", "section_label", "chunk_hash")
 
 
@@ -334,11 +334,11 @@ def inline_label_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_replace("paragraph_text", _MARK, "").cast("long").alias("event_id"), "note_id", "section_label")
 
 
-@register("SELECT min(doc_id) AS doc_id, sha256(text) AS chunk_hash, count(*)::BIGINT AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+@register("SELECT min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS chunk_hash, count(*)::BIGINT AS copies FROM documents GROUP BY coalesce(text, '')")
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The first of each content by an aggregate: combined before the shuffle, so copies never meet.
-    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.groupBy(text_hash(F.col("text")).alias("chunk_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    d = _table(spark, sf_dir, "documents")
+    return d.groupBy(text_hash(F.coalesce("text", F.lit(""))).alias("chunk_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions.text import plain
+from tessera.operators.backends import for_queries
 from tessera.operators import graph, packets, retrieval, term_index, vector_index
 from tessera.staging import stage
 
@@ -122,7 +123,7 @@ def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[Da
     vectors, vector_counts = tables.get("chunk_vectors"), None
     searched = embed is not None and vectors is not None
     if searched:
-        queries = stage(embed(asked.where("trim(vector_query) <> ''").select("query_id", F.col("vector_query").alias("text"))).select("query_id", "vector"))
+        queries = stage(for_queries(embed)(asked.where("trim(vector_query) <> ''").select("query_id", F.col("vector_query").alias("text"))).select("query_id", "vector"))
         near, vector_counts = nearest(chunks, vectors, queries, hygiene, found.unionByName(graphed), max(1, config.max_retrieval_chunks))
         found = found.unionByName(near)
     found = found.unionByName(graphed)

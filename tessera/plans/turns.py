@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Config
-from tessera.functions.text import json_hash, snippet, strip, text_hash
+from tessera.functions.text import json_hash, snippet, strip, text_hash, type_of
 from tessera.operators import packets, retrieval
 from tessera.operators.backends import Compiler, Embedder, NoCompiler, NoWriter, Writer
 from tessera.operators.store import Part, Store
@@ -120,14 +120,34 @@ def compiled(asked: DataFrame, compiler: Compiler) -> DataFrame:
 
 
 def answers(rows: DataFrame, writer: Writer) -> DataFrame:
-    """rows with response: the writer's answer to synthesis_context_packet where the outcome is completed, else null."""
+    """rows with response and answer_metadata: the writer's answer to synthesis_context_packet where the outcome is completed.
 
-    @F.pandas_udf("string")
-    def written(contexts: pd.Series, outcomes: pd.Series) -> pd.Series:
-        return pd.Series([writer.generate(json.loads(c)) if o == "completed" else None for c, o in zip(contexts, outcomes)], dtype=object)
+    Where the writer fails there is none, the outcome becomes blocked, and the reasons say why; other turns go on.
+    """
+
+    @F.pandas_udf("response string, answer_metadata string, problem string")
+    def written(contexts: pd.Series, outcomes: pd.Series) -> pd.DataFrame:
+        out: list[tuple] = []
+        for context, outcome in zip(contexts, outcomes):
+            if outcome != "completed":
+                out.append((None, None, None))
+                continue
+            try:
+                answer = writer.generate(json.loads(context))
+            except Exception as problem:  # a service's failure is that of one turn
+                out.append((None, None, f"{type(problem).__name__}: {problem}"))
+                continue
+            text, told = answer if isinstance(answer, tuple) else (answer, {})
+            out.append((text, json.dumps(told, sort_keys=True), None))
+        return pd.DataFrame(out, columns=["response", "answer_metadata", "problem"], dtype=object)
 
     context = F.to_json("synthesis_context_packet", {"ignoreNullFields": "false"})
-    return rows.withColumn("response", written.asNondeterministic()(context, "outcome"))
+    made = stage(rows.withColumn("_w", written.asNondeterministic()(context, "outcome")))
+    failed = F.col("_w.problem").isNotNull()
+    reason = F.concat(F.lit("LLM backend failed: "), "_w.problem")
+    out = made.withColumn("outcome", F.when(failed, "blocked").otherwise(F.col("outcome")))
+    out = out.withColumn("reasons", F.when(failed, F.concat("reasons", F.array(reason))).otherwise(F.col("reasons")))
+    return out.withColumns({"response": F.col("_w.response"), "answer_metadata": F.col("_w.answer_metadata")}).drop("_w")
 
 
 def _chosen(name: str) -> Column:
@@ -151,7 +171,8 @@ def run_batch(states: DataFrame | None, tables: dict[str, DataFrame], inputs: Da
     begun = begun.withColumn("focus_terms", packets.focus_of_state(F.col("state.active_focus"), F.col("state.recent_semantic_turns")))
     begun = begun.withColumn("active_focus", packets.seeds_of_focus(F.col("state.active_focus"))).withColumn("request", packets.request(begun))
     told = stage(compiled(begun, compiler))
-    made = packets.complete(packets.compile_packets(told), "payload", "response_status")
+    completed = packets.complete_by_backend if getattr(compiler, "merges_focus", False) else packets.complete
+    made = completed(packets.compile_packets(told), "payload", "response_status")
     if tables.get("chunks") is None:
         counts = F.struct(*[F.lit(0).cast("long").alias(k) for k in retrieval.PRIORITY])
         parts = F.struct(F.col("retrieval_terms").alias("query_terms"), "vector_query", "graph_seeds", counts.alias("candidate_counts"), _empty("string").alias("selected_chunk_ids"), F.lit(None).cast(INFO).alias("graph_traversal"), F.array(F.lit("ingestion database unavailable")).alias("selection_notes"))
@@ -180,10 +201,10 @@ def run_batch(states: DataFrame | None, tables: dict[str, DataFrame], inputs: Da
         "blocking_reasons",
         F.col("compiler_status").alias("semantic_compiler_status"),
         F.col("response_status").alias("semantic_compiler_response_status"),
-        json_hash(F.col("semantic_compiler_diagnostic")).alias("semantic_compiler_diagnostic_hash"),
-        F.when(packets.is_valid(), json_hash(F.col("semantic_compiler_packet"))).alias("semantic_compiler_packet_hash"),
-        json_hash(F.col("traversal_manifest")).alias("traversal_manifest_hash"),
-        json_hash(F.col("retrieval_packet")).alias("retrieval_packet_hash"),
+        json_hash(F.col("semantic_compiler_diagnostic"), type_of(rows, "semantic_compiler_diagnostic")).alias("semantic_compiler_diagnostic_hash"),
+        F.when(packets.is_valid(), json_hash(F.col("semantic_compiler_packet"), type_of(rows, "semantic_compiler_packet"))).alias("semantic_compiler_packet_hash"),
+        json_hash(F.col("traversal_manifest"), type_of(rows, "traversal_manifest")).alias("traversal_manifest_hash"),
+        json_hash(F.col("retrieval_packet"), type_of(rows, "retrieval_packet")).alias("retrieval_packet_hash"),
         F.col("selected_count").alias("selected_chunk_count"),
     )
     rows = stage(rows.withColumn("coverage_report", report))
@@ -205,7 +226,7 @@ def run_batch(states: DataFrame | None, tables: dict[str, DataFrame], inputs: Da
         F.col("reasons").alias("blocking_reasons"),
         F.array(*[F.lit(r) for r in REQUIREMENTS]).alias("output_requirements"),
     )
-    rows = stage(answers(rows.withColumn("synthesis_context_packet", context), writer))
+    rows = answers(rows.withColumn("synthesis_context_packet", context), writer)
     return stage(_next(rows, at, getattr(writer, "mode", "unavailable" if missing else "live")))
 
 
@@ -234,7 +255,8 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.lit(at).alias("updated_at"),
         F.lit(None).cast("string").alias("latest_thread_state_hash"),
     )
-    out = rows.withColumn("_state", state).withColumn("thread_state_hash", json_hash(F.col("_state")))
+    out = rows.withColumn("_state", state)
+    out = out.withColumn("thread_state_hash", json_hash(F.col("_state"), type_of(out, "_state")))
     out = out.withColumn("next_state", F.col("_state").withField("latest_thread_state_hash", F.col("thread_state_hash")).cast(STATE))
     delta = F.struct(
         "thread_id",
@@ -248,7 +270,8 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.col("state.latest_thread_state_hash").alias("prior_thread_state_hash"),
         F.col("thread_state_hash").alias("next_thread_state_hash"),
     )
-    out = out.withColumn("state_delta", delta).withColumn("state_delta_hash", json_hash(F.col("state_delta")))
+    out = out.withColumn("state_delta", delta)
+    out = out.withColumn("state_delta_hash", json_hash(F.col("state_delta"), type_of(out, "state_delta")))
     conversation = F.struct(
         "thread_id",
         F.col("conversation.created_at").alias("created_at"),
@@ -260,7 +283,7 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.concat("conversation.messages", said).alias("messages"),
     )
     out = out.withColumn("next_conversation", conversation.cast(CONVERSATION))
-    hashes = [json_hash(F.col(c)).alias(f"{c}_hash") for c in ARTIFACTS if c != "state_delta"]
+    hashes = [json_hash(F.col(c), type_of(out, c)).alias(f"{c}_hash") for c in ARTIFACTS if c != "state_delta"]
     record = F.struct(
         "thread_id",
         "turn_id",
@@ -272,7 +295,7 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.col("state_delta_hash").alias("state_perturbation_hash"),
         *hashes,
         "state_delta_hash",
-        json_hash(F.col("next_conversation")).alias("conversation_thread_hash"),
+        json_hash(F.col("next_conversation"), type_of(out, "next_conversation")).alias("conversation_thread_hash"),
         "thread_state_hash",
     )
     return out.withColumn("ledger_record", record).drop("_state")
@@ -334,7 +357,7 @@ def run_turns(threads: Threads, tables: dict[str, DataFrame], inputs: DataFrame,
         batch = numbered.where(F.col("round") == number).select("thread_id", "message")
         made = run_batch(threads.states(), tables, batch, at, config or Config(), compiler or NoCompiler(), embed, writer or NoWriter())
         threads.add(made)
-        rows = made.select("thread_id", "turn_id", "message", "response", F.col("outcome").alias("runtime_outcome"), F.col("reasons").alias("blocking_reasons"), *ARTIFACTS, "ledger_record")
+        rows = made.select("thread_id", "turn_id", "message", "response", F.col("outcome").alias("runtime_outcome"), F.col("reasons").alias("blocking_reasons"), "answer_metadata", *ARTIFACTS, "ledger_record")
         done = rows if done is None else done.unionByName(rows)
     if done is None:
         raise ValueError("no turns were given")

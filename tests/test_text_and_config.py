@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,32 @@ def test_config(tmp_path, monkeypatch):
     monkeypatch.setenv(config.ENVIRONMENT, str(path))
     path.write_text(yaml.safe_dump(whole))
     assert config.load().store == "s"
+
+
+def test_canonical_json_by_expressions_equals_python(spark):
+    rng = random.Random(1)
+    pool = ["a", "Z", " ", '"', "\\\\", "/", "\n", "\r", "\t", "\b", "\f", "\x00", "\x1f", "\x7f", "~", "é", "ß", "\u2028", "日", "\ud7ff", "\ue000", "\uffff", "😀", "\U0010ffff", "<", "'"]
+    word = lambda: rng.choice([None, "", "".join(rng.choices(pool, k=rng.randint(1, 12)))])
+    schema = "z string, a struct<y:array<string>,b:struct<n:long,t:boolean>,Z:int>, m map<string,array<int>>, l array<struct<q:string,p:array<array<string>>>>, `o d.d` int"
+    rows = []
+    for _ in range(150):
+        inner = rng.choice([None, (rng.choice([None, rng.getrandbits(63) - (1 << 62)]), rng.choice([None, True, False]))])
+        nested = rng.choice([None, ([word() for _ in range(rng.randint(0, 3))], inner, -1)])
+        keyed = rng.choice([None, {}, {w: rng.choice([None, [1, None]]) for w in (word(), word()) if w is not None}])
+        listed = rng.choice([None, [], [None, (word(), [[word()], None, []])]])
+        rows.append((word(), nested, keyed, listed, rng.choice([None, 7])))
+    df = spark.createDataFrame(rows, schema)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    kind = df.schema
+    for r in df.select(text.canonical_json(whole, kind).alias("new"), text.canonical_json(whole).alias("old"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("raw")).collect():
+        assert r["new"] == r["old"] == json.dumps(json.loads(r["raw"]), sort_keys=True, separators=(",", ":"))
+    assert df.select(text.canonical_json(F.col("a"), kind["a"].dataType).alias("x")).where("x IS NULL").count() == sum(r[1] is None for r in rows)
+    doubles = spark.createDataFrame([(1e16, 0.1), (1e-7, None)], "d double, e double")
+    assert [r[0] for r in doubles.select(text.canonical_json(F.struct("d", "e"), doubles.schema)).collect()] == ['{"d":1e+16,"e":0.1}', '{"d":1e-07,"e":null}']
+
+
+def test_no_python_in_the_plan_of_edges(spark):
+    from tessera.operators import graph
+
+    edges = spark.range(3).select(graph.edge_id(F.lit("k"), F.col("id").cast("string"), F.lit("t"), F.lit("s")).alias("e"))
+    assert "Python" not in edges._jdf.queryExecution().toString()

@@ -2,7 +2,7 @@
 
 A query's terms are its dimensions. The most that a dimension can add to a score among some rows is its bound there.
 
-Rows are dealt to shards by their strongest term. A query is first answered in the shard of its own strongest term;
+Rows are dealt to shards by their strongest term; terms of few rows share a shard, so that a shard is worth a task. A query is first answered in the shard of its own strongest term;
 its k-th best score there is its threshold. It then goes to those other shards only whose bounds, summed over its terms,
 reach the threshold. Within a shard rows lie in posting blocks of like rows: a block whose bounds do not reach the
 threshold is passed over. In the others terms are ordered by what they can add over the least; a tail of terms that
@@ -26,7 +26,7 @@ SCALE = 1024
 K = 10
 QUERY_EVERY = 100
 #: Rows of a shard, queries of a block, and shards whose bounds a task looks at, on average: they are dealt by hash.
-SHARD_ROWS, BLOCK_QUERIES, BLOCK_SHARDS = 2048, 1024, 2048
+SHARD_ROWS, BLOCK_QUERIES, BLOCK_SHARDS = 4096, 1024, 2048
 #: Queries that are scored together, rows of a posting block, terms of a probing step.
 QUERY_ROWS, POSTING_ROWS, STEP = 64, 256, 8
 #: Rows are probed one by one once so small a share of a block is competitive; until then a step is a matrix product.
@@ -194,6 +194,18 @@ def _term() -> Column:
     return F.coalesce(2 * place + F.when(F.get("vector", (place - 1).cast("int")) < 0, 1).otherwise(0), F.lit(0))
 
 
+def _terms_together(terms: DataFrame) -> DataFrame:
+    """term, first, parts: terms of SHARD_ROWS rows or more in so many parts; smaller ones, in order, with the first of theirs.
+
+    The terms before one, counted in whole shards, tell which belong together.
+    """
+    small = F.col("n") < SHARD_ROWS
+    before = Window.orderBy("term").rowsBetween(Window.unboundedPreceding, -1)
+    counted = terms.withColumn("_with", F.when(small, F.floor(F.coalesce(F.sum(F.when(small, F.col("n"))).over(before), F.lit(0)) / SHARD_ROWS)).otherwise(-1 - F.col("term")))
+    first = F.min("term").over(Window.partitionBy("_with"))
+    return counted.select("term", first.alias("first"), F.ceil(F.col("n") / SHARD_ROWS).alias("parts"))
+
+
 def _one_of_each(vectors: DataFrame) -> DataFrame:
     """vec_id and vector: of several rows of an id the first by components."""
     vectors = vectors.select("vec_id", "vector")
@@ -222,8 +234,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """
     found_in = _one_of_each(vectors).withColumn("term", _term())
     # At most two terms for each dimension, so this table is small whatever the rows.
-    parts = stage(found_in.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("parts")))
-    shard = (F.shiftleft(F.col("term").cast("long"), 32) + F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).alias("shard")
+    parts = stage(_terms_together(found_in.groupBy("term").agg(F.count(F.lit(1)).alias("n"))))
+    shard = (F.shiftleft(F.coalesce("first", "term").cast("long"), 32) + F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1)))).alias("shard")
     rows = stage(found_in.join(F.broadcast(parts), "term").select("vec_id", "vector", shard))
     asked = _one_of_each(queries).withColumn("term", _term()).join(F.broadcast(parts), "term", "left")
     asked = stage(asked.select("vec_id", "vector", shard))

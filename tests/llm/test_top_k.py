@@ -102,3 +102,32 @@ def test_queries_go_to_competitive_shards_only(spark, monkeypatch):
     monkeypatch.setattr(topk, "stage", staged)
     got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()
     assert len(got) == 80 and sent[0] <= 2 * 8  # of 4 shards: at most the other one of the same term
+
+
+def test_terms_of_few_rows_share_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
+    terms = spark.createDataFrame([(t, n) for t, n in enumerate([30, 40, 50, 250, 60, 10, 99, 5])], "term int, n long")
+    got = {r["term"]: (r["first"], r["parts"]) for r in topk._terms_together(terms).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (3, 3), 4: (4, 1), 5: (4, 1), 6: (4, 1), 7: (7, 1)}
+
+
+def test_clusters_are_searched_in_few_shards(spark, monkeypatch):
+    """Of the pairs of query and shard most are left out where rows come in clusters."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    rows = clustered(np.random.default_rng(7), 640, 16, 0.02)
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    sent, real = [], topk.stage
+
+    def staged(df):
+        out = real(df)
+        if df.columns == ["query_id", "shard"]:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk, "stage", staged)
+    got = collections.defaultdict(list)
+    for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 5).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    want = brute(rows, range(0, 640, 20), 5)
+    assert {q: sorted(x) for q, x in got.items()} == want
+    assert sent[0] < 0.35 * 32 * 16

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.staging import gapless
+
 SCHEMA = "root_label string, root_path string, relative_path string, note_seq long, raw_text string"
 FILES_PER_PARTITION = 256
 
@@ -87,7 +89,10 @@ def read_vault(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
 
 
 def read_files(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
-    """As read_vault, through Spark's own file reader: any file system, no hidden names."""
+    """As read_vault, through Spark's own file reader: any file system, no hidden names.
+
+    Only names are ordered and numbered, by ranges; contents are read afterwards, in the tasks that use them.
+    """
     every = None
     for i, (label, path) in enumerate(roots):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
@@ -95,6 +100,6 @@ def read_files(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
         text = F.regexp_replace(F.decode("content", "utf-8"), "\r\n?", "\n")
         one = files.select(F.lit(i).alias("_root"), F.lit(label).alias("root_label"), F.lit(path).alias("root_path"), inside.alias("relative_path"), text.alias("raw_text"))
         every = one if every is None else every.unionByName(one)
-    order = Window.partitionBy("_root").orderBy("relative_path")
-    place = F.col("_root").cast("long") * F.lit(1 << 40) + F.row_number().over(order)
-    return every.withColumn("note_seq", place).select("root_label", "root_path", "relative_path", "note_seq", "raw_text")
+    places = gapless(every.select("_root", "relative_path"), ["_root", "relative_path"], "note_seq")
+    numbered = every.join(places, ["_root", "relative_path"])
+    return numbered.select("root_label", "root_path", "relative_path", "note_seq", "raw_text")

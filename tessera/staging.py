@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +45,21 @@ def release(*staged: DataFrame) -> None:
             context = df.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def gapless(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df, staged, with `name`: the place of each row in `order`, from 0 without gaps; ties in any order.
+
+    Rows are dealt by ranges and numbered within each; a range starts where those before it end. So no task sees more
+    than a range, where a window over all rows would be one task.
+    """
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), inside.alias("_inside"))
+    rows = stage(ranged)
+    sizes = {r["_range"]: r["count"] for r in rows.groupBy("_range").count().collect()}  # a row for each range
+    starts, at = [], 0
+    for number in sorted(sizes):
+        starts.append((number, at))
+        at += sizes[number]
+    ranges = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    return rows.join(F.broadcast(ranges), "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside")

@@ -67,7 +67,8 @@ def test_scan(spark, roots):
     rows = vault.read_vault(spark, roots).orderBy("note_seq").collect()
     assert [r.relative_path for r in rows] == ["Other.md", "_hidden.md", "a/day_one.md"]
     visible = vault.read_files(spark, roots).orderBy("note_seq").collect()
-    assert [r.relative_path for r in visible] == ["Other.md", "a/day_one.md"]
+    assert [(r.relative_path, r.note_seq) for r in visible] == [("Other.md", 0), ("a/day_one.md", 1)]
+    assert "Window" not in vault.read_files(spark, roots)._jdf.queryExecution().toString()
 
 
 def test_notes(spark, roots):

@@ -8,7 +8,6 @@ all stages but the last.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +35,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group of near copies, that with the smallest doc_id; see simhash.keep_one.
 
     Shingles have five words, and similarity is 0.8 or more. Null and empty texts are copies of each other, rows without
-    doc_id come last, and of repeated rows one stays.
+    doc_id come last, and of repeated rows one stays. Very long texts are compared whole, an empty table gives none, and
+    columns of any name come through.
     """
     return simhash.keep_one(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data and disclosing terms replaced by tags; see pii.sanitise. Nulls stay."""
+    """All rows, with personal data and disclosing terms replaced by tags; see pii.sanitise.
+
+    Nulls stay, very long texts are read whole, repeated rows are rewritten alike, an empty table gives none, and columns of
+    any name come through.
+    """
     return pii.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows with their places in sequences; see packing.pack_documents. Null text is an end id alone."""
+    import public_tokenizers
+
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -8,15 +8,16 @@ records and artifacts that it added. A run that fails leaves nothing that a read
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tessera.config import Config
-from tessera.functions.text import json_hash, snippet, strip, text_hash, type_of
+from tessera.functions.text import json_hash, snippet, strip, text_hash
 from tessera.operators import packets, retrieval
 from tessera.operators.backends import Compiler, Embedder, NoCompiler, NoWriter, Writer
 from tessera.operators.store import Part, Store
@@ -201,10 +202,10 @@ def run_batch(states: DataFrame | None, tables: dict[str, DataFrame], inputs: Da
         "blocking_reasons",
         F.col("compiler_status").alias("semantic_compiler_status"),
         F.col("response_status").alias("semantic_compiler_response_status"),
-        json_hash(F.col("semantic_compiler_diagnostic"), type_of(rows, "semantic_compiler_diagnostic")).alias("semantic_compiler_diagnostic_hash"),
-        F.when(packets.is_valid(), json_hash(F.col("semantic_compiler_packet"), type_of(rows, "semantic_compiler_packet"))).alias("semantic_compiler_packet_hash"),
-        json_hash(F.col("traversal_manifest"), type_of(rows, "traversal_manifest")).alias("traversal_manifest_hash"),
-        json_hash(F.col("retrieval_packet"), type_of(rows, "retrieval_packet")).alias("retrieval_packet_hash"),
+        json_hash(F.col("semantic_compiler_diagnostic")).alias("semantic_compiler_diagnostic_hash"),
+        F.when(packets.is_valid(), json_hash(F.col("semantic_compiler_packet"))).alias("semantic_compiler_packet_hash"),
+        json_hash(F.col("traversal_manifest")).alias("traversal_manifest_hash"),
+        json_hash(F.col("retrieval_packet")).alias("retrieval_packet_hash"),
         F.col("selected_count").alias("selected_chunk_count"),
     )
     rows = stage(rows.withColumn("coverage_report", report))
@@ -255,8 +256,8 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.lit(at).alias("updated_at"),
         F.lit(None).cast("string").alias("latest_thread_state_hash"),
     )
-    out = rows.withColumn("_state", state)
-    out = out.withColumn("thread_state_hash", json_hash(F.col("_state"), type_of(out, "_state")))
+    # Hashes of a turn are made in Python: few rows, whose nested types would make expressions of many thousand nodes.
+    out = rows.withColumn("_state", state).withColumn("thread_state_hash", json_hash(F.col("_state")))
     out = out.withColumn("next_state", F.col("_state").withField("latest_thread_state_hash", F.col("thread_state_hash")).cast(STATE))
     delta = F.struct(
         "thread_id",
@@ -271,7 +272,7 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.col("thread_state_hash").alias("next_thread_state_hash"),
     )
     out = out.withColumn("state_delta", delta)
-    out = out.withColumn("state_delta_hash", json_hash(F.col("state_delta"), type_of(out, "state_delta")))
+    out = out.withColumn("state_delta_hash", json_hash(F.col("state_delta")))
     conversation = F.struct(
         "thread_id",
         F.col("conversation.created_at").alias("created_at"),
@@ -283,7 +284,7 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.concat("conversation.messages", said).alias("messages"),
     )
     out = out.withColumn("next_conversation", conversation.cast(CONVERSATION))
-    hashes = [json_hash(F.col(c), type_of(out, c)).alias(f"{c}_hash") for c in ARTIFACTS if c != "state_delta"]
+    hashes = [json_hash(F.col(c)).alias(f"{c}_hash") for c in ARTIFACTS if c != "state_delta"]
     record = F.struct(
         "thread_id",
         "turn_id",
@@ -295,7 +296,7 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.col("state_delta_hash").alias("state_perturbation_hash"),
         *hashes,
         "state_delta_hash",
-        json_hash(F.col("next_conversation"), type_of(out, "next_conversation")).alias("conversation_thread_hash"),
+        json_hash(F.col("next_conversation")).alias("conversation_thread_hash"),
         "thread_state_hash",
     )
     return out.withColumn("ledger_record", record).drop("_state")
@@ -323,9 +324,16 @@ class Threads:
     def artifacts(self) -> DataFrame | None:
         return self.store.read("artifacts")
 
-    def add(self, turns: DataFrame) -> None:
+    def applied(self) -> tuple[int, int]:
+        """The last batch of a stream, and the last of its rounds, that is stored; (-1, 0) before the first."""
+        current = self.store.current() or {}
+        return tuple(current.get("applied", (-1, 0)))
+
+    def add(self, turns: DataFrame, applied: tuple[int, int] | None = None) -> None:
         """Store what a batch made: its threads' new states, and what its turns add to ledger and artifacts.
 
+        `applied` is stored in the same step, so it is known whether a round of a stream's batch is in or not.
+
         Only buckets with a thread of the batch are read and written; ledger and artifacts are logs in buckets of threads.
         """
         fresh = turns.select("thread_id", F.col("next_state").alias("state"), F.col("next_conversation").alias("conversation"))
@@ -338,27 +346,49 @@ class Threads:
                 "ledger": Part(turns.select("ledger_record.*"), "thread_id", log=True),
                 "artifacts": Part(artifacts(turns), "thread_id", log=True),
             },
-            {},
+            {"applied": list(applied or self.applied())},
         )
 
 
-def run_turns(threads: Threads, tables: dict[str, DataFrame], inputs: DataFrame, at: str, config: Config | None = None, compiler: Compiler | None = None, embed: Embedder | None = None, writer: Writer | None = None) -> DataFrame:
+def run_turns(threads: Threads, tables: dict[str, DataFrame], inputs: DataFrame, at: str, config: Config | None = None, compiler: Compiler | None = None, embed: Embedder | None = None, writer: Writer | None = None, batch: int | None = None) -> DataFrame | None:
     """Run turns (thread_id, message, and input_seq where a thread has several) and store them; returns their rows.
 
     A null thread_id begins a thread of its own. Rows: thread_id, turn_id, message, response, runtime_outcome,
-    blocking_reasons, the artifacts and the ledger record.
+    blocking_reasons, the artifacts and the ledger record. With `batch`, the number of a stream's batch, rounds that are stored
+    already are not run again, new threads are named by batch and input, and None is returned where nothing is left to do.
     """
     seq = F.col("input_seq") if "input_seq" in inputs.columns else F.lit(0)
-    fresh = F.concat(F.lit("thread-"), F.substring(F.translate(F.uuid(), "-", ""), 1, 12))
-    named = stage(inputs.select(F.coalesce("thread_id", fresh).alias("thread_id"), F.coalesce("message", F.lit("")).alias("message"), seq.alias("input_seq")))
+    given = inputs.select("thread_id", F.coalesce("message", F.lit("")).alias("message"), seq.alias("input_seq"))
+    if batch is None:
+        fresh = F.substring(F.translate(F.uuid(), "-", ""), 1, 12)
+    else:  # equal inputs are told apart by a number, which of them has which doesn't matter
+        alike = F.row_number().over(Window.partitionBy("thread_id", "message", "input_seq").orderBy(F.lit(0)))
+        fresh = F.substring(F.sha2(F.concat_ws("\n", F.lit(str(batch)), alike, "input_seq", "message"), 256), 1, 12)
+    named = stage(given.withColumn("thread_id", F.coalesce("thread_id", F.concat(F.lit("thread-"), fresh))))
     numbered = stage(named.selectExpr("thread_id", "message", "row_number() OVER (PARTITION BY thread_id ORDER BY input_seq, message) AS round"))
     last, done = numbered.agg(F.max("round").alias("n")).first()["n"] or 0, None
-    for number in range(1, last + 1):
-        batch = numbered.where(F.col("round") == number).select("thread_id", "message")
-        made = run_batch(threads.states(), tables, batch, at, config or Config(), compiler or NoCompiler(), embed, writer or NoWriter())
-        threads.add(made)
+    before = threads.applied() if batch is not None else (-1, 0)
+    first = 1 if batch is None or before[0] < batch else before[1] + 1 if before[0] == batch else last + 1
+    for number in range(first, last + 1):
+        turns = numbered.where(F.col("round") == number).select("thread_id", "message")
+        made = run_batch(threads.states(), tables, turns, at, config or Config(), compiler or NoCompiler(), embed, writer or NoWriter())
+        threads.add(made, None if batch is None else (batch, number))
         rows = made.select("thread_id", "turn_id", "message", "response", F.col("outcome").alias("runtime_outcome"), F.col("reasons").alias("blocking_reasons"), "answer_metadata", *ARTIFACTS, "ledger_record")
         done = rows if done is None else done.unionByName(rows)
-    if done is None:
+    if done is None and batch is None:
         raise ValueError("no turns were given")
     return done
+
+
+def stream_turns(threads: Threads, tables: dict[str, DataFrame], inputs: DataFrame, checkpoint: str, at: Callable[[int], str], **services: Any) -> DataStreamWriter:
+    """A stream of turns, each run and stored once: start() it, and start it again with the same checkpoint after a failure.
+
+    Each batch goes through run_turns, as a batch without a stream does. A batch that is tried again goes on after the last
+    round that was stored, since the store's pointer says which that was. `at` gives a batch's time from its number, so that
+    a batch tried again writes the same. Services are those of run_turns; with a log of calls they are not asked twice.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        run_turns(threads, tables, batch, at(number), batch=number, **services)
+
+    return inputs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,42 @@ def test_backends_by_settings():
     assert compiler.compile_turn({"raw_user_input": "x"}).status == "unavailable" and writer.available
     with pytest.raises(ValueError):
         backends.backends_of(replace(config, answers=replace(config.answers, provider="nothing")))
+
+
+def test_a_stream_stores_each_turn_once(spark, tmp_path, monkeypatch):
+    """A stream that fails between two rounds of a batch, and goes on, leaves the ledger of one that was never disturbed."""
+    said = [("a", "first", 1), ("a", "second", 2), (None, "new thread", 1), (None, "new thread", 1)], [("a", "third", 1)]
+    for i, rows in enumerate(said):
+        lines = [json.dumps({"thread_id": t, "message": m, "input_seq": n}) for t, m, n in rows]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # a stream takes the oldest first
+
+    def run(name):
+        inputs = spark.readStream.schema("thread_id string, message string, input_seq int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        threads = turns.Threads(spark, str(tmp_path / name))
+        query = turns.stream_turns(threads, {}, inputs, str(tmp_path / f"{name}-checkpoint"), lambda n: f"batch {n}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return threads
+
+    def rows(threads):
+        return sorted(map(str, threads.ledger().collect())), sorted(str(r["state"]) for r in threads.states().collect())
+
+    wanted = rows(run("whole"))
+    assert len(wanted[0]) == 5 and len(wanted[1]) == 3
+    calls, real = [], turns.Threads.add
+
+    def failing(self, made, applied=None):
+        calls.append(applied)
+        if len(calls) == 2:
+            raise OSError("the driver is lost")
+        real(self, made, applied)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(turns.Threads, "add", failing)
+        with pytest.raises(Exception, match="lost"):
+            run("broken")
+    assert calls == [(0, 1), (0, 2)]
+    threads = run("broken")
+    assert rows(threads) == wanted and threads.applied() == (1, 1)
+    assert rows(run("broken")) == wanted  # nothing is left to do

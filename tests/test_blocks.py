@@ -1,0 +1,40 @@
+"""Pairs made block by block against the plain forms."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import blocks, retrieval
+
+
+@pytest.fixture
+def small(monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(blocks, "SHARD_ROWS", 5)
+    monkeypatch.setattr(retrieval, "PAIR_ROWS", 5)
+
+
+def surfaces(spark):
+    """(shared, vectors, queries, candidates) with two kinds of queries, null and short vectors, and chunks of one surface only."""
+    rng = random.Random(7)
+
+    def vector():
+        return rng.choice([None, [], [0.0, 0.0], [1.0, None], [float(rng.randint(-3, 3)), 1.0], [1.0, -1.0, float(rng.randint(-2, 2))]])
+
+    shared = [(kind, c, source, score, f"{source} {c}") for kind in ("a", "b") for c in range(30) for source, score in (("lexical", 3.0), ("graph", 1.5)) if rng.random() < 0.4]
+    shared = spark.createDataFrame(shared, "kind string, chunk_id long, source string, score double, reason string")
+    vectors = spark.createDataFrame([(c, vector()) for c in range(10, 45)], "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame([(q, "ab"[q % 3 == 0], vector()) for q in range(25)] + [(99, "none", None)], "query_id long, kind string, vector array<double>")
+    near = retrieval.vector(vectors, queries).withColumn("score", F.round("score", 6)).withColumn("reason", F.lit("vector similarity")).where("score > 1")
+    every = queries.select("query_id", "kind").join(shared, "kind").drop("kind").unionByName(near)
+    return shared, vectors, queries, every
+
+
+def test_shared_surfaces_equal_all_candidates(spark, small):
+    shared, vectors, queries, every = surfaces(spark)
+    got = retrieval.fuse_shared(shared, vectors, queries)
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1].split("FlatMapCoGroupsInArrow")[0]  # no pair is shuffled
+    want = retrieval.fuse(every)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))

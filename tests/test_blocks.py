@@ -38,3 +38,9 @@ def test_shared_surfaces_equal_all_candidates(spark, small):
     assert "Exchange" not in plan.split("== Physical Plan ==")[1].split("FlatMapCoGroupsInArrow")[0]  # no pair is shuffled
     want = retrieval.fuse(every)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_shared_counts_equal_counts_of_candidates(spark, small):
+    shared, vectors, queries, every = surfaces(spark)
+    want = retrieval.candidate_counts(every, queries)
+    assert sorted(map(tuple, retrieval.shared_counts(shared, vectors, queries).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

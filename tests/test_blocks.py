@@ -5,14 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks, retrieval
+from tessera.operators import blocks, graph, retrieval
 
 
 @pytest.fixture
 def small(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
     monkeypatch.setattr(blocks, "SHARD_ROWS", 5)
-    monkeypatch.setattr(retrieval, "PAIR_ROWS", 5)
+    monkeypatch.setattr(retrieval, "PAIR_ROWS", (4, 5))
 
 
 def surfaces(spark):
@@ -44,3 +44,28 @@ def test_shared_counts_equal_counts_of_candidates(spark, small):
     shared, vectors, queries, every = surfaces(spark)
     want = retrieval.candidate_counts(every, queries)
     assert sorted(map(tuple, retrieval.shared_counts(shared, vectors, queries).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_overlaps_equal_brute_force(spark, small, monkeypatch):
+    rng = random.Random(3)
+    left = [(q, p, k) for q in (0, 1, None) for p in range(9) for k in "abcdefgh" if rng.random() < 0.4]
+    right = [(f"n{n}", k) for n in range(23) for k in "abcdefgxyz" if rng.random() < 0.4]
+    out = [(q, p, f"n{p}") for q in (0, 1) for p in range(9)]
+    asked = spark.createDataFrame([(*row, None) for row in left] + [(q, p, None, n) for q, p, n in out], "q long, p int, key string, out string")
+    want = {(q, p, n) for q in (0, 1, None) for p in range(9) for n in {n for n, _ in right} if (q, p, n) not in out and len({k for *i, k in left if i == [q, p]} & {k for m, k in right if m == n}) >= 2}
+    for heavy in (0.0, 1 / 64, 2.0):  # all by matrix, some, none
+        monkeypatch.setattr(blocks, "HEAVY", heavy)
+        found = blocks.overlaps(asked, spark.createDataFrame(right, "n string, key string"), ["q", "p"], "n", (27, 23), 2).collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_seeds_in_blocks_equal_joins(spark, small, monkeypatch):
+    rng = random.Random(6)
+    words = ["red", "blue", "green", "tea", "cup", "the", "sky", "new"]
+    nodes = spark.createDataFrame([(f"n{i}", " ".join(rng.choices(words, k=3)), "") for i in range(30)], "node_id string, label string, ref_id string")
+    seeds = spark.createDataFrame([(q, p, rng.choice(["", " ".join(rng.choices(words, k=rng.randint(1, 4)))])) for q in range(8) for p in range(3)] + [(9, 0, nodes.first()["label"])], "query_id long, seed_pos int, seed string")
+    want = sorted(map(tuple, graph.match_seeds(nodes, seeds).collect()))
+    monkeypatch.setattr(graph, "MANY_PAIRS", 0)
+    found = graph.match_seeds(nodes, seeds)
+    assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FlatMapCoGroupsInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == want and {w[3] for w in want} == {True, False}

@@ -59,6 +59,24 @@ def test_overlaps_equal_brute_force(spark, small, monkeypatch):
         assert len(found) == len(want) and {tuple(r) for r in found} == want
 
 
+def graph_of(spark, rng):
+    edges = [(f"n{rng.randrange(30)}", f"n{min(rng.randrange(30), rng.randrange(30))}") for _ in range(90)]
+    starts = [(q, f"n{rng.randrange(30)}") for q in range(14) for _ in range(2)]
+    return spark.createDataFrame(edges, "source_node_id string, target_node_id string"), spark.createDataFrame(starts, "query_id long, node_id string")
+
+
+def test_last_hop_in_blocks_equals_joins(spark, small, monkeypatch):
+    edges, starts = graph_of(spark, random.Random(5))
+    for limit in (1, 2, 3):
+        want = sorted(map(tuple, graph.hops(starts, edges, limit).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(graph, "MANY_PAIRS", 0)
+            found = graph.hops(starts, edges, limit)
+            plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            assert "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[0]  # no pair is shuffled
+            assert sorted(map(tuple, found.collect())) == want
+
+
 def test_seeds_in_blocks_equal_joins(spark, small, monkeypatch):
     rng = random.Random(6)
     words = ["red", "blue", "green", "tea", "cup", "the", "sky", "new"]

@@ -87,3 +87,17 @@ def test_seeds_in_blocks_equal_joins(spark, small, monkeypatch):
     found = graph.match_seeds(nodes, seeds)
     assert found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FlatMapCoGroupsInArrow") == 1
     assert sorted(map(tuple, found.collect())) == want and {w[3] for w in want} == {True, False}
+
+
+def test_capped_search_equals_the_cap_of_all_hops(spark, monkeypatch):
+    edges, starts = graph_of(spark, random.Random(8))
+    rows = [(f"n{n}", n % 11, c, f"n{n}c{c}") for n in range(30) for c in range(n % 3)]
+    chunks = spark.createDataFrame(rows, "note_id string, note_seq int, chunk_seq int, chunk_id string")
+    for limit, cap in ((0, 2), (1, 1), (1, 3), (2, 2), (2, 5), (3, 40)):
+        reached = graph.hops(starts, edges, limit).withColumnRenamed("node_id", "note_id")
+        want = sorted(map(tuple, graph.capped_chunks(reached, chunks, cap).collect()))
+        assert sorted(map(tuple, graph.capped_search(starts, edges, chunks, limit, cap).collect())) == want
+    hops, asked = graph.hops, []
+    monkeypatch.setattr(graph, "hops", lambda s, e, n, *more: asked.append(n) or hops(s, e, n, *more))
+    graph.capped_search(starts, edges, chunks, 2, 3)
+    assert asked == [1]  # the last hop is not searched whole

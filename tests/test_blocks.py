@@ -101,3 +101,22 @@ def test_capped_search_equals_the_cap_of_all_hops(spark, monkeypatch):
     monkeypatch.setattr(graph, "hops", lambda s, e, n, *more: asked.append(n) or hops(s, e, n, *more))
     graph.capped_search(starts, edges, chunks, 2, 3)
     assert asked == [1]  # the last hop is not searched whole
+
+
+def test_reasons_in_blocks_equal_joins(spark, small, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"n{rng.randrange(20)}", f"n{rng.randrange(20)}", rng.choice("ab"), (i % 7, i)) for i in range(80)]
+    edges = spark.createDataFrame(rows + rows[:9], "source_node_id string, target_node_id string, edge_type string, edge_order struct<a:int,b:int>")
+    nodes = spark.createDataFrame([(f"n{i}", None if i == 3 else f"label {i % 15}", i) for i in range(20)], "node_id string, label string, node_seq long")
+    matched = spark.createDataFrame([(q, p, "seeds", f"n{rng.randrange(20)}") for q in range(13) for p in range(2)] + [(50, 0, "seeds", "n3")], "query_id long, seed_pos int, seed_source string, node_id string")
+    reached = graph.visits(matched, edges, nodes, 2)
+    for walk in (reached, reached.drop("visit")):
+        want = sorted(map(tuple, graph.reasons(walk, matched, edges, nodes, 2).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(graph, "MANY_PAIRS", 0)
+            m.setattr(graph, "TOLD_ROWS", (4, 5))
+            m.setattr(blocks, "SLICE", 64)
+            found = graph.reasons(walk, matched, edges, nodes, 2)
+            plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            assert "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[0]  # no pair is shuffled
+            assert sorted(map(tuple, found.collect())) == want

@@ -20,6 +20,8 @@ from tessera.staging import release, stage
 
 #: Vectors of a shard, and of a part of one that turned out larger, on average; and the most pivots over all widths.
 SHARD_VECTORS, MOST_PIVOTS = 4096, 4096
+#: Queries that a task multiplies with a part of a shard at once.
+SLICE_QUERIES = 256
 #: Room for rounding in a bound, as an angle.
 ROOM = 1e-6
 #: Set by tests: count, as products and skipped of the index, query-shard pairs that were multiplied and that were not.
@@ -107,25 +109,35 @@ def _nearest(k: int, decimals: int | None):
     """Of a part of a shard: the k best of each query that reach its threshold, and the number of positive cosines."""
 
     def nearest(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(stored) and len(asked):
-            ids = stored["chunk_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, matrix = ids[order], np.array(list(stored["vector"]), float)[order]
-            product = np.array(list(asked["vector"]), float) @ matrix.T
+        columns = ["query_id", "chunk_id", "content", "demoted", "similarity", "n"]
+        if not len(stored) or not len(asked):
+            return pd.DataFrame([], columns=columns, dtype=object)
+        ids = stored["chunk_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, matrix = ids[order], np.array(list(stored["vector"]), float)[order]
+        names, flag = stored["content"].to_numpy()[order], stored["flag"].to_numpy(bool)[order]
+        content = pd.factorize(names)[0]
+        least, templates, counted = asked["least"].to_numpy(float), asked["templates"].to_numpy(bool), asked["counted"].to_numpy(bool)
+        whose, which, near, positive = [], [], [], np.zeros(len(asked), np.int64)
+        for low in range(0, len(asked), SLICE_QUERIES):  # so the products held at once do not grow with the queries
+            product = np.array(list(asked["vector"].iloc[low : low + SLICE_QUERIES]), float) @ matrix.T
             score = product if decimals is None else np.round(product, decimals)
-            content, flag = pd.factorize(stored["content"].to_numpy()[order])[0], stored["flag"].to_numpy(bool)[order]
-            names = stored["content"].to_numpy()[order]
-            for i, row in enumerate(asked.itertuples()):
-                if row.counted:
-                    out.append((row.query_id, None, None, None, None, int(np.count_nonzero(product[i] > 0))))
-                demoted = flag & (not row.templates)
-                at = np.flatnonzero((product[i] > 0) & (score[i] >= row.least) & ((row.least <= 0) | ~demoted))
+            positive[low : low + len(product)] = np.count_nonzero(product > 0, axis=1)
+            for i, q in enumerate(range(low, low + len(product))):
+                demoted = flag & (not templates[q])
+                at = np.flatnonzero((product[i] > 0) & (score[i] >= least[q]) & ((least[q] <= 0) | ~demoted))
                 # Ties go to the smaller id, which is the order of the columns; of each content the first counts.
                 at = at[np.lexsort((at, -score[i][at], demoted[at]))]
                 at = at[np.sort(np.unique(content[at], return_index=True)[1])[:k]]
-                out += [(row.query_id, ids[j], names[j], bool(demoted[j]), product[i, j], None) for j in at]
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "content", "demoted", "similarity", "n"], dtype=object)
+                whose.append(np.full(len(at), q))
+                which.append(at)
+                near.append(product[i][at])
+        q, at = np.concatenate(whose), np.concatenate(which)
+        found = pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q], "chunk_id": ids[at], "content": names[at], "demoted": flag[at] & ~templates[q], "similarity": np.concatenate(near), "n": None})
+        if not counted.any():
+            return found
+        numbers = pd.DataFrame({"query_id": asked["query_id"].to_numpy()[counted], "n": positive[counted]}).reindex(columns=columns)
+        return pd.concat([frame.astype(object).where(frame.notna(), None) for frame in (found, numbers)], ignore_index=True)
 
     return nearest
 

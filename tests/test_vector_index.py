@@ -1,8 +1,10 @@
 """The pivot index against brute force, in few shards and in many, and what it skips."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,20 @@ def test_selection_equals_that_from_all_positive_cosines(spark, monkeypatch):
     got = [(*r[:4], round(r[4], 9), *r[5:]) for r in selected.select(*fields).collect()]
     assert sorted(got) == sorted(want) and {r[3] for r in got} == {"lexical", "vector"}
     assert {r["query_id"]: r["manifest"].candidate_counts.vector for r in decided.collect()} == {r["query_id"]: r["count"] for r in every.groupBy("query_id").count().collect()}
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_products_held_at_once_do_not_grow_with_the_queries(counted):
+    rng = np.random.default_rng(1)
+    stored, asked = rng.normal(size=(1500, 4)), rng.normal(size=(4000, 4))
+    left = pd.DataFrame({"chunk_id": np.arange(1500), "vector": list(stored), "content": [f"id:{i}" for i in range(1500)], "flag": False})
+    right = pd.DataFrame({"query_id": np.arange(4000), "vector": list(asked), "templates": False, "least": 0.0, "counted": counted})
+    tracemalloc.start()
+    found = vector_index._nearest(2, None)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1500 * 4000 * 8  # one matrix of all products
+    product = asked @ stored.T
+    hits = found[found["chunk_id"].notna()]
+    assert hits["chunk_id"].tolist() == [int(c) for row in product for c in np.argsort(-row, kind="stable")[:2]]
+    assert found["n"].dropna().tolist() == ((product > 0).sum(axis=1).tolist() if counted else [])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions.text import plain
 from tessera.operators.backends import for_queries
-from tessera.operators import graph, packets, retrieval, term_index, vector_index
+from tessera.operators import graph, packets, retrieval, scan, term_index, vector_index
 from tessera.staging import stage
 
 INFO = "struct<enabled:boolean,hop_limit:int,seed_sources:array<string>,matched_seed_count:bigint,expanded_note_count:bigint,edge_types_used:array<string>>"
@@ -102,9 +102,9 @@ def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[Da
     """(selected chunks by query and rank, packets with manifest, selected_count and decision) for packets.
 
     Of the vector surface come the chunks that can be selected by it and those that another surface found too.
-    tables: chunks, and where there are any chunk_vectors, graph_nodes, graph_edges, and the parts of the term index. With
-    the index the lexical surface gives only the chunks that can be selected, and their number from the postings. Each
-    surface is staged, so no plan holds more than one of them.
+    tables: chunks, and where there are any chunk_vectors, graph_nodes, graph_edges, and the parts of the term index. The
+    lexical surface gives only the chunks that can be selected, and the number of all, from the index or by one pass over the
+    texts. Each surface is staged, so no plan holds more than one of them.
     """
     config = config or Config()
     chunks = tables["chunks"]
@@ -112,19 +112,19 @@ def retrieve(asked: DataFrame, tables: dict[str, DataFrame], embed: Callable[[Da
     said = plain(F.concat_ws(" ", "message", "intent", "query", "vector_query", *packets.LISTS[:-1]))
     hygiene = stage(asked.select("query_id", retrieval.is_template_query(said).alias("_templates")))
     terms = asked.select("query_id", F.col("retrieval_terms").alias("terms"))
+    flagged, k = terms.join(hygiene.withColumnRenamed("_templates", "templates"), "query_id"), max(1, config.max_retrieval_chunks)
     if all(tables.get(n) is not None for n in ("postings", "members", "lexicon")):
         index = term_index.TermIndex(tables["postings"], tables["members"], tables["lexicon"])
-        flagged = terms.join(hygiene.withColumnRenamed("_templates", "templates"), "query_id")
-        top, lexical_counts = term_index.search(index, flagged, max(1, config.max_retrieval_chunks), chunks)
-        found = top.select("query_id", "chunk_id", "source", "score", "reason")
+        top, lexical_counts = term_index.search(index, flagged, k, chunks)
     else:
-        found, lexical_counts = stage(retrieval.lexical(chunks, terms)), None
+        top, lexical_counts = scan.search(chunks, flagged, k)
+    found = top.select("query_id", "chunk_id", "source", "score", "reason")
     graphed, walked = graph_candidates(asked, chunks, tables.get("graph_nodes"), tables.get("graph_edges"), config)
     vectors, vector_counts = tables.get("chunk_vectors"), None
     searched = embed is not None and vectors is not None
     if searched:
         queries = stage(for_queries(embed)(asked.where("trim(vector_query) <> ''").select("query_id", F.col("vector_query").alias("text"))).select("query_id", "vector"))
-        near, vector_counts = nearest(chunks, vectors, queries, hygiene, found.unionByName(graphed), max(1, config.max_retrieval_chunks))
+        near, vector_counts = nearest(chunks, vectors, queries, hygiene, found.unionByName(graphed), k)
         found = found.unionByName(near)
     found = found.unionByName(graphed)
     text = chunks.select(*[c for c in TEXT if c in chunks.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tessera.config import Config
-from tessera.functions.text import json_hash, snippet, strip, text_hash
+from tessera.functions.text import json_hash, snippet, strip, text_hash, value_hash
 from tessera.operators import packets, retrieval
 from tessera.operators.backends import Compiler, Embedder, NoCompiler, NoWriter, Writer
 from tessera.operators.store import Part, Store
@@ -123,24 +123,27 @@ def compiled(asked: DataFrame, compiler: Compiler) -> DataFrame:
 def answers(rows: DataFrame, writer: Writer) -> DataFrame:
     """rows with response and answer_metadata: the writer's answer to synthesis_context_packet where the outcome is completed.
 
-    Where the writer fails there is none, the outcome becomes blocked, and the reasons say why; other turns go on.
+    Where the writer fails there is none, the outcome becomes blocked, and the reasons say why; other turns go on. The
+    context's hash comes too, as synthesis_context_packet_hash, since its JSON is read here in any case.
     """
 
-    @F.pandas_udf("response string, answer_metadata string, problem string")
+    @F.pandas_udf("response string, answer_metadata string, problem string, hash string")
     def written(contexts: pd.Series, outcomes: pd.Series) -> pd.DataFrame:
         out: list[tuple] = []
         for context, outcome in zip(contexts, outcomes):
+            given = json.loads(context)
+            hashed = value_hash(given)
             if outcome != "completed":
-                out.append((None, None, None))
+                out.append((None, None, None, hashed))
                 continue
             try:
-                answer = writer.generate(json.loads(context))
+                answer = writer.generate(given)
             except Exception as problem:  # a service's failure is that of one turn
-                out.append((None, None, f"{type(problem).__name__}: {problem}"))
+                out.append((None, None, f"{type(problem).__name__}: {problem}", hashed))
                 continue
             text, told = answer if isinstance(answer, tuple) else (answer, {})
-            out.append((text, json.dumps(told, sort_keys=True), None))
-        return pd.DataFrame(out, columns=["response", "answer_metadata", "problem"], dtype=object)
+            out.append((text, json.dumps(told, sort_keys=True), None, hashed))
+        return pd.DataFrame(out, columns=["response", "answer_metadata", "problem", "hash"], dtype=object)
 
     context = F.to_json("synthesis_context_packet", {"ignoreNullFields": "false"})
     made = stage(rows.withColumn("_w", written.asNondeterministic()(context, "outcome")))
@@ -148,7 +151,8 @@ def answers(rows: DataFrame, writer: Writer) -> DataFrame:
     reason = F.concat(F.lit("LLM backend failed: "), "_w.problem")
     out = made.withColumn("outcome", F.when(failed, "blocked").otherwise(F.col("outcome")))
     out = out.withColumn("reasons", F.when(failed, F.concat("reasons", F.array(reason))).otherwise(F.col("reasons")))
-    return out.withColumns({"response": F.col("_w.response"), "answer_metadata": F.col("_w.answer_metadata")}).drop("_w")
+    told = {"response": F.col("_w.response"), "answer_metadata": F.col("_w.answer_metadata"), "synthesis_context_packet_hash": F.col("_w.hash")}
+    return out.withColumns(told).drop("_w")
 
 
 def _chosen(name: str) -> Column:
@@ -197,15 +201,17 @@ def run_batch(states: DataFrame | None, tables: dict[str, DataFrame], inputs: Da
         snippet(said, 1200).alias("raw_response_preview"),
     )
     rows = rows.withColumn("semantic_compiler_diagnostic", diagnostic).withColumn("traversal_manifest", F.col("manifest"))
+    hashed = ("semantic_compiler_diagnostic", "semantic_compiler_packet", "traversal_manifest", "retrieval_packet")
+    rows = rows.withColumns({f"{c}_hash": json_hash(F.col(c)) for c in hashed})
     report = F.struct(
         "decision",
         "blocking_reasons",
         F.col("compiler_status").alias("semantic_compiler_status"),
         F.col("response_status").alias("semantic_compiler_response_status"),
-        json_hash(F.col("semantic_compiler_diagnostic")).alias("semantic_compiler_diagnostic_hash"),
-        F.when(packets.is_valid(), json_hash(F.col("semantic_compiler_packet"))).alias("semantic_compiler_packet_hash"),
-        json_hash(F.col("traversal_manifest")).alias("traversal_manifest_hash"),
-        json_hash(F.col("retrieval_packet")).alias("retrieval_packet_hash"),
+        "semantic_compiler_diagnostic_hash",
+        F.when(packets.is_valid(), F.col("semantic_compiler_packet_hash")).alias("semantic_compiler_packet_hash"),
+        "traversal_manifest_hash",
+        "retrieval_packet_hash",
         F.col("selected_count").alias("selected_chunk_count"),
     )
     rows = stage(rows.withColumn("coverage_report", report))
@@ -284,7 +290,8 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         F.concat("conversation.messages", said).alias("messages"),
     )
     out = out.withColumn("next_conversation", conversation.cast(CONVERSATION))
-    hashes = [json_hash(F.col(c)).alias(f"{c}_hash") for c in ARTIFACTS if c != "state_delta"]
+    # What was hashed before is not hashed again.
+    hashes = [(F.col(f"{c}_hash") if f"{c}_hash" in rows.columns else json_hash(F.col(c))).alias(f"{c}_hash") for c in ARTIFACTS if c != "state_delta"]
     record = F.struct(
         "thread_id",
         "turn_id",
@@ -299,7 +306,7 @@ def _next(rows: DataFrame, at: str, mode: str) -> DataFrame:
         json_hash(F.col("next_conversation")).alias("conversation_thread_hash"),
         "thread_state_hash",
     )
-    return out.withColumn("ledger_record", record).drop("_state")
+    return out.withColumn("ledger_record", record).drop("_state", *[f"{c}_hash" for c in ARTIFACTS if f"{c}_hash" in rows.columns])
 
 
 def artifacts(turns: DataFrame) -> DataFrame:

@@ -191,3 +191,23 @@ def test_a_stream_stores_each_turn_once(spark, tmp_path, monkeypatch):
     threads = run("broken")
     assert rows(threads) == wanted and threads.applied() == (1, 1)
     assert rows(run("broken")) == wanted  # nothing is left to do
+
+
+def test_turns_meet_only_chunks_that_can_be_selected(spark, monkeypatch):
+    """Without an index too, of a thread's candidates no more come than can be selected, and each artifact is hashed once."""
+    from tessera.functions import text
+    from tessera.operators import retrieval
+    from tessera.operators.backends import ProbeCompiler, ProbeWriter
+    from tessera.plans import retrieve
+
+    made, lexical = [], retrieve.retrieval.fuse
+    monkeypatch.setattr(retrieve.retrieval, "fuse", lambda found: made.append(found.count()) or lexical(found))
+    fields = "chunk_id string, note_id string, note_seq long, chunk_seq int, note_title string, section_label string, relative_path string, paragraph_text string, chunk_hash string"
+    chunks = spark.createDataFrame([(f"c{i:03d}", f"n{i}", i, 0, "T", "s", "", f"green tea {i}", f"h{i}") for i in range(150)], fields)
+    inputs = spark.createDataFrame([(f"t{i}", "tell of tea and green leaves") for i in range(6)] + [("none", "zzzz")], "thread_id string, message string")
+    rows = turns.run_batch(None, {"chunks": chunks}, inputs, "at", Config(), ProbeCompiler(), None, ProbeWriter()).withColumn("again", F.struct(*[text.json_hash(F.col(c)).alias(c) for c in turns.ARTIFACTS]))
+    assert made == [6 * retrieval.TOP_K]
+    for r in rows.collect():
+        assert r["manifest"].candidate_counts.lexical == (0 if r["thread_id"] == "none" else 150)
+        assert [r["ledger_record"][f"{c}_hash"] for c in turns.ARTIFACTS] == [r["again"][c] for c in turns.ARTIFACTS]
+        assert r["coverage_report"].retrieval_packet_hash == r["again"].retrieval_packet

@@ -138,3 +138,41 @@ def test_vectors_follow_text_and_model(spark):
     assert store.stale(chunks, first, "other").count() == 2
     titled = chunks.withColumn("note_title", F.when(F.col("chunk_id") == "a", "new").otherwise(F.col("note_title")))
     assert [r.chunk_id for r in store.stale(titled, first, "m").collect()] == ["a"]
+
+
+ODD = """# Top
+Loose
+***
+- item
+---
+  goes on
+Label: not one
+
+É: none
+Plan :
+# Deep:
+Plan: a   b
+### Deeper
+## Side
+x: y
+####### none
+\x1f
+12. - two
+"""
+
+
+def test_lines_are_folded_where_the_note_lies(spark):
+    given = [("r", "/", "odd.md", 0, ODD), ("r", "/", "none.md", 1, None), ("r", "/", "empty.md", 2, "")]
+    parsed = notes.notes(spark.createDataFrame(given, "root_label string, root_path string, relative_path string, note_seq long, raw_text string"))
+    flat = spark.createDataFrame(parsed.collect(), parsed.schema)
+    found = notes.chunks(flat)
+    assert not {"Window", "Exchange"} & set(found._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+    got = [(r.section_kind, list(r.section_path), r.heading_level, r.paragraph_ordinal, r.paragraph_text) for r in found.orderBy("chunk_seq").collect()]
+    assert got == [
+        ("heading", ["Top"], 1, 1, "Loose"),
+        ("heading", ["Top"], 1, 2, "- item --- goes on Label: not one"),
+        ("heading", ["Top"], 1, 3, "É: none Plan :"),
+        ("inline_label", ["Deep", "Plan"], 1, 1, "a b"),
+        ("inline_label", ["Deep", "Side", "x"], 2, 1, "y ####### none"),
+        ("inline_label", ["Deep", "Side", "x"], 2, 2, "12. - two"),
+    ]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,26 @@ def test_overlaps_equal_brute_force(spark, small, monkeypatch):
         assert len(found) == len(want) and {tuple(r) for r in found} == want
 
 
+def test_rows_are_stored_once_and_not_shuffled(spark, monkeypatch):
+    rng = random.Random(2)
+    left = [(q, rng.choice(["a", "b", None]), f"left {q % 9}") for q in range(60)]
+    right = [(n, rng.choice(["a", "b", "c", None]), f"right {n % 7}") for n in range(50)]
+    asked, stored = spark.createDataFrame(left, "q long, kind string, payload string"), spark.createDataFrame(right, "n long, kind string, payload string")
+
+    def make(one, two):
+        pairs = [(q, n, f"{a} {b}") for q, a in zip(one["q"].to_pylist(), one["payload"].to_pylist()) for n, b in zip(two["n"].to_pylist(), two["payload"].to_pylist())]
+        return pa.table([pa.array([p[i] for p in pairs], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["q", "n", "said"])
+
+    want = sorted((q, n, f"{a} {b}") for q, k, a in left for n, m, b in right if k == m)
+    monkeypatch.setattr(blocks, "PACKED_ROWS", 3)
+    found = blocks.meet(asked, stored, ["q"], ["n"], (60, 50), make, "q long, n long, said string", by=("kind",), rows=(9, 8))
+    assert "payload" not in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(blocks, "reach", lambda *_: None)  # a folder that only Spark reads
+    found = blocks.meet(asked, stored, ["q"], ["n"], (60, 50), make, "q long, n long, said string", by=("kind",), rows=(9, 8))
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def graph_of(spark, rng):
     edges = [(f"n{rng.randrange(30)}", f"n{min(rng.randrange(30), rng.randrange(30))}") for _ in range(90)]
     starts = [(q, f"n{rng.randrange(30)}") for q in range(14) for _ in range(2)]

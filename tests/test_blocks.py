@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks, graph, retrieval
+from tessera.plans import catalogue
 
 
 @pytest.fixture
@@ -141,3 +143,32 @@ def test_reasons_in_blocks_equal_joins(spark, small, monkeypatch):
             plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
             assert "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[0]  # no pair is shuffled
             assert sorted(map(tuple, found.collect())) == want
+
+
+def test_hierarchy_counts_equal_sql_on_odd_rows(spark, tmp_path):
+    tables = {
+        "region": ([(0,), (1,), (1,), (2,), (None,)], "r_regionkey int"),
+        "nation": ([(0, 0), (1, 0), (1, 0), (2, 1), (None, 1), (3, None)], "n_nationkey int, n_regionkey int"),
+        "customer": ([(c, [0, 1, 2, 3, None][c % 5]) for c in range(20)] + [(4, 0), (None, 2)], "c_custkey long, c_nationkey int"),
+        "orders": ([(o % 40, o % 23) for o in range(60)] + [(None, 1), (7, None)], "o_orderkey long, o_custkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    base = duckdb.connect()
+    for name in tables:
+        base.execute(f"CREATE VIEW {name} AS FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = base.execute(catalogue.ORACLES["hierarchy_bfs"]).fetchall()
+    got = catalogue.QUERIES["hierarchy_bfs"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and got.dtypes[2] == ("nodes", "bigint")
+
+
+def test_large_queries_are_joined_by_themselves(spark, small, monkeypatch):
+    edges, starts = graph_of(spark, random.Random(11))
+    starts = starts.unionByName(spark.createDataFrame([(7, f"n{i}") for i in range(20)], starts.schema))
+    want = sorted(map(tuple, graph.hops(starts, edges, 1).collect()))
+    monkeypatch.setattr(graph, "MANY_PAIRS", 0)
+    monkeypatch.setattr(graph, "LARGE_QUERY", 4)
+    last, asked = graph._last_hop, []
+    monkeypatch.setattr(graph, "_last_hop", lambda frontier, *more: asked.extend(r["query_id"] for r in frontier.collect()) or last(frontier, *more))
+    assert sorted(map(tuple, graph.hops(starts, edges, 1).collect())) == want
+    assert asked and 7 not in asked

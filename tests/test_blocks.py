@@ -112,6 +112,22 @@ def test_seeds_in_blocks_equal_joins(spark, small, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want and {w[3] for w in want} == {True, False}
 
 
+def test_repeated_seeds_go_to_blocks_unshuffled(spark, small, monkeypatch):
+    words = ["red", "blue", "green", "tea", "cup", "sky", "new"]
+    rng = random.Random(12)
+    nodes = spark.createDataFrame([(f"n{i}", " ".join(rng.choices(words, k=3)), "") for i in range(20)], "node_id string, label string, ref_id string")
+    seeds = [(q, 0, " ".join(rng.choices(words, k=3))) for q in range(6)]
+    seeds = spark.createDataFrame(seeds + seeds[:3] + [(2, 0, "tea cup sky new"), (3, 0, "blue red")], "query_id long, seed_pos int, seed string")
+    want = sorted(map(tuple, graph.match_seeds(nodes, seeds).collect()))
+    monkeypatch.setattr(graph, "MANY_PAIRS", 0)
+    given, overlaps = [], blocks.overlaps
+    monkeypatch.setattr(blocks, "overlaps", lambda left, *more: given.append(left) or overlaps(left, *more))
+    found = graph.match_seeds(nodes, seeds)
+    assert sorted(map(tuple, found.collect())) == want
+    assert given[0].count() == given[0].distinct().count() and "Exchange" not in given[0]._jdf.queryExecution().toString()
+    assert "FileScan" in (plan := found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]) and "packed" not in plan and "out#" not in plan
+
+
 def test_capped_search_equals_the_cap_of_all_hops(spark, monkeypatch):
     edges, starts = graph_of(spark, random.Random(8))
     rows = [(f"n{n}", n % 11, c, f"n{n}c{c}") for n in range(30) for c in range(n % 3)]

@@ -128,6 +128,13 @@ def test_repeated_seeds_go_to_blocks_unshuffled(spark, small, monkeypatch):
     assert "FileScan" in (plan := found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]) and "packed" not in plan and "out#" not in plan
 
 
+def test_last_hop_shuffles_no_rows(spark, small, monkeypatch):
+    edges, starts = graph_of(spark, random.Random(13))
+    monkeypatch.setattr(graph, "MANY_PAIRS", 0)
+    plan = graph.hops(starts, edges, 2)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "key#" not in plan and "_next" not in plan
+
+
 def test_capped_search_equals_the_cap_of_all_hops(spark, monkeypatch):
     edges, starts = graph_of(spark, random.Random(8))
     rows = [(f"n{n}", n % 11, c, f"n{n}c{c}") for n in range(30) for c in range(n % 3)]

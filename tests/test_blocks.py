@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,25 @@ def test_shared_surfaces_equal_all_candidates(spark, small):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
 
+def test_fused_texts_are_made_for_rows_and_not_for_pairs(spark, small):
+    shared, vectors, queries, _ = surfaces(spark)
+    odd = [("a", 12, "graph", None, "g"), ("b", 13, "graph", float("nan"), "g"), ("a", 14, "lexical", None, None), ("b", 15, "graph", 2.0, "g"), ("a", 16, "graph", float("-inf"), None)]
+    shared = shared.where("chunk_id NOT BETWEEN 12 AND 16").unionByName(spark.createDataFrame(odd, shared.schema))
+    near = retrieval.vector(vectors, queries).withColumn("score", F.round("score", 6)).withColumn("reason", F.lit("vector similarity")).where("score > 1")
+    want = retrieval.fuse(queries.select("query_id", "kind").join(shared, "kind").drop("kind").unionByName(near))
+    got = retrieval.fuse_shared(shared, vectors, queries)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.select(*got.columns).collect())))
+    plan = got.select("query_id", "chunk_id", "source", "score", "reason")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "concat_ws" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_rounding_equals_sparks(spark):
+    rng = random.Random(4)
+    values = [1 + rng.random() for _ in range(300)] + [1 + (2 * rng.randrange(500_000) + 1) / 2_000_000 for _ in range(300)] + [1.0000005, 1.0000004999999999, 1.5000005, 2.0, 1.0]
+    want = [r["v"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6).alias("v")).collect()]
+    assert retrieval.rounded(np.array(values), 6).tolist() == want
+
+
 def test_shared_counts_equal_counts_of_candidates(spark, small):
     shared, vectors, queries, every = surfaces(spark)
     want = retrieval.candidate_counts(every, queries)

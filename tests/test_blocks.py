@@ -215,3 +215,21 @@ def test_large_queries_are_joined_by_themselves(spark, small, monkeypatch):
     monkeypatch.setattr(graph, "_last_hop", lambda frontier, *more: asked.extend(r["query_id"] for r in frontier.collect()) or last(frontier, *more))
     assert sorted(map(tuple, graph.hops(starts, edges, 1).collect())) == want
     assert asked and 7 not in asked
+
+
+def test_reasons_order_links_once_for_each_shard(spark, small, monkeypatch):
+    rng = random.Random(14)
+    edges = spark.createDataFrame([(f"n{rng.randrange(20)}", f"n{rng.randrange(20)}", rng.choice("ab"), i % 5) for i in range(120)], "source_node_id string, target_node_id string, edge_type string, edge_order int")
+    nodes = spark.createDataFrame([(f"n{i}", None if i == 3 else f"label {i % 4}", i) for i in range(20)], "node_id string, label string, node_seq long")
+    starts = spark.createDataFrame([(q, f"n{rng.randrange(20)}") for q in range(9)], "query_id long, node_id string")
+    matched = spark.createDataFrame([], "query_id long, seed_pos int, seed_source string, node_id string")
+    reached = graph.hops(starts, edges, 2)
+    want = sorted(map(tuple, graph.reasons(reached, matched, edges, nodes, 2).collect()))
+    monkeypatch.setattr(graph, "MANY_PAIRS", 0)
+    monkeypatch.setattr(graph, "TOLD_ROWS", (4, 5))
+    monkeypatch.setattr(blocks, "PACKED_ROWS", 3)
+    meet, given = blocks.meet, []
+    monkeypatch.setattr(blocks, "meet", lambda *a, **k: given.append(k["ready"]) or meet(*a, **k))
+    assert sorted(map(tuple, graph.reasons(reached, matched, edges, nodes, 2).collect())) == want and len(given) == 1
+    monkeypatch.setattr(blocks, "reach", lambda *_: None)
+    assert sorted(map(tuple, graph.reasons(reached, matched, edges, nodes, 2).collect())) == want
